@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import packing, tokenbin
+from quillon.llm import bpe, packing, simhash, tokenbin, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +15,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return warc.archive(spark, table(spark, sf_dir, "pages")).select(*columns)
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, distance=4)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_shards(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op10_token_shards)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_byte_bpe, op3_warc, op5_simhash, op10_token_shards)}
 
 ORACLE_SQL: dict[str, str] = {}
