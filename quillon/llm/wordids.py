@@ -32,55 +32,67 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(char[b] for b in chr(c).encode()) for c in range(0xDF, 0x100) if c != 0xF7}
 
 
+#: Texts of other characters, or with a full stop or comma beside another mark, stay as they are.
+#: In all others a lower-cased text with those two set apart has the same ids and fewer words.
+_KEEP = re.compile("[^\x00-\x1b -\x7fÀ-ÖØ-öø-ÿ]|_|[.,][^\\w\\s]|[^\\w\\s][.,]").search
+
+
+class _Words(dict):
+    """Word -> its ids, worked out when first asked for."""
+
+    def __init__(self, tokenizer):
+        self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
+        self.tokenizer, self.tokenize, self.letters = tokenizer, tokenizer.model.tokenize, _byte_letters()
+        self.marks = {"": b"", ".": self.library("."), ",": self.library(",")}
+
+    def library(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            m = _PLAIN(word)
+            if m is None:
+                ids = self.library(word)
+            else:
+                core, mark = m.groups()
+                core = core.lower()
+                if not core.isascii():
+                    core = core.translate(self.letters)
+                ids = array("I", [t.id for t in self.tokenize(core)]).tobytes() + self.marks[mark]
+            if len(word) > _LONG:
+                self.long.append(word)
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """encode(texts) -> one bytes object per text: its ids as little-endian unsigned 32-bit."""
 
-    def __init__(self, path: str, most_words: int = 300_000):
+    def __init__(self, path: str, most_words: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.letters = _byte_letters()
-        self.marks = {m: self._library([m])[0] if m else b"" for m in ("", ".", ",")}
         self.most = most_words // 2
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words = _Words(self.tokenizer)
 
-    def _words(self, text: str) -> list[str]:
+    def _split(self, text: str) -> list[str]:
+        if _KEEP(text) is None:
+            return text.lower().replace(".", " . ").replace(",", " , ").split()
         return [w for w in _SPACE.split(text) if w] if _ODD_SPACE.search(text) else text.split()
 
-    def _library(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._words(t) for t in texts]
-        young, old = self.young, self.old
-        odd, long, tokenize, letters, marks = [], [], self.tokenizer.model.tokenize, self.letters, self.marks
-        for w in set(chain.from_iterable(split)).difference(young):
-            known = old.get(w)
-            if known is not None:
-                young[w] = known
-                continue
-            m = _PLAIN(w)
-            if m is None:
-                odd.append(w)
-            else:
-                core, mark = m.groups()
-                core = core.lower()
-                if not core.isascii():
-                    core = core.translate(letters)
-                young[w] = array("I", [t.id for t in tokenize(core)]).tobytes() + marks[mark]
-            if len(w) > _LONG:
-                long.append(w)
-        young.update(zip(odd, self._library(odd)))
-        get = young.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        for w in long:
-            del young[w]
-        if len(young) > self.most:
-            self.young, self.old = {}, young
+        words = self.words
+        out = [b"".join(map(words.__getitem__, self._split(t))) for t in texts]
+        for w in words.long:
+            del words[w]
+        words.long.clear()
+        if len(words) > self.most:
+            words.old = dict(words)
+            words.clear()
         return out
 
 
