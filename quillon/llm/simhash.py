@@ -29,6 +29,10 @@ BROADCAST_BUCKETS = 50_000
 RUN_ROWS = 100_000
 #: Estimated seconds for a probe row (made, dealt, sorted) and for a pair compared.
 ROW_COST, PAIR_COST = 3e-6, 4e-9
+#: Runs of at least so many rows are compared as matrices of so many rows at a time.
+DENSE, CHUNK = 48, 256
+#: Sketch of the shingles for verifying a similarity: smallest hash in each of 16 ranges, 8 bits each.
+BINS = 16
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -49,37 +53,57 @@ def _hashes(words: list[bytes], k: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64, count=len(words) - k + 1)
 
 
-def fingerprint(text: str | None, k: int = 4, most: int = 1 << 20) -> int:
-    """The SimHash of a whole text: A-Z lower-cased, words between ASCII white space, k-word
-    shingles with repeats (fewer words: all of them as one; none: zero). A bit is set if more than
-    half the shingles' hashes have it. Texts over `most` bytes are read through in parts."""
+def _shingle_hashes(text: str | None, k: int, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The hashes of a whole text's shingles; texts over `most` bytes are read through in parts."""
     data = (text or "").encode("utf-8", "surrogatepass").lower()
     if len(data) <= most:
-        h = _hashes(data.split(), k)
-        n, total = len(h), _bits(h)
-    else:
-        found, words, n, total = (m.group() for m in _WORD.finditer(data)), [], 0, np.zeros(64, dtype=np.int64)
-        while more := list(islice(found, 1 << 16)):
-            words = words[len(words) - k + 1 :] + more if words else more
-            if len(words) >= k:
-                h = _hashes(words, k)
-                n, total = n + len(h), total + _bits(h)
-        if not n:
-            h = _hashes(words, k)
-            n, total = len(h), _bits(h)
-    return int(np.packbits(total * 2 > n, bitorder="little").view("<i8")[0])
-
-
-def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
-    """(doc_id, text_hash, fp) of each row; text_hash tells rows of one doc_id apart."""
+        yield _hashes(data.split(), k)
+        return
+    found, words, any_yet = (m.group() for m in _WORD.finditer(data)), [], False
+    while more := list(islice(found, 1 << 16)):
+        words = words[len(words) - k + 1 :] + more if words else more
+        if len(words) >= k:
+            any_yet = True
+            yield _hashes(words, k)
+    if not any_yet:
+        yield _hashes(words, k)
+
+
+def _sketch(h: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The smallest hash in each range of the first four bits, given those of earlier parts."""
+    h = np.sort(h)
+    at = np.searchsorted(h, np.arange(BINS, dtype=np.uint64) << np.uint64(60))
+    found = np.where(at < len(h), h[np.minimum(at, len(h) - 1)], np.uint64(0)) if len(h) else np.zeros(BINS, np.uint64)
+    inside = (at < len(h)) & (found >> np.uint64(60) == np.arange(BINS, dtype=np.uint64))
+    return np.minimum(low, np.where(inside, found, np.uint64(2**64 - 1)))
+
+
+def fingerprint(text: str | None, k: int = 4, sketch: bool = False, most: int = 1 << 20) -> tuple[int, bytes]:
+    """The SimHash of a whole text, and a sketch of its shingles if wanted: A-Z lower-cased, words
+    between ASCII white space, k-word shingles with repeats (fewer words: all of them as one; none:
+    zero). A bit is set if more than half the shingles' hashes have it."""
+    n, total, low = 0, np.zeros(64, dtype=np.int64), np.full(BINS, 2**64 - 1, dtype=np.uint64)
+    for h in _shingle_hashes(text, k, most):
+        n, total = n + len(h), total + _bits(h)
+        if sketch:
+            low = _sketch(h, low)
+    full = low < np.uint64(2**64 - 1)
+    small = np.where(full, 1 + low % np.uint64(255), np.uint64(0)).astype(np.uint8).tobytes() if sketch else b""
+    return int(np.packbits(total * 2 > n, bitorder="little").view("<i8")[0]), small
+
+
+def fingerprints(docs: DataFrame, k: int = 4, sketch: bool = False) -> DataFrame:
+    """(doc_id, text_hash, fp, sketch) of each row; text_hash tells rows of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
-            fps = [fingerprint(t, k) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "fp"])
+            fps, small = zip(*(fingerprint(t, k, sketch) for t in batch.column(2).to_pylist()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(small, pa.binary())], names=["doc_id", "text_hash", "fp", "sketch"]
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, sketch binary")
 
 
 # -- the plan ---------------------------------------------------------------------------------
@@ -183,25 +207,28 @@ def _masks(bits: list[int], t: int) -> np.ndarray:
 
 
 def probes(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """(grp, key, fp, probe): each fingerprint once in its bucket of each partition; with a
+    """(grp, key, fp, sketch, probe): each fingerprint once in its bucket of each partition; with a
     threshold above 0 also as a probe in every bucket that its partition's bits reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans = [(g, np.uint64(sum(1 << b for b in bits)), _masks(bits, t) if t else None) for g, (bits, t) in enumerate(parts)]
         for batch in batches:
-            fp = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
+            fp, small = batch.column(0).to_numpy().astype(np.int64).view(np.uint64), batch.column(1)
             for g, mask, flips in plans:
                 own = fp & mask
-                yield rows(g, own, fp, False)
-                for i in range(0, len(fp) if flips is not None else 0, step := max(1, 50_000 // max(1, len(flips) if flips is not None else 1))):
-                    some = fp[i : i + step]
-                    yield rows(g, (own[i : i + step, None] ^ flips[None, :]).ravel(), np.repeat(some, len(flips)), True)
+                yield rows(g, own, fp, small, False)
+                if flips is None:
+                    continue
+                step = max(1, 50_000 // len(flips))
+                for i in range(0, len(fp), step):
+                    at = np.repeat(np.arange(i, min(i + step, len(fp))), len(flips))
+                    yield rows(g, (own[i : i + step, None] ^ flips[None, :]).ravel(), fp[at], small.take(pa.array(at)), True)
 
-    def rows(g: int, key: np.ndarray, fp: np.ndarray, probe: bool) -> pa.RecordBatch:
-        cols = [np.full(len(fp), g, np.int32), key.view(np.int64), fp.view(np.int64), np.full(len(fp), probe)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["grp", "key", "fp", "probe"])
+    def rows(g: int, key: np.ndarray, fp: np.ndarray, small: pa.Array, probe: bool) -> pa.RecordBatch:
+        cols = [pa.array(np.full(len(fp), g, np.int32)), pa.array(key.view(np.int64)), pa.array(fp.view(np.int64)), small, pa.array(np.full(len(fp), probe))]
+        return pa.RecordBatch.from_arrays(cols, names=["grp", "key", "fp", "sketch", "probe"])
 
-    return fps.select("fp").mapInArrow(run, "grp int, key long, fp long, probe boolean")
+    return fps.select("fp", "sketch").mapInArrow(run, "grp int, key long, fp long, sketch binary, probe boolean")
 
 
 def split_buckets(rows: DataFrame) -> DataFrame:
@@ -218,7 +245,7 @@ def split_buckets(rows: DataFrame) -> DataFrame:
     cold = plain(joined.where("blocks is null").drop("blocks"))
     hots = joined.where("blocks is not null").withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     other = hots.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    other = other.select("grp", "key", "fp", "probe", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk")
+    other = other.select("grp", "key", "fp", "sketch", "probe", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk")
     return cold.unionByName(other)
 
 
@@ -244,35 +271,61 @@ class _Forest:
                 up[max(x, y)] = min(x, y)
 
 
-def _links(run: np.ndarray, fp: np.ndarray, probe: np.ndarray, blk: np.ndarray, exact: np.ndarray, own: np.ndarray, distance: int):
-    """Edges (fp, smallest fp linked) among rows of equal run (runs are contiguous): rows are
-    compared at offset 1, 2, ... within their runs, all runs at once. Rows of one fingerprint are
-    one node; pairs already connected are dropped before they are joined."""
+def _similar(sketch: np.ndarray | None, a: np.ndarray, b: np.ndarray, least: float | None) -> np.ndarray:
+    """Whether the rows' shingle sets are estimated to be alike: equal ranges among those in use."""
+    if least is None:
+        return np.ones(len(a), bool)
+    x, y = sketch[a], sketch[b]
+    used = ((x | y) != 0).sum(axis=1)
+    return ((x == y) & (x != 0)).sum(axis=1) >= least * used
+
+
+def _links(run: np.ndarray, fp: np.ndarray, sketch: np.ndarray | None, probe: np.ndarray, first: np.ndarray, exact: np.ndarray, own: np.ndarray, distance: int, least: float | None):
+    """Edges (fp, smallest fp linked) among rows of equal run (runs are contiguous). Rows of one
+    fingerprint are one node; pairs already connected are dropped before they are joined. Short runs
+    are compared at offset 1, 2, ..., all at once; long ones as matrices."""
     value, node = np.unique(fp, return_inverse=True)
     forest = _Forest(len(value))
-    end = np.searchsorted(run, run, side="right")
-    at = np.arange(len(fp))
+
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        root = forest.roots()
+        apart = root[node[a]] != root[node[b]]
+        a, b = a[apart], b[apart]
+        alike = _similar(sketch, a, b, least)
+        forest.join(node[a[alike]], node[b[alike]])
+
+    begin, end = np.searchsorted(run, run, side="left"), np.searchsorted(run, run, side="right")
+    for s in np.unique(begin[end - begin >= DENSE]):
+        e = end[s]
+        rows = np.arange(s, e)
+        if not exact[s]:
+            left, right = rows[~probe[s:e]], rows[probe[s:e]]
+        elif own[s]:
+            left = right = rows
+        else:
+            left, right = rows[first[s:e]], rows[~first[s:e]]
+        for i in range(0, len(left), CHUNK):
+            some = left[i : i + CHUNK]
+            other = right[i:] if left is right else right
+            x, y = np.nonzero(np.bitwise_count(fp[some][:, None] ^ fp[other][None, :]) <= distance)
+            join(some[x], other[y])
+    at = np.flatnonzero(end - begin < DENSE)
     d = 1
     while True:
         at = at[end[at] - at > d]
         if not len(at):
             break
-        root = forest.roots()
         a, b = at, at + d
-        ok = root[node[a]] != root[node[b]]
+        ok = np.bitwise_count(fp[a] ^ fp[b]) <= distance
         ok &= exact[a] | (probe[a] != probe[b])
-        ok &= own[a] | (blk[a] != blk[b])
-        a, b = a[ok], b[ok]
-        near = np.bitwise_count(fp[a] ^ fp[b]) <= distance
-        if near.any():
-            forest.join(node[a[near]], node[b[near]])
+        join(a[ok], b[ok])
         d += 1
     root = forest.roots()
     moved = np.flatnonzero(root != np.arange(len(root)))
     return value[moved], value[root[moved]]
 
 
-def links(rows: DataFrame, parts: list[tuple[list[int], int]], distance: int) -> DataFrame:
+def links(rows: DataFrame, parts: list[tuple[list[int], int]], distance: int, least: float | None = None) -> DataFrame:
     """Verified links (a, b) of the bucket rows: for each task a spanning forest, never all pairs."""
     keys = ["grp", "key", "i", "j"]
     zero = np.array([t == 0 for _, t in parts])
@@ -281,14 +334,21 @@ def links(rows: DataFrame, parts: list[tuple[list[int], int]], distance: int) ->
         held = None
 
         def emit(t: pa.Table) -> pa.RecordBatch:
-            c = {n: t[n].to_numpy() for n in t.column_names}
+            c = {n: t[n].to_numpy() for n in t.column_names if n != "sketch"}
             new = np.zeros(t.num_rows, dtype=np.int64)
             if t.num_rows:
                 new[1:] = np.logical_or.reduce([c[k][1:] != c[k][:-1] for k in keys])
             run_id = np.cumsum(new)
             size = np.bincount(run_id, minlength=1)[run_id] if t.num_rows else new
             keep = size > 1
-            a, b = _links(run_id[keep], c["fp"].astype(np.int64).view(np.uint64)[keep], c["probe"][keep], c["blk"][keep], zero[c["grp"][keep]], (c["i"] == c["j"])[keep], distance)
+            small = None
+            if least is not None:
+                data = b"".join(t["sketch"].filter(pa.array(keep)).to_pylist())
+                small = np.frombuffer(data, np.uint8).reshape(-1, BINS)
+            a, b = _links(
+                run_id[keep], c["fp"].astype(np.int64).view(np.uint64)[keep], small, c["probe"][keep],
+                (c["blk"] == c["i"])[keep], zero[c["grp"][keep]], (c["i"] == c["j"])[keep], distance, least,
+            )
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
@@ -310,23 +370,24 @@ def links(rows: DataFrame, parts: list[tuple[list[int], int]], distance: int) ->
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def linked_fingerprints(fps: DataFrame, distance: int) -> DataFrame:
-    """(node, root) of the distinct fingerprints (column fp) that link to another one."""
+def linked_fingerprints(fps: DataFrame, distance: int, least: float | None = None) -> DataFrame:
+    """(node, root) of the distinct fingerprints (fp, sketch) that link to another one."""
     n, both = bit_statistics(fps)
     parts = plan(n, both, distance)
-    return components(links(split_buckets(probes(fps, parts)), parts, distance))
+    return components(links(split_buckets(probes(fps, parts)), parts, distance, least))
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, distance: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 4, distance: int = 4, least: float | None = None) -> DataFrame:
     """A row per row of docs (doc_id, text, ...): doc_id, text_hash, fingerprint (16 hex digits),
     root (the component's smallest fingerprint as a number) and component_id (the smallest doc_id
     reachable over fingerprints that differ in at most `distance` bits, null only if all are null).
+    With `least`, two fingerprints link only if their shingle sketches agree in that share, too.
 
     Null and empty texts have fingerprint zero. Equal fingerprints are one node, so exact copies
     cost one row however many there are. Repeated rows get equal results."""
-    rows = common.cut(fingerprints(docs, k))
-    classes = common.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = linked_fingerprints(classes, distance)
+    rows = common.cut(fingerprints(docs, k, least is not None))
+    classes = common.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("sketch").alias("sketch")))
+    found = linked_fingerprints(classes, distance, least)
     named = classes.join(found, classes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = named.select("fp", "root").join(least, "root")
@@ -335,13 +396,17 @@ def near_duplicates(docs: DataFrame, k: int = 4, distance: int = 4) -> DataFrame
     )
 
 
-def deduplicate(docs: DataFrame, k: int = 5, distance: int = 12) -> DataFrame:
+def deduplicate(docs: DataFrame, k: int = 5, distance: int = 12, least: float = 0.6) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest doc_id stays (null
-    ids last; of rows with one doc_id, the one with the smallest text hash, once)."""
-    found = near_duplicates(docs, k, distance)
+    ids last; of rows with one doc_id, the one with the smallest text hash, once).
+
+    A similarity of 0.8 is 12 of 64 bits at most; since so many bits can also agree by chance in a
+    large corpus, the shingle sketches must agree too, in 0.6 of their ranges: the sketch of two
+    texts with 0.8 of their shingles in common does so in 97 of 100 cases."""
+    found = near_duplicates(docs, k, distance, least)
     kept = found.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k")
-    ).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
-    marked = docs.withColumn("kept_hash_", F.xxhash64("text"))
-    same = marked["doc_id"].eqNullSafe(kept["kept_id"]) & (marked["kept_hash_"] == kept["kept_hash"])
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "kept_hash_"]).drop("kept_hash_")
+    ).select(F.col("k.doc_id").alias("_quillon_id"), F.col("k.text_hash").alias("_quillon_hash"))
+    marked = docs.withColumn("_quillon_own", F.xxhash64("text"))
+    same = marked["doc_id"].eqNullSafe(kept["_quillon_id"]) & (marked["_quillon_own"] == kept["_quillon_hash"])
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_quillon_own"]).drop("_quillon_own")
