@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from quillon.plans import series
+
+_MODULES = (series,)
+
+FLAGSHIP = "win05_12_bar_features"
+QUERIES: dict = {name: f for module in _MODULES for name, f in module.Q.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
