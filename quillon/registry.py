@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import series
+from quillon.plans import relational, series
 
-_MODULES = (series,)
+_MODULES = (series, relational)
 
 FLAGSHIP = "win05_12_bar_features"
 QUERIES: dict = {name: f for module in _MODULES for name, f in module.Q.items()}
