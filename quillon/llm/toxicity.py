@@ -199,7 +199,10 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for value, most in ((1, TOXIC_DOCS), (0, CLEAN_DOCS)):
         share = min(1.0, most / max(1, sizes.get(value, 0)))  # of a hash's range: no row is chosen by its place
         kept = kept | ((F.col("toxic") == value) & (draw < int(share * 1_000_000)))
-    rows = docs.select("doc_id", "text").where("text is not null").join(known.where(kept), "doc_id")
+    ids = common.cut(known.where(kept))
+    # the sample is bounded, so its ids are broadcast and no text is shuffled; counted all the same
+    few = ids.count() <= 2 * (TOXIC_DOCS + CLEAN_DOCS)
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids) if few else ids, "doc_id")
     return common.cut(_sign(rows).dropDuplicates(["sig", "toxic"]).select("text", "toxic"))
 
 
