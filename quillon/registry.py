@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import relational, research, series
+from quillon.plans import knowledge, relational, research, series
 
-_MODULES = (series, relational, research)
+_MODULES = (series, relational, research, knowledge)
 
 FLAGSHIP = "win05_12_bar_features"
 QUERIES: dict = {name: f for module in _MODULES for name, f in module.Q.items()}
