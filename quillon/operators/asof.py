@@ -40,11 +40,13 @@ def asof_global(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str,
         return left.join(F.broadcast(spans), hit, "left").drop("_until")
     day = lambda c: F.to_date(F.col(c))
     last_of_day = spans.withColumn("_day", day(right_ts))
+    # what a day begins with: the last value of the latest day before that has one
     per_day = last_of_day.groupBy("_day").agg(F.max_by(F.struct(right_ts, *columns), right_ts).alias("_v"))
-    carried = per_day.withColumn("_before", F.lag("_v").over(Window.orderBy("_day")))  # a row per day
-    l = left.withColumn("_day", day(left_ts)).withColumn("_key", F.monotonically_increasing_id())  # noqa: E741
-    inside = asof_join(l, last_of_day, ["_day"], left_ts, right_ts, columns)
-    start = inside.join(carried.select("_day", "_before"), "_day", "left")
+    days = per_day.unionByName(left.select(day(left_ts).alias("_day")).distinct().withColumn("_v", F.lit(None).cast(per_day.schema["_v"].dataType)))
+    days = days.groupBy("_day").agg(F.max("_v").alias("_v"))
+    before = F.last("_v", ignorenulls=True).over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))  # a row per day
+    inside = asof_join(left.withColumn("_day", day(left_ts)), last_of_day, ["_day"], left_ts, right_ts, columns)
+    start = inside.join(days.select("_day", before.alias("_before")), "_day", "left")
     pick = lambda c: F.coalesce(F.col(c), F.col(f"_before.{c}")).alias(c)
     return start.select(*left.columns, pick(right_ts), *[pick(c) for c in columns])
 

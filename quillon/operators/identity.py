@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unicode_normal(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """NFKC, single spaces, no space at the ends. No built-in normalises Unicode."""
     import unicodedata

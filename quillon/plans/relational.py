@@ -256,7 +256,7 @@ def spr01_rebased_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("symbol", F.col("day").cast("string").alias("day"), "index"))
 
 
-@query("""SELECT count(*) AS rows, count(DISTINCT (l_orderkey, l_partkey)) AS keys, 0 AS null_keys, count(*) - count(DISTINCT (l_orderkey, l_partkey)) AS duplicate_rows FROM lineitem""")
+@query("""SELECT count(*) AS rows, count(DISTINCT (l_orderkey, l_partkey)) AS keys, CAST(0 AS BIGINT) AS null_keys, count(*) - count(DISTINCT (l_orderkey, l_partkey)) AS duplicate_rows FROM lineitem""")
 def bit08_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grain(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey"])
 
