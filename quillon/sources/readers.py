@@ -107,10 +107,11 @@ def submissions(df: DataFrame, key: str, json: str) -> DataFrame:
 
 
 def candles(df: DataFrame, json: str) -> DataFrame:
-    schema = "t bigint, T bigint, s string, i string, o string, h string, l string, c string, v string, n int"
-    r = df.select(F.from_json(json, schema).alias("r"))
-    num = [F.col(f"r.{k}").try_cast("double").alias(name) for k, name in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"), ("v", "volume"))]
-    return r.select(F.col("r.s").alias("symbol"), F.timestamp_millis("r.t").alias("open_ts"), F.timestamp_millis("r.T").alias("close_ts"), *num, F.col("r.n").alias("trade_count"))
+    # open and close time differ in case alone, so fields are read by path
+    at = lambda k: F.get_json_object(json, f"$.{k}")
+    num = [at(k).try_cast("double").alias(name) for k, name in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"), ("v", "volume"))]
+    millis = lambda k: F.timestamp_millis(at(k).try_cast("bigint"))
+    return df.select(at("s").alias("symbol"), millis("t").alias("open_ts"), millis("T").alias("close_ts"), *num, at("n").try_cast("int").alias("trade_count"))
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import adjust, asof, calendar, graph, identity, quality, relational as r, research, serving, strategy, text, windows
+from quillon.operators import adjust, asof, calendar, graph, identity, perpetuals, publication, quality, relational as r, research, retrieval, serving, strategy, text, windows
 from quillon.sources import readers, sinks
 
 
@@ -173,3 +173,77 @@ def test_trailing_median_needs_a_full_window(spark):
     df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate([5, 1, 3, 9])], "symbol string, day int, v double")
     got = [x.m for x in windows.trailing_median(df, ["symbol"], "day", "v", 3, "m").orderBy("day").collect()]
     assert got == [None, None, None, 3.0]
+
+
+def test_log_and_edge_issues(spark):
+    log = spark.createDataFrame([(1, 5, None), (1, 6, None), (2, 3, 1), (3, 9, 77)], "event_id long, recorded_at long, supersedes long")
+    assert {x.issue: x.n for x in graph.log_issues(log).collect()} == {"duplicate_id": 1, "dangling": 1, "before_original": 1}
+    nodes = spark.createDataFrame([("a", "company"), ("b", "filing")], "node_id string, node_type string")
+    edges = spark.createDataFrame([("1", "filed", "a", "b"), ("2", "filed", "b", "a"), ("3", "filed", "a", "z"), ("4", "odd", "a", "b")], "edge_id string, edge_type string, src string, dst string")
+    got = {x.edge_id: x.issue for x in publication.edge_issues(edges, nodes, [("filed", "company", "filing")]).collect()}
+    assert got == {"2": "endpoint_type", "3": "dangling", "4": "unknown_type"}
+
+
+def test_alias_chains_and_cycles(spark):
+    links = [(i, i + 1) for i in range(20)] + [(100, 101), (101, 102), (102, 100), (200, 200), (201, None)]
+    got = {x.id: (x.target, x.cyclic) for x in publication.alias_targets(spark.createDataFrame(links, "id long, alias_of long")).collect()}
+    assert all(got[i] == (20, False) for i in range(20))
+    assert all(got[i][1] for i in (100, 101, 102)) and 200 not in got and 201 not in got
+
+
+def test_payloads(spark, tmp_path):
+    lines = tmp_path / "x.jsonl"
+    lines.write_text('{"a": 1}\nnot json\n{"a": 2}\n')
+    assert sorted(x.a for x in readers.jsonl(spark, str(lines), "a long").collect()) == [1, 2]
+    candle = spark.createDataFrame([('{"t":0,"T":60000,"s":"N","o":"1.5","h":"2","l":"x","c":"1","v":"3","n":4}',)], "j string")
+    got = readers.candles(candle, "j").first()
+    assert (got.symbol, got.open, got.low, got.trade_count) == ("N", 1.5, None, 4)
+    box = spark.createDataFrame([(i,) for i in range(9)], "event_id long")
+    assert [x.event_id for x in readers.undelivered(box, box.where("event_id % 2 = 0"), 3).orderBy("event_id").collect()] == [1, 3, 5]
+    raw = spark.createDataFrame([("1", '{"cik":"1","name":"A","formerNames":[{"name":"B","from":"2001-02-03T00:00:00Z","to":"2004-05-06"}]}'), ("2", None), ("3", "x")], "k string, j string")
+    got = {x.k: (x.status, x.former_names[0].valid_from if x.former_names else None) for x in readers.submissions(raw, "k", "j").collect()}
+    assert got == {"1": ("ok", dt.date(2001, 2, 3)), "2": ("miss", None), "3": ("miss", None)}
+    config = readers.from_config(spark, [{"symbol": "A"}, {"symbol": "B"}], "symbol string", "universe_view")
+    assert readers.read_sql(spark, "SELECT symbol FROM universe_view WHERE symbol = :s", {"s": "B"}).count() == 1 and config.count() == 2
+
+
+def test_manifest_resumes(spark, tmp_path):
+    path = str(tmp_path / "m")
+    for name, status in (("a", "RUNNING"), ("a", "SUCCESS"), ("b", "RUNNING"), ("b", "FAILED")):
+        sinks.record(spark, path, name, status)
+    files = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    assert sorted(x.name for x in sinks.pending(files, spark.read.parquet(path)).collect()) == ["b", "c"]
+
+
+def test_modes_and_reranking(spark):
+    a = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (1, "z", 3)], "q long, d string, rank int")
+    b = spark.createDataFrame([(1, "z", 1), (1, "y", 2)], "q long, d string, rank int")
+    order = lambda df: [x.d for x in df.orderBy("rank").collect()]
+    assert order(retrieval.search("bm25", a, b, "q", "d", 2)) == ["x", "y"]
+    assert order(retrieval.search("hybrid_rrf", a, b, "q", "d", 3)) == ["z", "y", "x"]
+    assert order(retrieval.search("hybrid_rrf", a, None, "q", "d", 2)) == ["x", "y"]
+    assert order(retrieval.search("hybrid_rerank", a, b, "q", "d", 2, retrieval.rerank_by((F.col("d") == "x").cast("int"), "q", "d"))) == ["x", "y"]
+    with pytest.raises(ValueError):
+        retrieval.search("hybrid_rerank", a, b, "q", "d", 1)
+
+
+def test_weekend_of_matches_intervals(spark):
+    spans = perpetuals.weekends(spark, "2024-03-01", "2024-03-31")
+    hours = spark.range(0, 24 * 28 * 2).select(F.timestamp_seconds(F.lit(1709251200) + F.col("id") * 1800).alias("ts"))
+    want = asof.interval_join(hours.withColumn("k", F.lit(1)), spans.withColumn("k", F.lit(1)), ["k"], "ts", "start", "end").select("ts", "weekend_id")
+    got = hours.withColumn("weekend_id", perpetuals.weekend_of(F.col("ts")))
+    assert rows(got, "ts") == rows(want, "ts")
+
+
+def test_ewma_matches_weighted_moments(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=30), rng.normal(size=30)
+    df = spark.createDataFrame([("s", i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "k string, d int, a double, b double")
+    got = strategy.ewma(df, "k", "d", "a", "b", span=9, least=5).orderBy("d").collect()
+    alpha = 0.2
+    w = np.array([(1 - alpha) ** 29] + [alpha * (1 - alpha) ** (29 - i) for i in range(1, 30)])
+    var = lambda v: (w @ (v - w @ v) ** 2) / (1 - (w * w).sum())
+    cov = w @ ((x - w @ x) * (y - w @ y))
+    assert got[3].vol_a is None or np.isnan(got[3].vol_a)
+    assert np.isclose(got[-1].vol_a, np.sqrt(252 * var(x))) and np.isclose(got[-1].vol_b, np.sqrt(252 * var(y)))
+    assert np.isclose(got[-1].corr, cov / np.sqrt((w @ (x - w @ x) ** 2) * (w @ (y - w @ y) ** 2)))
