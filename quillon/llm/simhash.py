@@ -22,15 +22,17 @@ from quillon.llm.components import components
 
 SEED = 42
 #: A bucket with more rows is split into blocks of about this size; blocks are compared in pairs.
-BLOCK = 4096
+BLOCK = 32_768
 #: Split buckets are told by a broadcast up to this many of them, by a join beyond.
 BROADCAST_BUCKETS = 50_000
 #: Rows of the bucket stream compared at once.
 RUN_ROWS = 100_000
 #: Estimated seconds for a probe row (made, dealt, sorted) and for a pair compared.
 ROW_COST, PAIR_COST = 3e-6, 4e-9
+#: Thresholds that need more probe rows a fingerprint than this are not considered.
+MOST_PROBES = 50_000
 #: Runs of at least so many rows are compared as matrices of so many rows at a time.
-DENSE, CHUNK = 48, 256
+DENSE, CHUNK = 48, 128
 #: Sketch of the shingles for verifying a similarity: smallest hash in each of 16 ranges, 8 bits each.
 BINS = 16
 
@@ -175,6 +177,7 @@ def plan(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int], int]]
     the thresholds (-1: left out) with the least estimated cost of probe rows and candidate pairs."""
     from math import comb
 
+    n = max(n, 2)  # a plan for no fingerprints costs nothing whatever it is
     freq = both[:64, 64] / max(1, n)
     cov = both[:64, :64] / max(1, n) - np.outer(freq, freq)
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
@@ -188,8 +191,12 @@ def plan(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int], int]]
             for spent, (cost, chosen) in state.items():
                 for t in range(-1, min(distance - spent, len(group) - 1) + 1):
                     probes = 0 if t < 0 else 1 if t == 0 else 1 + sum(comb(len(group), d) for d in range(t + 1))
+                    if probes > MOST_PROBES:
+                        continue
                     pairs = 0 if t < 0 else n * n / 2 * near[t]
-                    c = cost + n * probes * ROW_COST + pairs * PAIR_COST
+                    # rows of a bucket over BLOCK go to as many groups as it has blocks
+                    copies = max(1.0, n * near[0] * probes / BLOCK)
+                    c = cost + n * probes * copies * ROW_COST + pairs * PAIR_COST
                     if c < after.get(spent + t + 1, (np.inf,))[0]:
                         after[spent + t + 1] = (c, [*chosen, t])
             state = after
@@ -407,6 +414,9 @@ def deduplicate(docs: DataFrame, k: int = 5, distance: int = 12, least: float =
     kept = found.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k")
     ).select(F.col("k.doc_id").alias("_quillon_id"), F.col("k.text_hash").alias("_quillon_hash"))
-    marked = docs.withColumn("_quillon_own", F.xxhash64("text"))
-    same = marked["doc_id"].eqNullSafe(kept["_quillon_id"]) & (marked["_quillon_own"] == kept["_quillon_hash"])
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_quillon_own"]).drop("_quillon_own")
+    keys = ["_quillon_a", "_quillon_b", "_quillon_c"]
+    key = lambda doc_id, text_hash: dict(zip(keys, [F.coalesce(doc_id.cast("long"), F.lit(0)), doc_id.isNull(), text_hash]))
+    marked = docs.withColumns(key(F.col("doc_id"), F.xxhash64("text")))
+    wanted = kept.select(*[c.alias(n) for n, c in key(F.col("_quillon_id"), F.col("_quillon_hash")).items()])
+    # one dealing of the texts serves the join and the removal of repeated rows
+    return marked.join(wanted, keys, "left_semi").dropDuplicates(keys).drop(*keys)
