@@ -55,6 +55,7 @@ def suspected_splits(daily: DataFrame, tolerance: float = 0.03, most: int = 20)
     w = Window.partitionBy("symbol").orderBy("day")
     ratio = safe_ratio(F.lag("close").over(w), F.col("close"))
     step = daily.withColumn("ratio", ratio)
-    whole = F.round(F.greatest("ratio", 1 / F.col("ratio")))
-    near = (whole.between(2, most)) & (F.abs(F.greatest("ratio", 1 / F.col("ratio")) / whole - 1) <= tolerance)
+    inverse = safe_ratio(F.lit(1.0), F.col("ratio"))
+    whole = F.round(F.greatest("ratio", inverse))
+    near = (whole.between(2, most)) & (F.abs(F.greatest("ratio", inverse) / whole - 1) <= tolerance)
     return step.where(near).withColumn("suspected", F.when(F.col("ratio") > 1, whole).otherwise(1 / whole))

@@ -27,27 +27,23 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str
     return joined.select("_l.*", F.col("_m._at").alias(right_ts), *[F.col(f"_m.{c}").alias(c) for c in columns])
 
 
-def asof_global(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, columns: Sequence[str], most_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """As-of join without a key, for a market-wide series. The series becomes intervals
-    [its time, the next time); up to most_broadcast_rows of them are broadcast, beyond that both
-    sides are joined by day, with each interval on every day it covers."""
-    order = Window.orderBy(right_ts)
-    spans = right.groupBy(right_ts).agg(*[F.max(c).alias(c) for c in columns])
-    n = spans.count()
-    if n <= most_broadcast_rows:
-        spans = spans.withColumn("_until", F.lead(right_ts).over(order))
-        hit = (left[left_ts] >= spans[right_ts]) & (spans["_until"].isNull() | (left[left_ts] < spans["_until"]))
-        return left.join(F.broadcast(spans), hit, "left").drop("_until")
+def asof_global(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, columns: Sequence[str]) -> DataFrame:
+    """As-of join without a key, for a market-wide series; of right rows at one time the largest
+    values count.
+
+    Time itself is the key: both sides are joined as of within their day, and a row before the first
+    value of its day takes the last one of the days before. So the work is dealt by day and linear,
+    and only a row per day goes through a window without a key."""
     day = lambda c: F.to_date(F.col(c))
-    last_of_day = spans.withColumn("_day", day(right_ts))
-    # what a day begins with: the last value of the latest day before that has one
-    per_day = last_of_day.groupBy("_day").agg(F.max_by(F.struct(right_ts, *columns), right_ts).alias("_v"))
+    series = right.where(F.col(right_ts).isNotNull()).groupBy(right_ts).agg(*[F.max(c).alias(c) for c in columns]).withColumn("_day", day(right_ts))
+    per_day = series.groupBy("_day").agg(F.max_by(F.struct(right_ts, *columns), right_ts).alias("_v"))
     days = per_day.unionByName(left.select(day(left_ts).alias("_day")).distinct().withColumn("_v", F.lit(None).cast(per_day.schema["_v"].dataType)))
     days = days.groupBy("_day").agg(F.max("_v").alias("_v"))
     before = F.last("_v", ignorenulls=True).over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))  # a row per day
-    inside = asof_join(left.withColumn("_day", day(left_ts)), last_of_day, ["_day"], left_ts, right_ts, columns)
+    inside = asof_join(left.withColumn("_day", day(left_ts)), series, ["_day"], left_ts, right_ts, columns)
     start = inside.join(days.select("_day", before.alias("_before")), "_day", "left")
-    pick = lambda c: F.coalesce(F.col(c), F.col(f"_before.{c}")).alias(c)
+    found = F.col(right_ts).isNotNull()
+    pick = lambda c: F.when(found, F.col(c)).otherwise(F.col(f"_before.{c}")).alias(c)
     return start.select(*left.columns, pick(right_ts), *[pick(c) for c in columns])
 
 

@@ -32,8 +32,8 @@ def triple_barrier(df: DataFrame, by: Sequence[str], ts: str, close: str, horizo
             "vol": F.when(full, F.stddev_samp("_r").over(trailing(w, vol_rows))),
             "_path": F.collect_list(F.struct(F.col(close).alias("c"), F.col(ts).alias("t"))).over(w.rowsBetween(1, horizon)),
         }
-    ).where((F.col("vol") > 0) & (F.size("_path") == horizon))
-    step = step.withColumn("_moves", F.transform("_path", lambda x: x["c"] / F.col(close) - 1))
+    ).where((F.col("vol") > 0) & (F.size("_path") == horizon) & (F.col(close) != 0))
+    step = step.withColumn("_moves", F.transform("_path", lambda x: safe_ratio(x["c"], F.col(close)) - 1))
     first = lambda hit: F.coalesce(F.array_position(F.transform("_moves", hit), True), F.lit(0))
     step = step.withColumns({"_u": first(lambda x: x >= up * F.col("vol")), "_d": first(lambda x: x <= -down * F.col("vol"))})
     never = horizon + 1

@@ -93,8 +93,8 @@ def win17_window_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _days(o.change_from_window(daily(spark, sf_dir), "symbol", "day", "close", 8), "change", "mean", "sd")
 
 
-@query(f"""WITH {DAILY}, q AS (SELECT symbol, day, lag(close) OVER ({_W}) / nullif(close, 0) AS ratio FROM daily), w AS (SELECT *, round(greatest(ratio, 1 / ratio)) AS whole FROM q)
- SELECT symbol, CAST(day AS VARCHAR) AS day, round(CASE WHEN ratio > 1 THEN whole ELSE 1 / whole END, 6) AS suspected FROM w WHERE whole BETWEEN 2 AND 20 AND abs(greatest(ratio, 1 / ratio) / whole - 1) <= 0.03""")
+@query(f"""WITH {DAILY}, q AS (SELECT symbol, day, lag(close) OVER ({_W}) / nullif(close, 0) AS ratio FROM daily), w AS (SELECT *, 1 / nullif(ratio, 0) AS inv, round(greatest(ratio, 1 / nullif(ratio, 0))) AS whole FROM q)
+ SELECT symbol, CAST(day AS VARCHAR) AS day, round(CASE WHEN ratio > 1 THEN whole ELSE 1 / whole END, 6) AS suspected FROM w WHERE whole BETWEEN 2 AND 20 AND abs(greatest(ratio, inv) / whole - 1) <= 0.03""")
 def win30_suspected_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _days(adjust.suspected_splits(daily(spark, sf_dir)), "suspected")
 

@@ -83,7 +83,7 @@ def flt08_09_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {BARS}, b AS (SELECT *, CASE WHEN event_id % 11 = 0 THEN NULL ELSE low * (CASE WHEN event_id % 13 = 0 THEN 1.2e0 ELSE 1 END) END AS lo, CASE WHEN event_id % 17 = 0 THEN 'week' ELSE 'minute' END AS span,
  CASE WHEN event_id % 19 = 0 THEN -volume ELSE volume END AS vol FROM bars), c AS (SELECT event_id, list_sort(list_filter([
- CASE WHEN lo IS NULL THEN 'missing_low' END, CASE WHEN span = 'week' THEN 'bad_timespan' END, CASE WHEN high < lo THEN 'high_below_low' END,
+ CASE WHEN lo IS NULL THEN 'missing_low' END, CASE WHEN close <= 0 THEN 'non_positive_open' END, CASE WHEN high <= 0 THEN 'non_positive_high' END, CASE WHEN lo <= 0 THEN 'non_positive_low' END, CASE WHEN close <= 0 THEN 'non_positive_close' END, CASE WHEN span = 'week' THEN 'bad_timespan' END, CASE WHEN high < lo THEN 'high_below_low' END,
  CASE WHEN high < close THEN 'high_below_body' END, CASE WHEN lo > close THEN 'low_above_body' END, CASE WHEN vol < 0 THEN 'negative_volume' END,
  CASE WHEN vwap < lo OR vwap > high THEN 'vwap_outside_range' END], lambda x: x IS NOT NULL)) AS l FROM b)
  SELECT event_id, array_to_string(l, ',') AS reasons, CAST(len(l) AS INTEGER) AS n FROM c""")

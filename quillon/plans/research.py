@@ -46,7 +46,7 @@ def lab01_forward_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {DAILY}, r AS (SELECT symbol, day, close, row_number() OVER ({_W}) AS rn, close / nullif(lag(close) OVER ({_W}), 0) - 1 AS r FROM daily),
  v AS (SELECT *, CASE WHEN count(r) OVER w = 5 THEN stddev_samp(r) OVER w END AS vol, count(*) OVER (PARTITION BY symbol) AS n FROM r WINDOW w AS ({_W} ROWS 4 PRECEDING)),
- e AS (SELECT * FROM v WHERE vol > 0 AND rn + 4 <= n),
+ e AS (SELECT * FROM v WHERE vol > 0 AND rn + 4 <= n AND close <> 0),
  h AS (SELECT e.symbol, e.day, e.close, e.rn, coalesce(min(f.rn - e.rn) FILTER (WHERE f.close / e.close - 1 >= e.vol), 5) AS u, coalesce(min(f.rn - e.rn) FILTER (WHERE f.close / e.close - 1 <= -e.vol), 5) AS d
  FROM e JOIN v f ON f.symbol = e.symbol AND f.rn BETWEEN e.rn + 1 AND e.rn + 4 GROUP BY ALL),
  k AS (SELECT *, CASE WHEN u < d THEN 1 WHEN d < u THEN -1 ELSE 0 END AS label, CASE WHEN u = d THEN 4 ELSE least(u, d) END AS hit FROM h)

@@ -143,7 +143,7 @@ def win23_25_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT symbol, CAST(day AS VARCHAR) AS day, round(close / nullif(lag(close, 5) OVER w, 0) - 1, 6) AS momentum,
  round(CASE WHEN count(r) OVER w5 = 5 THEN stddev_samp(r) OVER w5 END * sqrt(252), 6) AS realised_vol,
  round(close / nullif(max(close) OVER (PARTITION BY symbol ORDER BY day ROWS UNBOUNDED PRECEDING), 0) - 1, 6) AS drawdown,
- round(exp(sum(CASE WHEN r > -1 THEN ln(1 + r) END) OVER (PARTITION BY symbol ORDER BY day ROWS UNBOUNDED PRECEDING)) - 1, 6) AS total
+ round(CASE WHEN NOT max(coalesce(r <= -1, FALSE)) OVER (PARTITION BY symbol ORDER BY day ROWS UNBOUNDED PRECEDING) THEN exp(sum(CASE WHEN r > -1 THEN ln(1 + r) END) OVER (PARTITION BY symbol ORDER BY day ROWS UNBOUNDED PRECEDING)) - 1 END, 6) AS total
  FROM s WINDOW w AS ({_DAYS}), w5 AS ({_DAYS} ROWS 4 PRECEDING)""")
 def win27_28_momentum_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = windows.momentum_risk(daily(spark, sf_dir), 5)

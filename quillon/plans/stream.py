@@ -46,8 +46,8 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VALID = """v AS (SELECT event_id, 'U' || user_id AS symbol, ts AS event_ts, value FROM events WHERE event_id % 17 <> 0 AND event_id % 11 <> 0 AND value > 0)"""
 
 
-@query("""SELECT event_id, 'U' || user_id AS symbol, CASE WHEN event_id % 17 = 0 THEN CASE WHEN event_id % 11 = 0 THEN 'bad_timespan,missing_low' ELSE 'bad_timespan' END ELSE 'missing_low' END AS reasons
- FROM events WHERE event_id % 17 = 0 OR event_id % 11 = 0""")
+@query("""WITH r AS (SELECT event_id, 'U' || user_id AS symbol, array_to_string(list_filter([CASE WHEN event_id % 17 = 0 THEN 'bad_timespan' END, CASE WHEN event_id % 11 = 0 THEN 'missing_low' END, CASE WHEN value <= 0 THEN 'non_positive_close' END,
+ CASE WHEN value <= 0 THEN 'non_positive_high' END, CASE WHEN value <= 0 AND event_id % 11 <> 0 THEN 'non_positive_low' END, CASE WHEN value <= 0 THEN 'non_positive_open' END], lambda x: x IS NOT NULL), ',') AS reasons FROM events) SELECT * FROM r WHERE reasons <> ''""")
 def str01_04_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _shared(spark)
     out = st.quarantined(st.typed(_stream(spark, sf_dir))).select("event_id", "symbol", F.array_join("reasons", ",").alias("reasons"))
