@@ -15,8 +15,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from quillon.llm import common
+
 #: Trees, bits of a hash string, vectors of a block and queries of a group on average.
-TREES, BITS, BLOCK, GROUP = 32, 32, 16_384, 512
+TREES, BITS, BLOCK, GROUP = 32, 32, 16_384, 4096
 #: The probability of missing a neighbour as near as the worst one held.
 MISS = 0.05
 SEED = 11
@@ -108,7 +110,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     Blocks and query groups are dealt by hashes of whole rows, so no value can fill one; each block
     meets each group of queries in a task of its own, which holds no more than the two. Only the k
     best of a block leave its task."""
-    rows = usable(vectors)
+    rows = common.cut(usable(vectors))
     n = rows.count()
     blocks, groups = max(1, ceil(n / BLOCK)), max(1, ceil(n / every / GROUP))
     rows = rows.withColumn("h", F.xxhash64("vec_id", "v"))

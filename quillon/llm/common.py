@@ -9,7 +9,7 @@ from urllib.parse import urlparse
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Used only where the session does not name a shared folder (local tests).
 LOCAL_SHARED = "/tmp/checkpoints"
@@ -81,3 +81,8 @@ def spread(df: DataFrame, least: int = 1) -> DataFrame:
     spark = df.sparkSession
     n = max(least, spark.sparkContext.defaultParallelism)
     return df.repartition(n)
+
+
+def held_out(doc_id: Column) -> Column:
+    """crc32(doc_id as text) mod 4 = 2, the rows no model learns from; false for a null doc_id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillon.llm import common
+from quillon.llm.common import held_out
 
 #: Fitted on the most frequent words of at most so many labelled documents, picked by a hash.
 TRAIN_DOCS, TRAIN_WORDS = 3000, 40_000
@@ -199,11 +200,6 @@ class Labeller:
         return out
 
 
-def held_out(doc_id):
-    """crc32(doc_id as text) mod 4 = 2; false for a null doc_id."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
 def fit(docs: DataFrame) -> Network | None:
     """A network from docs (doc_id, text, lang); None where no row has text, id and lang. Words are
     counted over whole texts by Spark; the driver gets the most frequent ones per language."""
@@ -227,9 +223,12 @@ _LABELLERS: dict[int, Labeller] = {}
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """docs with lang_pred and score. A text that is null or has no letter is `und` with score 0, and
-    so is every text without a network; other columns pass through, repeated rows get equal results."""
+    so is every text without a network; other columns pass through (of the same
+    two names: are replaced), repeated rows get equal results."""
     from pyspark.sql import types as T
 
+    docs = docs.drop("lang_pred", "score")
+
     key = None if net is None else zlib.crc32(b"".join(a.tobytes() for a in net[1:]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

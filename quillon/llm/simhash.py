@@ -384,6 +384,14 @@ def linked_fingerprints(fps: DataFrame, distance: int, least: float | None = Non
     return components(links(split_buckets(probes(fps, parts)), parts, distance, least))
 
 
+def _rooted(docs: DataFrame, k: int, distance: int, least: float | None) -> tuple[DataFrame, DataFrame]:
+    """(a row per row of docs with its fingerprint, (fp, least, root) of the distinct ones)."""
+    rows = common.cut(fingerprints(docs, k, least is not None))
+    classes = common.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("sketch").alias("sketch")))
+    found = linked_fingerprints(classes, distance, least)
+    return rows, classes.join(found, classes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, distance: int = 4, least: float | None = None) -> DataFrame:
     """A row per row of docs (doc_id, text, ...): doc_id, text_hash, fingerprint (16 hex digits),
     root (the component's smallest fingerprint as a number) and component_id (the smallest doc_id
@@ -392,12 +400,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, distance: int = 4, least: float
 
     Null and empty texts have fingerprint zero. Equal fingerprints are one node, so exact copies
     cost one row however many there are. Repeated rows get equal results."""
-    rows = common.cut(fingerprints(docs, k, least is not None))
-    classes = common.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("sketch").alias("sketch")))
-    found = linked_fingerprints(classes, distance, least)
-    named = classes.join(found, classes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = named.select("fp", "root").join(least, "root")
+    rows, named = _rooted(docs, k, distance, least)
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = named.select("fp", "root").join(smallest, "root")
     return rows.join(labels, "fp").select(
         "doc_id", "text_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root"
     )
@@ -410,10 +415,11 @@ def deduplicate(docs: DataFrame, k: int = 5, distance: int = 12, least: float =
     A similarity of 0.8 is 12 of 64 bits at most; since so many bits can also agree by chance in a
     large corpus, the shingle sketches must agree too, in 0.6 of their ranges: the sketch of two
     texts with 0.8 of their shingles in common does so in 97 of 100 cases."""
-    found = near_duplicates(docs, k, distance, least)
-    kept = found.groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k")
-    ).select(F.col("k.doc_id").alias("_quillon_id"), F.col("k.text_hash").alias("_quillon_hash"))
+    rows, named = _rooted(docs, k, distance, least)
+    # the first row of each fingerprint, then of each component: no large group meets in a task
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k")
+    firsts = rows.groupBy("fp").agg(first).join(named.select("fp", "root"), "fp")
+    kept = firsts.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("_quillon_id"), F.col("k.text_hash").alias("_quillon_hash"))
     keys = ["_quillon_a", "_quillon_b", "_quillon_c"]
     key = lambda doc_id, text_hash: dict(zip(keys, [F.coalesce(doc_id.cast("long"), F.lit(0)), doc_id.isNull(), text_hash]))
     marked = docs.withColumns(key(F.col("doc_id"), F.xxhash64("text")))

@@ -16,9 +16,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quillon.llm import common
+from quillon.llm.common import held_out
 
 #: The classifier is fitted on at most so many toxic and clean labelled documents, picked by a hash;
 #: of copies among them one stays.
@@ -37,11 +38,6 @@ ROUNDS, CORRELATION_ROUNDS, STEPS, RIDGE = 15, 3, 25, 1.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def held_out(doc_id: Column) -> Column:
-    """crc32(doc_id as text) mod 4 = 2; false for a null doc_id."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
 def forms(token: str) -> set[str]:
     """What a white-space-separated token can match: its words, whole (with a mark behind), and
     their beginnings."""
@@ -283,8 +279,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted (1 from the threshold on); other columns pass through. Null and
-    empty texts get the score of a text without words; without a model every score is 0."""
+    """docs with score and predicted (1 from the threshold on); other columns pass through (of the
+    same two names: are replaced). Null and empty texts get the score of a text without words;
+    without a model every score is 0."""
+    docs = docs.drop("score", "predicted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _Forms(model.lexicon) if model else None
