@@ -94,7 +94,7 @@ class MinimalPerfectHash:
 
 
 class BytePairEncoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 1_000_000):
         self.split = splitter(pattern)
         self.bytes_of = dict(zip(ranks.values(), ranks))
         self.text_of = {r: str(r) for r in self.bytes_of}
