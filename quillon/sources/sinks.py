@@ -36,12 +36,16 @@ def record(spark: SparkSession, path: str, name: str, status: str, rows: int | N
 
 
 def written_rows(df: DataFrame, path: str, mode: str = "append") -> int:
-    """Writes df and returns how many rows were written, counted in the same pass."""
-    from pyspark.sql import Observation
-
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).parquet(path)
-    return seen.get["n"]
+    """Writes df and returns by how many rows the table grew, from file footers before and after: df
+    is read once. (An Observation would stay with the session, and Spark's ML transformers cannot be
+    shipped from a session that has had one.)"""
+    spark = df.sparkSession
+    empty = spark.createDataFrame([], df.schema)
+    if mode == "append":
+        empty.write.mode("append").parquet(path)  # so that there is a table to count
+    before = 0 if mode == "overwrite" else spark.read.parquet(path).count()
+    df.write.mode(mode).parquet(path)
+    return spark.read.parquet(path).count() - before
 
 
 def missing_keys(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
