@@ -4,7 +4,10 @@
 into partitions; a dynamic programme gives each partition its own threshold, so that the estimated
 cost of candidates and probes is least and no pair within the distance can miss every partition.
 Fingerprints that meet in a partition's bucket are verified; only a spanning forest of the verified
-links leaves a task."""
+links leaves a task.
+
+`deduplicate` decides by the exact Jaccard similarity of shingle sets. SimHash links and MinHash bands
+only propose: proposals make components, and the sets of a component are compared whole."""
 
 from __future__ import annotations
 
@@ -33,8 +36,18 @@ ROW_COST, PAIR_COST = 3e-6, 4e-9
 MOST_PROBES = 50_000
 #: Runs of at least so many rows are compared as matrices of so many rows at a time.
 DENSE, CHUNK = 48, 128
+#: Pairs whose sketches are compared at once.
+PAIRS = 1 << 18
 #: Sketch of the shingles for verifying a similarity: smallest hash in each of 16 ranges, 8 bits each.
 BINS = 16
+#: MinHash of the shingle sets: BANDS bands of ROWS values. Sets with 0.8 in common share no band in 2 of
+#: 10,000 cases. Of the BANDS * ROWS values, kept as a byte each, AGREE must agree; at 0.8 they do so but
+#: in about 1 of 10,000 cases.
+BANDS, ROWS, AGREE = 16, 4, 0.6
+#: Shingle sets of a component with more bytes are split into blocks of about so many.
+BLOCK_BYTES = 16 << 20
+
+_MULTIPLY, _COMBINE = (np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -108,6 +121,40 @@ def fingerprints(docs: DataFrame, k: int = 4, sketch: bool = False) -> DataFrame
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, sketch binary")
 
 
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The different hashes of a whole text's shingles, sorted."""
+    return np.unique(np.concatenate([np.unique(h) for h in _shingle_hashes(text, k)]))
+
+
+def minhash(hashes: np.ndarray) -> np.ndarray:
+    """The smallest value of a shingle set under each of BANDS * ROWS multipliers."""
+    low = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+    for i in range(0, len(hashes), 2048):
+        low = np.minimum(low, (hashes[i : i + 2048, None] * _MULTIPLY[None, :]).min(axis=0))
+    return low
+
+
+def shapes(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, text_hash, fp, sketch, node, bands, values) of each row: node stands for the whole
+    shingle set, bands are its MinHash bucket keys (none without shingles), values a byte of each minimum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text"):
+            texts = batch.column(2).to_pylist()
+            fps, small = zip(*(fingerprint(t, k, True) for t in texts))
+            sets = [shingle_set(t, k) for t in texts]
+            low = np.array([minhash(h) for h in sets]).reshape(-1, BANDS * ROWS)
+            keys = (low * _COMBINE[None, :]).reshape(-1, BANDS, ROWS).sum(axis=2, dtype=np.uint64).view(np.int64)
+            values = (1 + low % np.uint64(255)).astype(np.uint8)
+            node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], dtype=np.uint64).view(np.int64)
+            cols = [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(small, pa.binary()), pa.array(node)]
+            cols += [pa.array([x if len(h) else [] for x, h in zip(keys, sets)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in values], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "fp", "sketch", "node", "bands", "values"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, sketch binary, node long, bands array<long>, values binary")
+
+
 # -- the plan ---------------------------------------------------------------------------------
 
 
@@ -295,11 +342,13 @@ def _links(run: np.ndarray, fp: np.ndarray, sketch: np.ndarray | None, probe: np
     forest = _Forest(len(value))
 
     def join(a: np.ndarray, b: np.ndarray) -> None:
-        root = forest.roots()
-        apart = root[node[a]] != root[node[b]]
-        a, b = a[apart], b[apart]
-        alike = _similar(sketch, a, b, least)
-        forest.join(node[a[alike]], node[b[alike]])
+        for i in range(0, len(a), PAIRS):
+            x, y = a[i : i + PAIRS], b[i : i + PAIRS]
+            root = forest.roots()
+            apart = root[node[x]] != root[node[y]]
+            x, y = x[apart], y[apart]
+            alike = _similar(sketch, x, y, least)
+            forest.join(node[x[alike]], node[y[alike]])
 
     begin, end = np.searchsorted(run, run, side="left"), np.searchsorted(run, run, side="right")
     for s in np.unique(begin[end - begin >= DENSE]):
@@ -351,7 +400,7 @@ def links(rows: DataFrame, parts: list[tuple[list[int], int]], distance: int, le
             small = None
             if least is not None:
                 data = b"".join(t["sketch"].filter(pa.array(keep)).to_pylist())
-                small = np.frombuffer(data, np.uint8).reshape(-1, BINS)
+                small = np.frombuffer(data, np.uint8).reshape(int(keep.sum()), -1) if keep.any() else np.zeros((0, BINS), np.uint8)
             a, b = _links(
                 run_id[keep], c["fp"].astype(np.int64).view(np.uint64)[keep], small, c["probe"][keep],
                 (c["blk"] == c["i"])[keep], zero[c["grp"][keep]], (c["i"] == c["j"])[keep], distance, least,
@@ -408,21 +457,121 @@ def near_duplicates(docs: DataFrame, k: int = 4, distance: int = 4, least: float
     )
 
 
-def deduplicate(docs: DataFrame, k: int = 5, distance: int = 12, least: float = 0.6) -> DataFrame:
+# -- exact similarity -------------------------------------------------------------------------
+
+
+def proposals(classes: DataFrame, distance: int, least: float) -> DataFrame:
+    """(node, root) of the shingle sets (node, fp, sketch, bands, values) that may be alike: components
+    of SimHash links, of equal fingerprints, and of MinHash bands whose values agree."""
+    fps = common.cut(classes.groupBy("fp").agg(F.min("sketch").alias("sketch"), F.min("node").alias("first")))
+    n, both = bit_statistics(fps)
+    parts = plan(n, both, distance)
+    near = links(split_buckets(probes(fps, parts)), parts, distance, least)
+    name = lambda c: fps.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
+    near = near.join(name("a"), "a").join(name("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    equal = classes.select("fp", "node").join(fps.select("fp", "first"), "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    rows = classes.select(F.posexplode("bands").alias("grp", "key"), F.col("node").alias("fp"), F.col("values").alias("sketch"), F.lit(False).alias("probe"))
+    banded = links(split_buckets(rows), [([], 0)] * BANDS, 64, AGREE)
+    return components(near.unionByName(equal).unionByName(banded))
+
+
+def _alike(sets: list[np.ndarray], node: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """Links (a, b) between rows of left and right (equal, or apart) whose sets have a Jaccard similarity of
+    `least`: a spanning forest. Each row is compared, all at once, with those it is not yet joined to."""
+    forest, size = _Forest(len(sets)), np.array([len(x) for x in sets])
+    whole = len(left) == len(right) and np.array_equal(left, right)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start, mark = np.concatenate([[0], np.cumsum(size)]), np.zeros(len(ids) + 1, bool)
+    for at, x in enumerate(left.tolist()):
+        other = right[at + 1 :] if whole else right
+        root = forest.roots()
+        ok = (root[other] != root[x]) & (np.minimum(size[other], size[x]) >= least * np.maximum(size[other], size[x]) - 1e-6)
+        other = other[ok]
+        if not len(other):
+            continue
+        mine = ids[start[x] : start[x + 1]]
+        mark[mine] = True
+        n = size[other]
+        ends = np.cumsum(n)
+        flat = np.arange(ends[-1]) + np.repeat(start[other] - (ends - n), n)
+        shared = np.add.reduceat(mark[ids[flat]], ends - n, dtype=np.int64)
+        mark[mine] = False
+        found = other[shared / (size[x] + n - shared) >= least]
+        forest.join(np.full(len(found), x), found)
+        for y in found.tolist():
+            yield int(node[x]), int(node[y])
+
+
+def verified(sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between the sets (root, node, hashes) of one root, by their exact similarity. A root's
+    sets of more than BLOCK_BYTES are dealt into blocks, and every two of its blocks are a group."""
+    total = sets.groupBy("root").agg(F.ceil(F.sum(F.length("hashes")) / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = sets.join(total, "root").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("root", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "hashes")
+    keys = ["root", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+
+        def emit() -> pa.RecordBatch:
+            a, b = [], []
+            if len(held) > 1:
+                blk, node = np.array([x[0] for x in held]), np.array([x[1] for x in held], dtype=np.int64)
+                arrays = [np.frombuffer(x[2], "<u8") for x in held]
+                left = np.flatnonzero(blk == key[1])
+                right = left if key[1] == key[2] else np.flatnonzero(blk != key[1])
+                for x, y in _alike(arrays, node, left, right, least):
+                    a.append(x)
+                    b.append(y)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in common.slices(batches, "hashes"):
+            for r, i, j, blk, node, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+                if (r, i, j) != key:
+                    if held:
+                        yield emit()
+                    held, key = [], (r, i, j)
+                held.append((blk, node, hashes))
+        if held:
+            yield emit()
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """(root, node, hashes) of docs (root, node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text"):
+            hashes = [shingle_set(t, k).astype("<u8").tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.binary())], names=["root", "node", "hashes"])
+
+    return docs.select("root", "node", "text").mapInArrow(run, "root long, node long, hashes binary")
+
+
+def deduplicate(docs: DataFrame, k: int = 5, distance: int = 12, least: float = 0.6, similarity: float = 0.8) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest doc_id stays (null
     ids last; of rows with one doc_id, the one with the smallest text hash, once).
 
-    A similarity of 0.8 is 12 of 64 bits at most; since so many bits can also agree by chance in a
-    large corpus, the shingle sketches must agree too, in 0.6 of their ranges: the sketch of two
-    texts with 0.8 of their shingles in common does so in 97 of 100 cases."""
-    rows, named = _rooted(docs, k, distance, least)
-    # the first row of each fingerprint, then of each component: no large group meets in a task
+    Two texts link if their whole sets of k-word shingles have a Jaccard similarity of `similarity`.
+    Proposed are those within `distance` bits whose sketches agree in `least` of the ranges (these alone miss
+    about one in six at 0.8) and those that share a MinHash band; each link is then verified exactly."""
+    rows = common.cut(shapes(docs, k))
+    some = {c: F.min(c).alias(c) for c in ("fp", "sketch", "bands", "values")}
+    # the first row of each set, then of each component: no large group meets in a task
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k")
-    firsts = rows.groupBy("fp").agg(first).join(named.select("fp", "root"), "fp")
-    kept = firsts.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("_quillon_id"), F.col("k.text_hash").alias("_quillon_hash"))
+    classes = common.cut(rows.groupBy("node").agg(first, *some.values()))
     keys = ["_quillon_a", "_quillon_b", "_quillon_c"]
     key = lambda doc_id, text_hash: dict(zip(keys, [F.coalesce(doc_id.cast("long"), F.lit(0)), doc_id.isNull(), text_hash]))
+    named = lambda df: df.select("*", *[c.alias(n) for n, c in key(F.col("k.doc_id"), F.col("k.text_hash")).items()])
     marked = docs.withColumns(key(F.col("doc_id"), F.xxhash64("text")))
-    wanted = kept.select(*[c.alias(n) for n, c in key(F.col("_quillon_id"), F.col("_quillon_hash")).items()])
+    proposed = named(proposals(classes, distance, least).join(classes.select("node", "k"), "node"))
+    texts = marked.select(*keys, "text").join(proposed.select(*keys, "node", "root"), keys)
+    # repeated rows are one set
+    sets = common.cut(shingle_sets(texts, k))
+    found = components(verified(sets, similarity))
+    kept = classes.select("node", "k").join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("k").alias("k"))
+    wanted = named(kept).select(*keys)
     # one dealing of the texts serves the join and the removal of repeated rows
     return marked.join(wanted, keys, "left_semi").dropDuplicates(keys).drop(*keys)

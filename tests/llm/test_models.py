@@ -109,6 +109,54 @@ def test_deduplicate_keeps_one_of_each(spark):
     assert sorted(x.doc_id for x in got.collect()) == [2, 3, 7, 8, 11]
     assert simhash.deduplicate(got.limit(0)).count() == 0
 
+def jaccard_components(texts, k, least):
+    """Brute force: label of each text's component under the exact similarity of shingle sets."""
+    def shingles(t):
+        w = (t or "").lower().split()
+        return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least]
+    for _ in texts:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return label, len(links)
+
+
+@pytest.mark.parametrize("block_bytes", [16 << 20, 4000])
+def test_deduplicate_equals_brute_force(spark, monkeypatch, block_bytes):
+    """Pairs on both sides of 0.8, chains, one shared text length, and components over several blocks."""
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", block_bytes)
+    rng = np.random.default_rng(11)
+    texts = []
+    for family in range(60):
+        words = [f"f{family}w{i}" for i in rng.permutation(int(rng.integers(40, 250)))]
+        texts.append(" ".join(words))
+        for _ in range(5):
+            start, n = int(rng.integers(0, len(words) // 3)), int(len(words) * rng.uniform(0.02, 0.22))
+            texts.append(" ".join([*words[:start], *[f"x{int(x)}" for x in rng.integers(0, 10**9, n)], *words[start + n :]]))
+    texts += ["", None, "One two", "one  TWO", "a b c d e"]
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    label, n_links = jaccard_components(texts, 5, 0.8)
+    got = simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert n_links > 60
+    assert sorted(x.doc_id for x in got.collect()) == sorted(set(label))
+
+
+def test_one_component_over_several_blocks(spark):
+    rng = np.random.default_rng(2)
+    sets = [np.sort(rng.choice(200, 100, replace=False)).astype("<u8") for _ in range(60)]
+    sets += [np.delete(s, [int(i)]) for s in sets for i in rng.integers(0, 100, 2)]
+    df = spark.createDataFrame([(1, i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "root long, node long, hashes binary")
+    for size in (16 << 20, 20_000):
+        simhash.BLOCK_BYTES, old = size, simhash.BLOCK_BYTES
+        try:
+            got = {x.node: x.root for x in components.components(simhash.verified(df, 0.8)).collect()}
+        finally:
+            simhash.BLOCK_BYTES = old
+        assert {i: got.get(i, i) for i in range(len(sets))} == {i: i if i < 60 else (i - 60) // 2 for i in range(len(sets))}
+
 
 # -- nearest neighbours -----------------------------------------------------------------------
 
