@@ -13,25 +13,35 @@ def link_facts(facts: DataFrame, candidates: DataFrame) -> DataFrame:
     """(fact_id, status, assertion): each fact linked to the one candidate that agrees in company,
     metric, period, unit, dimensions and value, or the first rung of that ladder that none reaches.
 
-    Facts and candidates meet on the company alone; every other rung is a count over that join, so a
-    fact is read once."""
-    c = candidates.select(*[F.col(n).alias(f"c_{n}") for n in ("assertion", "company", "metric", "period", "unit", "dimensions", "value")])
-    j = facts.join(c, F.col("company") == F.col("c_company"), "left")
-    ok, steps = F.col("c_company").isNotNull(), []
-    for name, status in (("metric", "metric_mismatch"), ("period", "period_mismatch"), ("unit", "unit_incompatible")):
-        ok = ok & (F.col(name) == F.col(f"c_{name}"))
-        steps.append((ok, status))
-    unit_ok = ok
-    dims_ok = unit_ok & F.col("dimensions").eqNullSafe(F.col("c_dimensions"))
-    value_ok = dims_ok & (F.abs(F.col("value") - F.col("c_value")) <= 1e-9)
-    n = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
+    Candidates are counted by all these columns first. Each rung is looked up by an equi-join with the
+    different keys that reach it, so no fact meets the candidates of its company one by one."""
+    keys, near = ["company", "metric", "period", "unit"], 1e-9
+    # values within `near` are in the same or the next bucket
+    bucket = F.rint(F.col("value").cast("double") / (10 * near))
+    counted = candidates.groupBy(*keys, "dimensions", "value").agg(F.count("*").alias("_n"), F.min("assertion").alias("_found"))
+    j = facts.select("fact_id", *keys, "dimensions", "value", F.explode(F.array_distinct(F.array(bucket - 1, bucket, bucket + 1))).alias("_b"))
+    for i in range(3):
+        j = j.join(counted.select(*keys[: i + 1]).distinct().withColumn(f"_k{i}", F.lit(1)), keys[: i + 1], "left")
+    dims = F.coalesce("dimensions", F.lit(""))
+    j = j.join(counted.groupBy(*keys).agg(F.min(dims).alias("_low"), F.max(dims).alias("_high"), F.lit(1).alias("_k3")), keys, "left")
+
+    def meet(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+        right = right.withColumnsRenamed({c: f"_c_{c}" for c in (*keys, "dimensions", *more)})
+        on = F.col("dimensions").eqNullSafe(F.col("_c_dimensions"))
+        for c in (*keys, *more):
+            on = on & (F.col(c) == F.col(f"_c_{c}"))
+        return left.join(right, on, "left").drop(*[f"_c_{c}" for c in (*keys, "dimensions", *more)])
+
+    j = meet(j, counted.select(*keys, "dimensions").distinct().withColumn("_k4", F.lit(1)))
+    j = meet(j, counted.select(*keys, "dimensions", bucket.alias("_b"), F.col("value").alias("_value"), "_n", "_found"), "_b")
+    same = F.abs(F.col("value") - F.col("_value")) <= near
     per = j.groupBy("fact_id").agg(
-        n(F.col("c_company").isNotNull()).alias("n0"), *[n(cond).alias(f"n{i + 1}") for i, (cond, _) in enumerate(steps)],
-        F.countDistinct(F.when(F.coalesce(unit_ok, F.lit(False)), F.coalesce("c_dimensions", F.lit("")))).alias("n_dims"),
-        n(dims_ok).alias("n_same"), n(value_ok).alias("n_value"), F.min(F.when(F.coalesce(value_ok, F.lit(False)), F.col("c_assertion"))).alias("found"),
+        *[F.count(f"_k{i}").alias(n) for i, n in enumerate(("n0", "n1", "n2", "n3", "n_same"))],
+        F.when(F.min("_low") < F.max("_high"), 2).otherwise(1).alias("n_dims"),
+        F.coalesce(F.sum(F.when(same, F.col("_n"))), F.lit(0)).alias("n_value"), F.min(F.when(same, F.col("_found"))).alias("found"),
     )
     status = F.when(F.col("n0") == 0, "cross_issuer")
-    for i, (_, name) in enumerate(steps):
+    for i, name in enumerate(("metric_mismatch", "period_mismatch", "unit_incompatible")):
         status = status.when(F.col(f"n{i + 1}") == 0, name)
     status = status.when(F.col("n_dims") > 1, "unknown_dimensions").when(F.col("n_same") == 0, "dimensions_mismatch").when(F.col("n_value") == 0, "value_mismatch").when(F.col("n_value") > 1, "ambiguous").otherwise("linked")
     return per.select("fact_id", status.alias("status"), F.when(status == "linked", F.col("found")).alias("assertion"))

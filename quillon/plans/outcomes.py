@@ -152,6 +152,23 @@ def bit04_link_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.link_facts(facts, cands)
 
 
+_ALL_FACTS = """f AS (SELECT event_id AS fact_id, user_id AS company, event_type AS metric, CAST(CAST(ts AS DATE) AS VARCHAR) AS period, event_id % 2 AS unit, CAST(event_id % 3 AS VARCHAR) AS dimensions, round(value, 0) AS value FROM events),
+ c AS (SELECT event_id AS assertion, CASE WHEN user_id % 9 = 0 THEN -user_id ELSE user_id END AS company, event_type AS metric, CAST(CAST(ts AS DATE) AS VARCHAR) AS period, event_id % 4 % 3 AS unit, CAST(event_id % 7 % 3 AS VARCHAR) AS dimensions, round(value, 0) + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS value FROM events)"""
+
+
+@query(SQL["bit04_link_facts"].replace(_FACTS, _ALL_FACTS))
+def bit04_link_all_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a fact and, somewhat changed, as a candidate."""
+    n, u, value = F.col("event_id"), F.col("user_id"), F.round("value", 0)
+    e = events(spark, sf_dir).withColumn("period", F.to_date("ts").cast("string"))
+    facts = e.select(n.alias("fact_id"), u.alias("company"), F.col("event_type").alias("metric"), "period", (n % 2).alias("unit"), (n % 3).cast("string").alias("dimensions"), value.alias("value"))
+    cands = e.select(
+        n.alias("assertion"), F.when(u % 9 == 0, -u).otherwise(u).alias("company"), F.col("event_type").alias("metric"), "period", (n % 4 % 3).alias("unit"),
+        (n % 7 % 3).cast("string").alias("dimensions"), (value + F.when(n % 5 == 0, 1).otherwise(0)).alias("value"),
+    )
+    return p.link_facts(facts, cands)
+
+
 @query("""WITH RECURSIVE a AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 17 <> 0 THEN c_custkey - 1 END AS alias_of FROM customer), e(id, target, n) AS (SELECT id, alias_of, 1 FROM a WHERE alias_of IS NOT NULL UNION ALL SELECT e.id, a.alias_of, n + 1 FROM e JOIN a ON a.id = e.target WHERE a.alias_of IS NOT NULL)
  SELECT id, arg_max(target, n) AS target, FALSE AS cyclic FROM e GROUP BY id""")
 def bit09_alias_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,3 +246,16 @@ def test_ewma_matches_weighted_moments(spark):
     assert got[3].vol_a is None or np.isnan(got[3].vol_a)
     assert np.isclose(got[-1].vol_a, np.sqrt(252 * var(x))) and np.isclose(got[-1].vol_b, np.sqrt(252 * var(y)))
     assert np.isclose(got[-1].corr, cov / np.sqrt((w @ (x - w @ x) ** 2) * (w @ (y - w @ y) ** 2)))
+
+
+def test_link_facts_joins_no_pairs_of_a_company(spark):
+    """One company, 30,000 facts and candidates: rungs, tolerance, nulls, and no 900 million pairs."""
+    cols = "company string, metric string, period string, unit string, dimensions string, value double"
+    base = spark.range(30_000).select(F.lit("big").alias("company"), F.lit("m").alias("metric"), F.col("id").cast("string").alias("period"), F.lit("u").alias("unit"), F.lit(None).cast("string").alias("dimensions"), F.col("id").cast("double").alias("value"), "id")
+    odd = [(-1, "none", "m", "1", "u", None, 1.0), (-2, "big", "x", "1", "u", None, 1.0), (-3, "big", "m", "no", "u", None, 1.0), (-4, "big", "m", "1", "v", None, 1.0), (-5, "big", "m", "1", "u", "d", 1.0), (-6, "big", "m", "1", "u", None, 1.0 + 1e-8), (-7, "big", "m", "1", "u", None, 1.0 + 5e-10), (-8, "big", "m", "1", "u", None, None), (-9, "big", "m", None, "u", None, 1.0)]
+    facts = base.withColumnRenamed("id", "fact_id").unionByName(spark.createDataFrame(odd, f"fact_id long, {cols}"))
+    out = publication.link_facts(facts, base.withColumnRenamed("id", "assertion"))
+    got = {x.fact_id: (x.status, x.assertion) for x in out.collect()}
+    want = ["cross_issuer", "metric_mismatch", "period_mismatch", "unit_incompatible", "dimensions_mismatch", "value_mismatch", "linked", "value_mismatch", "period_mismatch"]
+    assert [got[-i - 1][0] for i in range(9)] == want and got[-7] == ("linked", 1)
+    assert all(got[i] == ("linked", i) for i in range(30_000))
