@@ -37,6 +37,15 @@ def txt02_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.sections(table(spark, sf_dir, "pages"), "html", _SECTIONS[:1], 2000, least=20, fallback_cap=500).select("page_id", "section", "section_text")
 
 
+@query(r"""WITH t AS (SELECT page_id, html, regexp_extract(html, '(?is)<title>.*?</title>') AS t, regexp_extract(html, '(?is)<nav>.*?</nav>') AS n, regexp_extract(html, '(?is)<article>.*') AS a, regexp_extract(html, '(?is)<article>.*?</article>') AS b FROM pages),
+ s AS (SELECT page_id, 'title' AS section, left(t, greatest(length(t) - 8, 0)) AS x FROM t UNION ALL SELECT page_id, 'nav', left(n, greatest(length(n) - 6, 0)) FROM t
+ UNION ALL SELECT page_id, 'article', CASE WHEN b <> '' THEN left(b, length(b) - 10) ELSE a END FROM t), k AS (SELECT page_id, section, substr(trim(x, ' '), 1, 50000) AS section_text FROM s WHERE length(substr(trim(x, ' '), 1, 50000)) >= 50)
+ SELECT * FROM k UNION ALL SELECT page_id, 'full_document', substr(html, 1, 100000) FROM pages WHERE page_id NOT IN (SELECT page_id FROM k)""")
+def txt02_all_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All patterns, with the caps and the least length of the filings' ingestion."""
+    return tx.sections(table(spark, sf_dir, "pages"), "html", _SECTIONS, 50_000, least=50, fallback_cap=100_000).select("page_id", "section", "section_text")
+
+
 @query(r"""SELECT page_id, regexp_replace(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
  '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?is)<noscript\b.*?</noscript\s*>', ' ', 'g'), '(?is)<table\b.*?</table\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'), ' '), '(?i)table of contents', '', 'g') AS text FROM pages""")

@@ -259,3 +259,18 @@ def test_link_facts_joins_no_pairs_of_a_company(spark):
     want = ["cross_issuer", "metric_mismatch", "period_mismatch", "unit_incompatible", "dimensions_mismatch", "value_mismatch", "linked", "value_mismatch", "period_mismatch"]
     assert [got[-i - 1][0] for i in range(9)] == want and got[-7] == ("linked", 1)
     assert all(got[i] == ("linked", i) for i in range(30_000))
+
+
+def test_all_sections_of_every_page(spark):
+    """Every page's article comes out whole, and pages without a section are not cut short."""
+    from quillon.plans import knowledge
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").toPandas()
+    got = knowledge.txt02_all_sections(spark, "/root/testdata/sf0.001").toPandas()
+    article = got[got.section == "article"].set_index("page_id").section_text
+    long = {p: h[h.index("<article>") : h.index("</article>")].strip() for p, h in zip(pages.page_id, pages.html) if "<article>" in h and "</article>" in h}
+    assert long and all(article[p] == x for p, x in long.items() if 50 <= len(x) <= 50_000)
+    assert set(got.page_id) == set(pages.page_id)
+    odd = spark.createDataFrame([("p" * 120_000,)], "html string")
+    out = text.sections(odd, "html", knowledge._SECTIONS, 50_000, fallback_cap=100_000).first()
+    assert (out.section, len(out.section_text)) == ("full_document", 100_000)
