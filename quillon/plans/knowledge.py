@@ -85,8 +85,8 @@ _BM25 = r"""q0 AS (SELECT item_id, unnest(string_split_regex(lower(text), '\s+')
  r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)"""
 
 
-def _bm25(spark: SparkSession, sf_dir: str, top: int) -> DataFrame:
-    return tx.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").where("item_id % 8 = 0"), "doc_id", "text", "item_id", "text", top)
+def _bm25(spark: SparkSession, sf_dir: str, top: int, items: str = "item_id % 8 = 0") -> DataFrame:
+    return tx.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").where(items), "doc_id", "text", "item_id", "text", top)
 
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, round(score, 5) AS score, rank FROM r WHERE rank <= 10")
@@ -94,6 +94,12 @@ def ret01_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_bm25(spark, sf_dir, 10).withColumn("rank", F.col("rank").cast("long")), 5)
 
 
+@query(SQL["ret01_bm25"].replace(" WHERE item_id % 8 = 0", ""))
+def ret01_bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item is a query."""
+    return rounded(_bm25(spark, sf_dir, 10, "true").withColumn("rank", F.col("rank").cast("long")), 5)
+
+
 _DENSE = """dq AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), ds AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM dq CROSS JOIN embeddings),
  dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM ds)"""
 
@@ -112,7 +118,16 @@ def ret02_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
  f AS (SELECT item_id, doc_id, sum(1e0 / (60 + rank)) AS score FROM (SELECT * FROM k UNION ALL SELECT * FROM b) GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM f)
  SELECT item_id, doc_id, round(score, 6) AS score, rank FROM o WHERE rank <= 10""")
 def ret03_04_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = _bm25(spark, sf_dir, 20)
+    return _rrf(_bm25(spark, sf_dir, 20))
+
+
+@query(SQL["ret03_04_rrf"].replace(" WHERE item_id % 8 = 0", ""))
+def ret03_04_rrf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item is a query."""
+    return _rrf(_bm25(spark, sf_dir, 20, "true"))
+
+
+def _rrf(k: DataFrame) -> DataFrame:
     other = k.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("doc_id"))))
     out = tx.hybrid(k, other, "hybrid_rrf", "item_id", "doc_id", 10)
     return rounded(out.withColumn("rank", F.col("rank").cast("long")))

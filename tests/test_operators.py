@@ -274,3 +274,12 @@ def test_all_sections_of_every_page(spark):
     odd = spark.createDataFrame([("p" * 120_000,)], "html string")
     out = text.sections(odd, "html", knowledge._SECTIONS, 50_000, fallback_cap=100_000).first()
     assert (out.section, len(out.section_text)) == ("full_document", 100_000)
+
+
+def test_bm25_queries_are_all_items(spark):
+    from quillon.plans import knowledge
+
+    sf = "/root/testdata/sf0.001"
+    items = {x.item_id for x in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id").collect()}
+    assert {x.item_id for x in knowledge.ret01_bm25_all(spark, sf).collect()} == items
+    assert {x.item_id for x in knowledge.ret03_04_rrf_all(spark, sf).collect()} == items
