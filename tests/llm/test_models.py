@@ -282,6 +282,8 @@ def test_language_id_odd_texts(spark, docs):
     net = langid.fit(docs)
     rows = [(1, None), (2, ""), (3, "123 -- !"), (4, "the and of"), (4, "the and of"), (5, "x" * 10_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    clash = langid.identify(df.withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit(1)), net)
+    assert dict(clash.dtypes) == {"doc_id": "bigint", "text": "string", "lang": "string", "lang_pred": "string", "score": "double"}
     got = [(x.doc_id, x.lang_pred) for x in langid.identify(df, net).orderBy("doc_id").collect()]
     assert got[:3] == [(1, "und"), (2, "und"), (3, "und")] and got[3] == got[4] == (4, "en") and got[5][1] in net.langs
     assert langid.fit(df) is None
@@ -289,6 +291,38 @@ def test_language_id_odd_texts(spark, docs):
     assert langid.identify(df.limit(0), net).count() == 0
 
 
+def test_language_id_learns_rare_languages_and_scripts_without_spaces(spark):
+    rng = np.random.default_rng(4)
+    letters = {"aa": "abcdefg", "bb": "efghijk", "cc": "hijklmn", "rare": "qrstuvw"}
+    rows = []
+    for lang, n in (("aa", 900), ("bb", 900), ("cc", 900), ("rare", 60)):
+        rows += [(lang, " ".join("".join(rng.choice(list(letters[lang]), rng.integers(2, 9))) for _ in range(40))) for _ in range(n)]
+    # one word of many bytes each
+    rows += [("solid", "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 200, 90))) for _ in range(100)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    net = langid.fit(docs)
+    assert net.langs == ["aa", "bb", "cc", "rare", "solid"]
+    got = langid.identify(docs, net).where(langid.held_out(F.col("doc_id"))).toPandas()
+    right = (got.lang == got.lang_pred).groupby(got.lang).mean()
+    assert right.min() > 0.9, right
+
+
+def test_windows_equal_a_whole_text_run(spark, docs):
+    """Windows with their neighbours' bytes against one run over each whole text; words of many windows."""
+    net = langid.fit(docs)
+    texts = [r.text for r in docs.where("text <> ''").limit(60).collect()] + ["é" * 3000, "日本語の文章です" * 400, "a"]
+    mine, whole = langid.Labeller(net), langid.Labeller(net, window=1 << 30)
+    data = [t.encode() for t in texts]
+    assert mine.sums(data)[:, -1].tolist() == [len(d) for d in data]
+    for (a, p), (b, q), t in zip(mine.label(texts), whole.label(texts), texts):
+        assert a == b and abs(p - q) < 0.01, t[:50]
+    # whatever else is in the batch
+    assert [mine.label([t])[0][0] for t in texts] == [a for a, _ in mine.label(texts)]
+    for size in (1, 7, 64):
+        at = langid.cuts(np.frombuffer("aé漢😀".encode() * 20, np.uint8), size)
+        assert all(("aé漢😀".encode() * 20)[i] & 0xC0 != 0x80 for i in at)
+
+
 def test_toxicity_learns_planted_words(spark):
     rng = np.random.default_rng(0)
     plain = [f"{a}{b}" for a in "bcdfghjklm" for b in "aeiouxyz"]
