@@ -11,23 +11,51 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Used only where the session does not name a shared folder (local tests).
+#: Used where the session does not name a shared folder and all its tasks run in the driver's process.
 LOCAL_SHARED = "/tmp/checkpoints"
 
 
+def base_dir(spark: SparkSession) -> str:
+    """This application's folder below the one all executors share; clear() removes it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = LOCAL_SHARED
+    return f"{base.rstrip('/')}/quillon/{spark.sparkContext.applicationId}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
-    return f"{base.rstrip('/')}/quillon/{uuid.uuid4().hex}"
+    return f"{base_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here, and what is read
-    survives the loss of any executor."""
+    survives the loss of any executor. discard() removes the table again."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._quillon_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables made by cut() that no DataFrame still to be computed reads."""
+    for t in tables:
+        _delete(t.sparkSession, t._quillon_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes everything this application's operators wrote to the shared folder: call it once their
+    results are stored elsewhere."""
+    _delete(spark, base_dir(spark))
 
 
 def slices(
@@ -58,16 +86,14 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
-def write_whole(uri: str, name: str, chunks: Iterable[bytes]) -> str:
-    """Writes one file and returns its name. The name holds a fresh id, so a retried or speculative
-    task never touches the file of another attempt; only names in a committed manifest count."""
+def new_file(uri: str, name: str):
+    """(name, output stream) of a new file in the shared folder. The name holds a fresh id, so a retried
+    or speculative task never touches the file of another attempt; only names in a committed manifest
+    count."""
     store, root = open_store(uri)
     store.create_dir(root, recursive=True)
     name = f"{name}-{uuid.uuid4().hex}"
-    with store.open_output_stream(f"{root}/{name}") as out:
-        for chunk in chunks:
-            out.write(chunk)
-    return name
+    return name, store.open_output_stream(f"{root}/{name}")
 
 
 def open_file(uri: str, name: str):

@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = common.cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        before, now = now, common.cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        common.discard(before)
         found = _digest(now)
         if found == seen:
             break

@@ -25,7 +25,7 @@ from quillon.llm.wordids import encoder
 
 MAGIC = b"QTOKSHD1"
 FOOTER = struct.Struct("<QQI32s8s")
-#: Fitting the dictionary only: documents looked at, bytes of each, bytes of the dictionary.
+#: Fitting the dictionary only: documents looked at on average, bytes of each, bytes of the dictionary.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1200, 8192, 64 << 10
 #: Compressed bytes after which a task begins another shard.
 SHARD_BYTES = 64 << 20
@@ -60,6 +60,8 @@ class ShardWriter:
         self.at += len(data)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> 8 * self.width:
+            raise ValueError(f"id {int(ids.max())} does not fit {self.width} bytes")
         frame = self.compressor.compress(ids.astype(f"<u{self.width}").tobytes())
         self.rows.append((doc_id, self.at, len(frame), len(ids)))
         self.tokens += len(ids)
@@ -97,6 +99,15 @@ class ShardReader:
         self.file.seek(self.index["offset"][row].as_py())
         return self._ids(self.file.read(self.index["size"][row].as_py()))
 
+    def find(self, doc_id: int | None) -> list[np.ndarray]:
+        """The ids of every document of that id, by the sorted index."""
+        ids = self.index["doc_id"]
+        if doc_id is None:
+            return [self.document(row) for row in range(ids.null_count)]
+        known = ids.combine_chunks().drop_null().to_numpy()
+        low, high = np.searchsorted(known, [doc_id, doc_id + 1])
+        return [self.document(ids.null_count + row) for row in range(low, high)]
+
     def _ids(self, frame: bytes) -> np.ndarray:
         return np.frombuffer(self.decompressor.decompress(frame), dtype=f"<u{self.width}")
 
@@ -109,22 +120,26 @@ class ShardReader:
 
 def _sample(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = encoder(path).encode([t[: 4 * SAMPLE_BYTES] for t in batch.column(0).to_pylist()])
-            ids = [np.frombuffer(x, "<u4").astype("<u2")[: SAMPLE_BYTES // 2].tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
+        for batch in common.slices(batches, "text"):
+            out = []
+            for ids in encoder(path).encode(batch.column(0).to_pylist()):
+                # a slice from anywhere in the whole document
+                ids, most = np.frombuffer(ids, "<u4").astype("<u2"), SAMPLE_BYTES // 2
+                at = zlib.crc32(ids.tobytes()) % max(1, len(ids) - most + 1)
+                out.append(ids[at : at + most].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
     return run
 
 
 def fit_dictionary(docs: DataFrame, tokenizer: str | None = None) -> bytes:
-    """A dictionary from at most SAMPLE_DOCS documents picked by a hash of their text. It affects
-    the shards' size only, never what they hold."""
-    texts = docs.select("text").where("text is not null")
-    step = max(1, texts.count() // SAMPLE_DOCS)
-    picked = texts.where(F.pmod(F.xxhash64(F.length("text"), F.substring("text", 1, 64)), F.lit(step)) == 0)
-    rows = picked.limit(SAMPLE_DOCS).mapInArrow(_sample(tokenizer), "ids binary").collect()
-    return train_dictionary([bytes(r.ids) for r in rows])
+    """A dictionary from about SAMPLE_DOCS documents picked by a hash of their whole text, of equal texts
+    one. It affects the shards' size only, never what they hold."""
+    texts = docs.select("text", F.xxhash64("text").alias("h")).where("text is not null")
+    step = max(1, -(-texts.count() // SAMPLE_DOCS))
+    picked = texts.where(F.pmod("h", F.lit(step)) == 0).groupBy("h").agg(F.min("text").alias("text"))
+    rows = picked.select("text").mapInArrow(_sample(tokenizer), "ids binary").collect()
+    return train_dictionary(sorted(bytes(r.ids) for r in rows))
 
 
 MANIFEST = "shard long, part long, name string, n_docs long, n_tokens long, bytes long"
@@ -132,19 +147,14 @@ MANIFEST = "shard long, part long, name string, n_docs long, n_tokens long, byte
 
 def _write(folder: str, dictionary: bytes, path: str | None, end_id: int, width: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tempfile
-
         shard, part = TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4")
-        sink = writer = None
+        name = sink = writer = None
 
         def finish() -> pa.RecordBatch:
             writer.close()
-            n, size = writer.at, writer.tokens
-            sink.seek(0)
-            name = common.write_whole(folder, f"shard-{shard:06d}-{part:04d}", iter(lambda: sink.read(1 << 20), b""))
-            row = [[shard], [part], [name], [len(writer.rows)], [size], [n]]
             sink.close()
+            row = [[shard], [part], [name], [len(writer.rows)], [writer.tokens], [writer.at]]
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             names = ["shard", "part", "name", "n_docs", "n_tokens", "bytes"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types)], names=names)
@@ -153,7 +163,7 @@ def _write(folder: str, dictionary: bytes, path: str | None, end_id: int, width:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(path).encode(texts)):
                 if writer is None:
-                    sink = tempfile.SpooledTemporaryFile(max_size=8 << 20)
+                    name, sink = common.new_file(folder, f"shard-{shard:06d}-{part:04d}")
                     writer = ShardWriter(sink, dictionary, width)
                 writer.add(doc_id, np.concatenate([np.frombuffer(ids, "<u4"), end]))
             if writer is not None and writer.at >= most:

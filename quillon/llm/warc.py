@@ -11,9 +11,10 @@ import base64
 import hashlib
 import io
 import struct
-import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import islice
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -141,18 +142,27 @@ class BundleReader:
         self.file.seek(self.starts[-1] + 8)
         return pa.ipc.open_stream(self.decompressor.decompress(self.file.read(self.sizes[-1][0] - 8))).read_all()
 
+    def records(self) -> Iterator[tuple[str, int | None, int, int, int]]:
+        """(record id, page id, frame, offset, length) of every record, in order."""
+        return zip(*(self.index()[f.name].to_pylist() for f in INDEX))
+
+    @cached_property
+    def rows(self) -> dict[str, tuple[int, int, int]]:
+        """Record id -> (frame, offset, length)."""
+        return {r[0]: r[2:] for r in self.records()}
+
     def read(self, name: str) -> tuple[dict[str, str], bytes]:
-        """One record by its id: the index, then one frame."""
-        index = self.index()
-        row = index["record_id"].to_pylist().index(name)
-        return parse(self.frame(index["frame"][row].as_py()), index["offset"][row].as_py())[:2]
+        """One record by its id: a look-up in the index, then one frame."""
+        frame, offset, length = self.rows[name]
+        return at_offset(self.frame(frame), offset, length, name)
 
-    def __iter__(self) -> Iterator[tuple[dict[str, str], bytes]]:
-        for i in range(len(self.sizes) - 1):
-            data, at = self.frame(i), 0
-            while at < len(data):
-                head, block, at = parse(data, at)
-                yield head, block
+
+def at_offset(data: bytes, offset: int, length: int, name: str) -> tuple[dict[str, str], bytes]:
+    """The record that the index says lies there; an error if another one does."""
+    head, block, end = parse(data[offset : offset + length])
+    if end != length or head["WARC-Record-ID"] != f"<{name}>":
+        raise ValueError(f"the index is wrong about {name}")
+    return head, block
 
 
 def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -184,19 +194,17 @@ def write_bundles(records: DataFrame, folder: str, date: str = "1970-01-01T00:00
     bundles of tasks that ended well, written to the shared folder. No other file counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, sink, writer = TaskContext.get().partitionId(), None, None
+        task, name, sink, writer = TaskContext.get().partitionId(), None, None, None
 
         def finish() -> pa.RecordBatch:
             writer.close()
-            sink.seek(0)
-            name = common.write_whole(folder, f"pages-{task:06d}", iter(lambda: sink.read(1 << 20), b""))
             sink.close()
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(writer.index)]), pa.array([writer.at])], names=["name", "n_records", "bytes"])
 
         for batch in common.slices(batches, "html"):
             for page_id, url, html, refers_to in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if writer is None:
-                    sink = tempfile.SpooledTemporaryFile(max_size=8 << 20)
+                    name, sink = common.new_file(folder, f"pages-{task:06d}")
                     writer = BundleWriter(sink)
                 writer.add(*(lambda n, d, p=page_id: (n, p, d))(*record(page_id, url, html.encode(), refers_to, date)))
                 if writer.at >= BUNDLE_BYTES:
@@ -208,39 +216,89 @@ def write_bundles(records: DataFrame, folder: str, date: str = "1970-01-01T00:00
     return common.cut(records.mapInArrow(run, MANIFEST))
 
 
-RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string, bundle string"
+LOCATIONS = "record_id string, page_id long, bundle string, frame long, offset long, length long"
 
 
-def read_bundles(manifest: DataFrame, folder: str) -> DataFrame:
-    """A row per record of the bundles in manifest, from the files alone. A response's payload must
-    have the digest its header names."""
-
-    def rows(name: str) -> Iterator[tuple]:
-        with common.open_file(folder, name) as file:
-            for head, block in BundleReader(file):
-                digest, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
-                http, _, payload = block.partition(b"\r\n\r\n")
-                size = int(http.rpartition(b"Content-Length: ")[2])
-                if kind == "response" and (len(payload) != size or payload_digest(payload) != digest):
-                    raise ValueError(f"damaged record {head['WARC-Record-ID']} in {name}")
-                number = lambda k: int(head[k]) if k in head else None
-                yield number("X-Page-ID"), size, digest, kind, number("X-Refers-To-Page-ID"), head["WARC-Record-ID"][1:-1], head["WARC-Target-URI"], name
+def locate(manifest: DataFrame, folder: str) -> DataFrame:
+    """(record_id, page_id, bundle, frame, offset, length) of every record of the bundles in manifest, from
+    their footers and record indices alone: the table that leads from an id to its bundle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
-        names = [f.split()[0] for f in RECORDS.split(", ")]
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                held: list[tuple] = []
-                for row in rows(name):
-                    held.append(row)
-                    if len(held) == 5000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
-
-    return common.spread(manifest.select("name")).mapInArrow(run, RECORDS)
+                with common.open_file(folder, name) as file:
+                    found = BundleReader(file).index()
+                for part in found.to_batches(max_chunksize=20_000):
+                    cols = [part.column(0), part.column(1), pa.array([name] * part.num_rows), *part.columns[2:]]
+                    yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in LOCATIONS.split(", ")])
+
+    return common.cut(common.spread(manifest.select("name")).mapInArrow(run, LOCATIONS))
+
+
+RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string, bundle string"
+#: Compressed bytes that one task reads back, about.
+READ_BYTES = 32 << 20
+
+
+def read_records(locations: DataFrame, folder: str, tasks: int, keep_payload: bool = False) -> DataFrame:
+    """A row per row of locations, read at its offset in its frame; a frame is decompressed once for all
+    rows of it in a task, and no other frame is read. Rows are dealt by ranges of (bundle, frame), so
+    one large bundle is read by many tasks. A response's payload must have the digest its header names.
+    With keep_payload, the payload as well (null for revisits)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        bundle = file = reader = frame = data = None
+        number = lambda head, k: int(head[k]) if k in head else None
+        try:
+            for batch in batches:
+                for name, at, offset, length, record_id_ in zip(*(c.to_pylist() for c in batch.columns)):
+                    if name != bundle:
+                        if file:
+                            file.close()
+                        file, frame = common.open_file(folder, name), None
+                        bundle, reader = name, BundleReader(file)
+                    if at != frame:
+                        frame, data = at, reader.frame(at)
+                    head, block = at_offset(data, offset, length, record_id_)
+                    digest, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
+                    http, _, payload = block.partition(b"\r\n\r\n")
+                    size = int(http.rpartition(b"Content-Length: ")[2])
+                    if kind == "response" and (len(payload) != size or payload_digest(payload) != digest):
+                        raise ValueError(f"damaged record {record_id_} in {name}")
+                    row = (number(head, "X-Page-ID"), size, digest, kind, number(head, "X-Refers-To-Page-ID"), record_id_, head["WARC-Target-URI"], name)
+                    yield (*row, payload if kind == "response" else None) if keep_payload else row
+        finally:
+            if file:
+                file.close()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = [f.split() for f in schema.split(", ")]
+        types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+        got = rows(batches)
+        while held := list(islice(got, 200 if keep_payload else 5000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(zip(*held), fields)], names=[n for n, _ in fields])
+
+    schema = RECORDS + ", payload binary" * keep_payload
+    dealt = locations.select("bundle", "frame", "offset", "length", "record_id").repartitionByRange(tasks, "bundle", "frame")
+    return dealt.sortWithinPartitions("bundle", "frame", "offset").mapInArrow(run, schema)
+
+
+def read_bundles(manifest: DataFrame, folder: str) -> DataFrame:
+    """A row per record of the bundles in manifest, from the files alone: record ids and offsets by the
+    bundles' indices, then the records at their offsets. The two must agree in number."""
+    total = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("n_records"), F.lit(0)).alias("n")).first()
+    found = locate(manifest, folder)
+    if found.count() != total.n:
+        raise ValueError("the bundles' indices do not hold the records written")
+    tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, -(-total.bytes // READ_BYTES))
+    return read_records(found, folder, tasks)
+
+
+def lookup(locations: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
+    """The records (with their payloads) of ids (record_id), by an equi-join with the locations; ids
+    that no bundle has give no row, an id asked for twice comes once."""
+    wanted = locations.join(ids.select("record_id").distinct(), "record_id", "left_semi")
+    return read_records(wanted, folder, locations.sparkSession.sparkContext.defaultParallelism, keep_payload=True)
 
 
 def archive(spark: SparkSession, pages: DataFrame, least_bytes: int = 0) -> DataFrame:
