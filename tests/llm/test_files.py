@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import struct
 import zlib
 
 import duckdb
@@ -73,7 +74,7 @@ def test_token_shards(spark, docs):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    rows = [(x.doc_id, x.text) for x in docs.collect()] + [(-5, "first"), (10**12, "last"), (7777, None), (7777, "")]
+    rows = [(x.doc_id, x.text) for x in docs.collect()] + [(-5, "first"), (10**12, "last"), (7777, None), (7777, ""), (8888, "Wörter, und mehr. " * 30_000)]
     random.Random(2).shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("at", F.lit(0)).repartition(5)
     got = tokenbin.token_shards(spark, df).orderBy("start").collect()
@@ -84,6 +85,9 @@ def test_token_shards(spark, docs):
         assert (x.start, x.n_tokens, x.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert tokenbin.token_shards(spark, df.limit(0)).count() == 0
+    nulls = spark.createDataFrame([(None, "a"), (3, "b c"), (None, "a")], "doc_id long, text string")
+    got = tokenbin.token_shards(spark, nulls).orderBy("start").collect()
+    assert [(x.doc_id, x.start) for x in got] == [(None, 0), (None, got[0].n_tokens), (3, 2 * got[0].n_tokens)]
 
 
 def test_shard_random_access_and_dictionary_check(tmp_path):
@@ -100,6 +104,13 @@ def test_shard_random_access_and_dictionary_check(tmp_path):
     with pytest.raises(ValueError):
         tokenbin.ShardReader(io.BytesIO(sink.getvalue()), b"another")
     assert tokenbin.train_dictionary([]) == b""
+    assert [np.array_equal(x, data[2]) for x in reader.find(2)] == [True] and len(reader.find(None)) == 1 and reader.find(99) == []
+    with pytest.raises(ValueError):
+        tokenbin.ShardWriter(io.BytesIO(), dictionary, 2).add(1, np.array([70_000]))
+    wide = tokenbin.ShardWriter(sink := io.BytesIO(), b"", 4)
+    wide.add(1, np.array([70_000]))
+    wide.close()
+    assert tokenbin.ShardReader(io.BytesIO(sink.getvalue()), b"").document(0).tolist() == [70_000]
 
 
 # -- WARC -------------------------------------------------------------------------------------
@@ -125,6 +136,43 @@ def test_archive(spark):
     assert {x.record_type for x in warc.archive(spark, df.where("html = 'same'"), least_bytes=5).collect()} == {"response"}
 
 
+def test_records_are_read_through_index_and_offsets(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 20_000)
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    big = spark.createDataFrame([(70_000, "u", "".join(random.Random(7).choices("abcdefgh <>", k=700_000))), (70_001, None, "")], pages.schema)
+    pages = pages.unionByName(big)
+    folder = common.shared_dir(spark)
+    manifest = warc.write_bundles(warc.mark_revisits(pages.select("page_id", "url", "html")), folder)
+    assert manifest.count() >= 2
+    places = warc.locate(manifest, folder)
+    assert places.count() == pages.count() and places.where("offset > 0").count() > 0
+    some = pages.where("page_id % 7 = 0 or page_id >= 70000").select("page_id", "html").collect()
+    asked = spark.createDataFrame([(warc.record_id(x.page_id, warc.payload_digest((x.html or "").encode())),) for x in some] * 2 + [("urn:uuid:none",)], "record_id string")
+    got = {x.page_id: x for x in warc.lookup(places, asked, folder).collect()}
+    assert set(got) == {x.page_id for x in some}
+    assert all(got[x.page_id].payload in ((x.html or "").encode(), None) and (got[x.page_id].payload is None) == (got[x.page_id].record_type == "revisit") for x in some)
+    # an index that is wrong by a byte or an id is an error
+    for wrong in (places.withColumn("offset", F.col("offset") + 1), places.withColumn("length", F.col("length") - 1), places.withColumn("record_id", F.lit("urn:uuid:other"))):
+        with pytest.raises(Exception):
+            warc.read_records(wrong, folder, 2).count()
+
+
+def test_corrupted_bundle_is_an_error():
+    sink = io.BytesIO()
+    writer = warc.BundleWriter(sink)
+    name, data = warc.record(1, "http://x/1", b"payload", None, "2024-01-01T00:00:00Z")
+    writer.add(name, 1, data)
+    writer.close()
+    raw = bytearray(sink.getvalue())
+    assert warc.BundleReader(io.BytesIO(bytes(raw))).read(name)[1].endswith(b"payload")
+    with pytest.raises(KeyError):
+        warc.BundleReader(io.BytesIO(bytes(raw))).read("urn:uuid:none")
+    at = raw.index(struct.pack("<I", warc.SKIPPABLE_INDEX)) + 30
+    raw[at] ^= 0xFF
+    with pytest.raises(Exception):
+        warc.BundleReader(io.BytesIO(bytes(raw))).read(name)
+
+
 def test_bundle_is_seekable_and_plain_zstandard(monkeypatch):
     monkeypatch.setattr(warc, "FRAME_BYTES", 3000)
     sink = io.BytesIO()
@@ -167,7 +215,76 @@ def test_codecs():
     assert media.EXPAND[media.ALAW][[0x55, 0xD5, 0x2A, 0xAA]].tolist() == [-8, 8, -32256, 32256]
     blocks = np.frombuffer(random.Random(3).randbytes(64 * 40), np.uint8).reshape(-1, 64)
     assert media.decode_adpcm(blocks).tolist() == [plain_adpcm(b.tobytes()) for b in blocks]
-    assert media.resample(np.array([0, 10, -10], np.int16)).tolist() == [0, 5, 10, 0, -10, -10]
+
+
+def plain_mulaw(b):
+    b = ~b & 0xFF
+    size = ((2 * (b & 15) + 33) << (b >> 4 & 7)) - 33
+    return -4 * size if b & 0x80 else 4 * size
+
+
+def plain_alaw(b):
+    b ^= 0x55
+    part, low = b >> 4 & 7, 2 * (b & 15) + 1
+    size = 8 * low if part == 0 else 8 * (low + 32) << part - 1
+    return size if b & 0x80 else -size
+
+
+def plain_resample(x):
+    out = []
+    at = lambda i: x[min(max(i, 0), len(x) - 1)]
+    for i in range(len(x)):
+        out += [x[i], max(-32768, min(32767, int(np.rint(sum(c * at(i + 8 - k) for k, c in enumerate(media.TAPS))))))]
+    return out
+
+
+def test_features_by_hand(spark):
+    """media_bytes, media_sha256, feature and PCM against plain loops over the payload."""
+    texts = ["", "a", "Ein Text, der länger ist. " * 9, "zz" * 64, "漢字😀" * 30, "0123456789" * 7, "~\x7f\n" * 33, *(f"text {i}" for i in range(6))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = set()
+    for x in media.round_trip(df).collect():
+        data = texts[x.doc_id].encode()
+        payload = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
+        kind = (media.MULAW, media.ALAW, media.ADPCM)[zlib.crc32(payload) % 3]
+        kinds.add(kind)
+        if kind == media.ADPCM:
+            samples = [v for i in range(0, len(payload), 64) for v in plain_adpcm(payload[i : i + 64])]
+        else:
+            samples = [(plain_mulaw if kind == media.MULAW else plain_alaw)(b) for b in payload]
+        wide = plain_resample(samples)
+        pcm = b"".join(v.to_bytes(2, "little", signed=True) for v in wide)
+        rms = int((sum(v * v for v in samples) / len(samples)) ** 0.5)
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:]))
+        assert x.feature == f"{media.NAMES[kind]}:{len(wide)}:{rms}:{max(map(abs, samples))}:{crossings}:{zlib.crc32(pcm):08x}"
+        assert x.pcm[44:] == pcm and x.pcm == media.pcm_wav(np.array(wide, np.int16))
+        stored = media.wav(payload, kind, len(data))
+        assert (x.media_bytes, x.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert media.parse_wav(stored)[:2] == (kind, len(data)) and stored.endswith(payload)
+    assert len(kinds) == 3
+
+
+def test_resampling_keeps_tones_and_long_texts(monkeypatch):
+    """A tone below the old band's edge keeps its shape; parts of a long sound join without a seam."""
+    t = np.arange(4000)
+    for hz in (200, 1000, 3000):
+        tone = np.rint(20_000 * np.sin(2 * np.pi * hz * t / media.RATE)).astype(np.int16)
+        want = 20_000 * np.sin(2 * np.pi * hz * np.arange(8000) / (2 * media.RATE))
+        assert np.abs(media.resample(tone) - want)[40:-40].max() < 20_000 * 0.02
+    loud = np.random.default_rng(0).integers(-32768, 32767, 5000).astype(np.int16)
+    whole = media.resample(loud)
+    monkeypatch.setattr(media, "SPAN", 333)
+    assert np.array_equal(media.resample(loud), whole) and len(media.resample(loud[:0])) == 0
+
+
+def test_corrupted_pcm_is_told(spark, docs, tmp_path):
+    path = f"{tmp_path}/stored"
+    media.round_trip(docs.limit(50)).write.parquet(path)
+    stored = spark.read.parquet(path)
+    assert {x.intact for x in media.check_pcm(stored).collect()} == {True}
+    bad = stored.withColumn("pcm", F.expr("unhex(concat(substring(hex(pcm), 1, 100), case substring(hex(pcm), 101, 2) when '00' then '01' else '00' end, substring(hex(pcm), 103)))"))
+    assert {x.intact for x in media.check_pcm(bad).collect()} == {False}
+    assert media.check_pcm(stored.limit(0)).count() == 0
 
 
 def test_media_round_trip(spark, docs):
@@ -181,8 +298,7 @@ def test_media_round_trip(spark, docs):
         want.append((x.doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])))
     assert sorted(want) == sorted((x.doc_id, x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) for x in got)
     assert len({(x.media_sha256, x.feature) for x in got if x.doc_id in (9001, 9002)}) == 1
-    pcm = media.read(media.store(df.where("doc_id = 9004")), keep_pcm=True).first()
-    assert pcm.pcm[:4] == b"RIFF" and pcm.media_bytes > pcm.payload_bytes
+    assert all(x.pcm[:4] == b"RIFF" and x.media_bytes > x.payload_bytes for x in got)
     assert media.round_trip(df.limit(0)).count() == 0
 
 
@@ -231,6 +347,14 @@ def test_slices_are_bounded():
     assert list(common.slices([batch.slice(0, 0)], "text")) == []
 
 
+def test_shared_tables_are_removed(spark):
+    import os
+
+    a, b = common.cut(spark.range(3)), common.cut(spark.range(4))
+    common.discard(a)
+    assert not os.path.exists(a._quillon_path) and os.path.exists(b._quillon_path) and b.count() == 4
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
