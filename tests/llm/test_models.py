@@ -185,17 +185,57 @@ def test_nearest_odd_rows(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
-def test_nearest_over_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 50)
-    monkeypatch.setattr(ann, "GROUP", 3)
+def plain_nearest(x, ids, every, k):
+    """(query_id, rank, vec_id, score) of an exact search."""
+    out = []
+    for q in np.flatnonzero(ids % every == 0):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        best = [i for i in np.lexsort((ids, d)) if ids[i] != ids[q]][:k]
+        out += [(int(ids[q]), r + 1, int(ids[i]), float(d[i])) for r, i in enumerate(best)]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["gaussian", "clusters", "copies"])
+def test_nearest_is_exact_without_misses(spark, monkeypatch, kind):
+    """miss 0 over several blocks: isotropic vectors, clusters (where blocks are pruned), and a vector that
+    a third of all rows share; far from the origin, too."""
+    monkeypatch.setattr(ann, "BLOCK", 60)
+    monkeypatch.setattr(ann, "LEAST", 20)
+    monkeypatch.setattr(ann, "CELL", 8)
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(400, 8)).astype(np.float32)
+    x = rng.normal(size=(420, 8))
+    if kind == "clusters":
+        x = rng.normal(size=(6, 8))[rng.integers(0, 6, 420)] * 20 + x / 10 + 1e6
+    if kind == "copies":
+        x[rng.permutation(420)[:140]] = 1.0
+    x = x.astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = ann.nearest(df, 50, 5).toPandas()
-    assert len(got) == 40
-    x = x.astype(np.float64)
-    hit = sum(len(set(np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[1:6]) & set(got[got.query_id == q].vec_id)) for q in range(0, 400, 50))
-    assert hit >= 36
+    got = sorted(tuple(r) for r in ann.nearest(df, 20, 5, miss=0.0).collect())
+    assert got == plain_nearest(x.astype(np.float64), np.arange(420), 20, 5)
+    rough = ann.nearest(df, 20, 5).toPandas()
+    want = {(q, v) for q, _, v, _ in got}
+    assert len(rough) == len(want) and sum((a, b) in want for a, b in zip(rough.query_id, rough.vec_id)) >= 0.9 * len(want)
+
+
+def test_nearest_with_one_id_for_many_rows(spark):
+    rows = [(0, [float(i), 1.0]) for i in range(300)] + [(i, [float(i), 2.0]) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.nearest(df, 100, 3, miss=0.0).collect()
+    assert len(got) == 900 and all(r.vec_id > 0 for r in got)
+
+
+def test_forest_looks_at_less_than_a_scan_on_clusters():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(80, 32))[rng.integers(0, 80, 8000)] * 5 + rng.normal(size=(8000, 32)) / 2
+    ids = np.arange(8000)
+    forest = ann.Forest(x, ids)
+    at = np.arange(0, 8000, 100)
+    rows, dist, looked = forest.search(x[at], ids[at], 10, np.full(80, np.inf))
+    want = {(q, v) for q, _, v, _ in plain_nearest(x, ids, 100, 10)}
+    assert sum((q, r) in want for q, found in zip(at, rows) for r in found) >= 0.95 * len(want)
+    assert looked.mean() < 0.1 * 8000
+    # a bound below all distances prunes whole cells, and a query far off all of them
+    assert forest.search(x[at] + 1e4, ids[at], 10, np.full(80, 1.0))[2].max() == 0
 
 
 # -- packing ----------------------------------------------------------------------------------
