@@ -7,6 +7,7 @@ held out of all learning. A score depends on the text alone."""
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,14 +27,19 @@ from quillon.llm.common import held_out
 TOXIC_DOCS, CLEAN_DOCS = 4000, 6000
 #: Word beginnings of these lengths are candidates besides whole words.
 SHORTEST, LONGEST = 3, 8
-#: Candidates counted, those whose documents are looked at, and lexicon voters kept; how many voters
-#: each toxic document should have.
-CANDIDATES, LIKELY, VOTERS, COVER = 40_000, 4000, 200, 3
-#: What a share of clean documents weighs against the same share of toxic ones in choosing voters.
+#: A form is a candidate if, at so many standard errors below the estimate, a document that holds it is
+#: still more likely to be toxic than clean. How many voters each toxic document should have.
+ERRORS, COVER = 1.64, 3
+#: What a share of clean documents weighs against the same share of toxic ones in choosing forms.
 COST = 4
+#: Forms that share this part of their documents are a family; families are dealt to so many voters.
+FAMILY, VOTERS = 0.5, 8
 THRESHOLD = 0.3
 #: Rounds of the label model, of its correlation estimate, and of the classifier; ridge penalty.
-ROUNDS, CORRELATION_ROUNDS, STEPS, RIDGE = 15, 3, 25, 1.0
+ROUNDS, CORRELATION_ROUNDS, STEPS, RIDGE = 15, 4, 25, 1.0
+#: Voters correlated at least so much are copies of one; correlation given the label that counts as none
+#: in estimating accuracies, and in weighting; voters one voter is compared with.
+COPIES, NOISE, DEPENDENT, PARTNERS = 0.8, 0.1, 0.3, 64
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -43,8 +49,7 @@ def forms(token: str) -> set[str]:
     their beginnings."""
     out = set()
     for w in _WORD.findall(token.lower()):
-        if len(w) <= 40:
-            out.add(w + "$")
+        out.add((w if len(w) <= 40 else xxhash.xxh64_hexdigest(w)) + "$")
         out.update(w[:n] for n in range(SHORTEST, min(LONGEST, len(w)) + 1))
     return out
 
@@ -107,36 +112,78 @@ class Model(NamedTuple):
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def label_model(votes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def linked(near: np.ndarray) -> np.ndarray:
+    """The component of each row of a symmetric boolean matrix, as its smallest member."""
+    label = np.arange(len(near))
+    while True:
+        new = np.minimum(label, np.where(near, label[None, :], len(near)).min(axis=1, initial=len(near)))
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def loadings(c: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray]:
+    """From the voters' correlations c: each voter's own correlation with the hidden label, and the
+    correlations that are left given the label.
+
+    If voters i, j and k depend on each other through the label alone, c_ij c_ik / c_jk is the square of
+    i's correlation with it; the median over many j and k is little moved by the few that depend on i
+    otherwise. Those pairs are at first the ones that stand out in c, then the ones whose correlation is
+    not explained by the label. No label is looked at."""
+    m = len(c)
+    others = ~np.eye(m, dtype=bool)
+    usual = np.array([np.median(c[i, others[i]]) if m > 1 else 0.0 for i in range(m)])
+    limit = 1.5 * np.maximum(usual, noise)
+    free = ((c <= limit[:, None]) | (c <= limit[None, :])) & others
+    load, rest = np.zeros(m), np.eye(m)
+    for _ in range(CORRELATION_ROUNDS):
+        for i in range(m):
+            j = np.flatnonzero(free[i] & (c[i] > 0))
+            j = j[np.argsort(-c[i, j], kind="stable")][:PARTNERS]
+            under = c[np.ix_(j, j)]
+            good = free[np.ix_(j, j)] & (under > noise / 4)
+            if good.any():
+                load[i] = np.sqrt(np.clip(np.median(np.outer(c[i, j], c[i, j])[good] / under[good]), 0, 0.98))
+            else:
+                # no two others to judge it by: a middling voter if it agrees with any
+                load[i] = 0.5 if (c[i, others[i]] > noise).any() else 0.0
+        own = np.sqrt(1 - load**2)
+        rest = np.clip((c - np.outer(load, load)) / np.outer(own, own), -1, 1)
+        np.fill_diagonal(rest, 1)
+        free = (rest <= noise) & others
+    return load, rest
+
+
+def label_model(votes: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of label 1 for each row, each voter's accuracy, and the voters' correlation given
-    the label. votes: rows x voters in -1, 0 (abstains), 1; start: a first guess of the posterior.
+    the label. votes: rows x voters in -1, 0 (abstains), 1; prior: the share of label 1.
 
-    Expectation-maximisation of a model in which a voter's vote, where it casts one, depends on the
-    label; abstaining says nothing. Correlated voters count for less: a voter's weight is one over
-    its positive correlations with all voters, itself included, given the label. The share of label
-    1 stays that of the first guess, so no family of voters can become a class of its own."""
+    Accuracies and correlations come from how the voters agree, whatever the label (see loadings()).
+    Copies of a voter have its weight between them, and a voter correlated with others given the label
+    weighs one over the sum of those correlations, itself included. From the weighted votes,
+    expectation-maximisation fits the rate of each vote under either label; weights and prior stay."""
     n, m = votes.shape
-    prior = (start.sum() + 1) / (n + 2)
-    post, weight, corr = start.astype(float), np.ones(m), np.eye(m)
+    centred = votes - votes.mean(axis=0)
+    sd = np.sqrt(np.maximum((centred**2).mean(axis=0), 1e-12))
+    c = centred.T @ centred / n / np.outer(sd, sd)
+    np.fill_diagonal(c, 1)
+    first, family, size = np.unique(linked(c >= COPIES), return_inverse=True, return_counts=True)
+    noise = max(NOISE, 4 / np.sqrt(n))
+    load, rest = loadings(c[np.ix_(first, first)], noise)
+    weight = (1 / np.where(rest > max(noise, DEPENDENT), rest, 0).sum(axis=1) / size)[family]
+    load, corr = load[family], rest[np.ix_(family, family)]
+    z = (centred / sd) @ (weight * load / (1 - load**2))
+    z = (z - np.quantile(z, 1 - prior)) / max(z.std(), 1e-9)
+    post = 1 / (1 + np.exp(-4 * z))
     values = [(votes == v).astype(float) for v in (-1, 0, 1)]
-    table = np.full((3, 2, m), 1 / 3)
-    for round_ in range(CORRELATION_ROUNDS):
-        for _ in range(ROUNDS):
-            for v in range(3):
-                table[v, 1] = (post @ values[v] + 0.1) / (post.sum() + 0.3)
-                table[v, 0] = ((1 - post) @ values[v] + 0.1) / ((1 - post).sum() + 0.3)
-            ratio = np.log(table[:, 1] / table[:, 0]) * weight
-            ratio[1] = 0
-            z = np.log(prior / (1 - prior)) + sum(values[v] @ ratio[v] for v in range(3))
-            post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        rest = np.zeros((m, m))
-        for p in (post, 1 - post):
-            mean = p @ votes / max(p.sum(), 1e-9)
-            centred = (votes - mean) * np.sqrt(p)[:, None]
-            rest += centred.T @ centred
-        sd = np.sqrt(np.maximum(np.diag(rest), 1e-9))
-        corr = rest / np.outer(sd, sd)
-        weight = 1 / np.maximum(1.0, np.maximum(corr, 0).sum(axis=1))
+    table = np.empty((3, 2, m))
+    for _ in range(ROUNDS):
+        for v in range(3):
+            table[v, 1] = (post @ values[v] + 0.1) / (post.sum() + 0.3)
+            table[v, 0] = ((1 - post) @ values[v] + 0.1) / ((1 - post).sum() + 0.3)
+        ratio = np.log(table[:, 1] / table[:, 0]) * weight
+        z = np.log(prior / (1 - prior)) + sum(values[v] @ ratio[v] for v in range(3))
+        post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     right = prior * table[2, 1] + (1 - prior) * table[0, 0]
     voted = prior * (table[2, 1] + table[0, 1]) + (1 - prior) * (table[2, 0] + table[0, 0])
     return post, right / np.maximum(voted, 1e-9), corr
@@ -157,22 +204,34 @@ def logistic(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
-def _counts(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
-    """(form, n): in how many of the documents each form occurs; of wanted ones alone, if given."""
+def _counts(rows: DataFrame) -> DataFrame:
+    """(form, n): in how many of the documents each form occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
             seen: Counter = Counter()
             for text in batch.column(0).to_pylist():
-                found = set(chain.from_iterable(map(forms, set(text.split()))))
-                seen.update(found if wanted is None else found & wanted)
+                seen.update(set(chain.from_iterable(map(forms, set(text.split())))))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], schema=pa.schema([("form", pa.string()), ("n", pa.int64())]))
 
     return rows.select("text").mapInArrow(run, "form string, n long").groupBy("form").agg(F.sum("n").alias("n"))
 
 
+def candidates(rows: DataFrame, n1: int, n0: int) -> list:
+    """(form, toxic, clean), by form: all forms of two or more toxic documents that pass the test of ERRORS,
+    and in how many of the n1 toxic and n0 clean documents each occurs."""
+    a, b = F.col("toxic"), F.coalesce("clean", F.lit(0))
+    held = _counts(rows.where("toxic = 1")).where("n >= 2").withColumnRenamed("n", "toxic")
+    held = held.join(_counts(rows.where("toxic = 0")).withColumnRenamed("n", "clean"), "form", "left")
+    # smoothed log odds, less so many standard errors
+    odds = F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1))
+    sure = odds - ERRORS * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    found = held.where(sure >= max(1.0, float(np.log(n0 / n1)))).select("form", "toxic", b.alias("clean")).collect()
+    return sorted(found, key=lambda r: r.form)
+
+
 def _sign(rows: DataFrame) -> DataFrame:
-    """(text, toxic, sig): sig is the smallest hash of a text's three-token shingles, which near
+    """(text, toxic, sig, doc_id): sig is the smallest hash of a text's three-token shingles, which near
     copies mostly share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,14 +240,16 @@ def _sign(rows: DataFrame) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 t = text.split()
                 sigs.append(min((xxhash.xxh64_intdigest(" ".join(s)) >> 1 for s in zip(t, t[1:], t[2:])), default=len(text)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigs, pa.int64())], names=["text", "toxic", "sig"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigs, pa.int64())], names=["text", "toxic", "doc_id", "sig"])
 
-    return rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "text string, toxic int, sig long")
+    columns = ["text", F.col("toxic").cast("int").alias("toxic"), F.col("doc_id").cast("string").alias("doc_id")]
+    return rows.select(*columns).mapInArrow(run, "text string, toxic int, doc_id string, sig long")
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic) of the labelled rows to learn from. Rows held out, without an id, a text or a
-    label stay out; texts are whole."""
+    label stay out; texts are whole. Of near copies with one label, the text with the least (doc_id,
+    text) stays, however the rows are dealt."""
     known = labels.select("doc_id", "toxic").where("toxic is not null").distinct().where(~held_out(F.col("doc_id")))
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     draw, kept = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)), F.lit(False)
@@ -199,7 +260,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # the sample is bounded, so its ids are broadcast and no text is shuffled; counted all the same
     few = ids.count() <= 2 * (TOXIC_DOCS + CLEAN_DOCS)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids) if few else ids, "doc_id")
-    return common.cut(_sign(rows).dropDuplicates(["sig", "toxic"]).select("text", "toxic"))
+    least = F.min_by("text", F.struct("doc_id", "text")).alias("text")
+    return common.cut(_sign(rows).groupBy("sig", "toxic").agg(least).select("text", "toxic"))
 
 
 def _entries(rows: DataFrame, lexicon: dict[str, int]) -> list:
@@ -218,62 +280,79 @@ def _entries(rows: DataFrame, lexicon: dict[str, int]) -> list:
     return sorted(got, key=lambda r: (r.toxic, r.entries, r.shown))
 
 
-def choose(forms_: list[str], rate: np.ndarray, holds: np.ndarray) -> list[int]:
-    """Greedy cover: the form that most toxic documents still short of COVER voters hold, less what
-    it costs in clean ones (rate: share of clean documents that hold it); of equals the longest, as
-    the most specific. holds: toxic documents x forms."""
-    need, picked = np.full(len(holds), COVER, dtype=np.float32), []
+def choose(forms_: list[str], rate: np.ndarray, holds: list[list[int]]) -> list[int]:
+    """Greedy cover: the form that most toxic documents still short of COVER forms hold, less what
+    it costs in clean ones (rate: share of clean documents that hold it), as long as that is two
+    documents; of equals the longest, as the most specific, then the first. holds: the forms of each
+    toxic document. A form's gain only falls, so its last known gain bounds it."""
+    need, picked = np.full(len(holds), COVER), []
+    held = [[] for _ in forms_]
+    for doc, found in enumerate(holds):
+        for f in found:
+            held[f].append(doc)
+    held = [np.array(d, dtype=np.int64) for d in held]
     cost = rate * len(holds) * COST
-    length = np.array([len(f) for f in forms_])
-    while len(picked) < VOTERS:
-        gain = (need > 0).astype(np.float32) @ holds - cost
-        gain[picked] = -np.inf
-        top = gain.max(initial=-np.inf)
-        if top < 2:
-            break
-        best = np.flatnonzero(gain >= top - 1e-6)
-        best = int(best[np.lexsort((best, -length[best]))[0]])
-        picked.append(best)
-        need -= holds[:, best]
+    heap = [(cost[f] - len(held[f]), -len(w), f) for f, w in enumerate(forms_)]
+    heapq.heapify(heap)
+    while heap:
+        bound, length, f = heapq.heappop(heap)
+        gain = np.count_nonzero(need[held[f]] > 0) - cost[f]
+        if gain < 2:
+            if -bound < 2:
+                break
+        elif gain < -bound - 1e-9:
+            heapq.heappush(heap, (-gain, length, f))
+        else:
+            picked.append(f)
+            need[held[f]] -= 1
     return picked
 
 
+def voters(on: np.ndarray) -> np.ndarray:
+    """The voter of each form. on: documents x forms. Forms of one family (they share their documents,
+    as a word and its beginning do) go to one voter, the most frequent families first, each to the
+    voter with the fewest documents so far: voters of like coverage that share no family."""
+    both = on.T @ on
+    n = np.diag(both)
+    family = linked(both >= FAMILY * np.maximum(n[:, None] + n[None, :] - both, 1e-9))
+    reach = {f: n[family == f].max() for f in np.unique(family).tolist()}
+    total, of = np.zeros(min(VOTERS, len(reach))), {}
+    for f in sorted(reach, key=lambda f: (-reach[f], f)):
+        of[f] = int(total.argmin())
+        total[of[f]] += reach[f]
+    return np.array([of[f] for f in family.tolist()], dtype=np.int64)
+
+
+def cast_votes(x: np.ndarray, voter: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """rows x voters of classifier inputs x: lexicon voters (toxic if any of their forms occurs, else
+    clean), pattern voters (may abstain), and the given label, a voter like the others."""
+    n = len(voter)
+    lexicon = [np.where(x[:, :n][:, voter == v].any(axis=1), 1, -1) for v in range(voter.max(initial=-1) + 1)]
+    shown = x[:, n : n + PATTERNS]
+    return np.column_stack([*lexicon, np.where(shown >= 0.5, 1, np.where(shown <= 0.05, -1, 0)), np.where(given == 1, 1, -1)])
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The model of docs (doc_id, text) and labels (doc_id, toxic); None with one class or none."""
+    """The model of docs (doc_id, text) and labels (doc_id, toxic); None with one class or none, so with
+    an empty table, too. Equal rows give equal models, whatever their order or partitions."""
     rows = training_rows(docs, labels)
     totals = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
+        common.discard(rows)
         return None
-    toxic, clean = rows.where("toxic = 1"), rows.where("toxic = 0")
-    most = _counts(toxic, None).where(F.col("n") >= 2)
-    held = {r.form: r.n for r in most.orderBy(F.desc("n"), "form").limit(CANDIDATES).collect()}
-    other = {r.form: r.n for r in _counts(clean, set(held)).collect()}
-    # smoothed log odds, and how far they are from chance
-    odds = {f: np.log((a + 0.5) / (n1 + 1)) - np.log((other.get(f, 0) + 0.5) / (n0 + 1)) for f, a in held.items()}
-    sure = {f: odds[f] / np.sqrt(1 / (held[f] + 0.5) + 1 / (other.get(f, 0) + 0.5)) for f in held}
-    likely = sorted((f for f in held if odds[f] > 1.5), key=lambda f: (-sure[f], -held[f], f))[:LIKELY]
-    found = _entries(toxic, {f: i for i, f in enumerate(likely)})
-    holds = np.zeros((len(found), len(likely)), dtype=np.float32)
-    for i, r in enumerate(found):
-        holds[i, r.entries] = 1
-    picked = choose(likely, np.array([other.get(f, 0) / n0 for f in likely]), holds)
-    lexicon = {likely[f]: i for i, f in enumerate(picked)}
+    likely = candidates(rows, n1, n0)
+    found = _entries(rows.where("toxic = 1"), {r.form: i for i, r in enumerate(likely)})
+    names = [r.form for r in likely]
+    picked = choose(names, np.array([r.clean / n0 for r in likely]), [sorted(set(r.entries)) for r in found])
+    lexicon = {names[f]: i for i, f in enumerate(picked)}
 
     got = _entries(rows, lexicon)
-    gold = np.array([r.toxic for r in got])
+    common.discard(rows)
+    given = np.array([r.toxic for r in got])
     x = np.array([row(len(lexicon), r.entries, r.shown) for r in got])
-    shown = x[:, len(lexicon) : len(lexicon) + PATTERNS]
-    votes = np.hstack(
-        [
-            np.sign(x[:, : len(lexicon)]),  # a lexicon entry votes toxic where it occurs and abstains elsewhere
-            np.where(shown >= 0.5, 1, np.where(shown <= 0.05, -1, 0)),
-            np.where(x[:, -1:] > 0, 1, -1),  # any entry at all
-            np.where(x[:, -1:] > 1.5, 1, np.where(x[:, -1:] < 1, -1, 0)),  # more than one
-            np.where(gold[:, None] == 1, 1, -1),  # the given label is one more voter
-        ]
-    )
-    post, accuracy, correlation = label_model(votes, np.where(gold == 1, 0.9, 0.1))
+    votes = cast_votes(x, voters((x[:, : len(lexicon)] > 0).astype(float)), given)
+    post, accuracy, correlation = label_model(votes.astype(float), (n1 + 1) / (n1 + n0 + 2))
     weights, bias = logistic(x, post)
     return Model(lexicon, weights, bias, accuracy, correlation)
 
@@ -281,7 +360,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score and predicted (1 from the threshold on); other columns pass through (of the
     same two names: are replaced). Null and empty texts get the score of a text without words;
-    without a model every score is 0."""
+    without a model every score is 0; repeated rows get equal scores, an empty table gives none."""
     docs = docs.drop("score", "predicted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

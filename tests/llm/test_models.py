@@ -384,21 +384,61 @@ def test_toxicity_learns_planted_words(spark):
     assert {x.score for x in toxicity.score(odd, None).collect()} == {0.0}
 
 
-def test_label_model_recovers_accuracies():
-    """Voters of five accuracies and one copy, from noisy labels: the posterior beats every voter and
-    the labels it began with, the copy shows as correlated, and the accuracies come out in order."""
+@pytest.mark.parametrize("copies,flips", [(0, 0.0), (1, 0.0), (3, 0.0), (5, 0.0), (3, 0.1)])
+def test_label_model_without_labels_survives_copies(copies, flips):
+    """Voters of several accuracies and exact or noisy copies of one, no label among them: the posterior
+    beats every voter, copies show as correlated and weigh no more than one, accuracies come out."""
     rng = np.random.default_rng(1)
-    n, rates = 6000, (0.9, 0.85, 0.8, 0.75, 0.7)
+    n, rates = 6000, (0.9, 0.85, 0.8, 0.75, 0.7, 0.65)
     y = rng.random(n) < 0.3
-    right = lambda p: rng.random(n) < p
-    votes = np.stack([np.where(right(p) == y, 1, -1) for p in rates], axis=1)
+    votes = np.stack([np.where((rng.random(n) < p) == y, 1, -1) for p in rates], axis=1)
     votes[rng.random(n) < 0.2, 4] = 0
-    votes = np.hstack([votes, votes[:, 3:4]])
-    gold = np.where(right(0.85), y, ~y)
-    post, accuracy, corr = toxicity.label_model(np.hstack([votes, np.where(gold, 1, -1)[:, None]]), np.where(gold, 0.9, 0.1))
-    assert ((post > 0.5) == y).mean() > 0.92
-    assert corr[3, 5] > 0.99 and abs(corr[0, 1]) < 0.3
-    assert accuracy[0] > accuracy[2] > accuracy[4]
+    votes = np.hstack([votes, *(np.where(rng.random((n, 1)) < flips, -1, 1) * votes[:, 3:4] for _ in range(copies))])
+    post, accuracy, corr = toxicity.label_model(votes.astype(float), 0.3)
+    assert ((post > 0.5) == y).mean() > 0.945
+    assert np.abs(accuracy[:6] - rates).max() < 0.04
+    assert abs(corr[0, 1]) < 0.3 and all(corr[3, 6 + i] > 0.4 for i in range(copies))
+
+
+def test_voters_share_no_family():
+    rng = np.random.default_rng(0)
+    base = (rng.random((500, 6)) < 0.2).astype(float)
+    on = np.hstack([base, base[:, :2], base[:, :1]])
+    got = toxicity.voters(on)
+    assert got[0] == got[6] == got[8] and got[1] == got[7] and len(set(got[:6].tolist())) == 6
+
+
+def test_op7_query_is_the_same_after_any_dealing(spark, docs, tmp_path):
+    """The registered query on the table and on a copy dealt and ordered otherwise, with every row there
+    twice; held-out documents with mined words are found."""
+    sf = "/root/testdata/sf0.01"
+    known, all_docs = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/documents.parquet")
+    all_docs.unionByName(all_docs).repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    known.unionByName(known).repartition(3).write.parquet(f"{tmp_path}/labels.parquet")
+    a = queries.op7_toxicity(spark, sf).toPandas().set_index("doc_id").sort_index()
+    b = queries.op7_toxicity(spark, str(tmp_path)).toPandas().drop_duplicates().set_index("doc_id").sort_index()
+    assert list(a.columns) == ["held_out", "score", "predicted"] and a.equals(b)
+    assert ((a.index.map(lambda i: zlib.crc32(str(i).encode()) % 4) == 2) == a.held_out).all()
+    assert a.score.between(0, 1).all() and ((a.score >= 0.3) == (a.predicted == 1)).all()
+    toxic = known.toPandas().drop_duplicates("doc_id").set_index("doc_id").toxic
+    held = a[a.held_out].join(toxic, how="inner").dropna()
+    assert held.predicted[held.toxic == 1].mean() > 0.5 and held.predicted[held.toxic == 0].mean() < 0.03
+    # a plain score of each text by the model's own parts
+    model = toxicity.fit(all_docs, known)
+    table = toxicity._Forms(model.lexicon)
+    for r in all_docs.where("doc_id % 50 = 0").collect():
+        assert abs(model.score(*toxicity.features(table, r.text)) - a.score[r.doc_id]) < 1e-12
+
+
+def test_toxicity_odd_tables(spark, docs):
+    known = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    assert toxicity.fit(docs.limit(0), known) is None and toxicity.fit(docs, known.limit(0)) is None
+    wide = docs.limit(5).withColumn("score", F.lit("x")).withColumn("predicted", F.lit("y")).withColumn("form", F.lit(1))
+    got = toxicity.score(wide, None)
+    assert got.columns == [*docs.columns, "form", "score", "predicted"] and got.count() == 5
+    assert toxicity.score(docs.limit(0), None).count() == 0
+    long = "A" + "b" * 500
+    assert len(toxicity.forms(long)) == 7 and toxicity.forms(long) == toxicity.forms(long + "!")
 
 
 def test_models_do_not_read_held_out_rows(spark, docs):
