@@ -23,11 +23,11 @@ from quillon.llm.common import held_out
 #: languages (each has LEAST_DOCS at least, or all its documents), and windows of one document, spread
 #: over its whole text by a hash.
 TRAIN_DOCS, LEAST_DOCS, DOC_WINDOWS, TRAIN_WINDOW = 2000, 100, 8, 96
-HIDDEN, EPOCHS, BATCH, RATE, SEED = 20, 3, 128, 0.02, 7
+HIDDEN, EPOCHS, BATCH, RATE, SEED = 16, 3, 128, 0.02, 7
 #: Bytes of a window, and of its neighbours read before it.
-WINDOW, CONTEXT = 256, 48
+WINDOW, CONTEXT = 512, 48
 #: Windows labelled at once, and label values held for them.
-ROWS, VALUES = 512, 1 << 22
+ROWS, VALUES = 1024, 1 << 22
 #: Byte value that pads a window.
 PAD = 256
 UNKNOWN = "und"
