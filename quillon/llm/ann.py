@@ -314,6 +314,21 @@ def _elsewhere(path: str, asked: str, k: int, miss: float):
     return run
 
 
+def _first_copies(rows: DataFrame, k: int) -> DataFrame:
+    """rows with kept: whether a row can be a neighbour. Of a vector's copies those with the k + 1 smallest
+    ids; later ones stay, not kept, where they are asked about."""
+    rows = rows.withColumn("vh", F.xxhash64("v"))
+    many = common.cut(rows.groupBy("vh").count().where(F.col("count") > k + 1).select("vh"))
+    if many.isEmpty():
+        return rows.drop("vh").withColumn("kept", F.lit(True))
+    copies = rows.join(many, "vh", "left_semi").drop("vh")
+    rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    first = copies.withColumn("rank", rank).where(F.col("rank") <= k + 1).drop("rank").withColumn("kept", F.lit(True))
+    later = copies.where("asked").join(first.select("vec_id", "h"), ["vec_id", "h"], "left_anti").withColumn("kept", F.lit(False))
+    single = rows.join(many, "vh", "left_anti").drop("vh").withColumn("kept", F.lit(True))
+    return common.cut(single.unionByName(first).unionByName(later.select(first.columns)))
+
+
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, miss: float = MISS) -> DataFrame:
     """(query_id, rank, vec_id, score): of vectors (vec_id, embedding, ...), for each row whose
     vec_id is divisible by `every`, the k nearest rows found of the same dimension by Euclidean
@@ -324,18 +339,12 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, miss: float = MIS
     Rows are dealt by ranges of (hash string, row hash), so copies of one vector are split as well, and of
     its copies only the k + 1 of the smallest ids can be anyone's neighbours. Vectors are shuffled a fixed
     number of times; queries and blocks meet through files in the shared folder."""
-    rows = usable(vectors)
-    rows = rows.withColumn("h", F.xxhash64("vec_id", "v")).withColumn("asked", F.col("vec_id") % every == 0)
-    copy = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    # the first copies of each vector, and all queries
-    kept = rows.withColumn("copy", copy).where(F.col("copy") <= k + 1).drop("copy").withColumn("kept", F.lit(True))
-    only = rows.where("asked").join(kept.select("vec_id", "h"), ["vec_id", "h"], "left_anti").withColumn("kept", F.lit(False))
-    whole = common.cut(kept.unionByName(only.select(kept.columns)))
+    rows = usable(vectors).withColumn("h", F.xxhash64("vec_id", "v")).withColumn("asked", F.col("vec_id") % every == 0)
+    whole = _first_copies(common.cut(rows), k)
     n = whole.count()
     blocks = max(1, min(max(FEW, ceil(n / BLOCK)), ceil(n / LEAST)))
     dealt = _placed(whole).repartitionByRange(blocks, "dim", "place", "h").sortWithinPartitions("dim", "place", "h")
     table = common.cut(dealt)
-    common.discard(whole)
     path = table._quillon_path
     files = table.select(F.regexp_extract(F.input_file_name(), "[^/]+$", 0).alias("name")).distinct()
     asked = common.cut(common.spread(files, blocks).mapInArrow(_home(path, k, miss), QUERIES))
