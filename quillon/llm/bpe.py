@@ -210,7 +210,8 @@ def encoder(path: str | None = None, pattern: str | None = None) -> BytePairEnco
 def encode_decode(docs: DataFrame, path: str | None = None, pattern: str | None = None, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the
     decoded bytes) and, if wanted, ids of each document (doc_id, text, ...). Null and empty texts
-    have no token; a row per row, repeated ones too; other columns play no part."""
+    have no token; a row per row, repeated ones too; other columns play no part; an empty table gives
+    an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)

@@ -64,7 +64,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     has an equal one in an earlier place. Null text stays null with no line; an empty text is one
     blank line. Rows that repeat doc_id and text are one document and get equal results; rows of one
     doc_id with other texts are documents in the order of their text's hash; a null doc_id is before
-    all others. Other columns pass through; of the same two names, they are replaced."""
+    all others. Other columns pass through; of the same two names, they are replaced. An empty table
+    gives an empty one."""
     docs = docs.drop("n_lines", "n_removed")
     spans = repeated_spans(common.cut(line_windows(docs))).select(
         F.col("doc_id").alias("_quillon_id"),

@@ -448,7 +448,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, distance: int = 4, least: float
     With `least`, two fingerprints link only if their shingle sketches agree in that share, too.
 
     Null and empty texts have fingerprint zero. Equal fingerprints are one node, so exact copies
-    cost one row however many there are. Repeated rows get equal results."""
+    cost one row however many there are. Repeated rows get equal results; an empty table gives none."""
     rows, named = _rooted(docs, k, distance, least)
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = named.select("fp", "root").join(smallest, "root")

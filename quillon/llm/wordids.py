@@ -2,10 +2,12 @@
 
 The tokenizer drops white space and never joins text across it, so the ids of a text are the ids of
 its white-space-separated words in order. Words are encoded by the tokenizers library; a bounded
-table per worker keeps what it gave for words seen lately."""
+table per worker keeps what it gave for words seen lately. A vocabulary file with other rules than
+those this rests on is read whole text by whole text."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -37,6 +39,27 @@ def _byte_letters() -> dict[int, str]:
 _KEEP = re.compile("[^\x00-\x1b -\x7fÀ-ÖØ-öø-ÿ]|_|[.,][^\\w\\s]|[^\\w\\s][.,]").search
 
 
+#: What the shortcuts of this module rest on, as the vocabulary file states it: fixed values of its format.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+def by_words(path: str) -> bool:
+    """Whether a vocabulary file has the rules that allow a text to be encoded word by word."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    return all(told.get(k) == v for k, v in _RULES.items()) and told["model"]["type"] == "BPE" and not told["model"].get("dropout")
+
+
 class _Words(dict):
     """Word -> its ids, worked out when first asked for."""
 
@@ -77,7 +100,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.most = most_words // 2
-        self.words = _Words(self.tokenizer)
+        self.words = _Words(self.tokenizer) if by_words(path) else None
 
     def _split(self, text: str) -> list[str]:
         if _KEEP(text) is None:
@@ -86,6 +109,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = self.words
+        if words is None:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         out = [b"".join(map(words.__getitem__, self._split(t))) for t in texts]
         for w in words.long:
             del words[w]

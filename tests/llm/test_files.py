@@ -374,3 +374,30 @@ def test_pipeline(spark):
         before, last = after, before
     assert before.select("doc_id").distinct().count() == last.count()
     assert c.run(spark, SF).count() > 0
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Stage by stage: an empty table, rows that are there twice, and a table whose every row is rejected."""
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    none = docs.limit(0)
+    letterless = docs.withColumn("text", F.lit("12 34 !!"))
+    for name, stage in c.STAGES:
+        out = stage(spark, none, SF)
+        assert out.count() == 0
+        if name != "packing":
+            assert out.columns == docs.columns
+    assert c.STAGES[0][1](spark, letterless, SF).count() == 0
+    once, twice = docs.limit(60), docs.limit(60)
+    twice = twice.unionByName(once)
+    before = twice
+    for name, stage in c.STAGES[:4]:
+        before = common.cut(stage(spark, before, SF))
+    assert before.count() == before.distinct().count() == before.select("doc_id").distinct().count() > 0
+    assert before.select("doc_id").join(once, "doc_id", "left_anti").count() == 0
+    packed = c.STAGES[4][1](spark, before, SF)
+    assert packed.select("doc_id").distinct().count() == before.count()
+    for table in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert c.run(spark, str(tmp_path)).count() == 0

@@ -81,6 +81,35 @@ def test_simhash_with_thresholds_and_split_buckets(spark, monkeypatch):
         assert found == want
 
 
+def test_the_real_plan_has_unequal_thresholds_and_loses_no_link(spark):
+    """Skewed, correlated bits at the contract's 4 bits: the plan's own partitions, on fingerprints around
+    centres, against brute force; a bit that is nearly constant tells little and joins a wide partition."""
+    rng = np.random.default_rng(8)
+    seeds = rng.integers(0, 2, (3000, 20))
+    bits = np.hstack([seeds, seeds ^ (rng.random((3000, 20)) < 0.03), (rng.random((3000, 24)) < 0.02)]).astype(np.uint8)
+    near = bits[rng.integers(0, 3000, 1500)].copy()
+    for row in near:
+        row[rng.choice(64, rng.integers(1, 6), replace=False)] ^= 1
+    fps = np.unique(np.packbits(np.vstack([bits, near]), axis=1, bitorder="little").view(np.uint64).ravel())
+    df = spark.createDataFrame([(int(x), b"") for x in fps.view(np.int64)], "fp long, sketch binary")
+    n, both = simhash.bit_statistics(df)
+    assert n == len(fps)
+    thresholds = [t for _, t in simhash.plan(n, both, 4)] + [t for _, t in simhash.plan(10**9, both * (10**9 / n), 4)]
+    assert len(set(thresholds)) > 1
+    found = {x.node: x.root for x in simhash.linked_fingerprints(df, 4).collect()}
+    label = plain_components(fps, 4)
+    signed = fps.view(np.int64)
+    assert found == {int(s): int(signed[label == c].min()) for s, c in zip(signed, label) if (label == c).sum() > 1}
+
+
+def test_near_duplicates_of_odd_tables(spark):
+    rows = [(None, "a b c d e"), (None, "a b c d e"), (4, "a b c d e"), (None, "x y z"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(x.doc_id), str(x.component_id)) for x in simhash.near_duplicates(df).collect())
+    assert got == sorted([("None", "4"), ("None", "4"), ("4", "4"), ("None", "None"), ("None", "None")])
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
 def test_plan_spends_all_thresholds():
     rng = np.random.default_rng(1)
     x = np.hstack([rng.integers(0, 2, (5000, 64)), np.ones((5000, 1), int)]).astype(float)
@@ -286,6 +315,21 @@ def test_word_ids_are_the_librarys():
         assert np.frombuffer(e.encode([t])[0], "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_other_vocabularies_are_encoded_whole(tmp_path):
+    import json
+
+    path = wordids.public_tokenizers.path(wordids.VOCABULARY)
+    assert wordids.by_words(path)
+    told = json.load(open(path, encoding="utf-8"))
+    told["normalizer"] = None  # upper case stays
+    other = f"{tmp_path}/other.json"
+    json.dump(told, open(other, "w", encoding="utf-8"))
+    e = wordids.WordEncoder(other)
+    texts = ["Upper CASE, and  spaces\x1c", "", "naïve Étude."]
+    assert e.words is None
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # -- language ID and toxicity -----------------------------------------------------------------
 
 
