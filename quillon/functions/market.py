@@ -44,11 +44,13 @@ def bar_available(ts: Column, timespan: Column) -> Column:
     return F.when(timespan == "minute", plus("1 MINUTE")).when(timespan == "hour", plus("1 HOUR")).when(timespan == "day", plus("1 DAY"))
 
 
-def option_right(right: Column, style: str = "letter") -> Column:
-    """C/P (letter) or CALL/PUT (word) from any spelling; anything else is null."""
+def option_right(right: Column, style: str = "letter", other: bool = False) -> Column:
+    """C/P (letter) or CALL/PUT (word) from any spelling; anything else is null, or with `other` the
+    upper-cased text."""
     first = F.upper(F.trim(right))
     call, put = ("C", "P") if style == "letter" else ("CALL", "PUT")
-    return F.when(first.isin("C", "CALL", "CALLS"), call).when(first.isin("P", "PUT", "PUTS"), put)
+    found = F.when(first.isin("C", "CALL", "CALLS"), call).when(first.isin("P", "PUT", "PUTS"), put)
+    return found.otherwise(F.upper(right)) if other else found
 
 
 def normalized_symbol(symbol: Column) -> Column:

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quillon.sources import scratch
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str, columns: Sequence[str], ties: Sequence[str] = (), exact: bool = True, tolerance: str | None = None) -> DataFrame:
     """Each left row with `columns` (and right_ts) of the latest right row of its key at or before
@@ -47,16 +49,66 @@ def asof_global(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str,
     return start.select(*left.columns, pick(right_ts), *[pick(c) for c in columns])
 
 
+#: Children of a node, levels, and microseconds of a leaf of the tree of time that interval_join() uses: its
+#: root spans 1,914 years from 1014 on.
+FAN, LEVELS, LEAF = 16, 6, 3_600_000_000
+
+
+def _leaf(ts: Column) -> Column:
+    """The leaf of an instant, within the tree."""
+    at = F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(LEAF)) + FAN**LEVELS // 2
+    return F.least(F.greatest(at, F.lit(0)), F.lit(FAN**LEVELS - 1))
+
+
+def _node(level: int):
+    return lambda n: F.struct(F.lit(level).alias("_level"), n.alias("_node"))
+
+
+def _cover(first: Column, last: Column) -> Column:
+    """The fewest nodes (level, node) whose leaves are exactly those from first to last: at each level the
+    nodes inside whose parent is not inside, at most 2 * (FAN - 1) of them."""
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    parts = []
+    for level in range(LEVELS + 1):
+        size, wide = FAN**level, FAN ** (level + 1)
+        a, b = F.ceil(first / size), F.floor((last + 1) / size) - 1
+        up_a, up_b = F.ceil(first / wide), F.floor((last + 1) / wide) - 1
+        inside = up_a <= up_b
+        if level == LEVELS:
+            inside = F.lit(False)
+        left = span(a, F.when(inside, F.least(b, up_a * FAN - 1)).otherwise(b))
+        right = F.when(inside, span(F.greatest(a, (up_b + 1) * FAN), b)).otherwise(F.array().cast("array<bigint>"))
+        parts.append(F.transform(F.concat(left, right), _node(level)))
+    return F.flatten(F.array(*parts))
+
+
 def interval_join(points: DataFrame, intervals: DataFrame, by: Sequence[str], at: str, start: str, end: str, how: str = "left") -> DataFrame:
     """Points with the half-open intervals [start, end) of their key that hold them; a null end is
-    open. An equi-join by key with the range as its residual."""
-    p, i = points.alias("p"), intervals.alias("i")
-    hit = F.lit(True)
-    for k in by:
-        hit = hit & (F.col(f"p.{k}") == F.col(f"i.{k}"))
-    hit = hit & (F.col(f"p.{at}") >= F.col(f"i.{start}")) & (F.col(f"i.{end}").isNull() | (F.col(f"p.{at}") < F.col(f"i.{end}")))
-    extra = [F.col(f"i.{c}") for c in intervals.columns if c not in by]
-    return p.join(i, hit, how).select("p.*", *extra)
+    open, a null start or an empty interval holds nothing, null keys match nothing. how: inner or left.
+
+    Time is a tree: an interval is cut into the fewest nodes that cover its leaves, a point is under one
+    node of each level, and the two meet by an equi-join on (key, level, node). A pair meets in one node at
+    most, so the work is the points, the intervals and the matches, not points times intervals of a key;
+    a leaf's ends are compared exactly."""
+    if how not in ("inner", "left"):
+        raise ValueError(f"unknown join {how}")
+    keys = [f"_k{i}" for i in range(len(by))]
+    extra = [c for c in intervals.columns if c not in by]
+    numbered = points.withColumn("_row", F.monotonically_increasing_id())
+    if how == "left":
+        numbered = scratch.cut(numbered)  # the ids are read twice
+    leaf = _leaf(F.col(at))
+    p = numbered.where(F.col(at).isNotNull()).select(F.struct(*points.columns, "_row").alias("_p"), *[F.col(c).alias(k) for c, k in zip(by, keys)], F.explode(F.array(*[F.struct(F.lit(i).alias("_level"), F.floor(leaf / FAN**i).alias("_node")) for i in range(LEVELS + 1)])).alias("_n"))
+    there = intervals.where(F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(start) < F.col(end))))
+    last = F.when(F.col(end).isNull(), F.lit(FAN**LEVELS - 1)).otherwise(_leaf(F.col(end)))
+    i = there.select(F.struct(*extra).alias("_i"), *[F.col(c).alias(k) for c, k in zip(by, keys)], F.explode(_cover(_leaf(F.col(start)), last)).alias("_n"))
+    flat = lambda df, name: df.select(name, *keys, "_n._level", "_n._node")
+    here = (F.col(f"_p.{at}") >= F.col(f"_i.{start}")) & (F.col(f"_i.{end}").isNull() | (F.col(f"_p.{at}") < F.col(f"_i.{end}")))
+    met = flat(p, "_p").join(flat(i, "_i"), [*keys, "_level", "_node"]).where(here).select("_p.*", *[F.col(f"_i.{c}").alias(c) for c in extra])
+    if how == "inner":
+        return met.drop("_row")
+    alone = numbered.join(met.select("_row"), "_row", "left_anti")
+    return met.unionByName(alone, allowMissingColumns=True).drop("_row")
 
 
 def next_outcome(df: DataFrame, by: Sequence[str], ts: str, value: str, most: str) -> DataFrame:

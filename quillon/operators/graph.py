@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillon.functions.market import canonical_id
+from quillon.sources import scratch
 
 
 def nodes(parts: Sequence[tuple[str, DataFrame, str, str]]) -> DataFrame:
@@ -75,13 +76,13 @@ def derive_intervals(log: DataFrame) -> DataFrame:
 
 
 def log_issues(log: DataFrame) -> DataFrame:
-    """(issue, n): duplicate ids, links to unknown events, and corrections recorded before what they
-    correct."""
+    """(issue, n): duplicate ids, links to unknown events, corrections recorded before what they correct,
+    and events whose corrections run into a cycle."""
     ids = log.groupBy("event_id").agg(F.count("*").alias("n"), F.min("recorded_at").alias("at"))
     dup = ids.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).select(F.lit("duplicate_id").alias("issue"), "n")
     linked = log.where("supersedes is not null").join(ids.select(F.col("event_id").alias("supersedes"), "at"), "supersedes", "left")
     counts = linked.agg(F.count_if(F.col("at").isNull()).alias("d"), F.count_if(F.col("recorded_at") < F.col("at")).alias("b"))
-    return dup.unionByName(counts.select(F.lit("dangling").alias("issue"), F.col("d").alias("n"))).unionByName(counts.select(F.lit("before_original").alias("issue"), F.col("b").alias("n")))
+    return dup.unionByName(counts.select(F.lit("dangling").alias("issue"), F.col("d").alias("n"))).unionByName(counts.select(F.lit("before_original").alias("issue"), F.col("b").alias("n"))).unionByName(correction_cycles(log).agg(F.count("*").alias("n")).select(F.lit("cycle").alias("issue"), "n"))
 
 
 def resolve(log: DataFrame, business: Column, knowledge: Column, view: str) -> DataFrame:
@@ -108,20 +109,39 @@ def resolve(log: DataFrame, business: Column, knowledge: Column, view: str) -> D
 
 
 def _corrected_by(log: DataFrame, start: DataFrame) -> DataFrame:
-    """Ids reached from start by following supersedes any number of steps: pointer doubling over the
-    links, so a chain of n links takes log2(n) joins."""
-    jump = log.where("supersedes is not null").select(F.col("event_id").alias("f"), F.col("supersedes").alias("t"))
-    reach = start.where("supersedes is not null").select(F.col("supersedes").alias("event_id")).distinct()
-    n = -1
-    while True:
+    """Ids reached from start by following supersedes any number of steps.
+
+    Pointer doubling: a round's pointers lead 1, 2, 4, ... steps on, one row a link at most, so a chain
+    of n links takes log2(n) rounds of two equi-joins. Each round is written to the shared folder and the
+    one before removed. A cycle ends with the number of its links."""
+    step = log.where("supersedes is not null").select(F.col("event_id").alias("f"), F.col("supersedes").alias("t")).distinct()
+    jump = scratch.cut(step)
+    reach = scratch.cut(start.where("supersedes is not null").select(F.col("supersedes").alias("event_id")).distinct())
+    links = left = jump.count()
+    steps = 1
+    while left and steps <= links:
         more = reach.join(jump, reach["event_id"] == jump["f"]).select(F.col("t").alias("event_id"))
-        reach = reach.unionByName(more).distinct().persist()
-        now = reach.count()
-        if now == n:
-            return reach
-        n = now
         twice = jump.alias("x").join(jump.alias("y"), F.col("x.t") == F.col("y.f")).select(F.col("x.f").alias("f"), F.col("y.t").alias("t"))
-        jump = jump.unionByName(twice).distinct()
+        old = jump, reach
+        jump, reach = scratch.cut(twice.distinct()), scratch.cut(reach.unionByName(more).distinct())
+        scratch.discard(*old)
+        left, steps = jump.count(), 2 * steps
+    return reach
+
+
+def correction_cycles(log: DataFrame) -> DataFrame:
+    """(event_id) of every event whose chain of corrections leads into a cycle: those that still have a
+    successor after as many steps as there are links."""
+    jump = scratch.cut(log.where("supersedes is not null").select(F.col("event_id").alias("f"), F.col("supersedes").alias("t")).distinct())
+    links, steps = jump.count(), 1
+    while steps <= links:
+        twice = jump.alias("x").join(jump.alias("y"), F.col("x.t") == F.col("y.f")).select(F.col("x.f").alias("f"), F.col("y.t").alias("t"))
+        jump, old = scratch.cut(twice.distinct()), jump
+        scratch.discard(old)
+        steps *= 2
+        if jump.isEmpty():
+            break
+    return jump.select(F.col("f").alias("event_id")).distinct()
 
 
 def reconcile(facts: DataFrame, keys: Sequence[str], source: str, precedence: Sequence[str], stamp: str) -> DataFrame:

@@ -150,5 +150,14 @@ def change_from_window(df: DataFrame, by: str, day: str, value: str, rows: int)
     return df.withColumns({"change": F.col(value) - F.lag(value, rows - 1).over(base), "mean": F.when(full, F.avg(value).over(w)), "sd": F.when(full, F.stddev_samp(value).over(w))})
 
 
-def crowding(percentile: Column, change: Column) -> Column:
-    return F.when(percentile.isNull(), "UNKNOWN").when((percentile >= 0.9) & (change > 0), "CROWDED_LONG").when((percentile <= 0.1) & (change < 0), "CROWDED_SHORT").otherwise("NEUTRAL")
+def window_zscore(df: DataFrame, by: str, day: str, value: str, rows: int, out: str) -> DataFrame:
+    """Distance from the window's mean in its deviations, where the window has that many rows."""
+    step = change_from_window(df, by, day, value, rows)
+    return step.withColumn(out, safe_ratio(F.col(value) - F.col("mean"), F.col("sd"))).drop("change", "mean", "sd")
+
+
+def crowding(speculators: Column, managers: Column, cut: float = 0.5) -> tuple[Column, Column]:
+    """(score, label) of two z-scores: their mean; risk_on where the first is above the cut, risk_off
+    where it is below minus the cut, else neutral, null where it is not known."""
+    label = F.when(speculators > cut, "risk_on").when(speculators < -cut, "risk_off").when(speculators.isNotNull(), "neutral")
+    return (speculators + managers) / 2.0, label

@@ -10,47 +10,73 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # -- validation -------------------------------------------------------------------------------
 
 
+#: The tokens of a quarantined bar, in the order of the rules.
+QUARANTINE_TOKENS = ["null_price", "high_below_open_close", "low_above_open_close", "negative_volume"]
+#: The tokens of a streamed bar's faults, and the time spans that are known.
+REASON_TOKENS = [
+    "missing_symbol", "invalid_event_ts", "missing_timespan", "unsupported_timespan", "invalid_open", "invalid_high", "invalid_low",
+    "invalid_close", "high_below_low", "high_below_components", "low_above_components", "negative_price", "negative_volume",
+    "negative_trade_count", "vwap_out_of_range",
+]
+TIMESPANS = ["minute", "hour", "day"]
+
+
+def broken_rules() -> list[Column]:
+    """For each of QUARANTINE_TOKENS whether a bar (open, high, low, close, volume) breaks the rule. A
+    rule about a missing value is not broken."""
+    prices = [F.col(n) for n in ("open", "high", "low", "close")]
+    o, h, l, c = prices  # noqa: E741
+    missing = o.isNull() | h.isNull() | l.isNull() | c.isNull()
+    return [missing, h < F.greatest(o, c), l > F.least(o, c), F.col("volume") < 0]
+
+
 def quarantine_reason() -> Column:
-    """The first rule that a bar (symbol, open, high, low, close, volume) breaks; null if none."""
-    c = F.col
-    return (
-        F.when(c("symbol").isNull(), "null_symbol")
-        .when(c("open").isNull() | c("high").isNull() | c("low").isNull() | c("close").isNull(), "null_price")
-        .when(c("high") < F.greatest("open", "close"), "high_below_body")
-        .when(c("low") > F.least("open", "close"), "low_above_body")
-        .when(c("volume").isNull() | (c("volume") < 0), "bad_volume")
-    )
+    """The first rule that a bar breaks; `unknown` where it breaks none, so that a bar quarantined for
+    another cause has a reason as well."""
+    reason = F.lit("unknown")
+    for token, broken in reversed(list(zip(QUARANTINE_TOKENS, broken_rules()))):
+        reason = F.when(broken, token).otherwise(reason)
+    return reason
+
 
+def split_valid(bars: DataFrame, universe: DataFrame | None = None, key: str = "symbol") -> tuple[DataFrame, DataFrame]:
+    """(valid rows, quarantined rows with reason), of the universe's symbols alone if one is given. One
+    expression decides both, so no row is in both or in neither."""
+    bars = bars if universe is None else in_universe(bars, universe, key)
+    bad = F.lit(False)
+    for broken in broken_rules():
+        bad = bad | F.coalesce(broken, F.lit(False))
+    marked = bars.withColumn("_bad", bad)
+    return marked.where("not _bad").drop("_bad"), marked.where("_bad").drop("_bad").withColumn("reason", quarantine_reason())
 
-def split_valid(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, quarantined rows with reason). One expression decides both, so no row is in
-    both or in neither."""
-    marked = bars.withColumn("reason", quarantine_reason())
-    return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
+
+def finite(c: Column) -> Column:
+    """A number that is neither null, NaN nor infinite; else null."""
+    d = c.cast("double")
+    return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
 
 
 def reason_codes() -> Column:
-    """All rules a streamed bar breaks, as a sorted array; an empty array means valid. A missing
-    volume, vwap or trade count is no fault."""
-    c = F.col
-    price = lambda n: [
-        F.when(c(n).isNull(), f"missing_{n}"),
-        F.when(F.isnan(n), f"nan_{n}"),
-        F.when(c(n) <= 0, f"non_positive_{n}"),
-    ]
-    checks = [
-        F.when(c("symbol").isNull(), "missing_symbol"),
-        F.when(c("event_ts").isNull(), "missing_event_ts"),
-        F.when(c("timespan").isNull() | ~c("timespan").isin("minute", "hour", "day"), "bad_timespan"),
-        *price("open"), *price("high"), *price("low"), *price("close"),
-        F.when(c("high") < c("low"), "high_below_low"),
-        F.when(c("high") < F.greatest("open", "close"), "high_below_body"),
-        F.when(c("low") > F.least("open", "close"), "low_above_body"),
-        F.when(c("volume") < 0, "negative_volume"),
-        F.when((c("vwap") < c("low")) | (c("vwap") > c("high")), "vwap_outside_range"),
-        F.when(c("trade_count") < 0, "negative_trade_count"),
+    """All rules a streamed bar breaks, as a sorted array of REASON_TOKENS; an empty array means valid. A
+    number that is missing or not finite is invalid as a price and no fault as volume, vwap or trade
+    count; a price of zero is none either. Rules between prices need all four."""
+    o, h, l, c = (finite(F.col(n)) for n in ("open", "high", "low", "close"))  # noqa: E741
+    vwap, volume, trades = (finite(F.col(n)) for n in ("vwap", "volume", "trade_count"))
+    blank = lambda n: F.col(n).isNull() | (F.trim(F.col(n).cast("string")) == "")
+    span = F.lower(F.trim("timespan"))
+    all_four = o.isNotNull() & h.isNotNull() & l.isNotNull() & c.isNotNull()
+    broken = [
+        blank("symbol"), F.col("event_ts").isNull(), blank("timespan"), ~blank("timespan") & ~span.isin(*TIMESPANS), o.isNull(), h.isNull(), l.isNull(),
+        c.isNull(), all_four & (h < l), all_four & (h < F.greatest(o, c, l)), all_four & (l > F.least(o, c, h)), all_four & (F.least(o, h, l, c) < 0),
+        volume < 0, trades < 0, (vwap < l) | (vwap > h),
     ]
-    return F.array_sort(F.array_compact(F.array(*checks)))
+    return F.array_sort(F.array_compact(F.array(*[F.when(rule, token) for token, rule in zip(REASON_TOKENS, broken)])))
+
+
+def record_reasons(record: Column) -> Column:
+    """reason_codes() of a record column's fields (select them first as columns); a record that is null as
+    a whole has the one reason `null_record`."""
+    return F.when(record.isNull(), F.array(F.lit("null_record"))).otherwise(reason_codes())
 
 
 def stale(ts: Column, batch_ts: Column, minutes: int = 15) -> Column:
@@ -58,11 +84,13 @@ def stale(ts: Column, batch_ts: Column, minutes: int = 15) -> Column:
 
 
 def locked(bid: Column, ask: Column) -> Column:
-    return F.coalesce(bid == ask, F.lit(False))
+    """Bid and ask are one. Without a bid it is not locked; with a bid and no ask it is not known (null)."""
+    return bid.isNotNull() & (bid == ask)
 
 
 def crossed(bid: Column, ask: Column) -> Column:
-    return F.coalesce(bid > ask, F.lit(False))
+    """The bid is above the ask; not so where either is missing."""
+    return bid.isNotNull() & ask.isNotNull() & (bid > ask)
 
 
 def classify(value: Column, rules: Sequence[tuple[str, str]], default: str) -> Column:
@@ -118,6 +146,18 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFra
     return target.join(source, hit, "left_anti").unionByName(source)
 
 
+def reconcile_to_source(target: DataFrame, source: DataFrame, keys: Sequence[str], within: Column | None = None) -> DataFrame:
+    """Upsert that also deletes target rows whose key the source lacks: with `within` (a condition on the
+    target), only the rows it holds for can be deleted. Keys are compared null-safe. With no source row,
+    the whole range goes."""
+    hit = F.lit(True)
+    for k in keys:
+        hit = hit & target[k].eqNullSafe(source[k])
+    kept = target.join(source, hit, "left_anti")
+    spared = kept.where(~F.coalesce(within, F.lit(False))) if within is not None else kept.limit(0)
+    return spared.unionByName(source)
+
+
 def insert_only(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The first write of a key wins."""
     return target.unionByName(new_rows(source, target, keys))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -106,20 +107,40 @@ def average_rank(value: Column, by: Sequence[str]) -> Column:
     return low + (F.count("*").over(w.partitionBy(*by, value)) - 1) / 2.0
 
 
-def binary_metrics(df: DataFrame, keys: Sequence[str], label: str, score: str, cut: float = 0.5) -> DataFrame:
-    """AUC (by rank sums, ties halved), precision, recall, accuracy and Brier score of each key."""
-    step = df.withColumn("_rank", average_rank(F.col(score), keys))
+def binary_metrics(df: DataFrame, keys: Sequence[str], label: str, score: str, cut: float = 0.5, outcome: str | None = None) -> DataFrame:
+    """AUC (pairs in the right order, ties halved), precision, recall, accuracy, Brier score and, with a
+    numeric outcome, the rank correlation of score and outcome, for each key.
+
+    Rows are counted by (key, score) before anything is ordered, so a window reads a row per different
+    score. The rank correlation needs the rows themselves."""
     y, p = F.col(label), F.col(score)
     up = (p >= cut).cast("int")
-    n1, n0 = F.sum(y), F.sum(1 - y)
-    return step.groupBy(*keys).agg(
-        ((F.sum(F.when(y == 1, F.col("_rank"))) - n1 * (n1 + 1) / 2) / F.nullif((n1 * n0).cast("double"), F.lit(0.0))).alias("auc"),
-        (F.sum(up * y) / F.nullif(F.sum(up), F.lit(0))).alias("precision"),
-        (F.sum(up * y) / F.nullif(n1, F.lit(0))).alias("recall"),
-        F.avg((up == y).cast("double")).alias("accuracy"),
-        F.avg((p - y) * (p - y)).alias("brier"),
-        F.count("*").alias("n"),
+    per = df.groupBy(*keys, score).agg(
+        F.sum(y).alias("_y"), F.sum(1 - y).alias("_x"), F.sum(up * y).alias("_uy"), F.sum(up).alias("_u"), F.sum((up == y).cast("double")).alias("_ok"),
+        F.sum((p - y) * (p - y)).alias("_b"), F.count("*").alias("_n"),
+    )
+    below = F.coalesce(F.sum("_x").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.withColumn("_pairs", F.col("_y") * (below + F.col("_x") / 2.0))
+    n1, n0 = F.sum("_y"), F.sum("_x")
+    out = per.groupBy(*keys).agg(
+        (F.sum("_pairs") / F.nullif((n1 * n0).cast("double"), F.lit(0.0))).alias("auc"),
+        (F.sum("_uy") / F.nullif(F.sum("_u"), F.lit(0))).alias("precision"),
+        (F.sum("_uy") / F.nullif(n1, F.lit(0))).alias("recall"),
+        (F.sum("_ok") / F.sum("_n")).alias("accuracy"),
+        (F.sum("_b") / F.sum("_n")).alias("brier"),
+        F.sum("_n").alias("n"),
     )
+    if outcome is None:
+        return out
+    ranked = df.withColumns({"_a": average_rank(p, keys), "_b": average_rank(F.col(outcome), keys)})
+    ic = ranked.groupBy(*keys).agg(F.corr("_a", "_b").alias("rank_ic"))
+    return out.join(ic, list(keys)).withColumn("rank_ic", F.when(~F.isnan("rank_ic"), F.col("rank_ic")))
+
+
+def ic_summary(daily: DataFrame, ic: str = "ic") -> DataFrame:
+    """One row: days, mean, deviation and t value of a daily rank correlation."""
+    one = daily.agg(F.count(ic).alias("days"), F.avg(ic).alias("mean"), F.stddev_samp(ic).alias("sd"))
+    return one.withColumn("t", safe_ratio(F.col("mean") * F.sqrt("days"), F.col("sd")))
 
 
 def rank_ic(df: DataFrame, ts: str, score: str, outcome: str) -> DataFrame:
@@ -136,39 +157,76 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
     return (centre - half) / (1 + z * z / n), (centre + half) / (1 + z * z / n)
 
 
-def drift_psi(reference: DataFrame, current: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """Population stability index of a column over the reference's deciles: one row."""
-    edges = reference.agg(F.percentile_approx(column, [i / bins for i in range(1, bins)], 10_000).alias("edges"))
-    def shares(df: DataFrame, name: str) -> DataFrame:
-        binned = df.where(F.col(column).isNotNull()).join(F.broadcast(edges))
-        at = F.size(F.filter("edges", lambda e: e < F.col(column)))
-        n = binned.groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
-        return n.withColumn(name, (F.col("n") + 0.5) / (F.sum("n").over(Window.partitionBy()) + 0.5 * bins)).drop("n")
-    both = shares(reference, "p").join(shares(current, "q"), "bin", "full_outer").fillna(1e-6)
-    return both.agg(F.sum((F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p"))).alias("psi"))
+def drift_report(reference: DataFrame, current: DataFrame, columns: Sequence[str], bins: int = 10, least: float = 0.2, dataset: float = 0.5) -> DataFrame:
+    """(column, psi, drifted, share, dataset_drift): the population stability index of each column over
+    the reference's quantiles (shares smoothed by half a row a bin; nulls play no part), whether it is
+    `least` or more, the share of columns for which it is, and whether that is `dataset` or more.
+
+    All columns' edges are one row; each side is read once, and a row per column and bin is shuffled."""
+    cuts = [i / bins for i in range(1, bins)]
+    edges = reference.agg(*[F.percentile_approx(c, cuts, 10_000).alias(f"_e{i}") for i, c in enumerate(columns)])
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(*columns).join(F.broadcast(edges))  # one row
+        place = lambda i, c: F.size(F.filter(f"_e{i}", lambda e: e < F.col(c)))
+        each = F.array(*[F.struct(F.lit(c).alias("column"), F.when(F.col(c).isNotNull(), place(i, c)).alias("bin")) for i, c in enumerate(columns)])
+        return rows.select(F.inline(each)).where("bin is not null").groupBy("column", "bin").agg(F.count("*").alias(name))
+
+    both = counted(reference, "p").join(counted(current, "q"), ["column", "bin"], "full_outer")
+    every = both.sparkSession.createDataFrame([(c, i) for c in columns for i in range(bins)], "column string, bin int")
+    all_bins = every.join(both, ["column", "bin"], "left").fillna(0, ["p", "q"])  # a row per column and bin
+    per = Window.partitionBy("column")
+    share = lambda c: (F.col(c) + 0.5) / (F.sum(c).over(per) + 0.5 * bins)
+    one = all_bins.select("column", share("p").alias("a"), share("q").alias("b")).groupBy("column").agg(F.sum((F.col("b") - F.col("a")) * F.log(F.col("b") / F.col("a"))).alias("psi"))
+    flagged = one.withColumn("drifted", F.col("psi") >= least)
+    part = F.avg(F.col("drifted").cast("double")).over(Window.partitionBy())  # a row per column
+    return flagged.withColumn("share", part).withColumn("dataset_drift", F.col("share") >= dataset)
+
+
+def _poisson_table() -> np.ndarray:
+    """The weight of a row in a bootstrap round by the highest 16 bits of a hash: Poisson with mean 1."""
+    steps = np.cumsum(np.exp(-1.0) / np.array([factorial(k) for k in range(9)], dtype=float))
+    return np.searchsorted(steps, (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.uint8)
+
+
+def bootstrap_weights(rows: np.ndarray, rounds: np.ndarray, seed: int) -> np.ndarray:
+    """(rows, rounds): how often each row counts in each round, from a hash of both (64-bit finaliser)."""
+    with np.errstate(over="ignore"):
+        x = rows[:, None] ^ (rounds[None, :] + np.uint64(seed) * np.uint64(1 << 32) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return _poisson_table()[x >> np.uint64(48)]
 
 
-def bootstrap_mean(df: DataFrame, keys: Sequence[str], value: str, rounds: int = 1000, seed: int = 7) -> DataFrame:
-    """(low, high): percentile interval of each key's mean. Every row gets a Poisson(1) weight per
-    round from a hash of its place, so rounds are sums that combine before they are shuffled; no
-    sample is collected."""
-    step = df.withColumn("_h", F.xxhash64(*keys, value, F.lit(seed)))
+def bootstrap_mean(df: DataFrame, keys: Sequence[str], value: str, row: Sequence[str], rounds: int = 10_000, seed: int = 7) -> DataFrame:
+    """(keys, low, high): 95 % percentile interval of each key's mean. A row counts in a round as often as
+    a hash of its identity (the columns `row`) and the round says, Poisson with mean 1; so the interval
+    does not depend on how rows are dealt, and rounds are sums that combine before they are shuffled. Rows
+    without a value play no part."""
+    step = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value), F.xxhash64(*row).alias("_h"))
+    numbers = np.arange(rounds, dtype=np.uint64)
 
     def partial(batches):
+        table = {}
         for pdf in batches:
-            pdf = pdf.reset_index(drop=True)
-            seeds = pdf["_h"].to_numpy().astype(np.int64).view(np.uint64)
-            key_rows = pdf.groupby(list(keys), sort=False, dropna=False).indices
-            out = []
-            for key, rows in key_rows.items():
-                draws = np.array([np.random.default_rng(int(s) + int(r)).poisson(1.0, rounds) for r, s in zip(rows, seeds[rows])])
-                v = pdf[value].to_numpy(dtype=float)[rows]
+            for key, rows in pdf.groupby(list(keys), sort=False, dropna=False).indices.items():
                 key = key if isinstance(key, tuple) else (key,)
-                out.append(pd.DataFrame({**dict(zip(keys, [[k] * rounds for k in key])), "_round": range(rounds), "_w": draws.sum(axis=0), "_s": (draws * v[:, None]).sum(axis=0)}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                held = table.setdefault(key, np.zeros((2, rounds)))
+                for s in range(0, len(rows), 64):
+                    part = rows[s : s + 64]
+                    weight = bootstrap_weights(pdf["_h"].to_numpy().astype(np.int64).view(np.uint64)[part], numbers, seed)
+                    held[0] += weight.sum(axis=0)
+                    held[1] += pdf[value].to_numpy()[part] @ weight.astype(np.float64)
+            if len(table) * rounds > 4_000_000:  # many keys: their sums so far go on
+                yield from flushed(table)
+        yield from flushed(table)
+
+    def flushed(table):
+        for key, (w, s) in table.items():
+            yield pd.DataFrame({**{k: [v] * rounds for k, v in zip(keys, key)}, "_round": np.arange(rounds), "_w": w, "_s": s})
+        table.clear()
 
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    sums = step.select(*keys, value, "_h").mapInPandas(partial, f"{fields}, _round int, _w double, _s double")
+    sums = step.mapInPandas(partial, f"{fields}, _round int, _w double, _s double")
     means = sums.groupBy(*keys, "_round").agg((F.sum("_s") / F.nullif(F.sum("_w"), F.lit(0.0))).alias("_m"))
     return means.groupBy(*keys).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))

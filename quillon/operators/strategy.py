@@ -4,12 +4,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isfinite, sqrt
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillon.functions.market import safe_ratio
+from quillon.operators.recursion import carried
 from quillon.operators.windows import trailing
 
 
@@ -55,7 +55,7 @@ def s_score(df: DataFrame, by: str, day: str, residual: str, window: int, cumula
     sigma = F.when(F.count(residual).over(w) >= least, F.stddev_samp(residual).over(w))
     total = F.when(F.count(residual).over(c) == cumulative, F.sum(residual).over(c))
     step = df.withColumns({"sigma": sigma, "cum_residual": total})
-    return step.withColumn("s_score", safe_ratio(F.col("cum_residual"), F.col("sigma") * float(np.sqrt(cumulative))))
+    return step.withColumn("s_score", safe_ratio(F.col("cum_residual"), F.col("sigma") * sqrt(cumulative)))
 
 
 def signal_positions(df: DataFrame, by: str, day: str, score: str, entry: float = 2.5, leave: float = 0.5, most_hold: int = 5) -> DataFrame:
@@ -63,43 +63,38 @@ def signal_positions(df: DataFrame, by: str, day: str, score: str, entry: float
     when flat; leave a long above -leave, a short below leave, any after most_hold rows. A missing
     score keeps the position but counts as held."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(day, kind="stable")
-        out, pos, held = [], 0, 0
-        for v in pdf[score].to_numpy(dtype=float):
-            known = np.isfinite(v)
-            if pos:
-                held += 1
-                gone = known and (v > -leave if pos > 0 else v < leave)
-                if gone or held >= most_hold:
-                    pos, held = 0, 0
-            elif known and abs(v) >= entry:
-                pos, held = (1 if v < 0 else -1), 0
-            out.append(pos)
-        pdf["position"] = out
-        return pdf
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.groupBy(by).applyInPandas(run, f"{fields}, position int")
+    def step(state: tuple[int, int], v: float | None) -> tuple[tuple[int, int], tuple[int]]:
+        pos, held = state
+        known = v is not None and isfinite(v)
+        if pos:
+            held += 1
+            gone = known and (v > -leave if pos > 0 else v < leave)
+            if gone or held >= most_hold:
+                pos, held = 0, 0
+        elif known and abs(v) >= entry:
+            pos, held = (1 if v < 0 else -1), 0
+        return (pos, held), (pos,)
+
+    return carried(df, [by], [day], [score], {"position": "int"}, lambda: (0, 0), step)
 
 
 def capped_weights(df: DataFrame, by: str, day: str, weight: str, adv: str, capital: float, share: float = 0.01) -> DataFrame:
     """Weights whose daily increases away from zero are capped at a share of average daily volume
     (carried forward); moves toward zero are free. A change of side closes freely and opens capped."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(day, kind="stable")
-        limits = share * pdf[adv].astype(float).ffill().fillna(0.0).to_numpy() / capital
-        out, prev = [], 0.0
-        for target, limit in zip(pdf[weight].astype(float).fillna(0.0), limits):
-            base = prev if prev * target > 0 and abs(target) >= abs(prev) else target if prev * target > 0 else 0.0
-            prev = base + float(np.clip(target - base, -max(limit, 0.0), max(limit, 0.0)))
-            out.append(prev)
-        pdf["capped"] = out
-        return pdf
+    def step(state: tuple[float, float], target: float | None, volume: float | None) -> tuple[tuple[float, float], tuple[float]]:
+        prev, known = state
+        target = 0.0 if target is None else target
+        known = known if volume is None else volume
+        limit = max(share * known / capital, 0.0)
+        if prev * target > 0:
+            base = prev if abs(target) >= abs(prev) else target
+        else:
+            base = 0.0
+        now = base + min(max(target - base, -limit), limit)
+        return (now, known), (now,)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.groupBy(by).applyInPandas(run, f"{fields}, capped double")
+    return carried(df, [by], [day], [weight, adv], {"capped": "double"}, lambda: (0.0, 0.0), step)
 
 
 def projected(df: DataFrame, day: str, weight: str, beta: str, group: str) -> DataFrame:
@@ -144,7 +139,7 @@ def performance(df: DataFrame, day: str, ret: str, ddof: int = 0, year: int = 25
         F.max_by("_w", day).alias("_end"), F.min("_d").alias("max_drawdown"), F.avg((r > 0).cast("double")).alias("hit_rate"),
         (F.sum(F.when(r > 0, r)) / F.nullif(-F.sum(F.when(r < 0, r)), F.lit(0.0))).alias("profit_factor"),
     )
-    root = float(np.sqrt(year))
+    root = sqrt(year)
     one = one.withColumns({"sharpe": safe_ratio(F.col("mean"), F.col("sd")) * root, "sortino": safe_ratio(F.col("mean"), F.col("_down")) * root, "cagr": F.pow("_end", year / F.col("n")) - 1})
     return one.withColumn("calmar", safe_ratio(F.col("cagr"), -F.col("max_drawdown"))).drop("_down", "_end", "sd")
 
@@ -168,34 +163,31 @@ def tiered_commission(shares: Column, tiers: Sequence[tuple[float, float]], leas
 
 
 def ewma(df: DataFrame, by: str, day: str, a: str, b: str, span: int = 20, least: int = 10, year: int = 252) -> DataFrame:
-    """vol_a, vol_b (annualised), corr of two return series by exponentially weighted moments with
-    weight 1 - alpha a row (not adjusted), bias-corrected variances, and nulls before `least` rows.
-
-    The recursion runs once over each key's rows in order, in Arrow batches of whole keys."""
+    """mean_a, mean_b, vol_a, vol_b (annualised), corr and cov (annualised) of two return series by
+    exponentially weighted moments with weight 1 - alpha a row (not adjusted): bias-corrected variances, a
+    correlation of the uncorrected moments (0 where one is degenerate), their product as covariance, and
+    nulls before `least` rows with both returns. Other rows carry the estimates on."""
     alpha = 2.0 / (span + 1)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(day, kind="stable").reset_index(drop=True)
-        x, y = pdf[a].to_numpy(dtype=float), pdf[b].to_numpy(dtype=float)
-        out = np.full((len(pdf), 3), np.nan)
-        n, mx, my, mxx, myy, mxy, w2 = 0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0
-        for i, (u, v) in enumerate(zip(x, y)):
-            if np.isfinite(u) and np.isfinite(v):
-                k = alpha if n else 1.0
-                mx, my = mx + k * (u - mx), my + k * (v - my)
-                mxx, myy, mxy = mxx + k * (u * u - mxx), myy + k * (v * v - myy), mxy + k * (u * v - mxy)
-                w2 = (1 - k) ** 2 * w2 + k * k if n else 1.0  # sum of squared weights
-                n += 1
-            if n >= least:
-                va, vb, c = max(mxx - mx * mx, 0.0), max(myy - my * my, 0.0), mxy - mx * my
-                fix = 1 / (1 - w2)
-                sd = np.sqrt(va * vb)
-                out[i] = np.sqrt(va * fix * year), np.sqrt(vb * fix * year), np.clip(c / sd, -1, 1) if sd > 1e-12 else 0.0
-        pdf["vol_a"], pdf["vol_b"], pdf["corr"] = out.T
-        return pdf
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.groupBy(by).applyInPandas(run, f"{fields}, vol_a double, vol_b double, corr double")
+    names = ("mean_a", "mean_b", "vol_a", "vol_b", "corr", "cov")
+
+    def step(state: tuple, u: float | None, v: float | None) -> tuple:
+        n, mx, my, mxx, myy, mxy, w2 = state
+        if u is not None and v is not None and isfinite(u) and isfinite(v):
+            k = alpha if n else 1.0
+            mx, my = mx + k * (u - mx), my + k * (v - my)
+            mxx, myy, mxy = mxx + k * (u * u - mxx), myy + k * (v * v - myy), mxy + k * (u * v - mxy)
+            w2 = (1 - k) ** 2 * w2 + k * k  # the sum of squared weights
+            n += 1
+            state = n, mx, my, mxx, myy, mxy, w2
+        if n < least:
+            return state, (None,) * 6
+        va, vb = max(mxx - mx * mx, 0.0), max(myy - my * my, 0.0)
+        sd, fix = sqrt(va * vb), year / (1 - w2)
+        corr = min(max((mxy - mx * my) / sd, -1.0), 1.0) if sd > 1e-12 else 0.0
+        vol_a, vol_b = sqrt(va * fix), sqrt(vb * fix)
+        return state, (mx, my, vol_a, vol_b, corr, corr * vol_a * vol_b)
+
+    return carried(df, [by], [day], [a, b], dict.fromkeys(names, "double"), lambda: (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), step)
 
 
 def pair_weights(signal: Column, vol_a: Column, vol_b: Column, corr: Column, method: str, target_vol: float = 0.1, max_gross: float = 2.0, gross: float = 1.0, floor: float = 0.01, hedge_low: float = 0.2, hedge_high: float = 5.0, variance_floor: float = 1e-6, cap: float = 1.0) -> tuple[Column, Column]:

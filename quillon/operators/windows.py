@@ -116,3 +116,30 @@ def momentum_risk(df: DataFrame, rows: int = 20, year: int = 252) -> DataFrame:
             "drawdown": safe_ratio(F.col("close"), peak) - 1,
         }
     )
+
+
+def breadth_features(df: DataFrame, day: str, wide: str, narrow: str, rows: int = 50, back: int = 20, long: int = 252) -> DataFrame:
+    """ratio (wide over narrow series), its mean over `rows` and z-score over `long` rows (null before the
+    window is full of ratios), slope and excess return over `back` rows, and the breadth regime, of a
+    market-wide table with a row per day (so its window has no key)."""
+    order = Window.orderBy(day)
+    step = df.withColumn("ratio", safe_ratio(F.col(wide), F.col(narrow)))
+    ratio = F.col("ratio")
+    back_return = lambda c: safe_ratio(F.col(c), F.lag(c, back).over(order)) - 1
+    far = trailing(order, long)
+    z = safe_ratio(ratio - F.avg(ratio).over(far), F.stddev_samp(ratio).over(far))
+    step = step.withColumns(
+        {
+            "sma": gated(F.avg(ratio), ratio, trailing(order, rows), rows),
+            "zscore": F.when(F.count(ratio).over(far) == long, z),
+            "slope": back_return("ratio"),
+            "excess": back_return(wide) - back_return(narrow),
+        }
+    )
+    return step.withColumn("regime", breadth_regime(ratio, F.col("sma"), F.col("slope")))
+
+
+def breadth_regime(ratio: Column, mean: Column, slope: Column) -> Column:
+    """BROAD above the mean and rising, NARROW below it and falling, else MIXED, also where one is not
+    known."""
+    return F.when((ratio > mean) & (slope > 0), "BROAD").when((ratio < mean) & (slope < 0), "NARROW").otherwise("MIXED")

@@ -30,18 +30,11 @@ def txt01_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SECTIONS = [(r"(?i)<title>.*?(?=</title>)", "title"), (r"(?i)<nav>.*?(?=</nav>)", "nav"), (r"(?i)<article>.*?(?=</article>|$)", "article")]
 
 
-@query("""WITH s AS (SELECT page_id, 'title' AS section, substr(trim(regexp_extract(html, '(?is)<title>.*?</title>'), ' '), 1, 2000) AS x FROM pages)
- SELECT page_id, section, trim(substr(x, 1, length(x) - 8), ' ') AS section_text FROM s WHERE length(x) - 8 >= 20
- UNION ALL SELECT page_id, 'full_document', substr(html, 1, 500) FROM s JOIN pages USING (page_id) WHERE NOT length(x) - 8 >= 20""")
-def txt02_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tx.sections(table(spark, sf_dir, "pages"), "html", _SECTIONS[:1], 2000, least=20, fallback_cap=500).select("page_id", "section", "section_text")
-
-
 @query(r"""WITH t AS (SELECT page_id, html, regexp_extract(html, '(?is)<title>.*?</title>') AS t, regexp_extract(html, '(?is)<nav>.*?</nav>') AS n, regexp_extract(html, '(?is)<article>.*') AS a, regexp_extract(html, '(?is)<article>.*?</article>') AS b FROM pages),
  s AS (SELECT page_id, 'title' AS section, left(t, greatest(length(t) - 8, 0)) AS x FROM t UNION ALL SELECT page_id, 'nav', left(n, greatest(length(n) - 6, 0)) FROM t
  UNION ALL SELECT page_id, 'article', CASE WHEN b <> '' THEN left(b, length(b) - 10) ELSE a END FROM t), k AS (SELECT page_id, section, substr(trim(x, ' '), 1, 50000) AS section_text FROM s WHERE length(substr(trim(x, ' '), 1, 50000)) >= 50)
  SELECT * FROM k UNION ALL SELECT page_id, 'full_document', substr(html, 1, 100000) FROM pages WHERE page_id NOT IN (SELECT page_id FROM k)""")
-def txt02_all_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def txt02_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All patterns, with the caps and the least length of the filings' ingestion."""
     return tx.sections(table(spark, sf_dir, "pages"), "html", _SECTIONS, 50_000, least=50, fallback_cap=100_000).select("page_id", "section", "section_text")
 
@@ -71,22 +64,24 @@ def txt06_set04_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT label, vec_id % 5 AS part, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), a AS (SELECT label, part, i, avg(CAST(x AS DOUBLE)) AS v FROM f GROUP BY ALL), v AS (SELECT label, part, list(v ORDER BY i) AS v FROM a GROUP BY ALL),
- p AS (SELECT *, lag(v) OVER (PARTITION BY label ORDER BY part) AS b FROM v) SELECT label, part, round(list_cosine_similarity(v, b), 6) AS cosine FROM p""")
+ p AS (SELECT *, lag(v) OVER (PARTITION BY label ORDER BY part) AS b FROM v) SELECT label, part, round(list_cosine_similarity(v, b), 6) AS cosine, CASE WHEN list_cosine_similarity(v, b) > 0.95 THEN 'high_consistency' WHEN list_cosine_similarity(v, b) > 0.85 THEN 'moderate_consistency'
+ WHEN list_cosine_similarity(v, b) > 0.7 THEN 'notable_shift' WHEN b IS NOT NULL THEN 'significant_shift' END AS shift FROM p""")
 def txt08_tone_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").withColumn("part", F.col("vec_id") % 5)
     pooled = tx.mean_pooled(e, ["label", "part"], "embedding")
-    return rounded(tx.tone_shift(pooled, "label", "part", "embedding").select("label", "part", "cosine"))
+    return rounded(tx.tone_shift(pooled, "label", "part", "embedding").select("label", "part", "cosine", "shift"))
 
 
-_BM25 = r"""q0 AS (SELECT item_id, unnest(string_split_regex(lower(text), '\s+')) AS term FROM benchmark WHERE item_id % 8 = 0), q AS (SELECT item_id, term, count(*) AS qf FROM q0 WHERE term <> '' GROUP BY ALL),
+_BM25 = r"""q0 AS (SELECT item_id, unnest(string_split_regex(lower(text), '\s+')) AS term FROM benchmark), q AS (SELECT item_id, term, count(*) AS qf FROM q0 WHERE term <> '' GROUP BY ALL),
  t0 AS (SELECT doc_id, unnest(string_split_regex(lower(text), '\s+')) AS term FROM documents), t AS (SELECT doc_id, term, count(*) AS tf FROM t0 WHERE term <> '' GROUP BY ALL), l AS (SELECT doc_id, sum(tf) AS len FROM t GROUP BY doc_id),
  n AS (SELECT count(*) AS n, avg(coalesce(len, 0)) AS a FROM documents LEFT JOIN l USING (doc_id)), df AS (SELECT term, count(*) AS df FROM t GROUP BY term),
  s AS (SELECT q.item_id, t.doc_id, sum(q.qf * ln((n - df + 0.5e0) / (df + 0.5e0) + 1) * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * len / a))) AS score FROM q JOIN t USING (term) JOIN df USING (term) JOIN l USING (doc_id) CROSS JOIN n GROUP BY ALL),
  r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)"""
 
 
-def _bm25(spark: SparkSession, sf_dir: str, top: int, items: str = "item_id % 8 = 0") -> DataFrame:
-    return tx.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").where(items), "doc_id", "text", "item_id", "text", top)
+def _bm25(spark: SparkSession, sf_dir: str, top: int) -> DataFrame:
+    """Every benchmark item is a query."""
+    return tx.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", top)
 
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, round(score, 5) AS score, rank FROM r WHERE rank <= 10")
@@ -94,12 +89,6 @@ def ret01_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_bm25(spark, sf_dir, 10).withColumn("rank", F.col("rank").cast("long")), 5)
 
 
-@query(SQL["ret01_bm25"].replace(" WHERE item_id % 8 = 0", ""))
-def ret01_bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item is a query."""
-    return rounded(_bm25(spark, sf_dir, 10, "true").withColumn("rank", F.col("rank").cast("long")), 5)
-
-
 _DENSE = """dq AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), ds AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM dq CROSS JOIN embeddings),
  dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM ds)"""
 
@@ -114,23 +103,18 @@ def ret02_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_dense(spark, sf_dir, 10).withColumn("rank", F.col("rank").cast("long")), 5)
 
 
-@query(f"""WITH {_BM25}, k AS (SELECT item_id, doc_id, rank FROM r WHERE rank <= 20), b AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id DESC) AS rank FROM k),
- f AS (SELECT item_id, doc_id, sum(1e0 / (60 + rank)) AS score FROM (SELECT * FROM k UNION ALL SELECT * FROM b) GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM f)
- SELECT item_id, doc_id, round(score, 6) AS score, rank FROM o WHERE rank <= 10""")
+@query(f"""WITH {_BM25}, k AS (SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 20), o AS (SELECT q.item_id, t.doc_id, row_number() OVER (PARTITION BY q.item_id ORDER BY count(*) DESC, t.doc_id) AS rank FROM q JOIN t USING (term) GROUP BY q.item_id, t.doc_id),
+ f AS (SELECT item_id, doc_id, sum(CASE WHEN doc_id % 10 = 0 THEN 2e0 ELSE 1e0 END / (60 + rank)) AS score FROM (SELECT item_id, doc_id, rank FROM k UNION ALL SELECT * FROM o WHERE rank <= 20) GROUP BY ALL),
+ w AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM f)
+ SELECT 'hybrid_rrf' AS mode, item_id, doc_id, round(score, 5) AS score, rank FROM w WHERE rank <= 10 UNION ALL SELECT 'fallback', item_id, doc_id, round(score, 5), rank FROM k WHERE rank <= 10""")
 def ret03_04_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rrf(_bm25(spark, sf_dir, 20))
-
-
-@query(SQL["ret03_04_rrf"].replace(" WHERE item_id % 8 = 0", ""))
-def ret03_04_rrf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item is a query."""
-    return _rrf(_bm25(spark, sf_dir, 20, "true"))
-
-
-def _rrf(k: DataFrame) -> DataFrame:
-    other = k.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("doc_id"))))
-    out = tx.hybrid(k, other, "hybrid_rrf", "item_id", "doc_id", 10)
-    return rounded(out.withColumn("rank", F.col("rank").cast("long")))
+    """BM25 and the number of terms held, fused with a boost; and the one leg that is there."""
+    k = _bm25(spark, sf_dir, 20)
+    other = tx.coordination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", 20)
+    both = tx.hybrid(k, other, "hybrid_rrf", "item_id", "doc_id", 10, F.col("doc_id") % 10 == 0)
+    one = tx.hybrid(k, None, "hybrid_rrf", "item_id", "doc_id", 10)
+    part = lambda df, mode: df.select(F.lit(mode).alias("mode"), "item_id", "doc_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return part(both, "hybrid_rrf").unionByName(part(one, "fallback"))
 
 
 @query(f"""WITH {_DENSE}, top AS (SELECT query_id, vec_id, rank FROM dr WHERE rank <= 10), gold AS (SELECT query_id, vec_id FROM dr WHERE rank IN (1, 4, 15)), p AS (SELECT g.query_id, t.rank FROM gold g LEFT JOIN top t USING (query_id, vec_id))

@@ -93,6 +93,15 @@ def win17_window_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _days(o.change_from_window(daily(spark, sf_dir), "symbol", "day", "close", 8), "change", "mean", "sd")
 
 
+@query(f"""WITH {DAILY}, z AS (SELECT symbol, day, CASE WHEN count(*) OVER w = 8 THEN (close - avg(close) OVER w) / nullif(stddev_samp(close) OVER w, 0) END AS a, CASE WHEN count(*) OVER w = 8 THEN (volume - avg(volume) OVER w) / nullif(stddev_samp(volume) OVER w, 0) END AS b
+ FROM daily WINDOW w AS ({_W} ROWS 7 PRECEDING)) SELECT symbol, CAST(day AS VARCHAR) AS day, round((a + b) / 2, 5) AS score, CASE WHEN a IS NULL THEN NULL WHEN a > 0.5 THEN 'risk_on' WHEN a < -0.5 THEN 'risk_off' ELSE 'neutral' END AS label FROM z""")
+def win19_crowding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = o.window_zscore(daily(spark, sf_dir), "symbol", "day", "close", 8, "a")
+    d = o.window_zscore(d, "symbol", "day", "volume", 8, "b")
+    score, label = o.crowding(F.col("a"), F.col("b"))
+    return _days(d, F.round(score, 5).alias("score"), label.alias("label"))
+
+
 @query(f"""WITH {DAILY}, q AS (SELECT symbol, day, lag(close) OVER ({_W}) / nullif(close, 0) AS ratio FROM daily), w AS (SELECT *, 1 / nullif(ratio, 0) AS inv, round(greatest(ratio, 1 / nullif(ratio, 0))) AS whole FROM q)
  SELECT symbol, CAST(day AS VARCHAR) AS day, round(CASE WHEN ratio > 1 THEN whole ELSE 1 / whole END, 6) AS suspected FROM w WHERE whole BETWEEN 2 AND 20 AND abs(greatest(ratio, inv) / whole - 1) <= 0.03""")
 def win30_suspected_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,8 +143,8 @@ def jon14_either_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.either_end(l, n, "l_partkey", "l_suppkey", "p_partkey").select("l_orderkey", "l_linenumber")
 
 
-_FACTS = """f AS (SELECT event_id AS fact_id, user_id AS company, event_type AS metric, CAST(CAST(ts AS DATE) AS VARCHAR) AS period, event_id % 2 AS unit, CAST(event_id % 3 AS VARCHAR) AS dimensions, round(value, 0) AS value FROM events WHERE event_id % 10 = 0 ),
- c AS (SELECT event_id AS assertion, user_id AS company, event_type AS metric, CAST(CAST(ts AS DATE) AS VARCHAR) AS period, event_id % 4 % 2 AS unit, CAST(event_id % 3 AS VARCHAR) AS dimensions, round(value, 0) AS value FROM events WHERE event_id % 4 = 0 AND user_id % 9 <> 0)"""
+_FACTS = """f AS (SELECT event_id AS fact_id, user_id AS company, event_type AS metric, CAST(CAST(ts AS DATE) AS VARCHAR) AS period, event_id % 2 AS unit, CAST(event_id % 3 AS VARCHAR) AS dimensions, round(value, 0) AS value FROM events),
+ c AS (SELECT event_id AS assertion, CASE WHEN user_id % 9 = 0 THEN -user_id ELSE user_id END AS company, event_type AS metric, CAST(CAST(ts AS DATE) AS VARCHAR) AS period, event_id % 4 % 3 AS unit, CAST(event_id % 7 % 3 AS VARCHAR) AS dimensions, round(value, 0) + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS value FROM events)"""
 
 
 @query(f"""WITH {_FACTS}, j AS (SELECT f.fact_id, c.company IS NOT NULL AS k0, c.metric = f.metric AS k1, c.metric = f.metric AND c.period = f.period AS k2, c.metric = f.metric AND c.period = f.period AND c.unit = f.unit AS k3, c.dimensions AS d, f.dimensions AS fd, c.value = f.value AS v, c.assertion FROM f LEFT JOIN c ON c.company = f.company),
@@ -144,20 +153,6 @@ _FACTS = """f AS (SELECT event_id AS fact_id, user_id AS company, event_type AS
  SELECT fact_id, CASE WHEN n0 = 0 THEN 'cross_issuer' WHEN n1 = 0 THEN 'metric_mismatch' WHEN n2 = 0 THEN 'period_mismatch' WHEN n3 = 0 THEN 'unit_incompatible' WHEN nd > 1 THEN 'unknown_dimensions' WHEN n4 = 0 THEN 'dimensions_mismatch' WHEN n5 = 0 THEN 'value_mismatch' WHEN n5 > 1 THEN 'ambiguous' ELSE 'linked' END AS status,
  CASE WHEN n0 > 0 AND n1 > 0 AND n2 > 0 AND n3 > 0 AND nd <= 1 AND n4 > 0 AND n5 = 1 THEN found END AS assertion FROM a""")
 def bit04_link_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
-    n = F.col("event_id")
-    common = [F.col("user_id").alias("company"), F.col("event_type").alias("metric"), F.to_date("ts").cast("string").alias("period"), (n % 3).cast("string").alias("dimensions"), F.round("value", 0).alias("value")]
-    facts = e.where("event_id % 10 = 0").select(n.alias("fact_id"), (n % 2).alias("unit"), *common)
-    cands = e.where("event_id % 4 = 0 and user_id % 9 <> 0").select(n.alias("assertion"), (n % 4 % 2).alias("unit"), *common)
-    return p.link_facts(facts, cands)
-
-
-_ALL_FACTS = """f AS (SELECT event_id AS fact_id, user_id AS company, event_type AS metric, CAST(CAST(ts AS DATE) AS VARCHAR) AS period, event_id % 2 AS unit, CAST(event_id % 3 AS VARCHAR) AS dimensions, round(value, 0) AS value FROM events),
- c AS (SELECT event_id AS assertion, CASE WHEN user_id % 9 = 0 THEN -user_id ELSE user_id END AS company, event_type AS metric, CAST(CAST(ts AS DATE) AS VARCHAR) AS period, event_id % 4 % 3 AS unit, CAST(event_id % 7 % 3 AS VARCHAR) AS dimensions, round(value, 0) + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS value FROM events)"""
-
-
-@query(SQL["bit04_link_facts"].replace(_FACTS, _ALL_FACTS))
-def bit04_link_all_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a fact and, somewhat changed, as a candidate."""
     n, u, value = F.col("event_id"), F.col("user_id"), F.round("value", 0)
     e = events(spark, sf_dir).withColumn("period", F.to_date("ts").cast("string"))

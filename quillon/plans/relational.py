@@ -21,12 +21,23 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"""WITH {DAILY} SELECT symbol, CAST(day AS VARCHAR) AS day, CASE WHEN high < greatest(open, close) THEN 'high_below_body'
- WHEN low > least(open, close) THEN 'low_above_body' WHEN volume < 0 THEN 'bad_volume' ELSE 'valid' END AS reason
- FROM (SELECT symbol, day, open, close, volume, high * 0.97e0 AS high, low * 1.005e0 AS low FROM daily)""")
+_FAULTY = f"""{DAILY}, u AS (SELECT c_custkey AS symbol FROM customer WHERE c_mktsegment <> 'MACHINERY'), f AS (SELECT symbol, day, CASE WHEN dayofyear(day) % 23 <> 0 THEN open END AS open, CASE WHEN dayofyear(day) % 29 <> 0 THEN close END AS close,
+ high * 0.97e0 AS high, low * 1.005e0 AS low, CASE WHEN dayofyear(day) % 7 = 0 THEN -volume WHEN dayofyear(day) % 11 <> 0 THEN volume END AS volume FROM daily WHERE symbol IN (SELECT symbol FROM u))"""
+
+
+@query(f"""WITH {_FAULTY} SELECT symbol, CAST(day AS VARCHAR) AS day, CASE WHEN open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL THEN 'null_price' WHEN high < greatest(open, close) THEN 'high_below_open_close'
+ WHEN low > least(open, close) THEN 'low_above_open_close' WHEN volume < 0 THEN 'negative_volume' ELSE 'valid' END AS reason FROM f""")
 def flt01_02_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = daily(spark, sf_dir).withColumns({"high": F.col("high") * 0.97, "low": F.col("low") * 1.005})
-    valid, bad = r.split_valid(d)
+    """Bars with missing prices and volumes, and prices on the wrong side, of a universe's symbols."""
+    n = F.dayofyear("day")
+    d = daily(spark, sf_dir).withColumns(
+        {
+            "open": F.when(n % 23 != 0, F.col("open")), "close": F.when(n % 29 != 0, F.col("close")), "high": F.col("high") * 0.97, "low": F.col("low") * 1.005,
+            "volume": F.when(n % 7 == 0, -F.col("volume")).when(n % 11 != 0, F.col("volume")),
+        }
+    )
+    universe = table(spark, sf_dir, "customer").where("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").alias("symbol"))
+    valid, bad = r.split_valid(d, universe)
     out = valid.withColumn("reason", F.lit("valid")).unionByName(bad)
     return out.select("symbol", F.col("day").cast("string").alias("day"), "reason")
 
@@ -50,17 +61,19 @@ def flt03_06_session_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE upper(l_returnflag) WHEN 'R' THEN 'C' WHEN 'A' THEN 'P' END AS option_right,
- round((l_discount + l_tax) / 2, 6) AS mid, round(l_tax - l_discount, 6) AS spread, round((l_tax - l_discount) / nullif((l_discount + l_tax) / 2, 0), 6) AS spread_pct,
- coalesce(l_discount = l_tax, FALSE) AS locked, coalesce(l_discount > l_tax, FALSE) AS crossed, round(l_quantity * l_extendedprice * 100, 4) AS notional FROM lineitem""")
+@query("""WITH q AS (SELECT *, CASE WHEN l_linenumber <> 3 THEN l_discount END AS bid, CASE WHEN l_linenumber <> 2 THEN l_tax END AS ask FROM lineitem)
+ SELECT l_orderkey, l_linenumber, CASE upper(l_returnflag) WHEN 'R' THEN 'C' WHEN 'A' THEN 'P' ELSE 'N/A' END AS option_right,
+ round((bid + ask) / 2, 6) AS mid, round(ask - bid, 6) AS spread, round((ask - bid) / nullif((bid + ask) / 2, 0), 6) AS spread_pct,
+ CASE WHEN bid IS NULL THEN FALSE WHEN ask IS NULL THEN NULL ELSE bid = ask END AS locked, CASE WHEN bid IS NULL OR ask IS NULL THEN FALSE ELSE bid > ask END AS crossed, round(l_quantity * l_extendedprice * 100, 4) AS notional FROM q""")
 def flt07_prj01_02_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bid, ask = F.col("l_discount"), F.col("l_tax")
-    flag = F.when(F.col("l_returnflag") == "R", "call").when(F.col("l_returnflag") == "A", "Put")
+    """Quotes of which some lack the bid or the ask."""
+    bid, ask = F.when(F.col("l_linenumber") != 3, F.col("l_discount")), F.when(F.col("l_linenumber") != 2, F.col("l_tax"))
+    flag = F.when(F.col("l_returnflag") == "R", "call").when(F.col("l_returnflag") == "A", "Put").otherwise("n/a")
     return rounded(
         table(spark, sf_dir, "lineitem").select(
             "l_orderkey",
             "l_linenumber",
-            m.option_right(flag).alias("option_right"),
+            m.option_right(flag, other=True).alias("option_right"),
             ((bid + ask) / 2).alias("mid"),
             (ask - bid).alias("spread"),
             m.safe_ratio(ask - bid, (bid + ask) / 2).alias("spread_pct"),
@@ -81,24 +94,31 @@ def flt08_09_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", r.classify(t, _CLASSES, "other").alias("asset_class"), (t.like("S%") & ~t.like("%TIN")).alias("small"))
 
 
-@query(f"""WITH {BARS}, b AS (SELECT *, CASE WHEN event_id % 11 = 0 THEN NULL ELSE low * (CASE WHEN event_id % 13 = 0 THEN 1.2e0 ELSE 1 END) END AS lo, CASE WHEN event_id % 17 = 0 THEN 'week' ELSE 'minute' END AS span,
- CASE WHEN event_id % 19 = 0 THEN -volume ELSE volume END AS vol FROM bars), c AS (SELECT event_id, list_sort(list_filter([
- CASE WHEN lo IS NULL THEN 'missing_low' END, CASE WHEN close <= 0 THEN 'non_positive_open' END, CASE WHEN high <= 0 THEN 'non_positive_high' END, CASE WHEN lo <= 0 THEN 'non_positive_low' END, CASE WHEN close <= 0 THEN 'non_positive_close' END, CASE WHEN span = 'week' THEN 'bad_timespan' END, CASE WHEN high < lo THEN 'high_below_low' END,
- CASE WHEN high < close THEN 'high_below_body' END, CASE WHEN lo > close THEN 'low_above_body' END, CASE WHEN vol < 0 THEN 'negative_volume' END,
- CASE WHEN vwap < lo OR vwap > high THEN 'vwap_outside_range' END], lambda x: x IS NOT NULL)) AS l FROM b)
- SELECT event_id, array_to_string(l, ',') AS reasons, CAST(len(l) AS INTEGER) AS n FROM c""")
+@query(f"""WITH {BARS}, b AS (SELECT event_id, CASE WHEN event_id % 31 = 0 THEN 0 WHEN event_id % 37 = 0 THEN -close ELSE close END AS o, CASE WHEN event_id % 41 = 0 THEN 'NaN'::DOUBLE ELSE high END AS h, close AS c,
+ CASE WHEN event_id % 11 = 0 THEN NULL ELSE low * (CASE WHEN event_id % 13 = 0 THEN 1.2e0 ELSE 1 END) END AS lo, CASE WHEN event_id % 17 = 0 THEN 'week' WHEN event_id % 43 = 0 THEN ' ' ELSE 'Minute' END AS span,
+ CASE WHEN event_id % 19 = 0 THEN -volume WHEN event_id % 47 = 0 THEN NULL ELSE volume END AS vol, vwap, CASE WHEN event_id % 53 = 0 THEN ' ' ELSE CAST(symbol AS VARCHAR) END AS sym, event_id % 59 = 0 AS no_ts, CASE WHEN event_id % 61 = 0 THEN -1 END AS trades, event_id % 67 = 0 AS gone FROM bars),
+ f AS (SELECT *, CASE WHEN NOT isnan(h) THEN h END AS hi FROM b), k AS (SELECT *, o IS NOT NULL AND hi IS NOT NULL AND lo IS NOT NULL AND c IS NOT NULL AS four FROM f), l AS (SELECT event_id, CASE WHEN gone THEN ['null_record'] ELSE list_sort(list_filter([
+ CASE WHEN trim(sym) = '' THEN 'missing_symbol' END, CASE WHEN no_ts THEN 'invalid_event_ts' END, CASE WHEN trim(span) = '' THEN 'missing_timespan' END, CASE WHEN span = 'week' THEN 'unsupported_timespan' END, CASE WHEN hi IS NULL THEN 'invalid_high' END, CASE WHEN lo IS NULL THEN 'invalid_low' END,
+ CASE WHEN four AND hi < lo THEN 'high_below_low' END, CASE WHEN four AND hi < greatest(o, c, lo) THEN 'high_below_components' END, CASE WHEN four AND lo > least(o, c, hi) THEN 'low_above_components' END, CASE WHEN four AND least(o, hi, lo, c) < 0 THEN 'negative_price' END,
+ CASE WHEN vol < 0 THEN 'negative_volume' END, CASE WHEN trades < 0 THEN 'negative_trade_count' END, CASE WHEN vwap < lo OR vwap > hi THEN 'vwap_out_of_range' END], lambda x: x IS NOT NULL)) END AS l FROM k)
+ SELECT event_id, array_to_string(l, ',') AS reasons, CAST(len(l) AS INTEGER) AS n FROM l""")
 def flt12_udf01_reason_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with every kind of fault, prices of zero (no fault) and records that are missing."""
     n = F.col("event_id")
     b = bars(spark, sf_dir).withColumns(
         {
             "low": F.when(n % 11 != 0, F.col("low") * F.when(n % 13 == 0, 1.2).otherwise(1.0)),
-            "open": F.col("close"),
-            "timespan": F.when(n % 17 == 0, "week").otherwise("minute"),
-            "volume": F.when(n % 19 == 0, -F.col("volume")).otherwise(F.col("volume")),
-            "trade_count": F.lit(None).cast("long"),
+            "open": F.when(n % 31 == 0, 0.0).when(n % 37 == 0, -F.col("close")).otherwise(F.col("close")),
+            "high": F.when(n % 41 == 0, float("nan")).otherwise(F.col("high")),
+            "timespan": F.when(n % 17 == 0, "week").when(n % 43 == 0, " ").otherwise("Minute"),
+            "volume": F.when(n % 19 == 0, -F.col("volume")).when(n % 47 != 0, F.col("volume")),
+            "symbol": F.when(n % 53 == 0, " ").otherwise(F.col("symbol").cast("string")),
+            "event_ts": F.when(n % 59 != 0, F.col("event_ts")),
+            "trade_count": F.when(n % 61 == 0, -1),
+            "record": F.when(n % 67 != 0, F.lit("{}")),
         }
     )
-    out = b.select("event_id", r.reason_codes().alias("l"))
+    out = b.select("event_id", r.record_reasons(F.col("record")).alias("l"))
     return out.select("event_id", F.array_join("l", ",").alias("reasons"), F.size("l").alias("n"))
 
 

@@ -193,11 +193,13 @@ def stg13_14_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT v.symbol, v.day, v.rn, mx + k * (v.y - mx), my + k * (v.m - my), mxx + k * (v.y * v.y - mxx), myy + k * (v.m * v.m - myy), mxy + k * (v.y * v.m - mxy), (1 - k) * (1 - k) * w2 + k * k
  FROM t JOIN (SELECT *, 2e0 / 11 AS k FROM v) v ON v.symbol = t.symbol AND v.rn = t.rn + 1)
  SELECT symbol, CAST(day AS VARCHAR) AS day, round(sqrt(greatest(mxx - mx * mx, 0) / (1 - w2) * 252), 5) AS vol_a, round(sqrt(greatest(myy - my * my, 0) / (1 - w2) * 252), 5) AS vol_b,
- round(greatest(-1, least(1, (mxy - mx * my) / sqrt(greatest(mxx - mx * mx, 0) * greatest(myy - my * my, 0)))), 5) AS corr FROM t WHERE rn >= 5""")
+ round(greatest(-1, least(1, (mxy - mx * my) / sqrt(greatest(mxx - mx * mx, 0) * greatest(myy - my * my, 0)))), 5) AS corr, round(mx, 6) AS mean_a, round(my, 6) AS mean_b,
+ round(greatest(-1, least(1, (mxy - mx * my) / sqrt(greatest(mxx - mx * mx, 0) * greatest(myy - my * my, 0)))) * sqrt(greatest(mxx - mx * mx, 0)) * sqrt(greatest(myy - my * my, 0)) / (1 - w2) * 252, 4) AS cov FROM t WHERE rn >= 5""")
 def rsk02_03_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _panel(spark, sf_dir).where("y is not null").select("symbol", "day", "y", "m")
     out = st.ewma(p, "symbol", "day", "y", "m", span=10, least=5)
-    return _day(out.where("vol_a is not null and not isnan(vol_a)"), "vol_a", "vol_b", "corr", digits=5)
+    five = lambda c: F.round(c, 5).alias(c)
+    return _day(out.where("vol_a is not null"), five("vol_a"), five("vol_b"), five("corr"), "mean_a", "mean_b", F.round("cov", 4).alias("cov"))
 
 
 @query(f"""WITH {_RET}, v AS (SELECT symbol, day, CASE WHEN count(y) OVER w >= 5 THEN stddev_samp(y) OVER w * sqrt(252) END AS vol, y FROM p WINDOW w AS ({_W} ROWS 9 PRECEDING)), k AS (SELECT *, row_number() OVER ({_W}) AS rn FROM v WHERE vol IS NOT NULL),
@@ -228,21 +230,33 @@ def rsk07_pair_sizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(l.select("l_orderkey", "l_linenumber", *out))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_RET}, v AS (SELECT symbol, day, CASE WHEN y > 0 THEN -1e-2 WHEN y < 0 THEN 1e-2 ELSE 0 END AS w, coalesce(last_value(dollar_volume IGNORE NULLS) OVER ({_W} ROWS UNBOUNDED PRECEDING), 0) * 1e-2 / 1e4 AS lim, row_number() OVER ({_W}) AS rn FROM p),
+ t AS (SELECT symbol, day, rn, greatest(-lim, least(lim, w)) AS capped FROM v WHERE rn = 1 UNION ALL SELECT v.symbol, v.day, v.rn,
+ (CASE WHEN capped * w > 0 THEN CASE WHEN abs(w) >= abs(capped) THEN capped ELSE w END ELSE 0 END) + greatest(-lim, least(lim, w - (CASE WHEN capped * w > 0 THEN CASE WHEN abs(w) >= abs(capped) THEN capped ELSE w END ELSE 0 END)))
+ FROM t JOIN v ON v.symbol = t.symbol AND v.rn = t.rn + 1) SELECT symbol, CAST(day AS VARCHAR) AS day, round(capped, 6) AS capped FROM t""")
 def stg09_adv_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _panel(spark, sf_dir).withColumn("weight", F.when(F.col("y") > 0, -0.01).when(F.col("y") < 0, 0.01).otherwise(0.0))
     return _day(st.capped_weights(p.select("symbol", "day", "weight", "dollar_volume"), "symbol", "day", "weight", "dollar_volume", 1e4), "capped")
 
 
-@query()
+def _psi_sql(column: str) -> str:
+    low = ", ".join(f"{i / 10}" for i in range(1, 10))
+    binned = lambda side: f"(SELECT len(list_filter(e, lambda x: x < {column})) AS bin, count(*) AS n FROM d, (SELECT quantile_disc({column}, [{low}]) AS e FROM d WHERE event_id % 2 = 0) WHERE event_id % 2 = {side} GROUP BY 1)"
+    share = lambda side: f"(coalesce({'pq'[side]}.n, 0) + 0.5e0) / ((SELECT count({column}) FROM d WHERE event_id % 2 = {side}) + 5)"
+    return f"""SELECT '{column}' AS "column", sum(({share(1)} - {share(0)}) * ln({share(1)} / {share(0)})) AS psi FROM range(10) t(bin) LEFT JOIN {binned(0)} p USING (bin) LEFT JOIN {binned(1)} q USING (bin)"""
+
+
+@query(f"""WITH d AS (SELECT event_id, value, value + event_id % 2 * 30 AS moved, user_id FROM events), a AS ({' UNION ALL '.join(_psi_sql(c) for c in ('value', 'moved', 'user_id'))})
+ SELECT "column", round(psi, 6) AS psi, psi >= 0.2 AS drifted, round(avg(CASE WHEN psi >= 0.2 THEN 1e0 ELSE 0 END) OVER (), 6) AS share, avg(CASE WHEN psi >= 0.2 THEN 1e0 ELSE 0 END) OVER () >= 0.5 AS dataset_drift FROM a""")
 def mon02_drift_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
-    return rounded(x.drift_psi(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "value"))
+    e = events(spark, sf_dir).withColumn("moved", F.col("value") + F.col("event_id") % 2 * 30)
+    return rounded(x.drift_report(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["value", "moved", "user_id"]))
 
 
 @query()
 def rev03_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(x.bootstrap_mean(events(spark, sf_dir).select("event_type", "value"), ["event_type"], "value", 200))
+    """10,000 rounds over all events."""
+    return rounded(x.bootstrap_mean(events(spark, sf_dir), ["event_type"], "value", ["event_id"]))
 
 
 @query(f"""WITH {DAILY}, c AS (SELECT day, count(DISTINCT symbol) AS a, count(DISTINCT CAST(dayofyear(day) AS BIGINT)) AS b FROM daily GROUP BY day)

@@ -115,28 +115,16 @@ def win20_22_jon12_universe_screen(spark: SparkSession, sf_dir: str) -> DataFram
     return rounded(out.select("symbol", F.col("day").cast("string").alias("day"), "median_volume", "recent", F.col("rank").cast("long").alias("rank")))
 
 
-@query(f"""WITH {DAILY}, i AS (SELECT day, avg(close) AS level FROM daily GROUP BY day) SELECT CAST(day AS VARCHAR) AS day,
- round(CASE WHEN count(level) OVER w10 = 10 THEN avg(level) OVER w10 END, 6) AS sma,
- round(CASE WHEN count(level) OVER w10 = 10 THEN (level - avg(level) OVER w10) / nullif(stddev_samp(level) OVER w10, 0) END, 6) AS z,
- round(level / nullif(lag(level, 5) OVER (ORDER BY day), 0) - 1, 6) AS slope,
- CASE WHEN level > avg(level) OVER w10 * 1.01 THEN 'BROAD' WHEN level < avg(level) OVER w10 * 0.99 THEN 'NARROW' ELSE 'MIXED' END AS regime
- FROM i WINDOW w10 AS (ORDER BY day ROWS 9 PRECEDING)""")
+@query(f"""WITH {DAILY}, i AS (SELECT day, avg(close) AS wide, avg(close) FILTER (WHERE symbol % 3 = 0) AS narrow FROM daily GROUP BY day), r AS (SELECT *, wide / nullif(narrow, 0) AS ratio FROM i),
+ f AS (SELECT day, ratio, CASE WHEN count(ratio) OVER w10 = 10 THEN avg(ratio) OVER w10 END AS sma, CASE WHEN count(ratio) OVER w15 = 15 THEN (ratio - avg(ratio) OVER w15) / nullif(stddev_samp(ratio) OVER w15, 0) END AS z,
+ ratio / nullif(lag(ratio, 5) OVER o, 0) - 1 AS slope, wide / nullif(lag(wide, 5) OVER o, 0) - narrow / nullif(lag(narrow, 5) OVER o, 0) AS excess FROM r WINDOW o AS (ORDER BY day), w10 AS (ORDER BY day ROWS 9 PRECEDING), w15 AS (ORDER BY day ROWS 14 PRECEDING))
+ SELECT CAST(day AS VARCHAR) AS day, round(ratio, 6) AS ratio, round(sma, 6) AS sma, round(z, 5) AS zscore, round(slope, 6) AS slope, round(excess, 6) AS excess,
+ CASE WHEN ratio > sma AND slope > 0 THEN 'BROAD' WHEN ratio < sma AND slope < 0 THEN 'NARROW' ELSE 'MIXED' END AS regime FROM f""")
 def win23_25_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A global order over a row per day: the one place where a window without a key is right."""
-    level = daily(spark, sf_dir).groupBy("day").agg(F.avg("close").alias("level"))
-    order = Window.orderBy("day")
-    w = windows.trailing(order, 10)
-    mean = F.avg("level").over(w)
-    v = F.col("level")
-    return rounded(
-        level.select(
-            F.col("day").cast("string").alias("day"),
-            windows.gated(F.avg("level"), v, w, 10).alias("sma"),
-            F.when(F.count("level").over(w) == 10, m.safe_ratio(v - mean, F.stddev_samp("level").over(w))).alias("z"),
-            (m.safe_ratio(v, F.lag("level", 5).over(order)) - 1).alias("slope"),
-            F.when(v > mean * 1.01, "BROAD").when(v < mean * 0.99, "NARROW").otherwise("MIXED").alias("regime"),
-        )
-    )
+    level = daily(spark, sf_dir).groupBy("day").agg(F.avg("close").alias("wide"), F.avg(F.when(F.col("symbol") % 3 == 0, F.col("close"))).alias("narrow"))
+    out = windows.breadth_features(level, "day", "wide", "narrow", 10, 5, 15).withColumn("zscore", F.round("zscore", 5))
+    return rounded(out.select(F.col("day").cast("string").alias("day"), "ratio", "sma", "zscore", "slope", "excess", "regime"))
 
 
 @query(f"""WITH {DAILY}, s AS (SELECT *, close / nullif(lag(close) OVER w, 0) - 1 AS r FROM daily WINDOW w AS ({_DAYS}))

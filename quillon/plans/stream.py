@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillon.operators import serving, windows
 from quillon.functions import market as m
 from quillon.plans.base import BARS, DAILY, bars, daily, rounded, table
+from quillon.sources import scratch
 from quillon.streaming import bars as st
 
 Q, SQL = {}, {}
@@ -25,16 +25,28 @@ def query(sql: str | None = None):
     return add
 
 
-def _shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/quillon/{uuid.uuid4().hex}"
+#: Files of the landing folder; rows of every LATE-th id come two files late, of every AGAIN-th one twice.
+FILES, LATE, AGAIN = 4, 50, 20
+
+
+def _landed(spark: SparkSession, sf_dir: str) -> str:
+    """A landing folder of events in FILES files, in order of time, but for late and repeated rows; all
+    rows are there."""
+    folder = f"{scratch.folder(spark)}/landing"
+    e = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    low, high = e.agg(F.min("us"), F.max("us")).first()
+    n = F.col("event_id")
+    part = F.floor((F.col("us") - low) * FILES / F.lit(max(1, high - low + 1))).cast("int")
+    due = F.when((n % LATE == 0) & (part + 2 < FILES), part + 2).otherwise(part)
+    rows = e.withColumn("due", F.explode(F.when(n % AGAIN == 0, F.array(due, due)).otherwise(F.array(due)))).drop("us")
+    for i in range(FILES):
+        rows.where(F.col("due") == i).drop("due").coalesce(1).write.mode("append").parquet(folder)
+    return folder
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as a stream of bars, some of them faulty or twice there."""
-    path = f"{sf_dir}/events.parquet"
-    # as a pattern, so that one file is as good as a folder of them
-    raw = st.source(spark, f"{path[:-1]}[{path[-1]}]", spark.read.parquet(path).schema)
+    """The landed events as a stream of bars, a file a micro-batch, some rows faulty, late or twice there."""
+    raw = st.source(spark, _landed(spark, sf_dir), spark.read.parquet(f"{sf_dir}/events.parquet").schema, 1)
     n, v = F.col("event_id"), F.col("value")
     cols = {
         "symbol": F.concat(F.lit(" u"), F.col("user_id").cast("string")), "event_ts": F.col("ts"), "timespan": F.when(n % 17 == 0, "week").otherwise("MINUTE"), "open": v.cast("string"),
@@ -43,48 +55,67 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("event_id", "bronze_ts", *[c.alias(k) for k, c in cols.items()])
 
 
-_VALID = """v AS (SELECT event_id, 'U' || user_id AS symbol, ts AS event_ts, value FROM events WHERE event_id % 17 <> 0 AND event_id % 11 <> 0 AND value > 0)"""
+_LANDED = f"""p AS (SELECT *, CAST(floor((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) * {FILES}::HUGEINT / greatest(1, (SELECT max(epoch_us(ts)) - min(epoch_us(ts)) + 1 FROM events))) AS INTEGER) AS part FROM events),
+ l AS (SELECT *, event_id % {LATE} = 0 AND part + 2 < {FILES} AS late FROM p), landed AS (SELECT * FROM l UNION ALL SELECT * FROM l WHERE event_id % {AGAIN} = 0)"""
+_VALID = f"""{_LANDED}, v AS (SELECT event_id, 'U' || user_id AS symbol, ts AS event_ts, value, late FROM landed WHERE event_id % 17 <> 0 AND event_id % 11 <> 0)"""
 
 
-@query("""WITH r AS (SELECT event_id, 'U' || user_id AS symbol, array_to_string(list_filter([CASE WHEN event_id % 17 = 0 THEN 'bad_timespan' END, CASE WHEN event_id % 11 = 0 THEN 'missing_low' END, CASE WHEN value <= 0 THEN 'non_positive_close' END,
- CASE WHEN value <= 0 THEN 'non_positive_high' END, CASE WHEN value <= 0 AND event_id % 11 <> 0 THEN 'non_positive_low' END, CASE WHEN value <= 0 THEN 'non_positive_open' END], lambda x: x IS NOT NULL), ',') AS reasons FROM events) SELECT * FROM r WHERE reasons <> ''""")
+@query(f"""WITH {_LANDED}, r AS (SELECT event_id, 'U' || user_id AS symbol, array_to_string(list_filter([CASE WHEN event_id % 11 = 0 THEN 'invalid_low' END, CASE WHEN value < 0 AND event_id % 11 <> 0 THEN 'negative_price' END,
+ CASE WHEN event_id % 17 = 0 THEN 'unsupported_timespan' END], lambda x: x IS NOT NULL), ',') AS reasons FROM landed) SELECT * FROM r WHERE reasons <> ''""")
 def str01_04_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _shared(spark)
+    """Quarantine keeps no state, so late and repeated rows are all there."""
+    base = scratch.folder(spark)
     out = st.quarantined(st.typed(_stream(spark, sf_dir))).select("event_id", "symbol", F.array_join("reasons", ",").alias("reasons"))
     st.run(out, f"{base}/out", f"{base}/log")
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
-@query(f"""WITH {_VALID}, w AS (SELECT symbol, time_bucket(INTERVAL 1 MINUTE, event_ts) - to_minutes(CAST(o AS BIGINT)) AS s, value FROM v, range(15) r(o))
- SELECT symbol, epoch_us(s) AS start_us, round(max(value), 6) AS high, round(min(value), 6) AS low, round(avg(value), 6) AS close_avg, count(*) AS n_bars, epoch_us(s) + 900000000 AS end_us FROM w
- WHERE s + INTERVAL 15 MINUTE <= (SELECT max(event_ts) FROM v) - INTERVAL 5 MINUTE GROUP BY symbol, s""")
+@query(f"""WITH {_VALID}, k AS (SELECT DISTINCT symbol, event_ts, value FROM v WHERE NOT late), w AS (SELECT symbol, time_bucket(INTERVAL 1 MINUTE, event_ts) - to_minutes(CAST(o AS BIGINT)) AS s, value, event_ts FROM k, range(15) r(o))
+ SELECT symbol, epoch_us(s) AS start_us, round(max(value), 6) AS high, round(min(value), 6) AS low, round(avg(value), 6) AS close_avg, round(coalesce(stddev_samp(value), -1), 5) AS close_std, count(*) AS n_bars, epoch_us(s) + 900000000 AS end_us, epoch_us(max(event_ts)) + 60000000 AS available_us, TRUE AS completed FROM w
+ WHERE s + INTERVAL 15 MINUTE <= (SELECT max(event_ts) FROM k) - INTERVAL 5 MINUTE GROUP BY symbol, s""")
 def str03_05_08_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Watermark, dedup and sliding windows of a stream read to its end; a window is there once it
-    lies behind the watermark."""
-    base = _shared(spark)
+    """Watermark, dedup and sliding windows over several micro-batches: a row that comes two files late
+    is behind the watermark and dropped, a repeated one counts once, and a window is there once it lies
+    behind the watermark."""
+    base = scratch.folder(spark)
     out = st.windowed(st.valid(st.typed(_stream(spark, sf_dir))))
     st.run(out, f"{base}/out", f"{base}/log")
     got = spark.read.schema(out.schema).parquet(f"{base}/out")
-    return rounded(got.select("symbol", F.unix_micros("window_start").alias("start_us"), F.unix_micros("window_end").alias("end_us"), "high", "low", "close_avg", "n_bars"))
+    return rounded(
+        got.select(
+            "symbol", F.unix_micros("window_start").alias("start_us"), F.unix_micros("window_end").alias("end_us"), "high", "low", "close_avg", F.round(F.coalesce("close_std", F.lit(-1.0)), 5).alias("close_std"),
+            "n_bars", F.unix_micros("information_available_ts").alias("available_us"), (F.col("completed_ts") <= F.current_timestamp()).alias("completed"),
+        )
+    )
 
 
 @query(f"""WITH {_VALID} SELECT event_id, CAST(0 AS DOUBLE) AS intrabar_return, FALSE AS is_up_bar, epoch_us(event_ts) + 60000000 AS available_us, sha256(symbol || chr(31) || strftime(event_ts, '%Y-%m-%dT%H:%M:%S.%fZ') || chr(31) || 'minute') AS dedup_hash FROM v""")
 def str02_06_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _shared(spark)
+    base = scratch.folder(spark)
     out = st.latest_features(st.typed(_stream(spark, sf_dir)).where("size(reasons) = 0"))
     out = out.select("event_id", "intrabar_return", "is_up_bar", F.unix_micros("information_available_ts").alias("available_us"), "dedup_hash")
     st.run(out, f"{base}/out", f"{base}/log")
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
-@query("""WITH e AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'velocity' ELSE 'windowed' END AS path, ts, event_id % 97 AS s FROM events), g AS (SELECT path, time_bucket(INTERVAL 1 MINUTE, ts) AS minute, s FROM e)
- SELECT path, epoch_us(minute) AS minute_us, CAST(quantile_disc(s, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(s, 0.95) AS DOUBLE) AS p95, count(*) AS n FROM g GROUP BY path, minute""")
+@query(f"""WITH {_LANDED}, e AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'velocity' ELSE 'windowed' END AS path, ts, event_id % 97 AS s FROM landed WHERE NOT late), g AS (SELECT path, time_bucket(INTERVAL 1 MINUTE, ts) AS minute, s FROM e)
+ SELECT path, epoch_us(minute) AS minute_us, CAST(quantile_disc(s, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(s, 0.95) AS DOUBLE) AS p95, count(*) AS n FROM g
+ WHERE minute + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM e) - INTERVAL 5 MINUTE GROUP BY path, minute""")
 def str07_agg13_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("processed_ts", F.col("ts").cast("timestamp"))
-    late = F.timestamp_micros(F.unix_micros("processed_ts") - (F.col("event_id") % 97) * 1_000_000)
-    e = e.withColumn("ingest_ts", late)
-    out = st.latency({"velocity": e.where("event_id % 2 = 0"), "windowed": e.where("event_id % 2 = 1")})
-    return out.select("path", F.unix_micros("minute").alias("minute_us"), "p50", "p95", "n")
+    """Two streams over the landed files, in several micro-batches: late rows are dropped, and the last
+    minutes are still open."""
+    landed = _landed(spark, sf_dir)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+
+    def path(side: int) -> DataFrame:
+        e = st.source(spark, landed, schema, 1).where(F.col("event_id") % 2 == side).withColumn("processed_ts", F.col("ts").cast("timestamp"))
+        return e.withColumn("ingest_ts", F.timestamp_micros(F.unix_micros("processed_ts") - (F.col("event_id") % 97) * 1_000_000))
+
+    base = scratch.folder(spark)
+    out = st.latency({"velocity": path(0), "windowed": path(1)})
+    st.run(out, f"{base}/out", f"{base}/log")
+    got = spark.read.schema(out.schema).parquet(f"{base}/out")
+    return got.select("path", F.unix_micros("minute").alias("minute_us"), "p50", "p95", "n")
 
 
 def _view(spark: SparkSession, sf_dir: str) -> DataFrame:

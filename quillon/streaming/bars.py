@@ -13,7 +13,8 @@ WATERMARK, WINDOW, SLIDE = "5 minutes", "15 minutes", "1 minute"
 
 
 def source(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
-    """A stream of Parquet files with a load time."""
+    """A stream of Parquet files, the oldest first, with a load time; with files_per_batch, so many files
+    make a micro-batch."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -81,8 +82,9 @@ def windowed(bars: DataFrame, window: str = WINDOW, slide: str = SLIDE) -> DataF
 
 
 def latency(paths: dict[str, DataFrame], watermark: str = WATERMARK) -> DataFrame:
-    """p50 and p95 seconds from the last ingest to processing, by path and minute of processing.
-    paths: name -> frame with ingest_ts and processed_ts."""
+    """p50 and p95 seconds from the last ingest to processing, by path and minute of processing, of
+    streams (or batches) name -> frame with ingest_ts and processed_ts. A minute comes out once it lies
+    behind the watermark of all the streams together."""
     out = None
     for name, df in paths.items():
         part = df.select(F.lit(name).alias("path"), "processed_ts", (F.unix_micros("processed_ts") - F.unix_micros("ingest_ts")).alias("us"))
@@ -92,7 +94,12 @@ def latency(paths: dict[str, DataFrame], watermark: str = WATERMARK) -> DataFram
     return agg.select("path", F.col("window.start").alias("minute"), (F.col("p")[0] / 1e6).alias("p50"), (F.col("p")[1] / 1e6).alias("p95"), "n")
 
 
-def run(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Writes all that is there as Parquet, exactly once, and stops."""
-    query = df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run(df: DataFrame, path: str, checkpoint: str, mode: str = "append", continuous: str | None = None):
+    """Writes Parquet, exactly once. Without `continuous` all that is there, and stops; with it (a trigger
+    interval such as "1 minute") the running query is returned."""
+    writer = df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    if continuous:
+        return writer.trigger(processingTime=continuous).start()
+    query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
+    return query

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import adjust, asof, calendar, graph, identity, perpetuals, publication, quality, relational as r, research, retrieval, serving, strategy, text, windows
+from quillon.operators import adjust, asof, calendar, graph, identity, outcomes, perpetuals, publication, quality, relational as r, research, retrieval, serving, strategy, text, windows
 from quillon.sources import readers, sinks
 
 
@@ -112,10 +112,135 @@ def test_policy_and_ranges():
     assert serving.resolve_aliases(["Ａpple", "zzz"], {"APPLE": "AAPL"}) == (["AAPL"], ["zzz"])
 
 
-def test_reason_codes_and_quarantine(spark):
-    bars = spark.createDataFrame([("A", 1.0, 0.5, 0.7, 0.8, -1.0), (None, 1.0, 1.0, 1.0, 1.0, 1.0)], "symbol string, open double, high double, low double, close double, volume double")
-    valid, bad = r.split_valid(bars)
-    assert valid.count() == 0 and sorted(x.reason for x in bad.collect()) == ["high_below_body", "null_symbol"]
+def test_quarantine_tokens(spark):
+    """The first broken rule, in order; a bar without a symbol is no bar of the universe; a missing volume
+    is no fault; a bar quarantined for no rule of these is unknown."""
+    rows = [("A", 1.0, 0.5, 0.7, 0.8, -1.0), ("A", None, 0.5, 0.7, 0.8, -1.0), ("A", 1.0, 1.5, 1.2, 1.4, -1.0), ("A", 1.0, 1.5, 0.5, 1.0, -1.0), ("A", 1.0, 1.0, 1.0, 1.0, None), (None, 1.0, 0.5, 0.7, 0.8, 1.0), ("Z", 1.0, 0.5, 0.7, 0.8, 1.0)]
+    bars = spark.createDataFrame(rows, "symbol string, open double, high double, low double, close double, volume double")
+    universe = spark.createDataFrame([("A",)], "symbol string")
+    valid, bad = r.split_valid(bars, universe)
+    assert [x.volume for x in valid.collect()] == [None]
+    assert sorted(x.reason for x in bad.collect()) == ["high_below_open_close", "low_above_open_close", "negative_volume", "null_price"]
+    assert valid.withColumn("reason", r.quarantine_reason()).first().reason == "unknown"
+
+
+def test_reason_codes(spark):
+    """One fault at a time on a valid bar, as strings or numbers that are not finite, and several at once."""
+    good = {"symbol": "AAPL", "event_ts": dt.datetime(2024, 1, 2), "open": 100.0, "high": 101.0, "low": 99.0, "close": 100.5, "volume": 1000.0, "vwap": 100.4, "trade_count": 42, "timespan": "minute"}
+    nan = float("nan")
+    cases = [
+        ({}, []), ({"symbol": " "}, ["missing_symbol"]), ({"symbol": None}, ["missing_symbol"]), ({"event_ts": None}, ["invalid_event_ts"]), ({"timespan": None}, ["missing_timespan"]),
+        ({"timespan": " "}, ["missing_timespan"]), ({"timespan": "week"}, ["unsupported_timespan"]), ({"timespan": " Hour "}, []), ({"open": None}, ["invalid_open"]), ({"close": nan}, ["invalid_close"]),
+        ({"high": float("inf")}, ["invalid_high"]), ({"low": nan, "volume": -1.0}, ["invalid_low", "negative_volume"]), ({"high": 98.0}, ["high_below_components", "high_below_low", "low_above_components", "vwap_out_of_range"]),
+        ({"low": 0.0, "open": 0.0}, []), ({"low": -1.0}, ["negative_price"]), ({"low": 100.2}, ["low_above_components"]), ({"volume": None, "vwap": None, "trade_count": None}, []),
+        ({"volume": nan}, []), ({"trade_count": -1}, ["negative_trade_count"]), ({"vwap": 102.0}, ["vwap_out_of_range"]), ({"high": 100.4}, ["high_below_components"]),
+    ]
+    schema = "i int, symbol string, event_ts timestamp, open double, high double, low double, close double, volume double, vwap double, trade_count long, timespan string"
+    df = spark.createDataFrame([(i, *{**good, **c}.values()) for i, (c, _) in enumerate(cases)], schema)
+    assert [x.l for x in df.select("i", r.reason_codes().alias("l")).orderBy("i").collect()] == [want for _, want in cases]
+    gone = df.withColumn("record", F.when(F.col("i") > 0, "{}"))
+    assert gone.where("i = 0").select(r.record_reasons(F.col("record")).alias("l")).first().l == ["null_record"]
+
+
+def test_quote_flags(spark):
+    rows = [(1.0, 1.0), (2.0, 1.0), (1.0, 2.0), (None, 1.0), (1.0, None), (None, None)]
+    df = spark.createDataFrame(rows, "bid double, ask double")
+    got = [(x.l, x.c) for x in df.select(r.locked(F.col("bid"), F.col("ask")).alias("l"), r.crossed(F.col("bid"), F.col("ask")).alias("c")).collect()]
+    assert got == [(True, False), (False, True), (False, False), (False, False), (None, False), (False, False)]
+
+
+def test_regime_and_labels(spark):
+    rows = [(2.0, 1.0, 0.1), (2.0, 1.0, -0.1), (0.5, 1.0, -0.1), (0.5, 1.0, 0.1), (1.005, 1.0, 0.1), (2.0, None, 0.1), (2.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "r double, m double, s double")
+    assert [x.v for x in df.select(windows.breadth_regime(F.col("r"), F.col("m"), F.col("s")).alias("v")).collect()] == ["BROAD", "MIXED", "NARROW", "MIXED", "BROAD", "MIXED", "MIXED"]
+    score, label = outcomes.crowding(F.col("a"), F.col("b"))
+    z = spark.createDataFrame([(0.6, 1.0), (0.5, 0.0), (-0.6, None), (None, 1.0)], "a double, b double")
+    assert [(x.s, x.l) for x in z.select(score.alias("s"), label.alias("l")).collect()] == [(0.8, "risk_on"), (0.25, "neutral"), (None, "risk_off"), (None, None)]
+    cos = spark.createDataFrame([(0.96,), (0.95,), (0.85,), (0.7,), (-1.0,), (None,)], "c double")
+    assert [x.l for x in cos.select(text.tone_label(F.col("c")).alias("l")).collect()] == ["high_consistency", "moderate_consistency", "notable_shift", "significant_shift", "significant_shift", None]
+
+
+def test_interval_join_is_brute_force(spark):
+    """Random, long, open, empty and touching intervals, at hours' ends too, against pairs one by one."""
+    rng = np.random.default_rng(3)
+    base = dt.datetime(2023, 12, 31, 20)
+    at = lambda m: base + dt.timedelta(minutes=int(m), microseconds=int(rng.integers(0, 2)))
+    points = [(int(rng.integers(0, 3)), i, at(rng.choice([rng.integers(0, 90_000), 60 * rng.integers(0, 1500)]))) for i in range(300)] + [(None, 900, at(5)), (1, 901, None)]
+    spans = []
+    for i in range(120):
+        a = rng.choice([rng.integers(0, 90_000), 60 * rng.integers(0, 1500)])
+        long = rng.choice([0, 1, 60, 61, 1440, 30_000, -5])
+        spans.append((int(rng.integers(0, 3)), i, at(a), None if i % 11 == 0 else at(a + long)))
+    spans += [(0, 500, dt.datetime(1700, 1, 1), dt.datetime(2900, 1, 1)), (None, 501, at(0), None), (1, 502, None, at(9))]
+    p, s = spark.createDataFrame(points, "k int, p int, t timestamp"), spark.createDataFrame(spans, "k int, i int, a timestamp, b timestamp")
+    want = sorted((pi, ii) for pk, pi, t in points for ik, ii, a, b in spans if None not in (pk, t, ik, a) and pk == ik and a <= t and (b is None or t < b))
+    got = asof.interval_join(p, s, ["k"], "t", "a", "b", "inner")
+    assert sorted((x.p, x.i) for x in got.collect()) == want and len(want) > 500
+    left = asof.interval_join(p, s, ["k"], "t", "a", "b").collect()
+    assert sorted((x.p, -1 if x.i is None else x.i) for x in left) == sorted(want + [(q[1], -1) for q in points if q[1] not in {w[0] for w in want}])
+
+
+def test_reconcile_deletes_what_the_source_lacks(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (9, "d")], "k int, v string")
+    s = spark.createDataFrame([(1, "x"), (3, "y"), (None, "z")], "k int, v string")
+    rows = lambda df: sorted(map(str, map(tuple, df.collect())))
+    assert rows(r.reconcile_to_source(t, s, ["k"])) == rows(s)
+    assert rows(r.reconcile_to_source(t, s, ["k"], F.col("k") < 5)) == rows(s.unionByName(t.where("k = 9")))
+    once = r.reconcile_to_source(t, s, ["k"], F.col("k") < 5)
+    assert rows(r.reconcile_to_source(once, s, ["k"], F.col("k") < 5)) == rows(once)
+
+
+def test_long_chains_of_corrections(spark):
+    """A chain of 3,000 links, of which the last is public, corrects all before it."""
+    n = 3000
+    log = spark.range(n).select(
+        F.col("id").alias("event_id"), F.lit("e").alias("entity"), F.lit("a").alias("attribute"), F.col("id").cast("string").alias("value"), F.lit(0).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"),
+        F.col("id").alias("recorded_at"), F.when((F.col("id") == 0) | (F.col("id") == n - 1), F.col("id")).alias("public_at"), F.when(F.col("id") > 0, F.col("id") - 1).alias("supersedes"),
+    )
+    at = lambda k: [x.value for x in graph.resolve(log, F.lit(5), F.lit(k), "public_as_of").collect()]
+    assert at(n) == [str(n - 1)] and at(n - 2) == ["0"]
+    ring = spark.createDataFrame([(1, 3, 5), (2, 1, 6), (3, 2, 7), (4, 1, 8), (5, None, 9)], "event_id long, supersedes long, recorded_at long")
+    assert sorted(x.event_id for x in graph.correction_cycles(ring).collect()) == [1, 2, 3, 4]
+    assert graph.correction_cycles(log).count() == 0
+
+
+def test_bootstrap_does_not_depend_on_partitions(spark):
+    """Against loops over the same weights, and after other dealings."""
+    rng = np.random.default_rng(0)
+    rows = [(i, "ab"[i % 2], float(v)) for i, v in enumerate(rng.normal(50, 5, 200))] + [(999, "a", None)]
+    df = spark.createDataFrame(rows, "i long, k string, v double")
+    got = {x.k: (x.low, x.high) for x in research.bootstrap_mean(df, ["k"], "v", ["i"], 400).collect()}
+    again = {x.k: (x.low, x.high) for x in research.bootstrap_mean(df.repartition(7), ["k"], "v", ["i"], 400).collect()}
+    ids = {x.i: x.h for x in df.select("i", F.xxhash64("i").alias("h")).collect()}
+    for k in "ab":
+        part = [(ids[i], v) for i, g, v in rows if g == k and v is not None]
+        w = research.bootstrap_weights(np.array([h for h, _ in part], dtype=np.int64).view(np.uint64), np.arange(400, dtype=np.uint64), 7)
+        means = [sum(w[r, j] * part[r][1] for r in range(len(part))) / w[:, j].sum() for j in range(400)]
+        assert np.allclose(got[k], np.quantile(means, [0.025, 0.975])) and np.allclose(got[k], again[k])
+    w = research.bootstrap_weights(np.arange(3000, dtype=np.uint64) * np.uint64(977), np.arange(200, dtype=np.uint64), 1)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.3
+
+
+def test_ewma_against_pandas(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=60), rng.normal(size=60)
+    df = spark.createDataFrame([("s", i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))] + [("t", 0, 1.0, 1.0)], "s string, d int, a double, b double")
+    got = strategy.ewma(df.repartition(3), "s", "d", "a", "b").where("s = 's'").orderBy("d").toPandas()
+    e = lambda v: pd.Series(v).ewm(span=20, adjust=False, min_periods=10)
+    assert np.allclose(got.mean_a, e(x).mean(), equal_nan=True) and np.allclose(got.vol_b, np.sqrt(e(y).var() * 252), equal_nan=True)
+    corr = (e(x * y).mean() - e(x).mean() * e(y).mean()) / np.sqrt(e(x).var(bias=True) * e(y).var(bias=True))
+    assert np.allclose(got["corr"], corr, equal_nan=True) and np.allclose(got["cov"], corr * got.vol_a * got.vol_b, equal_nan=True)
+
+
+def test_metrics_with_ties(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(0, 2)), float(rng.integers(0, 5)) / 4, float(rng.normal())) for _ in range(120)]
+    df = spark.createDataFrame([(1, *x) for x in rows], "k int, y int, p double, o double")
+    got = research.binary_metrics(df, ["k"], "y", "p", outcome="o").first()
+    pairs = [(a[1] > b[1]) + 0.5 * (a[1] == b[1]) for a in rows for b in rows if a[0] == 1 and b[0] == 0]
+    assert abs(got.auc - np.mean(pairs)) < 1e-12
+    ranks = [pd.Series([x[i] for x in rows]).rank() for i in (1, 2)]
+    assert abs(got.rank_ic - np.corrcoef(*ranks)[0, 1]) < 1e-9
 
 
 def test_public_corrections_follow_hidden_links(spark):
@@ -176,7 +301,7 @@ def test_trailing_median_needs_a_full_window(spark):
 
 def test_log_and_edge_issues(spark):
     log = spark.createDataFrame([(1, 5, None), (1, 6, None), (2, 3, 1), (3, 9, 77)], "event_id long, recorded_at long, supersedes long")
-    assert {x.issue: x.n for x in graph.log_issues(log).collect()} == {"duplicate_id": 1, "dangling": 1, "before_original": 1}
+    assert {x.issue: x.n for x in graph.log_issues(log).collect()} == {"duplicate_id": 1, "dangling": 1, "before_original": 1, "cycle": 0}
     nodes = spark.createDataFrame([("a", "company"), ("b", "filing")], "node_id string, node_type string")
     edges = spark.createDataFrame([("1", "filed", "a", "b"), ("2", "filed", "b", "a"), ("3", "filed", "a", "z"), ("4", "odd", "a", "b")], "edge_id string, edge_type string, src string, dst string")
     got = {x.edge_id: x.issue for x in publication.edge_issues(edges, nodes, [("filed", "company", "filing")]).collect()}
@@ -266,7 +391,7 @@ def test_all_sections_of_every_page(spark):
     from quillon.plans import knowledge
 
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").toPandas()
-    got = knowledge.txt02_all_sections(spark, "/root/testdata/sf0.001").toPandas()
+    got = knowledge.txt02_sections(spark, "/root/testdata/sf0.001").toPandas()
     article = got[got.section == "article"].set_index("page_id").section_text
     long = {p: h[h.index("<article>") : h.index("</article>")].strip() for p, h in zip(pages.page_id, pages.html) if "<article>" in h and "</article>" in h}
     assert long and all(article[p] == x for p, x in long.items() if 50 <= len(x) <= 50_000)
@@ -281,5 +406,28 @@ def test_bm25_queries_are_all_items(spark):
 
     sf = "/root/testdata/sf0.001"
     items = {x.item_id for x in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id").collect()}
-    assert {x.item_id for x in knowledge.ret01_bm25_all(spark, sf).collect()} == items
-    assert {x.item_id for x in knowledge.ret03_04_rrf_all(spark, sf).collect()} == items
+    assert {x.item_id for x in knowledge.ret01_bm25(spark, sf).collect()} == items
+    assert {x.item_id for x in knowledge.ret03_04_rrf(spark, sf).collect()} == items
+
+
+def test_entry_without_the_training_subpackage(tmp_path):
+    """The other queries stay where the subpackage, or a library it needs, is missing."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), sum(k.startswith('op') or k == 'pipeline' for k in q), len(e.oracle_sql()))"
+    shutil.copytree(root / "quillon", tmp_path / "quillon", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    run = lambda where, env: subprocess.run([sys.executable, "-c", code], cwd=where, env=env, capture_output=True, text=True, check=True).stdout.split()
+    import os
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    n, training, _ = run(tmp_path, env)
+    assert int(n) > 100 and training == "0"
+    if (root / "quillon" / "llm").exists():
+        (tmp_path / "zstandard.py").write_text("raise ImportError('not here')")
+        shutil.copytree(root / "quillon" / "llm", tmp_path / "quillon" / "llm")
+        assert run(tmp_path, env)[:2] == [n, "0"]
