@@ -44,10 +44,26 @@ def classify_breaks(daily: DataFrame, splits: DataFrame, least: float = 0.4, tol
 
 
 def mask_returns(returns: DataFrame, breaks: DataFrame, column: str = "return_1d") -> DataFrame:
-    """Returns with null on masked days."""
+    """Returns with null on masked days, and is_data_quality_break."""
     hit = breaks.where("masked").select("symbol", "day").distinct().withColumn("_hit", F.lit(True))
-    out = returns.join(hit, ["symbol", "day"], "left")
-    return out.withColumn(column, F.when(F.col("_hit").isNull(), F.col(column))).drop("_hit")
+    out = returns.join(hit, ["symbol", "day"], "left").withColumn("is_data_quality_break", F.col("_hit").isNotNull())
+    return out.withColumn(column, F.when(~F.col("is_data_quality_break"), F.col(column))).drop("_hit")
+
+
+def merge_breaks(stored: DataFrame, found: DataFrame) -> DataFrame:
+    """Stored breaks (symbol, day, break_type, masked, reviewed_by, ...) after a new detection: a reviewed row stays
+    as it is, even where the break is no longer found; others are replaced, and go where they are not found."""
+    reviewed = stored.where("reviewed_by is not null")
+    fresh = found.join(reviewed.select("symbol", "day"), ["symbol", "day"], "left_anti")
+    return reviewed.unionByName(fresh, allowMissingColumns=True)
+
+
+def action_universe(*parts: DataFrame) -> DataFrame:
+    """(symbol) once each, in normal form, of all the tables that need corporate actions."""
+    out = parts[0].select(F.col("symbol"))
+    for p in parts[1:]:
+        out = out.unionByName(p.select("symbol"))
+    return out.select(F.nullif(F.upper(F.trim("symbol")), F.lit("")).alias("symbol")).where("symbol is not null").distinct()
 
 
 def suspected_splits(daily: DataFrame, tolerance: float = 0.03, most: int = 20) -> DataFrame:

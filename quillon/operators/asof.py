@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quillon.functions.market import ny_date
 from quillon.sources import scratch
 
 
@@ -119,6 +120,43 @@ def next_outcome(df: DataFrame, by: Sequence[str], ts: str, value: str, most: st
     return step.withColumnsRenamed({"_t": f"next_{ts}", "_v": f"next_{value}"})
 
 
+def snapshot_labels(df: DataFrame, by: Sequence[str], ts: str, ret: str, horizon_s: int = 1800, tolerance_s: int = 60) -> DataFrame:
+    """label (1 if the next snapshot's return is positive, else 0) and label_ts, where the next snapshot of the
+    key is horizon plus or minus tolerance away, on the same New York day, and has a return."""
+    w = Window.partitionBy(*by).orderBy(ts)
+    step = df.withColumns({"_t": F.lead(ts).over(w), "_r": F.lead(ret).over(w)})
+    gap = (F.unix_micros("_t") - F.unix_micros(F.col(ts))) / 1e6
+    good = gap.between(horizon_s - tolerance_s, horizon_s + tolerance_s) & (ny_date(F.col("_t")) == ny_date(F.col(ts))) & F.col("_r").isNotNull()
+    return step.withColumns({"label": F.when(good, (F.col("_r") > 0).cast("double")), "label_ts": F.when(good, F.col("_t"))}).drop("_t", "_r")
+
+
+def daily_close_pairs(df: DataFrame, closes: DataFrame, ts: str, most_days: int = 5) -> DataFrame:
+    """Each prediction with its entry, the last close (symbol, trade_date, close, close_ts) known at ts, and its
+    outcome, the symbol's next close, where that is at most so many days later; label 1 if it rose."""
+    w = Window.partitionBy("symbol").orderBy("trade_date")
+    ahead = closes.withColumns({f"next_{c}": F.lead(c).over(w) for c in ("trade_date", "close", "close_ts")})
+    carried = ["trade_date", "close", "next_trade_date", "next_close", "next_close_ts"]
+    out = asof_join(df, ahead, ["symbol"], ts, "close_ts", carried)
+    near = F.datediff("next_trade_date", "trade_date").between(1, most_days)
+    keep = lambda c: F.when(near, F.col(c))
+    return out.select(
+        *df.columns, F.col("trade_date").alias("entry_trade_date"), F.col("close").alias("entry_close"), F.col("close_ts").alias("entry_close_ts"), keep("next_trade_date").alias("outcome_trade_date"),
+        keep("next_close").alias("outcome_close"), keep("next_close_ts").alias("outcome_close_ts"), keep("next_close_ts").alias("label_ts"), F.when(near, (F.col("next_close") > F.col("close")).cast("double")).alias("label"),
+    )
+
+
+def assemble(bars: DataFrame, sources: Sequence[tuple[DataFrame, Sequence[str], str, Sequence[str]]], ts: str) -> DataFrame:
+    """bars with the columns of each source (frame, keys, availability column, columns) as of ts, its availability,
+    and max_available_ts, the latest of all. A source without keys is market-wide."""
+    out, stamps = bars, []
+    for i, (df, keys, stamp, columns) in enumerate(sources):
+        name = f"source{i}_available_ts"
+        named = df.withColumnRenamed(stamp, name)
+        out = asof_join(out, named, keys, ts, name, columns) if keys else asof_global(out, named, ts, name, columns)
+        stamps.append(F.col(name))
+    return out.withColumn("max_available_ts", F.greatest(*stamps) if len(stamps) > 1 else stamps[0])
+
+
 def last_before(df: DataFrame, by: Sequence[str], order: Column, column: str) -> Column:
     """The last value that is there at or before a row."""
     return F.last(column, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))

@@ -75,6 +75,44 @@ def sessions(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
     return df.select("day", at(F.lit("09:30:00")).alias("open_ts"), at(F.col("until")).alias("close_ts"))
 
 
+def derived(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
+    """(day, kind) of every full closure and early close by the rules."""
+    rows = [(d, kind) for y in range(first_year, last_year + 1) for kind, days in (("closure", closures(y)), ("early_close", early_closes(y))) for d in sorted(days) if d.year == y]
+    return spark.createDataFrame(rows, "day date, kind string")
+
+
+def calendar_problems(static: DataFrame, rules: DataFrame) -> DataFrame:
+    """(day, kind, problem) of days of a static calendar (day, kind, special) that no rule gives, and of rules' days that
+    it lacks. Special closures, which no rule can give, are left out on both sides."""
+    special = static.where("special").select("day")
+    plain = static.where("not special").select("day", "kind")
+    wanted = rules.select("day", "kind").join(special, "day", "left_anti")
+    lacking = wanted.join(plain, ["day", "kind"], "left_anti").withColumn("problem", F.lit("missing"))
+    return lacking.unionByName(plain.join(wanted, ["day", "kind"], "left_anti").withColumn("problem", F.lit("no_rule")))
+
+
+def weekend_windows(fridays: DataFrame, calendar: DataFrame, day: str) -> DataFrame:
+    """fridays with start, the last close before the weekend that follows, and end, the next open after it: a holiday
+    on the Friday or the Monday makes the window longer. Another day of the week has neither."""
+    noon = F.to_utc_timestamp(F.date_add(day, 1).cast("timestamp"), NEW_YORK)
+    found = next_open(fridays.withColumn("_at", F.when(F.dayofweek(day) == 6, noon)), calendar, "_at")
+    return found.withColumnsRenamed({"previous_close": "start", "next_open": "end"}).drop("_at", "in_session")
+
+
+def weekdays_back(day: Column, n: int) -> Column:
+    """The date n weekdays before day; a weekend counts from its Friday. n is 1 or more."""
+    base = F.date_sub(day, F.greatest(F.lit(0), F.weekday(day) - 4))
+    past = n - F.weekday(base)  # weekdays before this week's Monday
+    weeks = F.ceil(past / 5).cast("int")
+    inside = (weeks * 5 - past).cast("int")
+    return F.when(past <= 0, F.date_sub(base, n)).otherwise(F.date_add(F.date_sub(F.date_sub(base, F.weekday(base)), weeks * 7), inside))
+
+
+def trading_dates(calendar: DataFrame, first: str, last: str) -> DataFrame:
+    """The days of sessions from first to last, for instance to fetch option chains of."""
+    return calendar.where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).select("day")
+
+
 def weekday(day: Column) -> Column:
     return F.dayofweek(day).between(2, 6)
 

@@ -57,3 +57,21 @@ def usage(events: DataFrame, action: Column, status: Column, write_pattern: str)
 def affected(events: DataFrame, batch: DataFrame) -> DataFrame:
     """All events of the dates that a batch touches."""
     return events.join(batch.select("event_date").distinct(), "event_date", "left_semi")
+
+
+def replaced_aggregates(stored: DataFrame, fresh: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored daily aggregates with those of the batch's dates replaced by the recomputed ones; a key of such a date
+    that is no longer there goes, so an empty recomputation empties the date."""
+    dates = batch.select("event_date").distinct()
+    return stored.join(dates, "event_date", "left_anti").unionByName(fresh.select(*stored.columns))
+
+
+def run_batch(outbox: DataFrame, delivered: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(batch, delivery marks, state row) of the oldest events that are not delivered: marks (event_id, delivered_at) to
+    append once the batch is applied, and one row (last_event_id, n_events, run_at), empty for an empty batch."""
+    from quillon.sources.readers import undelivered
+
+    batch = undelivered(outbox, delivered, most)
+    marks = batch.select("event_id").withColumn("delivered_at", F.current_timestamp())
+    state = batch.agg(F.max("event_id").alias("last_event_id"), F.count("*").alias("n_events")).where("n_events > 0")
+    return batch, marks, state.withColumn("run_at", F.current_timestamp())

@@ -60,3 +60,36 @@ def filer_conflicts(rows: DataFrame, accession_: str, cik: str) -> DataFrame:
 def observation_key(*parts: Column) -> Column:
     """Hash of a canonical JSON object of the parts, in the given order."""
     return F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)
+
+
+def versioned_id(kind: str, version: int, *parts: Column) -> Column:
+    """The id of a natural key under an encoding: 1 joins the parts with bars, so that parts with bars can run together;
+    2 gives each its length. The version is part of the id."""
+    from quillon.functions.market import canonical_id
+
+    if version == 1:
+        return F.concat(F.lit(f"{kind}:v1:"), F.sha2(F.concat_ws("|", F.lit(kind), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256))
+    if version == 2:
+        return F.concat(F.lit(f"{kind}:v2:"), canonical_id(F.lit(kind), *parts))
+    raise ValueError(f"unknown identity version {version}")
+
+
+def migration(df: DataFrame, kind: str, parts: list[str]) -> DataFrame:
+    """(old_id, new_id, collided) from version 1 to 2, once each; collided: different keys shared the old id, so the
+    old one alone cannot tell which new one is meant."""
+    cols = [F.col(p) for p in parts]
+    ids = df.select(versioned_id(kind, 1, *cols).alias("old_id"), versioned_id(kind, 2, *cols).alias("new_id")).distinct()
+    n = ids.groupBy("old_id").agg(F.count("*").alias("_n"))
+    return ids.join(n, "old_id").select("old_id", "new_id", (F.col("_n") > 1).alias("collided"))
+
+
+def migrated(df: DataFrame, key: str, moves: DataFrame) -> DataFrame:
+    """df with old ids in `key` replaced by new ones; collided and unknown ids stay."""
+    sure = moves.where("not collided").select(F.col("old_id").alias("_old"), F.col("new_id").alias("_new"))
+    return df.join(sure, df[key] == F.col("_old"), "left").withColumn(key, F.coalesce("_new", key)).drop("_old", "_new")
+
+
+def collisions(df: DataFrame, key: str, parts: list[str]) -> DataFrame:
+    """(key, n) of ids that stand for more than one natural key."""
+    told = F.struct(*[F.col(p) for p in parts])
+    return df.groupBy(key).agg(F.countDistinct(told).alias("n")).where("n > 1")

@@ -107,26 +107,38 @@ def reference_current(df: DataFrame, ts: str, share: float) -> DataFrame:
     return out.withColumn("side", F.when(F.col("_r") >= 1 - share, "current").otherwise("reference")).drop("_r")
 
 
-def logistic_baseline(train: DataFrame, features: Sequence[str], label: str, penalty: float = 0.01):
+def logistic_baseline(train: DataFrame, features: Sequence[str], label: str, weight: str | None = None, penalty: float = 0.01):
     """A fitted pipeline: missing values as 0, standard scaling, ridge logistic regression."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    stages = [
-        VectorAssembler(inputCols=list(features), outputCol="_x"),
-        StandardScaler(inputCol="_x", outputCol="_s", withMean=True),
-        LogisticRegression(featuresCol="_s", labelCol=label, regParam=penalty, probabilityCol="_p", predictionCol="_y", rawPredictionCol="_r"),
-    ]
+    model = LogisticRegression(featuresCol="_s", labelCol=label, regParam=penalty, probabilityCol="_p", predictionCol="_y", rawPredictionCol="_r")
+    stages = [VectorAssembler(inputCols=list(features), outputCol="_x"), StandardScaler(inputCol="_x", outputCol="_s", withMean=True), model.setWeightCol(weight) if weight else model]
     return Pipeline(stages=stages).fit(train.fillna(0.0, list(features)))
 
 
 def predict(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
     """df with probability."""
+    return probabilities(model.transform(df.fillna(0.0, list(features))))
+
+
+def probabilities(transformed: DataFrame) -> DataFrame:
+    """A model's output with probability instead of its vectors."""
     from pyspark.ml.functions import vector_to_array
 
-    out = model.transform(df.fillna(0.0, list(features)))
-    return out.withColumn("probability", vector_to_array("_p")[1]).drop("_x", "_s", "_p", "_y", "_r")
+    return transformed.withColumn("probability", vector_to_array("_p")[1]).drop("_x", "_s", "_p", "_y", "_r")
+
+
+def outcome_ledger(signals: DataFrame, as_of: Column, floor: float = 1e-4) -> DataFrame:
+    """signals (direction, entry_close, outcome_close, sigma20, sigma252, masked, entry_date, outcome_ts) with
+    raw and signed return, the sigma that is used (the short one, else the long one, not below the floor), z
+    and the first reason against it; z only where that is none."""
+    raw = safe_ratio(F.col("outcome_close"), F.col("entry_close")) - 1
+    side = F.when(F.col("direction") == "UP", 1).when(F.col("direction") == "DOWN", -1)
+    step = signals.withColumns({"raw_return": raw, "signed_return": raw * side, "sigma_used": F.coalesce(F.greatest("sigma20", F.when(F.col("sigma20").isNotNull(), F.lit(floor))), F.col("sigma252"))})
+    step = step.withColumn("eligibility", eligibility(as_of))
+    return step.withColumn("z", F.when(F.col("eligibility") == "eligible", safe_ratio(F.col("signed_return"), F.col("sigma_used"))))
 
 
 def pair_backtest(df: DataFrame, by: str, day: str, bps: float, borrow_bps: float) -> DataFrame:

@@ -66,3 +66,18 @@ def grain(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return per.agg(
         F.sum("n").alias("rows"), F.count("*").alias("keys"), F.sum(F.col("null") * F.col("n")).cast("long").alias("null_keys"), F.sum(F.col("n") - 1).alias("duplicate_rows")
     )
+
+
+def ordered(df: DataFrame, by: Sequence[str], day: str) -> DataFrame:
+    """df with _row, its rows' places by day in each key; an error, when it is computed, where a day is missing or
+    there twice."""
+    w = Window.partitionBy(*by).orderBy(day)
+    bad = F.col(day).isNull() | F.coalesce(F.lag(day).over(w) == F.col(day), F.lit(False))
+    place = F.row_number().over(w)
+    return df.withColumn("_row", F.when(bad, F.raise_error(F.concat(F.lit(f"{day} is missing or repeated: "), F.coalesce(F.col(day).cast("string"), F.lit("null"))))).otherwise(place))
+
+
+def yield_curve(df: DataFrame, day: str, series: str, value: str, tenors: Mapping[str, str]) -> DataFrame:
+    """A row per day with a column for each tenor (name -> series id) and, with y2 and y10 among them, spread_10s2s."""
+    out = df.groupBy(day).agg(*[F.max(F.when(F.col(series) == s, F.col(value))).alias(n) for n, s in tenors.items()])
+    return out.withColumn("spread_10s2s", F.col("y10") - F.col("y2")) if {"y2", "y10"} <= set(tenors) else out

@@ -3,7 +3,11 @@ evaluation of answers."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import datetime as dt
+from collections import OrderedDict
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import Future
+from threading import Lock
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -89,3 +93,81 @@ def propose_questions(facts: DataFrame, key: Sequence[str], label: str, value: s
     sure = facts.groupBy(*key, label).agg(F.countDistinct(value).alias("_n"), F.max(value).alias(value)).where("_n = 1").drop("_n")
     w = Window.partitionBy(label).orderBy(*key)
     return sure.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
+
+
+class CorpusCache:
+    """Loaded corpora by ticker, the least lately used going first; two callers that ask for one ticker at a time get
+    one load. A corpus is whatever load() gives, for instance a persisted DataFrame, and `drop` is told of those that
+    go."""
+
+    def __init__(self, load: Callable[[str], object], most: int = 32, drop: Callable[[object], None] | None = None):
+        self.load, self.most, self.drop = load, most, drop
+        self.held: OrderedDict[str, Future] = OrderedDict()
+        self.lock = Lock()
+
+    def get(self, ticker: str) -> object:
+        key = ticker.strip().upper()
+        with self.lock:
+            found = self.held.get(key)
+            mine = found is None
+            if mine:
+                found = self.held[key] = Future()
+            self.held.move_to_end(key)
+            gone = [self.held.popitem(last=False)[1] for _ in range(max(0, len(self.held) - self.most))]
+        if mine:
+            try:
+                found.set_result(self.load(key))
+            except BaseException as e:
+                with self.lock:
+                    if self.held.get(key) is found:
+                        del self.held[key]
+                found.set_exception(e)
+        for old in gone:
+            if self.drop and old.done() and old.exception() is None:
+                self.drop(old.result())
+        return found.result()
+
+
+def parse_as_of(text: str) -> dt.datetime:
+    """An instant in UTC of an ISO date (its end) or time; a time without a zone is UTC. Anything else is an error."""
+    cleaned = text.strip()
+    if len(cleaned) == 10:
+        return dt.datetime.combine(dt.date.fromisoformat(cleaned), dt.time(23, 59, 59, 999_999), dt.timezone.utc)
+    at = dt.datetime.fromisoformat(cleaned.replace("Z", "+00:00"))
+    return at.astimezone(dt.timezone.utc) if at.tzinfo else at.replace(tzinfo=dt.timezone.utc)
+
+
+def check_vectors(df: DataFrame, vector: str, model: str, dimension: int, name: str) -> DataFrame:
+    """df, whose rows fail when they are computed if a vector is of another length or another model."""
+    bad = (F.size(vector) != dimension) | ~F.col(model).eqNullSafe(F.lit(name))
+    return df.withColumn(vector, F.when(bad, F.raise_error(F.lit(f"not a vector of {name} with {dimension} components"))).otherwise(F.col(vector)))
+
+
+def citations(results: DataFrame, chunks: DataFrame, doc_id: str) -> DataFrame:
+    """Results with their citation: accession, section and chunk of the source, and its stamp."""
+    source = chunks.select(doc_id, F.struct("accession", "section", "chunk_index", "accepted_ts").alias("citation"))
+    return results.join(source, doc_id, "left")
+
+
+def evaluate(modes: Mapping[str, DataFrame], gold: DataFrame, strata: DataFrame, query_id: str, doc_id: str, k: int) -> DataFrame:
+    """(mode, stratum, n, recall, mrr, ndcg) of each mode's ranked results against gold (query_id, doc_id), over all
+    queries and by the strata columns of (query_id, ...). Queries without results count as 0."""
+    out = None
+    for mode, ranked in modes.items():
+        per = tx.ranking_metrics(ranked, gold, query_id, doc_id, k).join(strata, query_id, "left")
+        part = stratified(per, [c for c in strata.columns if c != query_id], ["recall", "mrr", "ndcg"]).withColumn("mode", F.lit(mode))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def enriched(df: DataFrame, key: str, text: str, enrich: Callable[[list[str]], list[str]] | None, budget: int) -> DataFrame:
+    """(key, note) of at most `budget` rows, by key, from an outside model that takes lists of texts; without a model, no
+    rows: enrichment is off by default."""
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, note string"
+    some = df.orderBy(key).limit(budget if enrich else 0).select(key, text)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "note": enrich(pdf[text].fillna("").tolist()) if len(pdf) else []})
+
+    return some.mapInPandas(run, schema)

@@ -98,18 +98,45 @@ def capped_weights(df: DataFrame, by: str, day: str, weight: str, adv: str, capi
 
 
 def projected(df: DataFrame, day: str, weight: str, beta: str, group: str) -> DataFrame:
-    """Weights made neutral per day to dollars, beta and industry (least-squares projection)."""
+    """Weights made neutral per day to dollars, beta and industry (least-squares projection). Industry
+    dummies span the constant, so weights that sum to 0 in every industry sum to 0."""
     from quillon.operators.research import neutralize
 
     return neutralize(df, day, weight, beta, group, out="neutral")
 
 
+def book(df: DataFrame, day: str, weight: str, beta: str, group: str, cap: float | None = None, gross: float = 1.0) -> DataFrame:
+    """`neutral`: the projection of the names that are held (weight not 0), a missing beta counting as 1, each
+    clipped at the cap, then scaled to `gross` a day, unless only rounding is left of it; names not held stay at 0."""
+    held = df.where(F.col(weight) != 0).withColumn("_beta", F.coalesce(F.nanvl(F.col(beta).cast("double"), F.lit(1.0)), F.lit(1.0)))
+    out = projected(held, day, weight, "_beta", group).drop("_beta")
+    if cap is not None:
+        out = out.withColumn("neutral", F.least(F.greatest("neutral", F.lit(-cap)), F.lit(cap)))
+    total = F.sum(F.abs("neutral")).over(Window.partitionBy(day))
+    out = out.withColumn("neutral", F.col("neutral") * F.when(total > 1e-9, gross / total).otherwise(1.0))
+    flat = df.where(F.coalesce(F.col(weight) == 0, F.lit(True))).withColumn("neutral", F.lit(0.0))
+    return out.unionByName(flat)
+
+
+def beta_neutral(df: DataFrame, day: str, weight: str, beta: str, out: str) -> DataFrame:
+    """Weights less their projection on beta, per day; a missing beta counts as 1."""
+    w = Window.partitionBy(day)
+    step = df.withColumn("_beta", F.coalesce(F.nanvl(F.col(beta).cast("double"), F.lit(1.0)), F.lit(1.0)))
+    slope = safe_ratio(F.sum(F.col(weight) * F.col("_beta")).over(w), F.sum(F.col("_beta") * F.col("_beta")).over(w))
+    return step.withColumn(out, F.col(weight) - F.coalesce(slope, F.lit(0.0)) * F.col("_beta")).drop("_beta")
+
+
+def liquid(df: DataFrame, volume: str, least: float) -> DataFrame:
+    return df.where(F.col(volume) > least)
+
+
 def demeaned(df: DataFrame, day: str, group: str, weight: str, out: str) -> DataFrame:
     return df.withColumn(out, F.col(weight) - F.avg(weight).over(Window.partitionBy(day, group)))
 
 
 def unit_gross(df: DataFrame, day: str, weight: str, out: str) -> DataFrame:
-    return df.withColumn(out, safe_ratio(F.col(weight), F.sum(F.abs(weight)).over(Window.partitionBy(day))))
+    total = F.sum(F.abs(weight)).over(Window.partitionBy(day))
+    return df.withColumn(out, F.col(weight) * F.when(total > 0, 1 / total).otherwise(1.0))
 
 
 def daily_pnl(df: DataFrame, by: str, day: str, weight: str, ret: str, bps: float, borrow: float = 0.0, year: int = 252) -> DataFrame:

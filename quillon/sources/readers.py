@@ -3,7 +3,7 @@ null, never a failure."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -69,12 +69,21 @@ def cot_report(df: DataFrame) -> DataFrame:
     return df.withColumns({"report_date": day, "release_ts": release})
 
 
-def series_csv(spark: SparkSession, path: str, series_id: str) -> DataFrame:
-    """(series_id, observation_date, value) of a two-column CSV; a full stop is no value and goes."""
+def series_csv(spark: SparkSession, path: str, series_id: str, vintage: Column | None = None) -> DataFrame:
+    """(series_id, observation_date, value[, vintage_ts]) of a two-column CSV; a full stop is no value and
+    goes."""
     raw = spark.read.csv(path, header=True)
     date, value = raw.columns[:2]
     out = raw.select(F.lit(series_id).alias("series_id"), F.try_to_date(F.col(date)).alias("observation_date"), F.col(value).try_cast("double").alias("value"))
-    return out.where("observation_date is not null and value is not null")
+    out = out.where("observation_date is not null and value is not null")
+    return out if vintage is None else out.withColumn("vintage_ts", vintage)
+
+
+def fetch_windows(spark: SparkSession, first: str, last: str, days: int, overlap: int) -> DataFrame:
+    """(start, end) date windows of so many days that overlap by `overlap`, from first to last."""
+    step = max(1, days - overlap)
+    starts = F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr(f"INTERVAL {step} DAYS"))).alias("start")
+    return spark.range(1).select(starts).withColumn("end", F.least(F.date_add("start", days - 1), F.lit(last).cast("date")))
 
 
 def split_pages(df: DataFrame, json: str) -> DataFrame:
@@ -87,6 +96,46 @@ def split_pages(df: DataFrame, json: str) -> DataFrame:
     return out.where("symbol is not null and ex_date is not null and split_ratio > 0 and split_ratio <> 1 and not isnan(split_ratio) and split_ratio < double('infinity')")
 
 
+def fetch_pages(fetch: Callable[[str], str], first: str, most: int = 1000) -> list[str]:
+    """The bodies of a paged answer, following next_url; an error if a page repeats or there are more than
+    `most`. Fetching is the caller's: a network client, or files in tests."""
+    import json
+
+    bodies, seen, url = [], set(), first
+    while url:
+        if url in seen or len(bodies) == most:
+            raise ValueError(f"paging does not end at {url}")
+        seen.add(url)
+        bodies.append(fetch(url))
+        url = json.loads(bodies[-1]).get("next_url")
+    return bodies
+
+
+def aggregate_pages(df: DataFrame, symbol: str, json: str) -> DataFrame:
+    """Bars of stored answers of an aggregates service (symbol, body): t in milliseconds, o, h, l, c, v, vw, n; bars
+    without a time go."""
+    schema = "results array<struct<t: bigint, o: double, h: double, l: double, c: double, v: double, vw: double, n: bigint>>"
+    rows = df.select(F.col(symbol).alias("symbol"), F.inline(F.from_json(json, schema)["results"]))
+    named = {"o": "open", "h": "high", "l": "low", "c": "close", "v": "volume", "vw": "vwap", "n": "trade_count"}
+    return rows.where("t is not null").withColumn("event_ts", F.timestamp_millis("t")).drop("t").withColumnsRenamed(named)
+
+
+def in_batches(rows: Iterable, size: int, flush: Callable[[list], None], most: int | None = None) -> int:
+    """Passes rows on in lists of at most `size`, the last one shorter, and stops after `most` lists; returns how
+    many rows were passed on. A failed flush passes its error on, with nothing after it flushed."""
+    held, done, n = [], 0, 0
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            flush(held)
+            held, done, n = [], done + 1, n + size
+            if most is not None and done == most:
+                return n
+    if held:
+        flush(held)
+    return n + len(held)
+
+
 def company_facts(df: DataFrame, key: str, json: str) -> DataFrame:
     """A row per entry of nested company facts: taxonomy -> concept -> unit -> entries."""
     entry = "struct<end: string, val: double, accn: string, fy: int, fp: string, form: string, filed: string, start: string>"
@@ -114,15 +163,34 @@ def candles(df: DataFrame, json: str) -> DataFrame:
     return df.select(at("s").alias("symbol"), millis("t").alias("open_ts"), millis("T").alias("close_ts"), *num, at("n").try_cast("int").alias("trade_count"))
 
 
+def funding_rates(df: DataFrame, json: str) -> DataFrame:
+    """(symbol, funding_ts, funding_rate, premium) of a venue's funding history, an array a row."""
+    schema = "array<struct<coin: string, fundingRate: string, premium: string, time: bigint>>"
+    r = df.select(F.explode(F.from_json(json, schema)).alias("r"))
+    out = r.select(F.col("r.coin").alias("symbol"), F.timestamp_millis("r.time").alias("funding_ts"), F.col("r.fundingRate").try_cast("double").alias("funding_rate"), F.col("r.premium").try_cast("double").alias("premium"))
+    return out.where("symbol is not null and funding_ts is not null and funding_rate is not null")
+
+
+def bucket_listing(df: DataFrame, xml: str) -> DataFrame:
+    """(key, size, modified, next) of a bucket's listing pages; next is the page's continuation token, null on the
+    last one."""
+    one = lambda c, tag: F.nullif(F.regexp_extract(c, f"<{tag}>([^<]*)</{tag}>", 1), F.lit(""))
+    page = df.select(one(F.col(xml), "NextContinuationToken").alias("next"), F.explode(F.regexp_extract_all(F.col(xml), F.lit("(?s)<Contents>(.*?)</Contents>"), F.lit(1))).alias("_c"))
+    return page.select(one(F.col("_c"), "Key").alias("key"), one(F.col("_c"), "Size").try_cast("bigint").alias("size"), one(F.col("_c"), "LastModified").try_cast("timestamp").alias("modified"), "next").where("key is not null")
+
+
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; a line that is not JSON is null in every field and goes."""
     df = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
     return df.where("_bad is null").drop("_bad")
 
 
-def undelivered(outbox: DataFrame, delivered: DataFrame, n: int) -> DataFrame:
-    """The oldest n events that are not delivered."""
-    return outbox.join(delivered.select("event_id").distinct(), "event_id", "left_anti").orderBy("event_id").limit(n)
+def undelivered(outbox: DataFrame, delivered: DataFrame, n: int, claimed: DataFrame | None = None) -> DataFrame:
+    """The oldest n events that are neither delivered nor claimed by another run (event_id)."""
+    rest = outbox.join(delivered.select("event_id").distinct(), "event_id", "left_anti")
+    if claimed is not None:
+        rest = rest.join(claimed.select("event_id").distinct(), "event_id", "left_anti")
+    return rest.orderBy("event_id").limit(n)
 
 
 def from_config(spark: SparkSession, rows: Sequence[Mapping[str, object]], schema: str, view: str | None = None) -> DataFrame:
@@ -131,3 +199,35 @@ def from_config(spark: SparkSession, rows: Sequence[Mapping[str, object]], schem
     if view:
         df.createOrReplaceTempView(view)
     return df
+
+
+def config_rows(text: str) -> list[dict[str, str]]:
+    """Rows of a YAML list of flat mappings with plain values (`- key: value` and further `key: value` lines);
+    anything else is an error. Comments and blank lines are left out, quotes around values taken off."""
+    rows: list[dict[str, str]] = []
+    for number, line in enumerate(text.splitlines(), 1):
+        body = line.split(" #")[0].rstrip()
+        if not body.strip() or body.lstrip().startswith("#"):
+            continue
+        new = body.startswith("- ")
+        key, colon, value = body[2:].partition(":") if new else body.strip().partition(":")
+        if not colon or not (new or (line[:1].isspace() and rows)):
+            raise ValueError(f"line {number} is not `key: value` in a list: {line!r}")
+        if new:
+            rows.append({})
+        if key.strip() in rows[-1]:
+            raise ValueError(f"line {number} repeats {key.strip()}")
+        rows[-1][key.strip()] = value.strip().strip("\"'")
+    return rows
+
+
+def literal_relation(spark: SparkSession, rows: Sequence[Sequence[object]], schema: str) -> DataFrame:
+    """VALUES as a relation, folded into the plan."""
+    return spark.createDataFrame([tuple(r) for r in rows], schema)
+
+
+def synthetic_matrix(spark: SparkSession, symbols: int, days: int, seed: int) -> DataFrame:
+    """(symbol, day, close, volume, feature, label) test rows that depend on the seed, symbol and day alone."""
+    u = lambda k: F.pmod(F.xxhash64("symbol", "day", F.lit(seed), F.lit(k)), F.lit(1_000_000)) / 1e6
+    grid = spark.range(symbols).select(F.concat(F.lit("S"), F.col("id")).alias("symbol"), F.explode(F.sequence(F.lit("2020-01-01").cast("date"), F.date_add(F.lit("2020-01-01").cast("date"), days - 1))).alias("day"))
+    return grid.select("symbol", "day", (50 + 100 * u(1)).alias("close"), (1000 * u(2)).alias("volume"), u(3).alias("feature"), (u(3) + 0.3 * u(4) > 0.65).cast("int").alias("label"))

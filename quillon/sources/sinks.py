@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MANIFEST = "name string, status string, rows bigint, at timestamp"
@@ -23,6 +24,83 @@ def overwrite_partitions(df: DataFrame, path: str, partition: Sequence[str]) ->
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
 
 
+def truncate(spark: SparkSession, paths: Mapping[str, str], preserved: Collection[str]) -> list[str]:
+    """Empties the tables (name -> path) that are not preserved, keeping their columns; returns the names."""
+    done = []
+    for name, path in paths.items():
+        if name in preserved:
+            continue
+        schema = spark.read.parquet(path).schema
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+        done.append(name)
+    return done
+
+
+def ingest(spark: SparkSession, manifest: str, name: str, work: Callable[[], int]) -> str:
+    """Runs work() for a file unless the manifest says it succeeded; records RUNNING, then SUCCESS with its rows,
+    or FAILED before the error is passed on."""
+    try:
+        last = spark.read.parquet(manifest).where(F.col("name") == name).groupBy("name").agg(F.max_by("status", "at").alias("s")).first()
+    except AnalysisException:
+        last = None  # no manifest yet
+    if last is not None and last.s == "SUCCESS":
+        return "SKIPPED"
+    record(spark, manifest, name, "RUNNING")
+    try:
+        rows = work()
+    except BaseException:
+        record(spark, manifest, name, "FAILED")
+        raise
+    record(spark, manifest, name, "SUCCESS", rows)
+    return "SUCCESS"
+
+
+def require_not_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """df, whose rows fail when they are computed if one of the columns is null."""
+    for c in columns:
+        df = df.withColumn(c, F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{c} is null"))).otherwise(F.col(c)))
+    return df
+
+
+def with_comments(df: DataFrame, comments: Mapping[str, str]) -> DataFrame:
+    return df.select(*[F.col(c).alias(c, metadata={"comment": comments[c]}) if c in comments else F.col(c) for c in df.columns])
+
+
+def run_steps(spark: SparkSession, steps: Sequence[tuple[str, Callable[[SparkSession], object], str | None]]) -> list[tuple[str, str]]:
+    """Runs named steps in order; one whose source table (a path, or None) is not there is skipped, and an error
+    ends the run. Returns (name, ran or skipped)."""
+    out = []
+    for name, step, source in steps:
+        if source is not None:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+            if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+                out.append((name, "skipped"))
+                continue
+        step(spark)
+        out.append((name, "ran"))
+    return out
+
+
+def statements(script: str, values: Mapping[str, str]) -> list[str]:
+    """The statements of an SQL script: ${name} filled in (an unknown name is an error), comments gone, cut at
+    semicolons outside quotes."""
+    import re
+
+    def fill(m: re.Match) -> str:
+        if m.group(1) not in values:
+            raise ValueError(f"no value for ${{{m.group(1)}}}")
+        return values[m.group(1)]
+
+    text, out, now = re.sub(r"\$\{(\w+)\}", fill, script), [], ""
+    for token in re.findall(r"'(?:[^']|'')*'|\"[^\"]*\"|--[^\n]*|/\*.*?\*/|;|[^'\"\-/;]+|.", text, flags=re.S):
+        if token == ";":
+            out.append(now.strip())
+            now = ""
+        elif not token.startswith(("--", "/*")):
+            now += token
+    return [s for s in [*out, now.strip()] if s]
+
+
 def pending(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files (name) whose last state is not a success."""
     last = manifest.groupBy("name").agg(F.max_by("status", "at").alias("status"))
