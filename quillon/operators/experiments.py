@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quillon.functions.market import safe_ratio
 from quillon.operators import outcomes, research, strategy
 from quillon.operators.windows import trailing
+from quillon.sources import scratch
 
 
 def union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -215,7 +216,7 @@ def study(matrix: DataFrame, arms: Mapping[str, Sequence[str]], models: Mapping[
     A model is fit(train, features, label, weight) -> transformer; each fit is a distributed job, their number is
     arms times models times folds. No feature may be known after ts: see quality.point_in_time_checks()."""
     weighted = matrix.join(research.uniqueness_weights(matrix.select("symbol", ts, end), ["symbol"], ts, end).select("symbol", ts, "weight"), ["symbol", ts])
-    parts = research.walk_forward(weighted, ts, folds, end=end, embargo=embargo)
+    parts = scratch.cut(research.walk_forward(weighted, ts, folds, end=end, embargo=embargo))  # read by every fit
     out = []
     for fold in range(1, folds + 1):
         rows = parts.where(F.col("fold") == fold).drop("fold")

@@ -12,12 +12,23 @@ from quillon.sources import scratch
 
 
 def nodes(parts: Sequence[tuple[str, DataFrame, str, str]]) -> DataFrame:
-    """(node_id, node_type, key, label) of (type, frame, key column, label column), once per id."""
+    """(node_id, node_type, key, label) of (type, frame, key column, label column), once per id; of clashing
+    labels the first in order stays (label_clashes() tells them)."""
     out = None
     for kind, df, key, label in parts:
         part = df.select(F.lit(kind).alias("node_type"), F.col(key).cast("string").alias("key"), F.col(label).cast("string").alias("label"))
         out = part if out is None else out.unionByName(part)
-    return out.withColumn("node_id", canonical_id(F.col("node_type"), F.col("key"))).dropDuplicates(["node_id"])
+    named = out.withColumn("node_id", canonical_id(F.col("node_type"), F.col("key")))
+    return named.groupBy("node_id", "node_type", "key").agg(F.min("label").alias("label"))
+
+
+def label_clashes(parts: Sequence[tuple[str, DataFrame, str, str]]) -> DataFrame:
+    """(node_type, key, n_labels) of keys that come with more than one label."""
+    out = None
+    for kind, df, key, label in parts:
+        part = df.select(F.lit(kind).alias("node_type"), F.col(key).cast("string").alias("key"), F.col(label).cast("string").alias("label"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("node_type", "key").agg(F.countDistinct("label").alias("n_labels")).where("n_labels > 1")
 
 
 def edges(parts: Sequence[tuple[str, DataFrame, str, Column, str, Column]]) -> DataFrame:

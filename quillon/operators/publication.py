@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillon.functions.market import canonical_id
+from quillon.sources import scratch
 
 
 def link_facts(facts: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -62,19 +63,29 @@ def cited(value: Column, numbers: Column, tolerance: float = 0.005) -> Column:
 def alias_targets(aliases: DataFrame, most_steps: int = 40) -> DataFrame:
     """(id, target, cyclic): where a chain of (id, alias_of) ends; pointers double each round, so a
     chain of n links takes log2(n) joins. Ids still moving after that lie on a cycle."""
-    now = aliases.where("alias_of is not null and alias_of <> id").select("id", F.col("alias_of").alias("target")).distinct()
-    steps = 1
-    while steps < 2**most_steps:
-        nxt = now.alias("a").join(now.select(F.col("id").alias("i"), F.col("target").alias("t")).alias("b"), F.col("a.target") == F.col("b.i"), "left")
-        nxt = nxt.select("a.id", F.coalesce("b.t", "a.target").alias("target")).persist()
-        moved = nxt.join(now, ["id", "target"], "left_anti").limit(1).count()
-        now, steps = nxt, steps * 2
-        if not moved or steps > 2 * max(1, now.count()):
+    links = aliases.where("alias_of is not null and alias_of <> id").select("id", F.col("alias_of").alias("target")).distinct()
+    now, steps = scratch.cut(links), 1
+    most = min(2**most_steps, 2 * max(1, now.count()))
+    while steps <= most:
+        ahead = now.select(F.col("id").alias("i"), F.col("target").alias("t")).alias("b")
+        both = now.alias("a").join(ahead, F.col("a.target") == F.col("b.i"), "left")
+        old, now = now, scratch.cut(both.select("a.id", F.coalesce("b.t", "a.target").alias("target"), F.col("b.t").isNotNull().alias("_moved")))
+        scratch.discard(old)
+        moved, steps = not now.where("_moved").isEmpty(), steps * 2
+        now = _kept(now)
+        if not moved:
             break
-    ends = now.join(aliases.where("alias_of is not null and alias_of <> id").select(F.col("id").alias("target"), F.lit(True).alias("cyclic")).distinct(), "target", "left")
+    ends = now.join(links.select(F.col("id").alias("target"), F.lit(True).alias("cyclic")).distinct(), "target", "left")
     return ends.select("id", "target", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
+def _kept(table: DataFrame) -> DataFrame:
+    """A table of alias_targets() without its mark, still removable."""
+    out = table.drop("_moved")
+    out._quillon_path = table._quillon_path
+    return out
+
+
 def edge_issues(edges: DataFrame, nodes: DataFrame, allowed: Sequence[tuple[str, str, str]]) -> DataFrame:
     """(edge_id, issue) of edges that break their contract: a type that is not known, an end of
     another type, or no evidence."""

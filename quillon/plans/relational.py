@@ -133,9 +133,10 @@ def jon01_02_agg01_09_order_summary(spark: SparkSession, sf_dir: str) -> DataFra
         F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))).alias("f"), F.count_if(F.col("o_orderstatus") == "F").alias("nf"),
         F.sum(F.when(F.col("o_orderpriority").like("1%"), F.col("o_totalprice")).otherwise(0.0)).alias("urgent"),
     )
-    place = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    # Spark's own threshold decides on broadcasts here
+    place = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    joined = per.join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = per.join(c, F.col("o_custkey") == F.col("c_custkey")).join(place, F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.groupBy("n_name", "r_name").agg(
         F.sum("n").alias("n_orders"), F.round(F.sum("total"), 2).alias("total"), F.count("*").alias("n_customers"), F.to_date(F.min("d0")).cast("string").alias("first_day"),
         F.to_date(F.max("d1")).cast("string").alias("last_day"), F.round(F.sum("f") / F.nullif(F.sum("nf"), F.lit(0)), 4).alias("avg_f"), F.round(F.sum("urgent"), 2).alias("urgent"),

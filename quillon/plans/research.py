@@ -230,13 +230,13 @@ def rsk07_pair_sizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(l.select("l_orderkey", "l_linenumber", *out))
 
 
-@query(f"""WITH RECURSIVE {_RET}, v AS (SELECT symbol, day, CASE WHEN y > 0 THEN -1e-2 WHEN y < 0 THEN 1e-2 ELSE 0 END AS w, coalesce(last_value(dollar_volume IGNORE NULLS) OVER ({_W} ROWS UNBOUNDED PRECEDING), 0) * 1e-2 / 1e4 AS lim, row_number() OVER ({_W}) AS rn FROM p),
+@query(f"""WITH RECURSIVE {_RET}, v AS (SELECT symbol, day, CASE WHEN y > 0 THEN -1e-2 WHEN y < 0 THEN 1e-2 ELSE 0 END AS w, coalesce(last_value(dollar_volume IGNORE NULLS) OVER ({_W} ROWS UNBOUNDED PRECEDING), 0) * 1e-2 / 9700 AS lim, row_number() OVER ({_W}) AS rn FROM p),
  t AS (SELECT symbol, day, rn, greatest(-lim, least(lim, w)) AS capped FROM v WHERE rn = 1 UNION ALL SELECT v.symbol, v.day, v.rn,
  (CASE WHEN capped * w > 0 THEN CASE WHEN abs(w) >= abs(capped) THEN capped ELSE w END ELSE 0 END) + greatest(-lim, least(lim, w - (CASE WHEN capped * w > 0 THEN CASE WHEN abs(w) >= abs(capped) THEN capped ELSE w END ELSE 0 END)))
  FROM t JOIN v ON v.symbol = t.symbol AND v.rn = t.rn + 1) SELECT symbol, CAST(day AS VARCHAR) AS day, round(capped, 6) AS capped FROM t""")
 def stg09_adv_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _panel(spark, sf_dir).withColumn("weight", F.when(F.col("y") > 0, -0.01).when(F.col("y") < 0, 0.01).otherwise(0.0))
-    return _day(st.capped_weights(p.select("symbol", "day", "weight", "dollar_volume"), "symbol", "day", "weight", "dollar_volume", 1e4), "capped")
+    return _day(st.capped_weights(p.select("symbol", "day", "weight", "dollar_volume"), "symbol", "day", "weight", "dollar_volume", 9700.0), "capped")
 
 
 def _psi_sql(column: str) -> str:

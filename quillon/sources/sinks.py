@@ -129,3 +129,53 @@ def written_rows(df: DataFrame, path: str, mode: str = "append") -> int:
 def missing_keys(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
     """Keys of df that the written table lacks: empty after a good append."""
     return df.select(*keys).distinct().join(df.sparkSession.read.parquet(path).select(*keys).distinct(), list(keys), "left_anti")
+
+
+class PublicationConflict(ValueError):
+    """Another generation was published since the expected one."""
+
+
+def _store(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def generation(spark: SparkSession, folder: str) -> int:
+    """The number of the latest generation published in folder; 0 for none."""
+    path, store = _store(spark, folder)
+    if not store.exists(path):
+        return 0
+    names = [s.getPath().getName() for s in store.listStatus(path)]
+    return max((int(n.removeprefix("generation-")) for n in names if n.startswith("generation-")), default=0)
+
+
+def publish(df: DataFrame, folder: str, expected: int) -> int:
+    """Publishes df as the generation after `expected`, or raises PublicationConflict: the data are written under a
+    fresh name first, and the generation's pointer is created only if it is not there, so of two writers one
+    wins and readers see whole generations alone."""
+    import uuid
+
+    spark, name = df.sparkSession, f"data-{uuid.uuid4().hex}"
+    if generation(spark, folder) != expected:
+        raise PublicationConflict(f"{folder} is not at generation {expected}")
+    df.write.parquet(f"{folder}/{name}")
+    path, store = _store(spark, f"{folder}/generation-{expected + 1:012d}")
+    try:
+        out = store.create(path, False)
+    except Exception as e:
+        raise PublicationConflict(f"{folder} has left generation {expected}") from e
+    out.write(bytearray(name.encode()))
+    out.close()
+    return expected + 1
+
+
+def published(spark: SparkSession, folder: str, number: int | None = None) -> DataFrame:
+    """The latest generation, or the one of that number."""
+    number = generation(spark, folder) if number is None else number
+    path, store = _store(spark, f"{folder}/generation-{number:012d}")
+    stream = store.open(path)
+    try:
+        name = bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+    return spark.read.parquet(f"{folder}/{name}")

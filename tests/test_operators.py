@@ -431,3 +431,182 @@ def test_entry_without_the_training_subpackage(tmp_path):
         (tmp_path / "zstandard.py").write_text("raise ImportError('not here')")
         shutil.copytree(root / "quillon" / "llm", tmp_path / "quillon" / "llm")
         assert run(tmp_path, env)[:2] == [n, "0"]
+
+
+# -- sources, sinks and services ----------------------------------------------------------------
+
+
+def test_publication_is_compare_and_set(spark, tmp_path):
+    folder = f"{tmp_path}/published"
+    assert sinks.generation(spark, folder) == 0
+    assert sinks.publish(spark.range(3), folder, 0) == 1 and sinks.publish(spark.range(5), folder, 1) == 2
+    with pytest.raises(sinks.PublicationConflict):
+        sinks.publish(spark.range(9), folder, 1)
+    assert sinks.published(spark, folder).count() == 5 and sinks.published(spark, folder, 1).count() == 3
+
+
+def test_truncate_ingest_and_steps(spark, tmp_path):
+    paths = {n: f"{tmp_path}/{n}" for n in ("a", "reviews")}
+    for p in paths.values():
+        spark.range(4).write.parquet(p)
+    assert sinks.truncate(spark, paths, {"reviews"}) == ["a"]
+    assert spark.read.parquet(paths["a"]).count() == 0 and spark.read.parquet(paths["a"]).columns == ["id"] and spark.read.parquet(paths["reviews"]).count() == 4
+    log = f"{tmp_path}/manifest"
+
+    def fails():
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError):
+        sinks.ingest(spark, log, "f", fails)
+    assert sinks.ingest(spark, log, "f", lambda: 7) == "SUCCESS" and sinks.ingest(spark, log, "f", fails) == "SKIPPED"
+    assert sorted(x.status for x in spark.read.parquet(log).collect()) == ["FAILED", "RUNNING", "RUNNING", "SUCCESS"]
+    seen = []
+    steps = [("one", lambda s: seen.append(1), None), ("two", lambda s: seen.append(2), f"{tmp_path}/none"), ("three", lambda s: seen.append(3), paths["a"])]
+    assert sinks.run_steps(spark, steps) == [("one", "ran"), ("two", "skipped"), ("three", "ran")] and seen == [1, 3]
+    script = "-- head; no\nSELECT ';' AS a, 1 - 2 FROM ${t}; /* x; */ SELECT 2 / 1;\n;"
+    assert sinks.statements(script, {"t": "x"}) == ["SELECT ';' AS a, 1 - 2 FROM x", "SELECT 2 / 1"]
+    with pytest.raises(ValueError):
+        sinks.statements("${gone}", {})
+    with pytest.raises(Exception):
+        sinks.require_not_null(spark.createDataFrame([(None,)], "a int"), ["a"]).collect()
+    assert sinks.with_comments(spark.range(1), {"id": "key"}).schema["id"].metadata == {"comment": "key"}
+
+
+def test_offline_parsers(spark):
+    body = '{"results": [{"t": 1704207600000, "o": 1, "h": 2, "l": 0.5, "c": 1.5, "v": 10, "vw": 1.2, "n": 3}, {"o": 1}]}'
+    got = readers.aggregate_pages(spark.createDataFrame([("A", body), ("B", "not json")], "s string, j string"), "s", "j").collect()
+    assert [(x.symbol, x.event_ts, x.close, x.trade_count) for x in got] == [("A", dt.datetime(2024, 1, 2, 15), 1.5, 3)]
+    funding = '[{"coin": "BTC", "fundingRate": "0.0001", "premium": "-0.1", "time": 1704207600000}, {"coin": "X"}]'
+    assert [tuple(x) for x in readers.funding_rates(spark.createDataFrame([(funding,)], "j string"), "j").collect()] == [("BTC", dt.datetime(2024, 1, 2, 15), 0.0001, -0.1)]
+    page = "<R><NextContinuationToken>tok</NextContinuationToken><Contents><Key>a/b</Key><LastModified>2024-01-02T00:00:00.000Z</LastModified><Size>7</Size></Contents><Contents><Size>1</Size></Contents></R>"
+    got = readers.bucket_listing(spark.createDataFrame([(page,), ("<R></R>",)], "x string"), "x").collect()
+    assert [tuple(x) for x in got] == [("a/b", 7, dt.datetime(2024, 1, 2), "tok")]
+    pages = {"1": '{"next_url": "2"}', "2": "{}"}
+    assert readers.fetch_pages(pages.__getitem__, "1") == list(pages.values())
+    with pytest.raises(ValueError):
+        readers.fetch_pages(lambda u: '{"next_url": "1"}', "1")
+    out = []
+    assert readers.in_batches(range(7), 3, out.append) == 7 and out == [[0, 1, 2], [3, 4, 5], [6]]
+    assert readers.in_batches(range(7), 3, out.append, most=1) == 3
+    assert readers.config_rows("# c\n- symbol: SPY\n  source: 'x'  # why\n\n- symbol: QQQ\n") == [{"symbol": "SPY", "source": "x"}, {"symbol": "QQQ"}]
+    with pytest.raises(ValueError):
+        readers.config_rows("symbol: A")
+    win = rows(readers.fetch_windows(spark, "2024-01-01", "2024-01-20", 10, 3), "start")
+    assert win[0] == (dt.date(2024, 1, 1), dt.date(2024, 1, 10)) and win[1][0] == dt.date(2024, 1, 8) and win[-1][1] == dt.date(2024, 1, 20)
+    a, b = (readers.synthetic_matrix(spark, 3, 5, 1).repartition(n).orderBy("symbol", "day").collect() for n in (1, 4))
+    assert a == b and len(a) == 15 and readers.synthetic_matrix(spark, 3, 5, 2).orderBy("symbol", "day").collect() != a
+    outbox = spark.range(10).withColumnRenamed("id", "event_id")
+    assert [x.event_id for x in readers.undelivered(outbox, outbox.where("event_id < 3"), 2, outbox.where("event_id = 3")).collect()] == [4, 5]
+
+
+def test_calendar_check_and_weekends(spark):
+    rules = calendar.derived(spark, 2024, 2024)
+    static = rules.where("day <> '2024-06-19'").selectExpr("day", "kind", "false special").unionByName(spark.createDataFrame([(dt.date(2024, 3, 5), "closure", False), (dt.date(2024, 12, 5), "closure", True)], "day date, kind string, special boolean"))
+    assert sorted((str(x.day), x.problem) for x in calendar.calendar_problems(static, rules).collect()) == [("2024-03-05", "no_rule"), ("2024-06-19", "missing")]
+    sessions = calendar.sessions(spark, 2024, 2025)
+    fridays = spark.createDataFrame([(dt.date(2024, 3, 29),), (dt.date(2024, 5, 24),), (dt.date(2024, 5, 23),)], "day date")
+    got = {str(x.day): (x.start, x.end) for x in calendar.weekend_windows(fridays, sessions, "day").collect()}
+    assert got["2024-03-29"] == (dt.datetime(2024, 3, 28, 20), dt.datetime(2024, 4, 1, 13, 30))  # a holiday on the Friday
+    assert got["2024-05-24"] == (dt.datetime(2024, 5, 24, 20), dt.datetime(2024, 5, 28, 13, 30))  # and on the Monday
+    assert got["2024-05-23"] == (None, None)
+    assert calendar.trading_dates(sessions, "2024-07-01", "2024-07-07").count() == 4
+
+
+def test_ordered_rejects_bad_days(spark):
+    good = spark.createDataFrame([("a", 2), ("a", 1), ("b", 1)], "k string, d int")
+    assert [tuple(x) for x in quality.ordered(good, ["k"], "d").orderBy("k", "d").collect()] == [("a", 1, 1), ("a", 2, 2), ("b", 1, 1)]
+    for bad in ([("a", 1), ("a", 1)], [("a", None)]):
+        with pytest.raises(Exception):
+            quality.ordered(spark.createDataFrame(bad, "k string, d int"), ["k"], "d").collect()
+
+
+def test_retrieval_service(spark):
+    loads, gone = [], []
+    cache = retrieval.CorpusCache(lambda t: loads.append(t) or t.lower(), 2, gone.append)
+    assert [cache.get(t) for t in ("A", " a ", "B", "A", "C", "B")] == ["a", "a", "b", "a", "c", "b"]
+    assert loads == ["A", "B", "C", "B"] and gone == ["b", "a"]
+    broken = retrieval.CorpusCache(lambda t: 1 / 0)
+    for _ in range(2):
+        with pytest.raises(ZeroDivisionError):
+            broken.get("x")
+    utc = dt.timezone.utc
+    assert retrieval.parse_as_of("2024-05-01").hour == 23 and retrieval.parse_as_of("2024-05-01T12:00:00+02:00") == dt.datetime(2024, 5, 1, 10, tzinfo=utc)
+    with pytest.raises(ValueError):
+        retrieval.parse_as_of("yesterday")
+    v = spark.createDataFrame([(1, [1.0, 2.0], "m"), (2, [1.0], "m")], "i int, v array<double>, model string")
+    assert retrieval.check_vectors(v.where("i = 1"), "v", "model", 2, "m").count() == 1
+    with pytest.raises(Exception):
+        retrieval.check_vectors(v, "v", "model", 2, "m").collect()
+    gold = spark.createDataFrame([(1, 10), (2, 20)], "q int, d int")
+    ranked = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "q int, d int, rank int")
+    strata = spark.createDataFrame([(1, "x"), (2, "y")], "q int, kind string")
+    got = {(x["mode"], x.stratum): (x.n, x.recall, x.mrr) for x in retrieval.evaluate({"bm25": ranked}, gold, strata, "q", "d", 5).collect()}
+    assert got == {("bm25", "all"): (2, 0.5, 0.5), ("bm25", "kind=x"): (1, 1.0, 1.0), ("bm25", "kind=y"): (1, 0.0, 0.0)}
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(5)], "i int, t string")
+    assert retrieval.enriched(docs, "i", "t", None, 3).count() == 0
+    assert [x.note for x in retrieval.enriched(docs, "i", "t", lambda ts: [t.upper() for t in ts], 3).orderBy("i").collect()] == ["T0", "T1", "T2"]
+
+
+def test_identity_versions(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("x", "y")], "p string, q string")
+    moves = identity.migration(df, "k", ["p", "q"])
+    assert sorted(x.collided for x in moves.collect()) == [False, True, True]
+    held = df.select(identity.versioned_id("k", 1, F.col("p"), F.col("q")).alias("id"))
+    out = [x.id for x in identity.migrated(held, "id", moves).collect()]
+    assert sum(x.startswith("k:v2:") for x in out) == 1
+    assert identity.collisions(df.withColumn("id", identity.versioned_id("k", 1, F.col("p"), F.col("q"))), "id", ["p", "q"]).first().n == 2
+
+
+def test_drift_summary_and_frames(spark):
+    from quillon.operators import experiments
+
+    a, b = spark.range(1000).selectExpr("id x", "id y"), spark.range(1000).selectExpr("id x", "id + 900 y")
+    report = research.drift_report(a, b, ["x", "y"])
+    doc = experiments.drift_summary(report, report, 1000, 1000, "test")
+    assert doc["feature_drift"] == {"per_feature_drift": {"x": False, "y": True}, "n_features": 2, "n_drifted_features": 1, "share_of_drifted_features": 0.5, "dataset_drift": True}
+    with pytest.raises(ValueError):
+        experiments.require_columns(a, ["x", "z"])
+
+
+def test_pair_estimates_and_signals(spark):
+    from quillon.operators import experiments
+
+    rng = np.random.default_rng(2)
+    prices = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, (90, 4)), axis=0))
+    df = spark.createDataFrame([("s", i, *map(float, p)) for i, p in enumerate(prices)], "s string, d int, open_a double, close_a double, open_b double, close_b double")
+    got = experiments.estimate_pair(df, "s", "d", percentile=30).orderBy("d").toPandas()
+    r = pd.Series(prices[:, 1]).pct_change()
+    assert np.allclose(got.rvol_20_a, r.rolling(20, min_periods=5).std() * np.sqrt(252), equal_nan=True)
+    assert np.allclose(got.vol_a, np.sqrt(r.ewm(span=20, adjust=False, min_periods=10).var() * 252), equal_nan=True)
+    want = [np.mean([x <= v for x in w]) if len(w) == 30 else np.nan for v, w in ((got.vol_a[i], got.vol_a[: i + 1].dropna()[-30:]) for i in range(90))]
+    full = got.vol_a.rolling(30).count() == 30
+    assert np.allclose(got.vol_pct_a[full], np.array(want)[full])
+    z = experiments.momentum_z(df, "close_a", "s", "d", 5).orderBy("d").toPandas().signal
+    ratio = pd.Series(prices[:, 1]).pct_change(5)
+    assert np.allclose(z[15:], np.tanh(ratio / ratio.rolling(5).std())[15:]) and experiments.varies_in_magnitude("momentum_z")
+    m = df.select("d", experiments.reference_signal("close_a", "s", "d", "reversal", 5).alias("v")).orderBy("d").toPandas().v
+    assert np.allclose(m, -np.sign(ratio.fillna(0)))
+
+
+def test_gate_and_choice_of_holding(spark):
+    from quillon.operators import experiments
+
+    pos = spark.createDataFrame([("s", d, 1, 1) for d in range(4)], "symbol string, day int, hold int, position int")
+    regimes = spark.createDataFrame([(1, "NARROW"), (2, "BROAD"), (1, "NARROW")], "day int, regime string")
+    assert [x.position for x in experiments.gated(pos, regimes).orderBy("day").collect()] == [0, 1, 0, 0]
+    rng = np.random.default_rng(4)
+    net = {(h, d): float(rng.normal(0.1 * (h == 5 and d < 50), 1)) for h in (3, 5) for d in range(100)}
+    df = spark.createDataFrame([(h, d, v) for (h, d), v in net.items()], "hold int, day int, net double")
+    got = experiments.walk_forward_hold(df, 3, 5).collect()
+    assert {x.day for x in got} == set(range(25, 100))
+    for x in got:
+        train = range(0, x.fold * 25 - 5)
+        ratio = {h: np.mean([net[h, d] for d in train]) / np.std([net[h, d] for d in train]) for h in (3, 5)}
+        assert x.hold == max(ratio, key=ratio.get) and x.net == net[x.hold, x.day]
+
+
+def test_label_clashes_and_graph_ids(spark):
+    part = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "k int, l string")
+    n = graph.nodes([("t", part, "k", "l")])
+    assert sorted((x.key, x.label) for x in n.collect()) == [("1", "a"), ("2", "c")]
+    assert [tuple(x) for x in graph.label_clashes([("t", part, "k", "l")]).collect()] == [("t", "1", 2)]
