@@ -122,22 +122,37 @@ def resolve(log: DataFrame, business: Column, knowledge: Column, view: str) -> D
 def _corrected_by(log: DataFrame, start: DataFrame) -> DataFrame:
     """Ids reached from start by following supersedes any number of steps.
 
-    Pointer doubling: a round's pointers lead 1, 2, 4, ... steps on, one row a link at most, so a chain
-    of n links takes log2(n) rounds of two equi-joins. Each round is written to the shared folder and the
-    one before removed. A cycle ends with the number of its links."""
-    step = log.where("supersedes is not null").select(F.col("event_id").alias("f"), F.col("supersedes").alias("t")).distinct()
-    jump = scratch.cut(step)
-    reach = scratch.cut(start.where("supersedes is not null").select(F.col("supersedes").alias("event_id")).distinct())
-    links = left = jump.count()
-    steps = 1
-    while left and steps <= links:
-        more = reach.join(jump, reach["event_id"] == jump["f"]).select(F.col("t").alias("event_id"))
-        twice = jump.alias("x").join(jump.alias("y"), F.col("x.t") == F.col("y.f")).select(F.col("x.f").alias("f"), F.col("y.t").alias("t"))
-        old = jump, reach
-        jump, reach = scratch.cut(twice.distinct()), scratch.cut(reach.unionByName(more).distinct())
-        scratch.discard(*old)
-        left, steps = jump.count(), 2 * steps
-    return reach
+    Pointer doubling, twice a round: a round's pointers lead 1, 4, 16, ... steps on, one row a link at most, so
+    a chain of n links takes half of log2(n) rounds of equi-joins. Each round is written to the shared folder
+    and the one before removed. A cycle ends with the number of its links."""
+    jump = scratch.cut(log.where("supersedes is not null").select(F.col("event_id").alias("f"), F.col("supersedes").alias("t")).distinct())
+    reach = start.where("supersedes is not null").select(F.col("supersedes").alias("event_id")).distinct()
+    steps, links, held = 1, None, []
+    while True:
+        twice = _composed(jump)
+        further = _followed(_followed(reach, jump), twice).distinct()
+        ahead = scratch.cut(_composed(twice).distinct())
+        steps *= 4
+        if steps > 1024 and links is None:
+            links = log.count()
+        if ahead.isEmpty() or (links is not None and steps > links):
+            return further
+        held.append(jump)
+        if steps > 4:  # the first round's result is read from its two tables
+            further, old = scratch.cut(further), held
+            scratch.discard(*old)
+            held = [further]
+        jump, reach = ahead, further
+
+
+def _composed(jump: DataFrame) -> DataFrame:
+    """Pointers (f, t) that lead twice as far, not yet made distinct."""
+    both = jump.alias("x").join(jump.alias("y"), F.col("x.t") == F.col("y.f"))
+    return both.select(F.col("x.f").alias("f"), F.col("y.t").alias("t"))
+
+
+def _followed(reach: DataFrame, jump: DataFrame) -> DataFrame:
+    return reach.unionByName(reach.join(jump, reach["event_id"] == jump["f"]).select(F.col("t").alias("event_id")))
 
 
 def correction_cycles(log: DataFrame) -> DataFrame:
@@ -145,13 +160,10 @@ def correction_cycles(log: DataFrame) -> DataFrame:
     successor after as many steps as there are links."""
     jump = scratch.cut(log.where("supersedes is not null").select(F.col("event_id").alias("f"), F.col("supersedes").alias("t")).distinct())
     links, steps = jump.count(), 1
-    while steps <= links:
-        twice = jump.alias("x").join(jump.alias("y"), F.col("x.t") == F.col("y.f")).select(F.col("x.f").alias("f"), F.col("y.t").alias("t"))
-        jump, old = scratch.cut(twice.distinct()), jump
+    while steps <= links and not jump.isEmpty():
+        jump, old = scratch.cut(_composed(_composed(jump)).distinct()), jump
         scratch.discard(old)
-        steps *= 2
-        if jump.isEmpty():
-            break
+        steps *= 4
     return jump.select(F.col("f").alias("event_id")).distinct()
 
 

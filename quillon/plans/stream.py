@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 
 #: Files of the landing folder; rows of every LATE-th id come two files late, of every AGAIN-th one twice.
-FILES, LATE, AGAIN = 4, 50, 20
+FILES, LATE, AGAIN = 3, 50, 20
 
 
 def _landed(spark: SparkSession, sf_dir: str) -> str:
@@ -39,8 +39,13 @@ def _landed(spark: SparkSession, sf_dir: str) -> str:
     part = F.floor((F.col("us") - low) * FILES / F.lit(max(1, high - low + 1))).cast("int")
     due = F.when((n % LATE == 0) & (part + 2 < FILES), part + 2).otherwise(part)
     rows = e.withColumn("due", F.explode(F.when(n % AGAIN == 0, F.array(due, due)).otherwise(F.array(due)))).drop("us")
+    rows.repartitionByRange(FILES, "due").sortWithinPartitions("due").write.partitionBy("due").parquet(folder)
+    # the stream reads the oldest file first
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for i in range(FILES):
-        rows.where(F.col("due") == i).drop("due").coalesce(1).write.mode("append").parquet(folder)
+        for status in store.globStatus(path(f"{folder}/due={i}/*.parquet")):
+            store.setTimes(status.getPath(), status.getModificationTime() - 10_000 * (FILES - i), -1)
     return folder
 
 
