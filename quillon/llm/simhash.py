@@ -44,8 +44,10 @@ BINS = 16
 #: 10,000 cases. Of the BANDS * ROWS values, kept as a byte each, AGREE must agree; at 0.8 they do so but
 #: in about 1 of 10,000 cases.
 BANDS, ROWS, AGREE = 16, 4, 0.6
-#: Shingle sets of a component with more bytes are split into blocks of about so many.
-BLOCK_BYTES = 16 << 20
+#: Shingle sets of a component with more bytes, or of more sets, are split into blocks of about so many.
+BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 1024
+#: Components of more sets are compared with one of their sets first, in parts of about so many.
+FEW, PART = 64, 4096
 
 _MULTIPLY, _COMBINE = (np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -502,13 +504,58 @@ def _alike(sets: list[np.ndarray], node: np.ndarray, left: np.ndarray, right: np
             yield int(node[x]), int(node[y])
 
 
+def _judged(sets: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """(root, node, hashes, pivot, alike) of the sets of the roots in sizes (root, n): whether a set is alike to its
+    root's first one, the pivot. A root's sets meet its pivot in parts of about PART, so no task gets a large
+    root."""
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    own = sets.join(sizes.select("root", parts.alias("parts")), "root")
+    first = own.groupBy("root", "parts").agg(F.min("node").alias("pivot"))
+    pivots = own.select("root", "node", F.col("hashes").alias("pivot_hashes")).join(first, "root").where("node = pivot").dropDuplicates(["root"]).drop("node")
+    pivots = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    met = own.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts").join(pivots, ["root", "part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "hashes"):
+            alike = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist()):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(bool(shared) and shared / (len(x) + len(y) - shared) >= least)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(alike, pa.bool_())], names=["root", "node", "hashes", "pivot", "alike"])
+
+    return met.select("root", "node", "hashes", "pivot", "pivot_hashes").mapInArrow(run, "root long, node long, hashes binary, pivot long, alike boolean")
+
+
+def _paired(sets: DataFrame) -> DataFrame:
+    """(root, i, j, blk, node, hashes): the sets (root, node, hashes, alike) of each root in blocks, and every two
+    blocks as a group, but for two of alike sets, which are joined through their pivot. Blocks hold about
+    BLOCK_BYTES and BLOCK_ROWS."""
+    blocks = lambda side: F.ceil(F.greatest(F.sum(F.when(side, F.length("hashes"))) / F.lit(BLOCK_BYTES), F.count_if(side) / F.lit(BLOCK_ROWS))).cast("int")
+    alike = F.col("alike")
+    total = sets.groupBy("root").agg(F.coalesce(blocks(~alike), F.lit(0)).alias("rest"), F.coalesce(blocks(alike), F.lit(0)).alias("near"))
+    dealt = sets.join(total.where("rest > 0"), "root")
+    h = F.xxhash64("node")
+    blk = F.when(alike, F.col("rest") + F.pmod(h, F.greatest("near", F.lit(1)))).otherwise(F.pmod(h, F.col("rest"))).cast("int")
+    # a set alike to the pivot meets the blocks of the others, one of the others meets all blocks
+    other = F.when(alike, F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("near") - 1))
+    dealt = dealt.withColumn("blk", blk).withColumn("o", F.explode(other))
+    return dealt.select("root", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "hashes")
+
+
 def verified(sets: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between the sets (root, node, hashes) of one root, by their exact similarity. A root's
-    sets of more than BLOCK_BYTES are dealt into blocks, and every two of its blocks are a group."""
-    total = sets.groupBy("root").agg(F.ceil(F.sum(F.length("hashes")) / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = sets.join(total, "root").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("root", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "hashes")
+    """Links (a, b) between the sets (root, node, hashes) of one root, by their exact similarity; they join the
+    same sets as all links do.
+
+    In a root of more than FEW sets or BLOCK_BYTES, each set is first compared with one of them, the pivot:
+    those alike to it are joined through it and need no comparison with each other, so a large group of near
+    copies costs its size, not its square. What is left is compared with everything of its root, in blocks."""
+    sizes = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("hashes")).alias("bytes"))
+    large = sizes.where((F.col("n") > FEW) | (F.col("bytes") > BLOCK_BYTES)).select("root", "n")
+    judged = common.cut(_judged(sets, large, least))
+    near = judged.where("alike and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    small = sets.join(large, "root", "left_anti").select("root", "node", "hashes", F.lit(False).alias("alike"))
+    dealt = _paired(small.unionByName(judged.select("root", "node", "hashes", "alike")))
     keys = ["root", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -536,7 +583,8 @@ def verified(sets: DataFrame, least: float) -> DataFrame:
         if held:
             yield emit()
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    compared = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return near.unionByName(compared)
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:

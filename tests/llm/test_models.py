@@ -152,10 +152,12 @@ def jaccard_components(texts, k, least):
     return label, len(links)
 
 
-@pytest.mark.parametrize("block_bytes", [16 << 20, 4000])
-def test_deduplicate_equals_brute_force(spark, monkeypatch, block_bytes):
-    """Pairs on both sides of 0.8, chains, one shared text length, and components over several blocks."""
-    monkeypatch.setattr(simhash, "BLOCK_BYTES", block_bytes)
+@pytest.mark.parametrize("block_bytes,few,part", [(16 << 20, 64, 4096), (4000, 64, 4096), (16 << 20, 2, 2)])
+def test_deduplicate_equals_brute_force(spark, monkeypatch, block_bytes, few, part):
+    """Pairs on both sides of 0.8, chains, one shared text length, and components over several blocks, with and without
+    a first comparison with one set."""
+    for name, value in (("BLOCK_BYTES", block_bytes), ("FEW", few), ("PART", part)):
+        monkeypatch.setattr(simhash, name, value)
     rng = np.random.default_rng(11)
     texts = []
     for family in range(60):
@@ -173,18 +175,36 @@ def test_deduplicate_equals_brute_force(spark, monkeypatch, block_bytes):
     assert sorted(x.doc_id for x in got.collect()) == sorted(set(label))
 
 
-def test_one_component_over_several_blocks(spark):
+@pytest.mark.parametrize("size,few,rows", [(16 << 20, 64, 1024), (20_000, 64, 1024), (16 << 20, 3, 7), (16 << 20, 1000, 1024)])
+def test_one_component_over_several_blocks(spark, monkeypatch, size, few, rows):
+    for name, value in (("BLOCK_BYTES", size), ("FEW", few), ("BLOCK_ROWS", rows)):
+        monkeypatch.setattr(simhash, name, value)
     rng = np.random.default_rng(2)
     sets = [np.sort(rng.choice(200, 100, replace=False)).astype("<u8") for _ in range(60)]
     sets += [np.delete(s, [int(i)]) for s in sets for i in rng.integers(0, 100, 2)]
     df = spark.createDataFrame([(1, i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "root long, node long, hashes binary")
-    for size in (16 << 20, 20_000):
-        simhash.BLOCK_BYTES, old = size, simhash.BLOCK_BYTES
-        try:
-            got = {x.node: x.root for x in components.components(simhash.verified(df, 0.8)).collect()}
-        finally:
-            simhash.BLOCK_BYTES = old
-        assert {i: got.get(i, i) for i in range(len(sets))} == {i: i if i < 60 else (i - 60) // 2 for i in range(len(sets))}
+    got = {x.node: x.root for x in components.components(simhash.verified(df, 0.8)).collect()}
+    assert {i: got.get(i, i) for i in range(len(sets))} == {i: i if i < 60 else (i - 60) // 2 for i in range(len(sets))}
+
+
+@pytest.mark.parametrize("few", [5, 1000])
+def test_a_large_group_of_near_copies(spark, monkeypatch, few):
+    """A group in which most are alike to the pivot, some only to others of the group, and some to none; an empty
+    set is alike to nothing."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 20)
+    rng = np.random.default_rng(9)
+    base = np.arange(100)
+    sets = [np.setdiff1d(base, rng.integers(0, 100, int(rng.integers(0, 25)))) for _ in range(120)]
+    sets += [np.arange(5 * i, 5 * i + 100) for i in range(30)] + [np.array([], int)]
+    df = spark.createDataFrame([(7, i, bytearray(x.astype("<u8").tobytes())) for i, x in enumerate(sets)], "root long, node long, hashes binary")
+    label = list(range(len(sets)))
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a]) and len(sets[b]) and len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.8]
+    for _ in range(40):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {x.node: x.root for x in components.components(simhash.verified(df, 0.8)).collect()}
+    assert [got.get(i, i) for i in range(len(sets))] == label and len(set(label)) > 3
 
 
 # -- nearest neighbours -----------------------------------------------------------------------
