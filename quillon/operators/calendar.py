@@ -123,11 +123,14 @@ def next_open(df: DataFrame, calendar: DataFrame, ts: str) -> DataFrame:
     packed = calendar.agg(F.array_sort(F.collect_list(F.struct("day", "open_ts", "close_ts"))).alias("_c"))  # about 252 entries a year
     # places by date: for each calendar date the first session on or after it
     dates = packed.select(F.posexplode("_c").alias("_i", "_s")).select(F.col("_s.day").alias("_day"), F.col("_i").cast("int").alias("_i"))
-    span = packed.select(F.explode(F.sequence(F.col("_c")[0]["day"], F.element_at("_c", -1)["day"])).alias("_day"))
+    # from the year's first day on, and for a holiday week beyond the last session
+    last = F.date_add(F.element_at("_c", -1)["day"], 7)
+    span = packed.select(F.explode(F.sequence(F.trunc(F.col("_c")[0]["day"], "year"), last)).alias("_day"))
     from pyspark.sql import Window
 
     place = span.join(dates, "_day", "left").withColumn("_i", F.first("_i", ignorenulls=True).over(Window.orderBy("_day").rowsBetween(0, Window.unboundedFollowing)))
-    near = place.join(F.broadcast(packed)).select("_day", F.slice("_c", F.greatest(F.col("_i") - 1, F.lit(1)), F.lit(4)).alias("_c"))
+    at = F.coalesce(F.col("_i"), F.size("_c"))
+    near = place.join(F.broadcast(packed)).select("_day", F.slice("_c", F.greatest(at - 1, F.lit(1)), F.lit(4)).alias("_c"))  # one row
     out = df.withColumn("_day", F.to_date(ts)).join(F.broadcast(near), "_day", "left")
     t = F.col(ts)
     return out.withColumns(

@@ -258,16 +258,41 @@ def idn02_05_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) SELECT CAST(day AS VARCHAR) AS day, dayofweek(day) NOT IN (0, 6) AND strftime(day, '%m-%d') NOT IN ('01-01', '07-04', '12-25', '06-19') AND strftime(day, '%m-%d') <> '07-05' AS weekday_plain FROM d""")
-def cal02_04_weekdays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = events(spark, sf_dir).select(F.to_date("ts").alias("day")).distinct()
-    fixed = F.date_format("day", "MM-dd")
-    return d.select(F.col("day").cast("string").alias("day"), (cal.weekday(F.col("day")) & ~fixed.isin("01-01", "07-04", "12-25", "06-19", "07-05")).alias("weekday_plain"))
+def _nth(month: int, weekday: int, n: int) -> str:
+    """SQL for the n-th weekday (1: Monday) of a month of year y."""
+    first = f"make_date(y, {month}, 1)"
+    return f"{first} + CAST(({weekday} - isodow({first}) + 7) % 7 + {7 * (n - 1)} AS INTEGER)"
 
 
-@query()
+def _observed(day: str) -> str:
+    return f"CASE isodow({day}) WHEN 6 THEN {day} - 1 WHEN 7 THEN {day} + 1 ELSE {day} END"
+
+
+_SESSIONS = f"""ys AS (SELECT CAST(unnest(range((SELECT min(year(ts)) FROM events), (SELECT max(year(ts)) + 2 FROM events))) AS INTEGER) AS y),
+ e1 AS (SELECT y, (19 * (y % 19) + y // 100 - y // 400 - (y // 100 - (y // 100 + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM ys), e2 AS (SELECT y, h, (32 + 2 * (y // 100 % 4) + 2 * (y % 100 // 4) - h - y % 100 % 4) % 7 AS l FROM e1), e3 AS (SELECT y, h + l - 7 * ((y % 19 + 11 * h + 22 * l) // 451) + 114 AS e FROM e2),
+ closed AS (SELECT {_nth(1, 1, 3)} AS day FROM ys UNION SELECT {_nth(2, 1, 3)} FROM ys UNION SELECT make_date(y, CAST(e // 31 AS INTEGER), CAST(e % 31 + 1 AS INTEGER)) - 2 FROM e3 UNION SELECT make_date(y, 5, 31) - CAST(isodow(make_date(y, 5, 31)) - 1 AS INTEGER) FROM ys
+ UNION SELECT {_observed('make_date(y, 6, 19)')} FROM ys WHERE y >= 2022 UNION SELECT {_observed('make_date(y, 7, 4)')} FROM ys UNION SELECT {_nth(9, 1, 1)} FROM ys UNION SELECT {_nth(11, 4, 4)} FROM ys UNION SELECT {_observed('make_date(y, 12, 25)')} FROM ys
+ UNION SELECT {_observed('make_date(y, 1, 1)')} FROM ys WHERE isodow(make_date(y, 1, 1)) <> 6), early AS (SELECT {_nth(11, 4, 4)} + 1 AS day FROM ys UNION SELECT make_date(y, 7, 3) FROM ys UNION SELECT make_date(y, 12, 24) FROM ys),
+ sessions AS (SELECT day, timezone('UTC', timezone('America/New_York', day + INTERVAL 570 MINUTE)) AS open_ts, timezone('UTC', timezone('America/New_York', day + CASE WHEN day IN (SELECT day FROM early) THEN INTERVAL 780 MINUTE ELSE INTERVAL 960 MINUTE END)) AS close_ts
+ FROM (SELECT CAST(unnest(generate_series((SELECT make_date(min(y), 1, 1) FROM ys), (SELECT make_date(max(y), 12, 31) FROM ys), INTERVAL 1 DAY)) AS DATE) AS day) WHERE isodow(day) <= 5 AND day NOT IN (SELECT day FROM closed))"""
+
+
+def _sessions(spark: SparkSession, e: DataFrame) -> DataFrame:
+    first, last = e.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    return cal.sessions(spark, first.year, last.year + 1)
+
+
+@query(f"""WITH {_SESSIONS} SELECT CAST(d.day AS VARCHAR) AS day, s.day IS NOT NULL AS trading, isodow(d.day) <= 5 AS weekday FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) d LEFT JOIN sessions s USING (day)""")
+def cal02_04_trading_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    open_days = _sessions(spark, e).select("day", F.lit(True).alias("trading"))
+    d = e.select(F.to_date("ts").alias("day")).distinct().join(open_days, "day", "left")
+    return d.select(F.col("day").cast("string").alias("day"), F.coalesce("trading", F.lit(False)).alias("trading"), cal.weekday(F.col("day")).alias("weekday"))
+
+
+@query(f"""WITH {_SESSIONS}, p AS (SELECT e.event_id, e.ts, s.close_ts FROM events e ASOF LEFT JOIN sessions s ON e.ts >= s.close_ts), n AS (SELECT e.event_id, s.open_ts FROM events e ASOF LEFT JOIN sessions s ON e.ts < s.open_ts)
+ SELECT p.event_id, epoch_us(p.close_ts) AS previous_close, epoch_us(n.open_ts) AS next_open FROM p JOIN n USING (event_id)""")
 def cal01_03_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
-    first, last = e.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
-    sessions = cal.sessions(spark, first.year, last.year + 1)
-    return cal.next_open(e.select("event_id", "ts"), sessions, "ts").select("event_id", F.unix_micros("previous_close").alias("previous_close"), F.unix_micros("next_open").alias("next_open"))
+    out = cal.next_open(e.select("event_id", "ts"), _sessions(spark, e), "ts")
+    return out.select("event_id", F.unix_micros("previous_close").alias("previous_close"), F.unix_micros("next_open").alias("next_open"))

@@ -27,7 +27,9 @@ def agg22_cal05_closed_liquidity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pp.closed_liquidity(bars(spark, sf_dir).withColumn("bucket", F.col("symbol") % 10), "event_ts", "bucket"))
 
 
-@query()
+@query(f"""WITH {BARS}, l AS (SELECT symbol, timezone('America/New_York', timezone('UTC', event_ts)) AS t FROM bars), m AS (SELECT *, extract(hour FROM t) * 60 + extract(minute FROM t) AS mi, dayofweek(t) AS d FROM l),
+ w AS (SELECT symbol, count(DISTINCT CAST(t AS DATE) - CAST((d + 2) % 7 AS INTEGER)) AS n FROM m WHERE (d = 5 AND mi >= 960) OR d IN (6, 0) OR (d = 1 AND mi < 570) GROUP BY symbol)
+ SELECT symbol, n AS n_weekends, round(CASE WHEN n > 3 THEN tanh((1.959963984540054e0 + 0.8416212335729143e0) / sqrt(n - 3)) END, 6) AS detectable FROM w""")
 def cal06_weekend_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pp.weekend_power(bars(spark, sf_dir), "event_ts", "symbol"))
 
