@@ -65,6 +65,28 @@ def eligibility(as_of: Column) -> Column:
     )
 
 
+def summarize_outcomes(ledger: DataFrame, keys: Sequence[str], date: str, hit: str, z: str, least_n: int = 100, least_dates: int = 60, rho: float = 0.2) -> DataFrame:
+    """A row per key of a ledger with `eligibility`: n eligible rows, their dates, the effective number (rows of one date
+    are taken to be correlated by rho), hits (`hit` above 0), whether that is enough, and if so the hit rate with a
+    Wilson interval over the effective number, and median and mean of z; and how many rows each reason excluded."""
+    from quillon.operators.research import wilson
+
+    good = F.col("eligibility") == "eligible"
+    reasons = ledger.where(~good).groupBy(*keys, "eligibility").agg(F.count("*").alias("_c"))
+    excluded = reasons.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("eligibility", "_c")))).alias("excluded"))  # a row per reason
+    one = ledger.groupBy(*keys).agg(
+        F.count_if(good).alias("n"), F.countDistinct(F.when(good, F.col(date))).alias("dates"), F.count_if(good & (F.col(hit) > 0)).alias("hits"),
+        F.percentile(F.when(good, F.col(z)), 0.5).alias("_median"), F.avg(F.when(good, F.col(z))).alias("_mean"),
+    )
+    n_eff = F.when(F.col("dates") > 0, F.col("n") / (1 + (F.col("n") / F.col("dates") - 1) * rho)).otherwise(0.0)
+    one = one.withColumn("n_eff", n_eff).withColumn("sufficient", (F.col("n") >= least_n) & (F.col("dates") >= least_dates) & (F.col("n_eff") >= least_n))
+    rate = F.col("hits") / F.nullif(F.col("n"), F.lit(0))
+    low, high = wilson(rate * F.col("n_eff"), F.nullif(F.col("n_eff"), F.lit(0.0)))
+    told = {"hit_rate": rate, "low": F.greatest(low, F.lit(0.0)), "high": F.least(high, F.lit(1.0)), "median_z": F.col("_median"), "mean_z": F.col("_mean")}
+    one = one.withColumns({name: F.when(F.col("sufficient"), c) for name, c in told.items()})
+    return one.join(excluded, list(keys), "left").drop("_median", "_mean")
+
+
 def signal_backtest(df: DataFrame, by: str, ts: str, probability: str, ret: str, bps: float) -> DataFrame:
     """position, turnover, gross and net return of each signal row."""
     w = Window.partitionBy(by).orderBy(ts)

@@ -10,17 +10,26 @@ from quillon.functions.market import canonical_id
 from quillon.sources import scratch
 
 
-def link_facts(facts: DataFrame, candidates: DataFrame) -> DataFrame:
+def link_facts(facts: DataFrame, candidates: DataFrame, knowledge: Column | None = None) -> DataFrame:
     """(fact_id, status, assertion): each fact linked to the one candidate that agrees in company,
-    metric, period, unit, dimensions and value, or the first rung of that ladder that none reaches.
+    metric, period, unit, dimensions and value, or the first rung of that ladder that none reaches;
+    no_candidate where there is none at all.
+
+    Values agree within half a unit of the candidate's `decimals` (which may be negative: -3 is thousands);
+    without that column, or where it is 0 or null, they must be equal. With `knowledge`, only candidates whose
+    known_from is not later are there; one of unknown time is not.
 
     Candidates are counted by all these columns first. Each rung is looked up by an equi-join with the
-    different keys that reach it, so no fact meets the candidates of its company one by one."""
-    keys, near = ["company", "metric", "period", "unit"], 1e-9
-    # values within `near` are in the same or the next bucket
-    bucket = F.rint(F.col("value").cast("double") / (10 * near))
-    counted = candidates.groupBy(*keys, "dimensions", "value").agg(F.count("*").alias("_n"), F.min("assertion").alias("_found"))
-    j = facts.select("fact_id", *keys, "dimensions", "value", F.explode(F.array_distinct(F.array(bucket - 1, bucket, bucket + 1))).alias("_b"))
+    different keys that reach it, and values meet in buckets of their scale, so no fact meets the candidates
+    of its company one by one."""
+    keys = ["company", "metric", "period", "unit"]
+    if knowledge is not None:
+        candidates = candidates.where(F.col("known_from").isNotNull() & (F.col("known_from") <= knowledge))
+    places = F.coalesce(F.col("decimals").cast("int"), F.lit(0)) if "decimals" in candidates.columns else F.lit(0)
+    value = F.col("value").cast("double")
+    bucket = lambda d: F.floor(value / F.pow(F.lit(10.0), -d))
+    counted = candidates.withColumn("decimals", places).groupBy(*keys, "dimensions", "decimals", "value").agg(F.count("*").alias("_n"), F.min("assertion").alias("_found"))
+    j = facts.select("fact_id", *keys, "dimensions", "value")
     for i in range(3):
         j = j.join(counted.select(*keys[: i + 1]).distinct().withColumn(f"_k{i}", F.lit(1)), keys[: i + 1], "left")
     dims = F.coalesce("dimensions", F.lit(""))
@@ -33,15 +42,21 @@ def link_facts(facts: DataFrame, candidates: DataFrame) -> DataFrame:
             on = on & (F.col(c) == F.col(f"_c_{c}"))
         return left.join(right, on, "left").drop(*[f"_c_{c}" for c in (*keys, "dimensions", *more)])
 
-    j = meet(j, counted.select(*keys, "dimensions").distinct().withColumn("_k4", F.lit(1)))
-    j = meet(j, counted.select(*keys, "dimensions", bucket.alias("_b"), F.col("value").alias("_value"), "_n", "_found"), "_b")
-    same = F.abs(F.col("value") - F.col("_value")) <= near
+    # a fact has a row for each scale that its candidates are stated in, and three buckets of each
+    scales = counted.groupBy(*keys, "dimensions").agg(F.collect_set("decimals").alias("_scales"), F.lit(1).alias("_k4"))
+    j = meet(j, scales).withColumn("_d", F.explode_outer("_scales")).drop("_scales")
+    at = bucket(F.col("_d"))
+    j = j.withColumn("_b", F.explode_outer(F.when(F.col("_d").isNotNull(), F.array(at - 1, at, at + 1))))
+    j = meet(j, counted.select(*keys, "dimensions", F.col("decimals").alias("_d"), bucket(F.col("decimals")).alias("_b"), F.col("value").alias("_value"), "_n", "_found"), "_d", "_b")
+    exact = "decimal(38,12)"
+    apart = F.abs(F.col("value").cast(exact) - F.col("_value").cast(exact))
+    same = F.when(F.col("_d") == 0, F.col("value") == F.col("_value")).otherwise(apart <= (F.pow(F.lit(10.0), -F.col("_d")) / 2).cast(exact))
     per = j.groupBy("fact_id").agg(
         *[F.count(f"_k{i}").alias(n) for i, n in enumerate(("n0", "n1", "n2", "n3", "n_same"))],
         F.when(F.min("_low") < F.max("_high"), 2).otherwise(1).alias("n_dims"),
         F.coalesce(F.sum(F.when(same, F.col("_n"))), F.lit(0)).alias("n_value"), F.min(F.when(same, F.col("_found"))).alias("found"),
     )
-    status = F.when(F.col("n0") == 0, "cross_issuer")
+    status = F.when(F.lit(counted.isEmpty()), "no_candidate").when(F.col("n0") == 0, "cross_issuer")
     for i, name in enumerate(("metric_mismatch", "period_mismatch", "unit_incompatible")):
         status = status.when(F.col(f"n{i + 1}") == 0, name)
     status = status.when(F.col("n_dims") > 1, "unknown_dimensions").when(F.col("n_same") == 0, "dimensions_mismatch").when(F.col("n_value") == 0, "value_mismatch").when(F.col("n_value") > 1, "ambiguous").otherwise("linked")

@@ -102,6 +102,28 @@ def classify(value: Column, rules: Sequence[tuple[str, str]], default: str) -> C
     return out.otherwise(default)
 
 
+#: Words in the upper-cased name of a futures market and the class they put it in, in order; a market
+#: with none of them is `other`.
+MARKET_CLASSES = [
+    ("equity_index", ["S&P", "E-MINI", "NASDAQ", "DOW JONES", "DJIA", "RUSSELL", "MSCI", "NIKKEI", "VIX"]),
+    ("rate", ["UST", "SOFR", "FED FUNDS", "ERIS", "EURO SHORT TERM RATE"]),
+    ("crypto", ["BITCOIN", "ETHER"]),
+    ("fx", ["DOLLAR", "POUND", "YEN", "FRANC", "PESO", "REAL", "RAND", "XRATE", "USD INDEX"]),
+    ("commodity", ["COMMODITY"]),
+]
+
+
+def market_class(name: Column) -> Column:
+    """The class of a futures market by its name; a missing name is `other`."""
+    upper, out = F.upper(name), F.lit("other")
+    for label, words in reversed(MARKET_CLASSES):
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.coalesce(F.contains(upper, F.lit(w)), F.lit(False))
+        out = F.when(hit, label).otherwise(out)
+    return out
+
+
 # -- joins and sets ---------------------------------------------------------------------------
 
 

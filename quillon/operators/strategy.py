@@ -171,6 +171,24 @@ def performance(df: DataFrame, day: str, ret: str, ddof: int = 0, year: int = 25
     return one.withColumn("calmar", safe_ratio(F.col("cagr"), -F.col("max_drawdown"))).drop("_down", "_end", "sd")
 
 
+def performance_report(df: DataFrame, day: str, ret: str, year: int = 252, least: int = 252) -> DataFrame:
+    """One row of a periodic return series: total return, yearly mean and volatility, the ratios of performance() on
+    sample deviations with a 95 % interval of the Sharpe ratio (returns taken as independent), average win and loss and
+    their ratio, and sample_state. Below `least` observations the ratios and the interval are null."""
+    one = performance(df.where(F.col(ret).isNotNull() & ~F.isnan(ret)), day, ret, ddof=1, year=year)
+    r = F.col(ret)
+    more = df.where(r.isNotNull() & ~F.isnan(ret)).agg(
+        (F.exp(F.sum(F.log1p(r))) - 1).alias("total_return"), (F.avg(r) * year).alias("annualized_return"), (F.stddev_samp(r) * sqrt(year)).alias("annualized_volatility"),
+        F.avg(F.when(r > 0, r)).alias("average_win"), (-F.avg(F.when(r < 0, r))).alias("average_loss"),
+    )
+    out = one.crossJoin(more)  # one row each
+    enough = F.col("n") >= least
+    half = 1.959963984540054 * F.sqrt((1 + 0.5 * F.pow(F.col("sharpe") / sqrt(year), 2)) / F.col("n")) * sqrt(year)
+    out = out.withColumns({"payoff_ratio": safe_ratio(F.col("average_win"), F.col("average_loss")), "sample_state": F.when(enough, "ok").otherwise("insufficient_sample")})
+    out = out.withColumns({"sharpe_low": F.when(enough, F.col("sharpe") - half), "sharpe_high": F.when(enough, F.col("sharpe") + half)})
+    return out.withColumns({c: F.when(enough, F.col(c)) for c in ("sharpe", "sortino", "calmar")})
+
+
 def impact_cost(notional: Column, adv: Column, spread_bps: Column, coefficient: float = 10.0, power: float = 0.5) -> Column:
     """Half the spread plus a power-law impact, in dollars; no impact is known without volume."""
     share = F.greatest(safe_ratio(notional, adv), F.lit(0.0))

@@ -104,6 +104,14 @@ def cumulative_return(df: DataFrame, keys: Sequence[str], order: str, value: str
     return df.withColumn(out, F.when(~poisoned, F.exp(total) - 1))
 
 
+def relative_performance(df: DataFrame, benchmark: str, day: str, value: str) -> DataFrame:
+    """symbol's compounded return less the benchmark's, by day, where both have one; rows without a return play no part,
+    and a return of -1 or less leaves nothing to compare from then on."""
+    known = cumulative_return(df.where(F.col(value).isNotNull()), ["symbol"], day, value, "_total")
+    base = known.where(F.col("symbol") == benchmark).select(day, F.col("_total").alias("_base"))
+    return known.join(base, day).withColumn("relative", F.col("_total") - F.col("_base")).drop("_total", "_base")
+
+
 def momentum_risk(df: DataFrame, rows: int = 20, year: int = 252) -> DataFrame:
     """Momentum, annualised volatility and drawdown of (symbol, day, close)."""
     base = Window.partitionBy("symbol").orderBy("day")

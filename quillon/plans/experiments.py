@@ -83,6 +83,38 @@ def out01_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _days(out, "eligibility", "raw_return", "signed_return", "sigma_used", F.round("z", 4).alias("z"))
 
 
+@query(f"""WITH {DAILY}, l AS (SELECT symbol % 3 AS model, day, close - 50 AS ret, (close - 50) / 10 AS z, CASE WHEN symbol % 7 = 0 THEN 'missing_sigma' WHEN symbol % 11 = 0 THEN 'outcome_pending' ELSE 'eligible' END AS eligibility FROM daily),
+ a AS (SELECT model, count(*) FILTER (WHERE eligibility = 'eligible') AS n, count(DISTINCT CASE WHEN eligibility = 'eligible' THEN day END) AS dates, count(*) FILTER (WHERE eligibility = 'eligible' AND ret > 0) AS hits, median(CASE WHEN eligibility = 'eligible' THEN z END) AS med, avg(CASE WHEN eligibility = 'eligible' THEN z END) AS mean,
+ count(*) FILTER (WHERE eligibility = 'missing_sigma') AS no_sigma FROM l GROUP BY model), e AS (SELECT *, n / (1 + (n / CAST(dates AS DOUBLE) - 1) * 0.2e0) AS n_eff FROM a), s AS (SELECT *, n >= 20 AND dates >= 5 AND n_eff >= 20 AS ok, hits / CAST(n AS DOUBLE) AS p FROM e)
+ SELECT model, n, dates, hits, round(n_eff, 6) AS n_eff, ok AS sufficient, round(CASE WHEN ok THEN p END, 6) AS hit_rate, round(CASE WHEN ok THEN greatest(0, (p + 3.8414588206941254e0 / (2 * n_eff) - 1.959963984540054e0 * sqrt(p * (1 - p) / n_eff + 3.8414588206941254e0 / (4 * n_eff * n_eff))) / (1 + 3.8414588206941254e0 / n_eff)) END, 6) AS low,
+ round(CASE WHEN ok THEN med END, 6) AS median_z, round(CASE WHEN ok THEN mean END, 6) AS mean_z, no_sigma FROM s""")
+def agg20_outcome_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("symbol")
+    ledger = daily(spark, sf_dir).select((s % 3).alias("model"), "day", (F.col("close") - 50).alias("ret"), ((F.col("close") - 50) / 10).alias("z"), F.when(s % 7 == 0, "missing_sigma").when(s % 11 == 0, "outcome_pending").otherwise("eligible").alias("eligibility"))
+    out = o.summarize_outcomes(ledger, ["model"], "day", "ret", "z", 20, 5)
+    return rounded(out.select("model", "n", "dates", "hits", "n_eff", "sufficient", "hit_rate", "low", "median_z", "mean_z", F.try_element_at("excluded", F.lit("missing_sigma")).alias("no_sigma")))
+
+
+@query(f"""WITH {DAILY}, r AS (SELECT symbol, day, close / nullif(lag(close) OVER ({_W}), 0) - 1 AS r FROM daily), k AS (SELECT * FROM r WHERE r IS NOT NULL), c AS (SELECT symbol, day, CASE WHEN NOT max(r <= -1) OVER w THEN exp(sum(CASE WHEN r > -1 THEN ln(1 + r) END) OVER w) - 1 END AS total FROM k WINDOW w AS ({_W} ROWS UNBOUNDED PRECEDING))
+ SELECT c.symbol, CAST(c.day AS VARCHAR) AS day, round(c.total - b.total, 4) AS relative FROM c JOIN (SELECT day, total FROM c WHERE symbol = (SELECT min(symbol) FROM daily)) b USING (day)""")
+def win28_relative_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.operators import windows
+
+    d = windows.momentum_risk(daily(spark, sf_dir), 5)
+    base = d.agg(F.min("symbol")).first()[0]
+    out = windows.relative_performance(d.select("symbol", "day", "r"), base, "day", "r")
+    return _days(out, F.round("relative", 4).alias("relative"))
+
+
+@query(f"""WITH {DAILY}, i AS (SELECT day, avg(close) / 1e3 - 0.045e0 AS r FROM daily GROUP BY day), a AS (SELECT count(*) AS n, avg(r) AS m, stddev_samp(r) AS sd, exp(sum(ln(1 + r))) - 1 AS total, avg(CASE WHEN r > 0 THEN r END) AS win, -avg(CASE WHEN r < 0 THEN r END) AS loss FROM i), s AS (SELECT *, m / nullif(sd, 0) * sqrt(252) AS sharpe FROM a)
+ SELECT n, CASE WHEN n >= 10 THEN 'ok' ELSE 'insufficient_sample' END AS sample_state, round(total, 5) AS total_return, round(m * 252, 5) AS annualized_return, round(sd * sqrt(252), 5) AS annualized_volatility, round(win / nullif(loss, 0), 4) AS payoff_ratio, round(CASE WHEN n >= 10 THEN sharpe END, 4) AS sharpe,
+ round(CASE WHEN n >= 10 THEN sharpe - 1.959963984540054e0 * sqrt((1 + 0.5 * (sharpe / sqrt(252)) * (sharpe / sqrt(252))) / n) * sqrt(252) END, 4) AS sharpe_low FROM s""")
+def stg16_performance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = daily(spark, sf_dir).groupBy("day").agg((F.avg("close") / 1e3 - 0.045).alias("r"))
+    four = [F.round(c, 4).alias(c) for c in ("payoff_ratio", "sharpe", "sharpe_low")]
+    return st.performance_report(r, "day", "r", least=10).select("n", "sample_state", *_fives("total_return", "annualized_return", "annualized_volatility"), *four)
+
+
 # -- books and the residual strategy -----------------------------------------------------------
 
 

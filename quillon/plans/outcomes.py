@@ -180,10 +180,10 @@ def bit10_set05_subset_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH n AS (SELECT doc_id, length(text) AS v, list_transform(regexp_extract_all(text, '-?\d[\d,]*(?:\.\d+)?'), lambda x: TRY_CAST(replace(x, ',', '') AS DOUBLE)) AS l FROM documents)
- SELECT doc_id, CAST(len(l) AS INTEGER) AS n_numbers, coalesce(len(list_filter(l, lambda x: abs(x - v) <= 0.5 * v OR abs(x * 1e3 - v) <= 0.5 * v OR abs(x * 1e6 - v) <= 0.5 * v)) > 0, FALSE) AS cited FROM n""")
+ SELECT doc_id, CAST(len(l) AS INTEGER) AS n_numbers, coalesce(len(list_filter(l, lambda x: abs(x - v) <= 0.005 * v OR abs(x * 1e3 - v) <= 0.005 * v OR abs(x * 1e6 - v) <= 0.005 * v)) > 0, FALSE) AS cited FROM n""")
 def kgr05_numeric_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("double").alias("v"), p.numeric_citations(F.col("text")).alias("l"))
-    return d.select("doc_id", F.size("l").alias("n_numbers"), p.cited(F.col("v"), F.col("l"), 0.5).alias("cited"))
+    return d.select("doc_id", F.size("l").alias("n_numbers"), p.cited(F.col("v"), F.col("l")).alias("cited"))
 
 
 @query("""WITH o AS (SELECT *, sha256(length(CAST(user_id AS VARCHAR)) || ':' || user_id || ';' || length(event_type) || ':' || event_type || ';') AS series_key FROM events)

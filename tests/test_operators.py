@@ -374,15 +374,16 @@ def test_ewma_matches_weighted_moments(spark):
 
 
 def test_link_facts_joins_no_pairs_of_a_company(spark):
-    """One company, 30,000 facts and candidates: rungs, tolerance, nulls, and no 900 million pairs."""
+    """One company, 30,000 facts and candidates: rungs, exact values, nulls, and no 900 million pairs."""
     cols = "company string, metric string, period string, unit string, dimensions string, value double"
     base = spark.range(30_000).select(F.lit("big").alias("company"), F.lit("m").alias("metric"), F.col("id").cast("string").alias("period"), F.lit("u").alias("unit"), F.lit(None).cast("string").alias("dimensions"), F.col("id").cast("double").alias("value"), "id")
     odd = [(-1, "none", "m", "1", "u", None, 1.0), (-2, "big", "x", "1", "u", None, 1.0), (-3, "big", "m", "no", "u", None, 1.0), (-4, "big", "m", "1", "v", None, 1.0), (-5, "big", "m", "1", "u", "d", 1.0), (-6, "big", "m", "1", "u", None, 1.0 + 1e-8), (-7, "big", "m", "1", "u", None, 1.0 + 5e-10), (-8, "big", "m", "1", "u", None, None), (-9, "big", "m", None, "u", None, 1.0)]
     facts = base.withColumnRenamed("id", "fact_id").unionByName(spark.createDataFrame(odd, f"fact_id long, {cols}"))
     out = publication.link_facts(facts, base.withColumnRenamed("id", "assertion"))
     got = {x.fact_id: (x.status, x.assertion) for x in out.collect()}
-    want = ["cross_issuer", "metric_mismatch", "period_mismatch", "unit_incompatible", "dimensions_mismatch", "value_mismatch", "linked", "value_mismatch", "period_mismatch"]
-    assert [got[-i - 1][0] for i in range(9)] == want and got[-7] == ("linked", 1)
+    want = ["cross_issuer", "metric_mismatch", "period_mismatch", "unit_incompatible", "dimensions_mismatch", "value_mismatch", "value_mismatch", "value_mismatch", "period_mismatch"]
+    # without a scale, values must be equal to the last digit
+    assert [got[-i - 1][0] for i in range(9)] == want
     assert all(got[i] == ("linked", i) for i in range(30_000))
 
 
@@ -610,3 +611,24 @@ def test_label_clashes_and_graph_ids(spark):
     n = graph.nodes([("t", part, "k", "l")])
     assert sorted((x.key, x.label) for x in n.collect()) == [("1", "a"), ("2", "c")]
     assert [tuple(x) for x in graph.label_clashes([("t", part, "k", "l")]).collect()] == [("t", "1", 2)]
+
+
+def test_market_classes(spark):
+    names = ["E-mini S&P 500 - CME", "MICRO BITCOIN", "ETHER DOLLAR", "UST 10Y", "Canadian Dollar", "BLOOMBERG COMMODITY", "WHEAT", None]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [x.c for x in df.select(r.market_class(F.col("n")).alias("c")).collect()] == ["equity_index", "crypto", "crypto", "rate", "fx", "commodity", "other", "other"]
+
+
+def test_fact_links_by_scale_and_time(spark):
+    """Values agree at the scale the candidate is stated in: half a unit of it, exactly at 0; candidates that are not
+    known yet are not there."""
+    base = ("c", "m", "2024", "USD", "d")
+    facts = [(i, *base, v) for i, v in enumerate([1_234_400.0, 1_234_501.0, 1_234_000.0, 0.125, -500.0, 7.0])]
+    cand = [(10, *base, 1_234_000.0, -3, 1), (11, *base, 0.13, 2, 1), (12, *base, 0.0, -3, 9), (13, *base, 7.0000001, 0, 1)]
+    f = spark.createDataFrame(facts, "fact_id int, company string, metric string, period string, unit string, dimensions string, value double")
+    c = spark.createDataFrame(cand, "assertion int, company string, metric string, period string, unit string, dimensions string, value double, decimals int, known_from int")
+    got = lambda k: {x.fact_id: (x.status, x.assertion) for x in publication.link_facts(f, c, F.lit(k)).collect()}
+    miss = ("value_mismatch", None)
+    assert got(5) == {0: ("linked", 10), 1: miss, 2: ("linked", 10), 3: ("linked", 11), 4: miss, 5: miss}
+    assert got(9)[4] == ("linked", 12) and got(9)[3] == ("ambiguous", None) and got(9)[5] == ("linked", 12)
+    assert set(got(0).values()) == {("no_candidate", None)}
