@@ -30,26 +30,32 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str
     return joined.select("_l.*", F.col("_m._at").alias(right_ts), *[F.col(f"_m.{c}").alias(c) for c in columns])
 
 
-def asof_global(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, columns: Sequence[str]) -> DataFrame:
-    """As-of join without a key, for a market-wide series; of right rows at one time the largest
-    values count.
+def asof_by_day(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str, columns: Sequence[str]) -> DataFrame:
+    """As-of join for keys of which a few hold much of the rows; of right rows of a key at one time the
+    largest values count.
 
-    Time itself is the key: both sides are joined as of within their day, and a row before the first
-    value of its day takes the last one of the days before. So the work is dealt by day and linear,
-    and only a row per day goes through a window without a key."""
+    Both sides are joined as of within their key and day, and a row before the first value of its day takes
+    the key's last one of the days before. So a hot key is dealt by day, and only a row per key and day goes
+    through the window that carries values over."""
     day = lambda c: F.to_date(F.col(c))
-    series = right.where(F.col(right_ts).isNotNull()).groupBy(right_ts).agg(*[F.max(c).alias(c) for c in columns]).withColumn("_day", day(right_ts))
-    per_day = series.groupBy("_day").agg(F.max_by(F.struct(right_ts, *columns), right_ts).alias("_v"))
-    days = per_day.unionByName(left.select(day(left_ts).alias("_day")).distinct().withColumn("_v", F.lit(None).cast(per_day.schema["_v"].dataType)))
-    days = days.groupBy("_day").agg(F.max("_v").alias("_v"))
-    before = F.last("_v", ignorenulls=True).over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))  # a row per day
-    inside = asof_join(left.withColumn("_day", day(left_ts)), series, ["_day"], left_ts, right_ts, columns)
-    start = inside.join(days.select("_day", before.alias("_before")), "_day", "left")
+    series = right.where(F.col(right_ts).isNotNull()).groupBy(*by, right_ts).agg(*[F.max(c).alias(c) for c in columns]).withColumn("_day", day(right_ts))
+    per_day = series.groupBy(*by, "_day").agg(F.max_by(F.struct(right_ts, *columns), right_ts).alias("_v"))
+    days = per_day.unionByName(left.select(*by, day(left_ts).alias("_day")).distinct().withColumn("_v", F.lit(None).cast(per_day.schema["_v"].dataType)))
+    days = days.groupBy(*by, "_day").agg(F.max("_v").alias("_v"))
+    before = F.last("_v", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))
+    inside = asof_join(left.withColumn("_day", day(left_ts)), series, [*by, "_day"], left_ts, right_ts, columns)
+    start = inside.join(days.select(*by, "_day", before.alias("_before")), [*by, "_day"], "left")
     found = F.col(right_ts).isNotNull()
     pick = lambda c: F.when(found, F.col(c)).otherwise(F.col(f"_before.{c}")).alias(c)
     return start.select(*left.columns, pick(right_ts), *[pick(c) for c in columns])
 
 
+def asof_global(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, columns: Sequence[str]) -> DataFrame:
+    """As-of join without a key, for a market-wide series: time itself is the key (see asof_by_day()), and
+    only a row per day goes through a window without one."""
+    return asof_by_day(left, right, [], left_ts, right_ts, columns)
+
+
 #: Children of a node, levels, and microseconds of a leaf of the tree of time that interval_join() uses: its
 #: root spans 1,914 years from 1014 on.
 FAN, LEVELS, LEAF = 16, 6, 3_600_000_000

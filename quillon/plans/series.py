@@ -149,6 +149,15 @@ def jon06_07_asof_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("event_id", "purchase_id", "purchase_value"))
 
 
+@query("""WITH o AS (SELECT event_id, ts, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS k FROM events WHERE event_type = 'click'), p AS (SELECT CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS k, ts, max(event_id) AS purchase_id FROM events WHERE event_type = 'purchase' GROUP BY ALL)
+ SELECT o.event_id, p.purchase_id FROM o ASOF LEFT JOIN p ON o.k = p.k AND o.ts >= p.ts""")
+def jon06_07_asof_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key that holds a third of all rows is dealt by day."""
+    e = events(spark, sf_dir).withColumn("k", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")))
+    p = e.where("event_type = 'purchase'").select("k", F.col("ts").alias("available_ts"), F.col("event_id").alias("purchase_id"))
+    return asof.asof_by_day(e.where("event_type = 'click'"), p, ["k"], "ts", "available_ts", ["purchase_id"]).select("event_id", "purchase_id")
+
+
 @query("""WITH p AS (SELECT ts, max(event_id) AS signup_id FROM events WHERE event_type = 'signup' GROUP BY ts)
  SELECT o.event_id, p.signup_id FROM events o ASOF LEFT JOIN p ON o.ts >= p.ts""")
 def jon08_asof_global(spark: SparkSession, sf_dir: str) -> DataFrame:
