@@ -167,8 +167,11 @@ def correction_cycles(log: DataFrame) -> DataFrame:
     return jump.select(F.col("f").alias("event_id")).distinct()
 
 
-def reconcile(facts: DataFrame, keys: Sequence[str], source: str, precedence: Sequence[str], stamp: str) -> DataFrame:
-    """One fact of each key: by the source's precedence, then the latest stamp, then source name."""
+def reconcile(facts: DataFrame, keys: Sequence[str], source: str, precedence: Sequence[str], stamp: str, knowledge: Column | None = None) -> DataFrame:
+    """One fact of each key: by the source's precedence, then the latest stamp, then source name; with
+    `knowledge`, of those whose stamp is known and not later."""
+    if knowledge is not None:
+        facts = facts.where(F.col(stamp).isNotNull() & (F.col(stamp) <= knowledge))
     order = F.array_position(F.array(*[F.lit(s) for s in precedence]), F.col(source))
     rank = F.when(order == 0, len(precedence) + 1).otherwise(order)
     w = Window.partitionBy(*keys).orderBy(rank, F.desc(stamp), source)
@@ -195,6 +198,19 @@ def half_open(df: DataFrame, end: str) -> DataFrame:
     return df.withColumn(end, F.date_add(end, 1))
 
 
+def names_at(points: DataFrame, names: DataFrame, key: str, at: str) -> DataFrame:
+    """points with the name that was valid at a time, of names (key, name, valid_from, valid_to, inclusive ends) and
+    of observations without an interval (both ends null), which only count where no interval does: the last
+    of them by name. Repeated points come once."""
+    from quillon.operators.asof import interval_join
+
+    dated = half_open(names.where("valid_from is not null"), "valid_to")
+    seen = names.where("valid_from is null and valid_to is null").groupBy(key).agg(F.max("name").alias("_seen"))
+    out = interval_join(points, dated.select(key, "name", F.col("valid_from").cast("timestamp").alias("_from"), F.col("valid_to").cast("timestamp").alias("_to")), [key], at, "_from", "_to")
+    first = out.groupBy(*points.columns).agg(F.max_by("name", F.struct("_from", "name")).alias("name"))  # of overlapping ones the latest
+    return first.join(seen, key, "left").withColumn("name", F.coalesce("name", "_seen")).drop("_seen")
+
+
 def canonical_ticker(mapping: DataFrame, chunk_counts: DataFrame) -> DataFrame:
     """(ticker, cik, n_chunks, canonical): of tickers sharing a CIK, that with most chunks, then the
     first by name, stands for all."""

@@ -139,9 +139,9 @@ def unit_gross(df: DataFrame, day: str, weight: str, out: str) -> DataFrame:
     return df.withColumn(out, F.col(weight) * F.when(total > 0, 1 / total).otherwise(1.0))
 
 
-def daily_pnl(df: DataFrame, by: str, day: str, weight: str, ret: str, bps: float, borrow: float = 0.0, year: int = 252) -> DataFrame:
+def daily_pnl(df: DataFrame, by: str, day: str, weight: str, ret: str, bps: float, borrow: float = 0.0, year: int = 252, stress: float | None = None) -> DataFrame:
     """gross, cost, net and turnover by day: yesterday's weight earns today's return; a traded unit
-    costs bps, a short one borrow a year."""
+    costs bps, a short one borrow a year. With stress, also net_stressed, the net at so many times the costs."""
     w = Window.partitionBy(by).orderBy(day)
     before = F.coalesce(F.lag(weight).over(w), F.lit(0.0))
     step = df.withColumns({"_b": before, "_t": F.abs(F.coalesce(F.col(weight), F.lit(0.0)) - before)})
@@ -149,7 +149,7 @@ def daily_pnl(df: DataFrame, by: str, day: str, weight: str, ret: str, bps: floa
         F.sum(F.col("_b") * F.coalesce(F.col(ret), F.lit(0.0))).alias("gross"),
         F.sum(F.col("_t") * bps / 1e4 + F.greatest(-F.col("_b"), F.lit(0.0)) * borrow / year).alias("cost"),
         (F.sum("_t") / 2).alias("turnover"),
-    ).withColumn("net", F.col("gross") - F.col("cost"))
+    ).withColumn("net", F.col("gross") - F.col("cost")).withColumns({} if stress is None else {"net_stressed": F.col("gross") - stress * F.col("cost")})
 
 
 def performance(df: DataFrame, day: str, ret: str, ddof: int = 0, year: int = 252) -> DataFrame:

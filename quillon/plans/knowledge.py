@@ -248,12 +248,12 @@ def cov01_idn01_canonical_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.canonical_ticker(mapping, counts).select("ticker", "cik", "n_chunks", "canonical")
 
 
-@query("""SELECT c_custkey, sha256(concat_ws('|', CAST(c_custkey AS VARCHAR), c_name, c_mktsegment)) AS dedup_hash, sha256(length(CAST(c_custkey AS VARCHAR)) || ':' || c_custkey || ';' || length(c_name) || ':' || c_name || ';') AS node_id, md5(c_name) AS content_key,
+@query("""SELECT c_custkey, sha256(concat_ws('|', CAST(c_custkey AS VARCHAR), c_name, c_mktsegment)) AS dedup_hash, sha256(length(CAST(c_custkey AS VARCHAR)) || ':' || c_custkey || ';' || length(c_name) || ':' || c_name || ';') AS node_id, md5(c_name) AS content_key, sha256(c_custkey || '||' || c_name || '||') AS record_key,
  lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik, replace(upper(trim(lower(c_name))), '#', '-') AS ticker FROM customer""")
 def idn02_05_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, n = F.col("c_custkey"), F.col("c_name")
     return table(spark, sf_dir, "customer").select(
-        "c_custkey", m.dedup_hash(k, n, F.col("c_mktsegment")).alias("dedup_hash"), m.canonical_id(k, n).alias("node_id"), F.md5(n).alias("content_key"),
+        "c_custkey", m.dedup_hash(k, n, F.col("c_mktsegment")).alias("dedup_hash"), m.canonical_id(k, n).alias("node_id"), F.md5(n).alias("content_key"), idn.record_key(k, n, F.lit(None)).alias("record_key"),
         idn.padded_cik(k).alias("cik"), idn.normal_ticker(F.lower(n)).alias("ticker"),
     )
 

@@ -296,3 +296,45 @@ def set01_02_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
     one = c.unionByName(e).unionByName(s).distinct().withColumn("n", F.lit(1).cast("long"))
     return one.unionByName(c.unionByName(e).agg(F.lit(-1).cast("long").alias("k"), F.count("*").alias("n")))
+
+
+@query("""SELECT n_name, r_name, p_brand, s.s_nationkey = c.c_nationkey AS domestic, count(*) AS n_lines, count(o_orderkey) AS n_orders, round(sum(l_extendedprice), 2) AS total FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer c ON c_custkey = o_custkey
+ LEFT JOIN nation ON n_nationkey = c.c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN supplier s ON s_suppkey = l_suppkey GROUP BY ALL""")
+def jon02_snapshot_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven tables, joined from the left; lines are summed by (order, part, supplier) before the chain."""
+    t = lambda name, *columns: table(spark, sf_dir, name).select(*columns)
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.count("*").alias("n"), F.sum("l_extendedprice").alias("v"))
+    out = (
+        lines.join(t("orders", "o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        .join(t("customer", "c_custkey", "c_nationkey"), F.col("c_custkey") == F.col("o_custkey"), "left")
+        .join(t("nation", "n_nationkey", "n_name", "n_regionkey"), F.col("n_nationkey") == F.col("c_nationkey"), "left")
+        .join(t("region", "r_regionkey", "r_name"), F.col("r_regionkey") == F.col("n_regionkey"), "left")
+        .join(t("part", "p_partkey", "p_brand"), F.col("p_partkey") == F.col("l_partkey"), "left")
+        .join(t("supplier", "s_suppkey", "s_nationkey"), F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    )
+    return out.groupBy("n_name", "r_name", "p_brand", (F.col("s_nationkey") == F.col("c_nationkey")).alias("domestic")).agg(
+        F.sum("n").alias("n_lines"), F.coalesce(F.sum(F.when(F.col("o_orderkey").isNotNull(), F.col("n"))), F.lit(0)).alias("n_orders"), F.round(F.sum("v"), 2).alias("total")
+    )
+
+
+@query("""SELECT 'customer' AS kind, c_name AS name, c_acctbal AS amount, CAST(NULL AS BIGINT) AS size FROM customer UNION ALL SELECT 'supplier', s_name, s_acctbal, NULL FROM supplier UNION ALL SELECT 'part', p_name, NULL, p_size FROM part UNION ALL SELECT 'nation', n_name, NULL, NULL FROM nation""")
+def set02_entity_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four extractors, each with typed nulls for what it has not."""
+    none, no_size = F.lit(None).cast("double"), F.lit(None).cast("long")
+    part = lambda name, kind, label, amount, size: table(spark, sf_dir, name).select(F.lit(kind).alias("kind"), F.col(label).alias("name"), amount.alias("amount"), size.alias("size"))
+    out = part("customer", "customer", "c_name", F.col("c_acctbal"), no_size).unionByName(part("supplier", "supplier", "s_name", F.col("s_acctbal"), no_size))
+    return out.unionByName(part("part", "part", "p_name", none, F.col("p_size").cast("long"))).unionByName(part("nation", "nation", "n_name", none, no_size))
+
+
+@query("""WITH l AS (SELECT 'latest' AS shape, event_id, value FROM (SELECT * FROM events WHERE user_id = 1 ORDER BY ts DESC LIMIT 3)), r AS (SELECT 'range', event_id, value FROM events WHERE user_id IN (2, 3) AND event_type IN ('click', 'view') AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20')
+ SELECT shape, event_id, round(value, 6) AS value FROM l UNION ALL SELECT 'range', event_id, round(value, 6) FROM r""")
+def flt11_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.sources import readers
+
+    e = events(spark, sf_dir)
+    import datetime as dt
+
+    pick = lambda df, shape: df.select(F.lit(shape).alias("shape"), "event_id", "value")
+    last = readers.read_latest(e, {"user_id": 1}, "ts", 3)
+    span = readers.read_range(e, {"user_id": [2, 3], "event_type": ["click", "view"]}, "ts", dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 20))
+    return rounded(pick(last, "latest").unionByName(pick(span, "range")))

@@ -155,10 +155,10 @@ def stg06_signal_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_RET}, w AS (SELECT *, CASE WHEN y > 0 THEN -1e-2 WHEN y < 0 THEN 1e-2 END AS weight FROM p), b AS (SELECT *, coalesce(lag(weight) OVER ({_W}), 0) AS before FROM w),
  d AS (SELECT day, sum(before * coalesce(y, 0)) AS gross, sum(abs(coalesce(weight, 0) - before) * 5 / 1e4 + greatest(-before, 0) * 0.03e0 / 252) AS cost, sum(abs(coalesce(weight, 0) - before)) / 2 AS turnover FROM b GROUP BY day)
- SELECT CAST(day AS VARCHAR) AS day, round(gross, 6) AS gross, round(cost, 6) AS cost, round(turnover, 6) AS turnover, round(gross - cost, 6) AS net FROM d""")
+ SELECT CAST(day AS VARCHAR) AS day, round(gross, 6) AS gross, round(cost, 6) AS cost, round(turnover, 6) AS turnover, round(gross - cost, 6) AS net, round(gross - 2 * cost, 6) AS net_stressed FROM d""")
 def stg07_12_15_daily_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _panel(spark, sf_dir).withColumn("weight", F.when(F.col("y") > 0, -0.01).when(F.col("y") < 0, 0.01))
-    out = st.daily_pnl(p, "symbol", "day", "weight", "y", 5.0, 0.03)
+    out = st.daily_pnl(p, "symbol", "day", "weight", "y", 5.0, 0.03, stress=2.0)
     return rounded(out.withColumn("day", F.col("day").cast("string")))
 
 

@@ -152,9 +152,11 @@ def nlq01_05_compiled_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(a.unionByName(b).unionByName(c).unionByName(d))
 
 
-@query(f"""WITH {BARS}, a AS (SELECT event_id, information, lag(event_id) OVER (PARTITION BY symbol ORDER BY event_ts) AS previous FROM (SELECT event_id, symbol, event_ts, epoch_us(event_ts) + 60000000 AS information FROM bars))
- SELECT event_id, information, previous FROM a""")
+@query(f"""WITH {BARS}, b AS (SELECT event_id, symbol, event_ts, close, high, low, vwap, close * 0.99e0 + (event_id % 3) / 1e2 AS open, lag(event_id) OVER (PARTITION BY symbol ORDER BY event_ts) AS previous FROM bars)
+ SELECT event_id, epoch_us(event_ts) + 60000000 AS information, previous, round((close - open) / nullif(open, 0), 6) AS intrabar_return, round((high - low) / nullif(close, 0), 6) AS bar_range, round((close - vwap) / nullif(vwap, 0), 6) AS close_vs_vwap, close > open AS is_up_bar FROM b""")
 def prj03_udf04_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bars(spark, sf_dir)
+    b = bars(spark, sf_dir).withColumn("open", F.col("close") * 0.99 + F.col("event_id") % 3 / 1e2)
     w = Window.partitionBy("symbol").orderBy("event_ts")
-    return b.select("event_id", F.unix_micros(m.bar_available(F.col("event_ts"), F.lit("minute"))).alias("information"), F.lag("event_id").over(w).alias("previous"))
+    out = st.latest_features(b.withColumn("previous", F.lag("event_id").over(w)))
+    out = out.withColumn("information", F.unix_micros(m.bar_available(F.col("event_ts"), F.lit("minute"))))
+    return rounded(out.select("event_id", "information", "previous", "intrabar_return", "bar_range", "close_vs_vwap", "is_up_bar"))

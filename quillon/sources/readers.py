@@ -24,6 +24,20 @@ def read_sql(spark: SparkSession, sql: str, args: Mapping[str, object] | None =
     return spark.sql(sql, args=dict(args or {}))
 
 
+def read_latest(df: DataFrame, keys: Mapping[str, object], order: str, n: int = 1) -> DataFrame:
+    """The last n rows of a key by `order`: the filter goes to the scan, and only n rows of a task leave it."""
+    for name, value in keys.items():
+        df = df.where(F.col(name) == F.lit(value))
+    return df.where(F.col(order).isNotNull()).orderBy(F.desc(order)).limit(n)
+
+
+def read_range(df: DataFrame, keys: Mapping[str, Sequence[object]], at: str, start: object, end: object) -> DataFrame:
+    """Rows of any of the keys' values with start <= at < end, in order."""
+    for name, values in keys.items():
+        df = df.where(F.col(name).isin(*values))
+    return df.where((F.col(at) >= F.lit(start)) & (F.col(at) < F.lit(end))).orderBy(*keys, at)
+
+
 def nanos(ts: Column) -> Column:
     return F.timestamp_micros((ts.try_cast("bigint") / 1000).cast("bigint"))
 

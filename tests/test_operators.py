@@ -632,3 +632,30 @@ def test_fact_links_by_scale_and_time(spark):
     assert got(5) == {0: ("linked", 10), 1: miss, 2: ("linked", 10), 3: ("linked", 11), 4: miss, 5: miss}
     assert got(9)[4] == ("linked", 12) and got(9)[3] == ("ambiguous", None) and got(9)[5] == ("linked", 12)
     assert set(got(0).values()) == {("no_candidate", None)}
+
+
+def test_names_at_a_time(spark):
+    d = lambda m, day=1: dt.date(2024, m, day)
+    names = spark.createDataFrame([(1, "old", d(1), d(3, 31)), (1, "new", d(4), None), (2, "seen b", None, None), (2, "seen a", None, None), (1, "seen", None, None)], "k int, name string, valid_from date, valid_to date")
+    at = lambda m, day=1: dt.datetime(2024, m, day, 12)
+    points = spark.createDataFrame([(1, at(3, 31)), (1, at(4, 1)), (2, at(2)), (1, dt.datetime(2023, 1, 1)), (3, at(2))], "k int, t timestamp")
+    got = {(x.k, x.t): x.name for x in graph.names_at(points, names, "k", "t").collect()}
+    assert got == {(1, at(3, 31)): "old", (1, at(4, 1)): "new", (2, at(2)): "seen b", (1, dt.datetime(2023, 1, 1)): "seen", (3, at(2)): None}
+
+
+def test_reconcile_at_a_knowledge_time(spark):
+    f = spark.createDataFrame([(1, "a", 5, "x"), (1, "b", 1, "y"), (2, "b", None, "z")], "k int, s string, t int, v string")
+    got = lambda at: [(x.k, x.v) for x in graph.reconcile(f, ["k"], "s", ["a", "b"], "t", F.lit(at)).collect()]
+    assert got(9) == [(1, "x")] and got(4) == [(1, "y")] and got(0) == []
+
+
+def test_deflated_sharpe(spark):
+    from math import e, sqrt
+    from statistics import NormalDist
+
+    q, g = NormalDist().inv_cdf, 0.5772156649015329
+    df = spark.createDataFrame([(0.1, 500, -0.5, 4.0)], "s double, n int, g double, k double")
+    got = df.select(outcomes.deflated_sharpe(F.col("s"), F.col("n"), 8, F.col("g"), F.col("k")).alias("z")).first().z
+    spread = sqrt((1 + 0.5 * 0.1 + 3 / 4 * 0.01) / 499)
+    best = spread * ((1 - g) * q(1 - 1 / 8) + g * q(1 - 1 / (8 * e)))
+    assert abs(got - (0.1 - best) / spread) < 1e-9
