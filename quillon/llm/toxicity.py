@@ -29,7 +29,7 @@ TOXIC_DOCS, CLEAN_DOCS = 4000, 6000
 SHORTEST, LONGEST = 3, 8
 #: A form is a candidate if, at so many standard errors below the estimate, a document that holds it is
 #: still more likely to be toxic than clean. How many voters each toxic document should have.
-ERRORS, COVER = 1.64, 3
+ERRORS, COVER = 1.0, 3
 #: What a share of clean documents weighs against the same share of toxic ones in choosing forms.
 COST = 4
 #: Forms that share this part of their documents are a family; families are dealt to so many voters.
@@ -142,11 +142,11 @@ def loadings(c: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray]:
             j = j[np.argsort(-c[i, j], kind="stable")][:PARTNERS]
             under = c[np.ix_(j, j)]
             good = free[np.ix_(j, j)] & (under > noise / 4)
-            if good.any():
-                load[i] = np.sqrt(np.clip(np.median(np.outer(c[i, j], c[i, j])[good] / under[good]), 0, 0.98))
-            else:
-                # no two others to judge it by: a middling voter if it agrees with any
-                load[i] = 0.5 if (c[i, others[i]] > noise).any() else 0.0
+            load[i] = np.sqrt(np.clip(np.median(np.outer(c[i, j], c[i, j])[good] / under[good]), 0, 0.98)) if good.any() else np.nan
+        # no two others to judge a voter by: a middling one if it agrees with any that could be judged
+        judged = np.nan_to_num(load) > noise
+        agrees = ((c > noise) & others)[:, judged if judged.any() else slice(None)].any(axis=1)
+        load = np.where(np.isnan(load), np.where(agrees, 0.5, 0.0), load)
         own = np.sqrt(1 - load**2)
         rest = np.clip((c - np.outer(load, load)) / np.outer(own, own), -1, 1)
         np.fill_diagonal(rest, 1)

@@ -20,7 +20,9 @@ def docs(spark):
 # -- components -------------------------------------------------------------------------------
 
 
-def test_components_of_chains_stars_and_cliques(spark):
+@pytest.mark.parametrize("hub", [10_000, 3])
+def test_components_of_chains_stars_and_cliques(spark, monkeypatch, hub):
+    monkeypatch.setattr(components, "HUB", hub)
     rng = np.random.default_rng(3)
     names = rng.permutation(400)
     edges = [(names[i], names[i + 1]) for i in range(99)] + [(names[100], names[j]) for j in range(101, 200)]
