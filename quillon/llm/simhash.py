@@ -499,6 +499,7 @@ def _alike(sets: list[np.ndarray], node: np.ndarray, left: np.ndarray, right: np
         shared = np.add.reduceat(mark[ids[flat]], ends - n, dtype=np.int64)
         mark[mine] = False
         found = other[shared / (size[x] + n - shared) >= least]
+        found = found[np.unique(root[found], return_index=True)[1]]  # one link to each tree
         forest.join(np.full(len(found), x), found)
         for y in found.tolist():
             yield int(node[x]), int(node[y])
