@@ -143,10 +143,10 @@ def loadings(c: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray]:
             under = c[np.ix_(j, j)]
             good = free[np.ix_(j, j)] & (under > noise / 4)
             load[i] = np.sqrt(np.clip(np.median(np.outer(c[i, j], c[i, j])[good] / under[good]), 0, 0.98)) if good.any() else np.nan
-        # no two others to judge a voter by: a middling one if it agrees with any that could be judged
+        # no two others to judge a voter by: taken to be as good as the one it agrees with most, if any
         judged = np.nan_to_num(load) > noise
-        agrees = ((c > noise) & others)[:, judged if judged.any() else slice(None)].any(axis=1)
-        load = np.where(np.isnan(load), np.where(agrees, 0.5, 0.0), load)
+        most = np.where(others, c, 0)[:, judged if judged.any() else slice(None)].max(axis=1, initial=0)
+        load = np.where(np.isnan(load), np.sqrt(np.where(most > noise, np.minimum(most, 0.98), 0)), load)
         own = np.sqrt(1 - load**2)
         rest = np.clip((c - np.outer(load, load)) / np.outer(own, own), -1, 1)
         np.fill_diagonal(rest, 1)
@@ -161,7 +161,8 @@ def label_model(votes: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray
     Accuracies and correlations come from how the voters agree, whatever the label (see loadings()).
     Copies of a voter have its weight between them, and a voter correlated with others given the label
     weighs one over the sum of those correlations, itself included. From the weighted votes,
-    expectation-maximisation fits the rate of each vote under either label; weights and prior stay."""
+    expectation-maximisation fits the rate of each vote under either label; weights and prior stay, and
+    abstaining says nothing."""
     n, m = votes.shape
     centred = votes - votes.mean(axis=0)
     sd = np.sqrt(np.maximum((centred**2).mean(axis=0), 1e-12))
@@ -182,6 +183,7 @@ def label_model(votes: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray
             table[v, 1] = (post @ values[v] + 0.1) / (post.sum() + 0.3)
             table[v, 0] = ((1 - post) @ values[v] + 0.1) / ((1 - post).sum() + 0.3)
         ratio = np.log(table[:, 1] / table[:, 0]) * weight
+        ratio[1] = 0
         z = np.log(prior / (1 - prior)) + sum(values[v] @ ratio[v] for v in range(3))
         post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     right = prior * table[2, 1] + (1 - prior) * table[0, 0]
@@ -324,10 +326,10 @@ def voters(on: np.ndarray) -> np.ndarray:
 
 
 def cast_votes(x: np.ndarray, voter: np.ndarray, given: np.ndarray) -> np.ndarray:
-    """rows x voters of classifier inputs x: lexicon voters (toxic if any of their forms occurs, else
-    clean), pattern voters (may abstain), and the given label, a voter like the others."""
+    """rows x voters of classifier inputs x: lexicon voters (toxic if any of their forms occurs, else they
+    abstain), pattern voters (may abstain), and the given label, a voter like the others."""
     n = len(voter)
-    lexicon = [np.where(x[:, :n][:, voter == v].any(axis=1), 1, -1) for v in range(voter.max(initial=-1) + 1)]
+    lexicon = [np.where(x[:, :n][:, voter == v].any(axis=1), 1, 0) for v in range(voter.max(initial=-1) + 1)]
     shown = x[:, n : n + PATTERNS]
     return np.column_stack([*lexicon, np.where(shown >= 0.5, 1, np.where(shown <= 0.05, -1, 0)), np.where(given == 1, 1, -1)])
 
