@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from quillon.functions import market as m
 from quillon.operators import calendar as cal, graph as g, identity as idn, text as tx
 from quillon.plans.base import events, rounded, table
+from quillon.sources import scratch
 
 Q, SQL = {}, {}
 
@@ -120,7 +121,7 @@ def ret03_04_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_DENSE}, top AS (SELECT query_id, vec_id, rank FROM dr WHERE rank <= 10), gold AS (SELECT query_id, vec_id FROM dr WHERE rank IN (1, 4, 15)), p AS (SELECT g.query_id, t.rank FROM gold g LEFT JOIN top t USING (query_id, vec_id))
  SELECT query_id, round(count(rank) / 3e0, 6) AS recall, round(coalesce(1e0 / min(rank), 0), 6) AS mrr, round(coalesce(sum(1 / log2(rank + 1)) / (1 + 1 / log2(3) + 1 / log2(4)), 0), 6) AS ndcg FROM p GROUP BY query_id""")
 def rev01_ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _dense(spark, sf_dir, 15)
+    r = scratch.cut(_dense(spark, sf_dir, 15))  # read as ranking and as gold
     return rounded(tx.ranking_metrics(r.where("rank <= 10"), r.where("rank in (1, 4, 15)"), "query_id", "vec_id", 10))
 
 

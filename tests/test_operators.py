@@ -659,3 +659,22 @@ def test_deflated_sharpe(spark):
     spread = sqrt((1 + 0.5 * 0.1 + 3 / 4 * 0.01) / 499)
     best = spread * ((1 - g) * q(1 - 1 / 8) + g * q(1 - 1 / (8 * e)))
     assert abs(got - (0.1 - best) / spread) < 1e-9
+
+
+def test_dense_search_over_blocks(spark):
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(120, 8)), 1)
+    v[60:80] = v[:20]  # exact copies, so ties
+    lists = [[float(x) for x in row] for row in v] + [[0.0] * 8, None, [1.0, None] + [0.0] * 6, [1.0, 2.0]]
+    df = spark.createDataFrame(list(enumerate(lists)), "d long, v array<float>")
+    asked = df.where("d % 5 = 0 or d > 119").withColumnRenamed("d", "q")
+    got = rows(text.dense_top_k(df, asked, "d", "v", "q", 7, query_block=8, vector_block=2).select("q", "rank", "d", "score"), "q", "rank")
+    u = np.float32(v).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    want = []
+    for q in [x for x in range(124) if x % 5 == 0 or x > 119]:
+        known = {d: float(u[q] @ u[d]) for d in range(120)} if q < 120 else {123: 1.0} if q == 123 else {}
+        best = sorted(range(124), key=lambda d: (-round(known.get(d, -2), 9), d))[:7]
+        want += [(q, i + 1, d, known.get(d)) for i, d in enumerate(best)]
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert all((a is None and b is None) or abs(a - b) < 1e-12 for (*_, a), (*_, b) in zip(got, want))
