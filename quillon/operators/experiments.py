@@ -232,7 +232,7 @@ def study(matrix: DataFrame, arms: Mapping[str, Sequence[str]], models: Mapping[
 def evaluation_bundle(predictions: DataFrame, keys: Sequence[str], ts: str, label: str, probability: str, ret: str, bps: float, latency_ms: str | None = None, trials: int = 4) -> DataFrame:
     """One row per key of predictive metrics (with the daily rank correlation's mean, deviation and t), of the
     signal's back-test (mean net return, hit rate, Sharpe ratio, deflated Sharpe z of the equal-weighted portfolio
-    by time) and, with a latency column, its p50 and p95."""
+    by time) and, with a latency column, its p50 and p95, both exact."""
     metrics = research.binary_metrics(predictions, keys, label, probability, outcome=ret)
     daily = research.rank_ic(predictions.withColumn("_t", F.struct(*keys, ts)), "_t", probability, ret)
     ic = daily.select(*[F.col(f"_t.{k}").alias(k) for k in keys], "ic").groupBy(*keys).agg(F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_sd"), safe_ratio(F.avg("ic") * F.sqrt(F.count("ic")), F.stddev_samp("ic")).alias("ic_t"))
@@ -242,8 +242,8 @@ def evaluation_bundle(predictions: DataFrame, keys: Sequence[str], ts: str, labe
     per = per.withColumn("deflated_sharpe", outcomes.deflated_sharpe(F.col("_s"), F.col("_n"), trials, F.col("_g"), F.col("_k"))).withColumn("net_mean", F.col("gross_mean") - bps / 1e4).drop("_s", "_n", "_g", "_k")
     out = metrics.join(ic, list(keys), "left").join(per, list(keys), "left")
     if latency_ms:
-        times = predictions.groupBy(*keys).agg(F.percentile_approx(latency_ms, [0.5, 0.95], 10_000).alias("_p"))
-        out = out.join(times, list(keys)).withColumns({"latency_p50": F.col("_p")[0], "latency_p95": F.col("_p")[1]}).drop("_p")
+        times = research.exact_quantiles(predictions, keys, latency_ms, {"latency_p50": 0.5, "latency_p95": 0.95})
+        out = out.join(times, list(keys), "left")
     return out
 
 

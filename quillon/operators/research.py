@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from decimal import Decimal
 from math import factorial
 
 import numpy as np
@@ -150,6 +151,19 @@ def rank_ic(df: DataFrame, ts: str, score: str, outcome: str) -> DataFrame:
     return per.withColumn("ic", F.when(~F.isnan("ic"), F.col("ic")))
 
 
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, float]) -> DataFrame:
+    """keys and, for each name -> share, the least value at or below which that share of the key's values lies,
+    exactly; nulls play no part, and a key of nulls alone has nulls.
+
+    Rows are counted by (key, value) before anything is ordered, so a window reads a row per different value."""
+    counts = df.groupBy(*keys, value).agg(F.count(value).alias("_c"))
+    own = Window.partitionBy(*keys)
+    counts = counts.withColumns({"_to": F.sum("_c").over(own.orderBy(F.col(value).asc_nulls_first())), "_n": F.sum("_c").over(own)})
+    # a decimal share, so that the rank is not one too high where it is whole
+    reached = lambda share: (F.col("_c") > 0) & (F.col("_to") >= F.lit(Decimal(str(share))) * F.col("_n"))
+    return counts.groupBy(*keys).agg(*[F.min(F.when(reached(share), F.col(value))).alias(name) for name, share in shares.items()])
+
+
 def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """Bounds of the Wilson interval for hits out of n."""
     p = hits / n

@@ -678,3 +678,15 @@ def test_dense_search_over_blocks(spark):
         want += [(q, i + 1, d, known.get(d)) for i, d in enumerate(best)]
     assert [x[:3] for x in got] == [x[:3] for x in want]
     assert all((a is None and b is None) or abs(a - b) < 1e-12 for (*_, a), (*_, b) in zip(got, want))
+
+
+def test_exact_quantiles_at_whole_ranks(spark):
+    df = spark.range(2_000_000).select((F.col("id") % 2).alias("k"), (F.col("id") % 40).cast("double").alias("v"))
+    df = df.unionByName(spark.createDataFrame([(0, None), (2, None), (3, 7.0)], "k long, v double"))
+    got = rows(research.exact_quantiles(df, ["k"], "v", {"p50": 0.5, "p95": 0.95}), "k")
+    assert got == [(0, 18.0, 36.0), (1, 19.0, 37.0), (2, None, None), (3, 7.0, 7.0)]
+    from quillon.operators import experiments
+
+    p = spark.range(2_000_000).selectExpr("1 a", "id % 5 d", "cast(id % 3 = 0 as int) y", "id % 7 / 7D p", "id % 11 - 5D r", "cast(id % 40 as double) ms")
+    one = experiments.evaluation_bundle(p, ["a"], "d", "y", "p", "r", 5.0, "ms").first()
+    assert (one.latency_p50, one.latency_p95) == (19.0, 37.0)
