@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -40,12 +41,13 @@ def _landed(spark: SparkSession, sf_dir: str) -> str:
     due = F.when((n % LATE == 0) & (part + 2 < FILES), part + 2).otherwise(part)
     rows = e.withColumn("due", F.explode(F.when(n % AGAIN == 0, F.array(due, due)).otherwise(F.array(due)))).drop("us")
     rows.repartitionByRange(FILES, "due").sortWithinPartitions("due").write.partitionBy("due").parquet(folder)
-    # the stream reads the oldest file first
+    # the stream reads the oldest file first, whichever was written first
+    now = int(time.time() * 1000)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     store = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for i in range(FILES):
         for status in store.globStatus(path(f"{folder}/due={i}/*.parquet")):
-            store.setTimes(status.getPath(), status.getModificationTime() - 10_000 * (FILES - i), -1)
+            store.setTimes(status.getPath(), now - 10_000 * (FILES - i), -1)
     return folder
 
 
@@ -84,7 +86,7 @@ def str03_05_08_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     behind the watermark."""
     base = scratch.folder(spark)
     out = st.windowed(st.valid(st.typed(_stream(spark, sf_dir))))
-    st.run(out, f"{base}/out", f"{base}/log")
+    st.run(out, f"{base}/out", f"{base}/log", strict=True)
     got = spark.read.schema(out.schema).parquet(f"{base}/out")
     return rounded(
         got.select(

@@ -690,3 +690,35 @@ def test_exact_quantiles_at_whole_ranks(spark):
     p = spark.range(2_000_000).selectExpr("1 a", "id % 5 d", "cast(id % 3 = 0 as int) y", "id % 7 / 7D p", "id % 11 - 5D r", "cast(id % 40 as double) ms")
     one = experiments.evaluation_bundle(p, ["a"], "d", "y", "p", "r", 5.0, "ms").first()
     assert (one.latency_p50, one.latency_p95) == (19.0, 37.0)
+
+
+def _minutes(spark, folder):
+    """An event a minute, of which the one two minutes before the end of the first file comes late."""
+    cols = ["timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id as int), 0) as ts", "id % 3 as user_id", "'click' as event_type", "id % 7 + 1D as value", "'' as props"]
+    spark.range(300).selectExpr("id + 2 as event_id", *cols).coalesce(1).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["str03_05_08_sliding_windows"])
+def test_every_row_behind_the_watermark_is_late(spark, tmp_path, name):
+    import duckdb
+
+    from quillon import registry
+    from tests.test_queries import normal
+
+    folder = _minutes(spark, tmp_path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    want = con.execute(registry.ORACLE_SQL[name]).df()
+    assert len(want) > 200 and normal(registry.QUERIES[name](spark, folder).toPandas()) == normal(want)
+    assert spark.conf.get("spark.sql.streaming.statefulOperator.allowMultiple") == "true"
+
+
+def test_landed_files_are_in_order(spark, tmp_path):
+    from pathlib import Path
+
+    from quillon.plans import stream
+
+    landed = Path(stream._landed(spark, _minutes(spark, tmp_path)))
+    times = [p.stat().st_mtime_ns // 1_000_000 for i in range(stream.FILES) for p in landed.glob(f"due={i}/*.parquet")]
+    assert [b - a for a, b in zip(times, times[1:])] == [10_000, 10_000]
