@@ -699,7 +699,7 @@ def _minutes(spark, folder):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["str03_05_08_sliding_windows"])
+@pytest.mark.parametrize("name", ["str03_05_08_sliding_windows", "str07_agg13_latency"])
 def test_every_row_behind_the_watermark_is_late(spark, tmp_path, name):
     import duckdb
 
