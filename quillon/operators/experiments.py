@@ -95,13 +95,13 @@ def walk_forward_hold(daily: DataFrame, folds: int, embargo: int) -> DataFrame:
 # -- pairs ------------------------------------------------------------------------------------
 
 
-def estimate_pair(panel: DataFrame, by: str, day: str, span: int = 20, least: int = 10, windows: Sequence[int] = (5, 20, 60), least_rolling: int = 5, percentile: int = 252, year: int = 252) -> DataFrame:
+def estimate_pair(panel: DataFrame, by: str, day: str, span: int = 20, least: int = 10, windows: Sequence[int] = (5, 20, 60), least_rolling: int = 5, percentile: int = 252, year: int = 252, positive: bool = True) -> DataFrame:
     """panel (open_a, close_a, open_b, close_b) with simple returns, weighted vols, correlation and covariance,
     rolling vols of each window, overnight and intraday vols of the shortest window but one, and the share of
     the last `percentile` vols of A that are not above the current one. Prices that are not positive have no
-    return."""
+    return; unless `positive`, they are values like others, and only a ratio to zero has none."""
     w = Window.partitionBy(by).orderBy(day)
-    ok = lambda c: F.when(F.col(c) > 0, F.col(c))
+    ok = lambda c: F.when(F.col(c) > 0, F.col(c)) if positive else F.col(c)
     ratio = lambda a, b: safe_ratio(a, b) - 1
     step = panel.withColumns(
         {f"r_{x}": ratio(ok(f"close_{x}"), F.lag(ok(f"close_{x}")).over(w)) for x in "ab"}

@@ -722,3 +722,26 @@ def test_landed_files_are_in_order(spark, tmp_path):
     landed = Path(stream._landed(spark, _minutes(spark, tmp_path)))
     times = [p.stat().st_mtime_ns // 1_000_000 for i in range(stream.FILES) for p in landed.glob(f"due={i}/*.parquet")]
     assert [b - a for a, b in zip(times, times[1:])] == [10_000, 10_000]
+
+
+def _against_sql(spark, name, folder):
+    import duckdb
+
+    from quillon import registry
+    from tests.test_queries import normal
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    got = registry.QUERIES[name](spark, str(folder)).toPandas()
+    assert normal(got) == normal(con.execute(registry.ORACLE_SQL[name]).df())
+    return got
+
+
+def test_estimates_where_a_close_is_zero(spark, tmp_path):
+    spark.range(40).selectExpr("id as event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(cast(id as int)) as ts", "1L as user_id", "'click' as event_type", "id * 7 % 10 + 0D as value", "'' as props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = _against_sql(spark, "rsk12_estimates", tmp_path)
+    assert sum(got.r_a == -1) == 3 and got.r_a.isna().sum() == 5
+    from quillon.operators import experiments
+
+    p = spark.createDataFrame([("s", i, v, v, 1.0, 1.0) for i, v in enumerate([2.0, 0.0, 4.0])], "s string, d int, open_a double, close_a double, open_b double, close_b double")
+    assert [x.r_a for x in experiments.estimate_pair(p, "s", "d").orderBy("d").collect()] == [None, None, None]
