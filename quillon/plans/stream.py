@@ -99,7 +99,7 @@ def str03_05_08_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_VALID} SELECT event_id, CAST(0 AS DOUBLE) AS intrabar_return, FALSE AS is_up_bar, epoch_us(event_ts) + 60000000 AS available_us, sha256(symbol || chr(31) || strftime(event_ts, '%Y-%m-%dT%H:%M:%S.%fZ') || chr(31) || 'minute') AS dedup_hash FROM v""")
 def str02_06_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch.folder(spark)
-    out = st.latest_features(st.typed(_stream(spark, sf_dir)).where("size(reasons) = 0"))
+    out = st.latest_features(st.typed(_stream(spark, sf_dir)).where("size(reasons) = 0"), unchanged=0.0)
     out = out.select("event_id", "intrabar_return", "is_up_bar", F.unix_micros("information_available_ts").alias("available_us"), "dedup_hash")
     st.run(out, f"{base}/out", f"{base}/log")
     return spark.read.schema(out.schema).parquet(f"{base}/out")

@@ -745,3 +745,12 @@ def test_estimates_where_a_close_is_zero(spark, tmp_path):
 
     p = spark.createDataFrame([("s", i, v, v, 1.0, 1.0) for i, v in enumerate([2.0, 0.0, 4.0])], "s string, d int, open_a double, close_a double, open_b double, close_b double")
     assert [x.r_a for x in experiments.estimate_pair(p, "s", "d").orderBy("d").collect()] == [None, None, None]
+
+
+def test_velocity_of_bars_at_zero(spark, tmp_path):
+    spark.range(60).selectExpr("id as event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, cast(id as int)) as ts", "id % 3 as user_id", "'click' as event_type", "id % 4 + 0D as value", "'' as props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert (_against_sql(spark, "str02_06_velocity", tmp_path).intrabar_return == 0).all()
+    from quillon.streaming import bars
+
+    b = spark.createDataFrame([(0.0, 0.0), (0.0, 1.0), (2.0, 3.0)], "open double, close double").selectExpr("*", "close as high", "open as low", "close as vwap")
+    assert [[x.intrabar_return for x in bars.latest_features(b, u).orderBy("open", "close").collect()] for u in (None, 0.0)] == [[None, None, 0.5], [0.0, None, 0.5]]
