@@ -15,6 +15,7 @@ LEAST_LANGUAGE = 0.4
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned; `und` and doubtful ones go."""
+    common.bound_batches(spark)
     found = langid.identify(docs.withColumnsRenamed({c: f"_quillon_{c}" for c in docs.columns if c in ("lang_pred", "score")}), langid.fit(docs))
     kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).drop("lang_pred", "score")
     return kept.withColumnsRenamed({f"_quillon_{c}": c for c in ("lang_pred", "score")})
@@ -22,6 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted to be toxic."""
+    common.bound_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     plain = docs.withColumnsRenamed({c: f"_quillon_{c}" for c in docs.columns if c in ("score", "predicted")})
     kept = toxicity.score(plain, model).where("predicted = 0").drop("score", "predicted")
@@ -39,11 +41,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    common.bound_batches(spark)
     return simhash.deduplicate(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens with their place in training windows."""
+    common.bound_batches(spark)
     return packing.pack_documents(docs)
 
 

@@ -76,6 +76,15 @@ def slices(
             yield batch.slice(start)
 
 
+def bound_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+    """Has Spark hand texts to Python in Arrow batches of about most_bytes, unless the session asks for less. Its own
+    bound (64 MB) is held several times over by each task: in the JVM, on its way and in the worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).rstrip("bB"))
+    if now <= 0 or now > most_bytes:
+        spark.conf.set(key, str(most_bytes))
+
+
 def open_store(uri: str):
     """(pyarrow file system, path in it) of a folder that executors share."""
     from pyarrow import fs

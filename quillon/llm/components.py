@@ -9,6 +9,8 @@ from quillon.llm import common
 
 #: Rows of a node from which it is a hub, unless the 100,000th part of all edges is more.
 HUB = 10_000
+#: Edges a task of a round's last step gets at least, if there are more tasks than cores.
+TASK = 1_000_000
 
 
 def _digest(both: DataFrame) -> tuple:
@@ -54,7 +56,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = _beside_least(both, low, hub, most).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = _beside_least(large, low, hub, most).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        before, now = now, common.cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        tasks = max(edges.sparkSession.sparkContext.defaultParallelism, -(-seen[0] // TASK))  # few edges make few files
+        before, now = now, common.cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct().coalesce(tasks))
         common.discard(before)
         found = _digest(_both_ways(now))
         if found == seen:

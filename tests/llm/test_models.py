@@ -34,6 +34,49 @@ def test_components_of_chains_stars_and_cliques(spark, monkeypatch, hub):
     assert components.components(df.limit(0)).count() == 0
 
 
+def test_rounds_of_few_edges_are_few_files(spark, monkeypatch):
+    files, cut = [], components.common.cut
+
+    def counted(df):
+        table = cut(df)
+        files.append(len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(components.common, "cut", counted)
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        edges = spark.range(300).selectExpr("id a", "id + 1 b").where("a % 10 < 9")
+        got = {x.node: x.root for x in components.components(edges).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    assert got == {n: n // 10 * 10 for n in range(300)}
+    assert len(files) > 2 and max(files[1:]) <= spark.sparkContext.defaultParallelism
+
+
+def test_the_pipeline_bounds_the_batches_that_python_gets(spark):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    long = spark.range(40).selectExpr("id doc_id", "repeat('word and ', 60000) text").coalesce(1)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    corpus_pipeline.pack(spark, long.limit(1), "")
+    assert max(x.n for x in long.mapInArrow(sizes, "n long").collect()) < 8 << 20
+    spark.conf.set(key, "100000")
+    corpus_pipeline.pack(spark, long.limit(1), "")
+    assert spark.conf.get(key).rstrip("bB") == "100000"
+    spark.conf.unset(key)
+
+
 # -- SimHash ----------------------------------------------------------------------------------
 
 
