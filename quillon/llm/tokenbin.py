@@ -188,11 +188,21 @@ def write_shards(docs: DataFrame, folder: str, dictionary: bytes, tokenizer: str
         out.write(dictionary)
     rows = docs.select("doc_id", "text").withColumn("at", F.monotonically_increasing_id())
     rows = rows.repartitionByRange("doc_id", "at").sortWithinPartitions("doc_id", "at")
-    manifest = common.cut(rows.select("doc_id", "text").mapInArrow(_write(folder, dictionary, tokenizer, end_id, width, shard_bytes), MANIFEST))
+    written = rows.select("doc_id", "text").mapInArrow(_write(folder, dictionary, tokenizer, end_id, width, shard_bytes), MANIFEST)
+    manifest = common.cut(_few_files(written))
     before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
+def _few_files(written: DataFrame) -> DataFrame:
+    """The rows of a manifest in as many tasks as there are cores, not a file for each task that wrote a shard. They
+    are dealt by shard, so a retried task's rows, which name other files, take the place of the lost ones."""
+    spark = written.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    dealt = max(cores + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return written.repartition(dealt, "shard").coalesce(cores)
+
+
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long, shard string, row long"
 
 
@@ -227,5 +237,6 @@ def token_shards(spark: SparkSession, docs: DataFrame, tokenizer: str | None = N
     """documents (doc_id, text, ...) written as token shards and read back: doc_id, start (ids of all
     documents before), n_tokens, ids_crc32, shard and row. Null text is an empty document (the end id
     alone); null ids come first; an empty table gives no row; other columns play no part."""
+    common.bound_batches(spark)
     folder, dictionary = common.shared_dir(spark), fit_dictionary(docs, tokenizer)
     return read_shards(write_shards(docs, folder, dictionary, tokenizer, end_id), folder, dictionary)

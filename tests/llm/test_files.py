@@ -90,6 +90,28 @@ def test_token_shards(spark, docs):
     assert [(x.doc_id, x.start) for x in got] == [(None, 0), (None, got[0].n_tokens), (3, 2 * got[0].n_tokens)]
 
 
+def test_manifest_is_written_by_few_tasks(spark, tmp_path):
+    """Many small shards: the manifest has a row for each, in no more files than there are cores."""
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        manifest = tokenbin.write_shards(df, str(tmp_path), b"")
+        rows = manifest.orderBy("shard").collect()
+        assert len(manifest.inputFiles()) <= spark.sparkContext.defaultParallelism < len(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    assert sum(x.n_docs for x in rows) == 400 and len({x.name for x in rows}) == len(rows)
+    at = 0
+    for x in rows:
+        assert x.base == at
+        at += x.n_tokens
+    got = tokenbin.read_shards(manifest, str(tmp_path), b"").orderBy("start").collect()
+    assert [x.doc_id for x in got] == list(range(400))
+
+
 def test_shard_random_access_and_dictionary_check(tmp_path):
     data = [np.arange(n) % 300 for n in (0, 1, 5000)]
     dictionary = tokenbin.train_dictionary([np.arange(i, i + 300).astype("<u2").tobytes() for i in range(300)], 4096)
