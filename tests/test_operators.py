@@ -754,3 +754,57 @@ def test_velocity_of_bars_at_zero(spark, tmp_path):
 
     b = spark.createDataFrame([(0.0, 0.0), (0.0, 1.0), (2.0, 3.0)], "open double, close double").selectExpr("*", "close as high", "open as low", "close as vwap")
     assert [[x.intrabar_return for x in bars.latest_features(b, u).orderBy("open", "close").collect()] for u in (None, 0.0)] == [[None, None, 0.5], [0.0, None, 0.5]]
+
+
+def test_sliding_windows_keep_bars_not_windows(spark, tmp_path, monkeypatch):
+    from quillon.plans import stream
+    from quillon.streaming import bars
+
+    queries, run = [], bars.run
+    monkeypatch.setattr(bars, "run", lambda *a, **k: queries.append(run(*a, **k)) or queries[-1])
+    rows = stream.str03_05_08_sliding_windows(spark, _minutes(spark, tmp_path)).count()
+    steps = [p["stateOperators"] for p in queries[0].recentProgress]
+    assert rows > 600 and all(sum(s["numRowsTotal"] for s in p) <= 300 for p in steps)
+
+
+@pytest.mark.parametrize("window, slide", [("15 minutes", "1 minute"), ("10 minutes", "4 minutes"), ("1 minute", "1 minute")])
+def test_ended_windows_are_the_sliding_windows(spark, window, slide):
+    from quillon.streaming import bars
+
+    # bars before and after 1970, on and beside whole minutes, two symbols of which one has most bars
+    b = spark.range(400).selectExpr(
+        "if(id % 10 = 0, 'B', 'A') as symbol", "timestamp_micros((id * id * 7919 % 20000 - 10000) * 1000000 + id % 2 * 17) as event_ts", "id * 1D as high", "id - 1D as low", "id % 7 * 1D as close",
+        "timestamp_micros(id) as information_available_ts", "timestamp_micros(id) as bronze_ts",
+    )
+    length, step = (int(x.split()[0]) * 60_000_000 for x in (window, slide))
+    key = lambda df: sorted([*r[:5], round(r.close_std or 0, 9), round(r.close_avg, 9), *r[7:]] for r in df.collect())
+    parts = [(None, -600_000_000), (-600_000_000, 1_200_000_000), (1_200_000_000, 99_000_000_000)]
+    got = [bars._ended(b, low, high, length, step, 3) for low, high in parts]
+    assert key(got[0].unionByName(got[1]).unionByName(got[2])) == key(bars.windowed(b, window, slide))
+    assert all(x.count() for x in got)
+
+
+def test_a_micro_batch_of_windows_that_was_cut_off_comes_again(spark, tmp_path, monkeypatch):
+    from pyspark.errors import StreamingQueryException
+
+    from quillon.plans import stream
+    from quillon.streaming import bars
+
+    kept = bars.valid(bars.typed(stream._stream(spark, _minutes(spark, tmp_path / "in"))))
+    read = lambda x: sorted((r.symbol, r.window_start, r.n_bars, r.close_avg) for r in spark.read.parquet(f"{tmp_path}/{x}").collect())
+    bars.run_windowed(kept, f"{tmp_path}/whole", f"{tmp_path}/log1")
+    delete, calls = bars._discard, []
+
+    def cut(*a):
+        calls.append(a)
+        if len(calls) == 2:
+            raise OSError("cut off")
+        delete(*a)
+
+    monkeypatch.setattr(bars, "_discard", cut)
+    with pytest.raises(StreamingQueryException):
+        bars.run_windowed(kept, f"{tmp_path}/out", f"{tmp_path}/log2")
+    bars.run_windowed(kept, f"{tmp_path}/out", f"{tmp_path}/log2")
+    assert read("out") == read("whole") and len(read("out")) > 600
+    # the state is what the last micro-batches need
+    assert sorted(p.name for p in (tmp_path / "log2/bars/open").iterdir()) == ["2", "3"]
